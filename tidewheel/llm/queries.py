@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import licenses, lines
 
@@ -38,12 +39,43 @@ def op3_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_components(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op4_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .labelled import remainder
+    from .quality import fit_quality, score_quality
+
+    docs, held = table(spark, sf_dir, "documents"), F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
+    scored = score_quality(docs.select("doc_id", "text"), fit_quality(docs, table(spark, sf_dir, "labels"), ~held))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op5_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .labelled import remainder
+    from .toxicity import fit_toxicity, score_toxicity
+
+    docs, held = table(spark, sf_dir, "documents"), F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))
+    scored = score_toxicity(docs.select("doc_id", "text"), fit_toxicity(docs, table(spark, sf_dir, "labels"), ~held))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "spans")
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import drop_repeats
+
+    cut = drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=35)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources
 
     return mix_sources(table(spark, sf_dir, "documents"), weights=(1, 2, 3), total_share=1.0, max_copies=3)
 
 
+def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -53,8 +85,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", "n_lines", "n_removed")
 
 
+OPERATORS = (
+    op1_topk_search, op2_best_fit_packing, op3_embedding_neardup, op4_quality_lines, op5_toxic_spans,
+    op6_substring_dedup, op7_source_mixing, op8_minhash_neardup, op9_license_scan, op10_line_dedup,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk_search, op2_best_fit_packing, op3_embedding_neardup, op7_source_mixing, op9_license_scan, op10_line_dedup)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 OP1 = """
