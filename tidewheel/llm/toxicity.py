@@ -15,8 +15,8 @@ from .labelled import sample
 from .words import PUNCT, Words, batches
 
 _BLOCK = 32
-#: Bytes of the two prefixes that stand for a word's stem, beside the word itself.
-_STEMS = (4, 5)
+#: Bytes of the prefixes that stand for a word's stem, beside the word itself.
+_STEMS = (4, 5, 6, 7)
 
 
 def _hashes(w: Words) -> list[np.ndarray]:
@@ -35,13 +35,13 @@ class ToxicityModel:
     link: np.ndarray
 
     def __post_init__(self):
-        self.known = np.zeros(1 << 16, bool)
-        self.known[(self.keys >> np.uint64(48)).astype(np.int64)] = True
+        self.known = np.zeros(1 << 20, bool)
+        self.known[(self.keys >> np.uint64(44)).astype(np.int64)] = True
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Places among ``keys``, their number where unknown."""
         out = np.full(len(h), len(self.keys), np.int64)
-        some = np.flatnonzero(self.known[(h >> np.uint64(48)).astype(np.int64)])
+        some = np.flatnonzero(self.known[(h >> np.uint64(44)).astype(np.int64)])
         at = np.searchsorted(self.keys, h[some])
         hit = at < len(self.keys)
         hit[hit] = self.keys[at[hit]] == h[some][hit]
