@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -19,18 +23,63 @@ from .words import batches
 CAP = 2048
 #: Pieces packed together. A block leaves about one sequence part full, of a few thousand.
 BLOCK_PIECES = 8192
-_TOKENIZERS: dict = {}
 
 
-def _tokenizer(path: str):
-    if path not in _TOKENIZERS:
+class Encoder:
+    """Ids of whole texts by a ``tokenizers`` file, special tokens' strings being ordinary text.
+
+    A byte-level BPE file without a normalizer is also loaded into ``tiktoken``, which gives the same ids of the same
+    vocabulary at less than half the cost. It splits texts by Unicode classes of its own release, so only texts
+    whose characters have had the same classes in every release go there; any other goes to ``tokenizers``.
+    """
+
+    #: Latin, general punctuation and the euro sign.
+    _OTHER = re.compile("[^\x00-\u024f\u2010-\u2027\u20ac]")
+    #: The fixed pattern of byte-level BPE as its files imply it (``use_regex``).
+    _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True  # a text that spells a special token is ordinary text
-        _TOKENIZERS[path] = t
-    return _TOKENIZERS[path]
+        self.exact = Tokenizer.from_file(path)
+        self.exact.encode_special_tokens = True
+        self.fast = self._fast(json.loads(Path(path).read_text(encoding="utf-8")))
+
+    def _fast(self, spec: dict):
+        split, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        plain = model.get("type") == "BPE" and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+        odd = spec.get("normalizer") or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or model.get("byte_fallback") or model.get("ignore_merges")
+        if not plain or odd:
+            return None
+        import tiktoken
+
+        special = {t["content"] for t in spec.get("added_tokens", ())}
+        # printable bytes stand for themselves, the others for the characters from 256 on
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+        ranks = {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+        merges = [x.split(" ") if isinstance(x, str) else x for x in model["merges"]]
+        order = [model["vocab"][a + b] for a, b in merges]
+        if order != sorted(order):  # ranks must say which merge comes first
+            return None
+        return tiktoken.Encoding("file", pat_str=self._PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def __call__(self, texts: list[str]) -> list[list[int]]:
+        out: list = [None] * len(texts)
+        if self.fast:
+            for i, x in enumerate(texts):
+                if not self._OTHER.search(x):
+                    out[i] = self.fast.encode_ordinary(x)
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(rest, self.exact.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        return out
+
+
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, cap: int = CAP, end_id: int = 0, keep_ids: bool = True, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -47,11 +96,12 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, cap: int = CAP, end_id
         out.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _tokenizer(tokenizer_path)
+        encode = _encoder(tokenizer_path)
         for batch in batches(it, "text"):
             where, piece, start, length, crc, kept = [], [], [], [], [], []
-            for row, e in enumerate(tok.encode_batch_fast([x or "" for x in batch.column("text").to_pylist()], add_special_tokens=False)):
-                ids = np.array([*e.ids, end_id], "<u4")
+            for row, e in enumerate(encode([x or "" for x in batch.column("text").to_pylist()])):
+                e.append(end_id)
+                ids = np.array(e, "<u4")
                 first = len(ids) % cap or cap
                 cuts = [0, *range(first, len(ids) + 1, cap)] if len(ids) > cap else [0, len(ids)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
