@@ -126,21 +126,23 @@ def drop_repeats(docs: DataFrame, length: int = 35, id_col: str = "doc_id", text
     """
     clash = [c for c in docs.columns if c.lower() in ("n_words", "n_removed", "removed")]
     keyed = docs.drop(*clash).withColumn("_key", F.xxhash64(F.col(id_col), F.col(text)))
-    spans = repeated_spans(keyed, length, text).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("_spans"))
+    spans = repeated_spans(keyed, length, text).groupBy("key").agg(F.collect_list(F.shiftleft(F.col("lo").cast("long"), 32).bitwiseOR(F.col("hi").cast("long"))).alias("_spans"))
     joined = keyed.join(spans.withColumnRenamed("key", "_key"), "_key", "left").drop("_key").withColumnRenamed(text, "_text_")
     out = joined.drop("_spans", "_text_").schema.add("_left", "string").add("n_words", "long").add("n_removed", "long").add("removed", T.ArrayType(T.StructType().add("lo", T.IntegerType()).add("hi", T.IntegerType())))
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it, "_text_"):
             left, total, gone, spans = [], [], [], []
-            for raw, found in zip(batch.column("_text_").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
-                words = (raw or "").encode().split()
+            found = batch.column("_spans")
+            ends, flat = found.offsets.to_numpy(), found.values.to_numpy()
+            for i, raw in enumerate(batch.column("_text_")):
+                words = (raw.as_py() or "").encode().split()
                 merged: list = []
-                for s in found or ():
-                    if merged and s["lo"] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], s["hi"])
-                    else:
-                        merged.append([s["lo"], s["hi"]])
+                if ends[i + 1] > ends[i]:
+                    own = np.sort(flat[ends[i] : ends[i + 1]])
+                    lo, hi = own >> 32, np.maximum.accumulate(own & 0xFFFFFFFF)
+                    opens = np.flatnonzero(np.append(True, lo[1:] > hi[:-1]))
+                    merged = np.stack([lo[opens], hi[np.append(opens[1:] - 1, len(lo) - 1)]], axis=1).tolist()
                 kept, at = [], 0
                 for a, b in merged:
                     kept += words[at:a]
