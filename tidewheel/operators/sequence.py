@@ -6,23 +6,35 @@ each other: histories are RANGE frames on ts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 DAY_MS = 86_400_000.0
-BY_USER = Window.partitionBy("user_id").orderBy("ts", "item_id")
-WHOLE = Window.partitionBy("user_id")
-EARLIER = Window.partitionBy("user_id").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
+
+
+def by_user() -> WindowSpec:
+    """A user's events in order."""
+    return Window.partitionBy("user_id").orderBy("ts", "item_id")
+
+
+def whole() -> WindowSpec:
+    """All of a user's events."""
+    return Window.partitionBy("user_id")
+
+
+def earlier() -> WindowSpec:
+    """A user's events at strictly earlier times."""
+    return Window.partitionBy("user_id").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
 
 
 def positions(df: DataFrame) -> DataFrame:
     """``pos`` from 0 and the user's number of events ``n``."""
-    return df.withColumn("pos", F.row_number().over(BY_USER) - 1).withColumn("n", F.count("*").over(WHOLE))
+    return df.withColumn("pos", F.row_number().over(by_user()) - 1).withColumn("n", F.count("*").over(whole()))
 
 
 def strict_history(df: DataFrame) -> DataFrame:
     """Size, items and last time of what came strictly earlier, for every event."""
-    return df.withColumn("hist_len", F.count("*").over(EARLIER)).withColumn("hist_last_ts", F.max("ts").over(EARLIER))
+    return df.withColumn("hist_len", F.count("*").over(earlier())).withColumn("hist_last_ts", F.max("ts").over(earlier()))
 
 
 def ratio_split(df: DataFrame, share: float = 0.8) -> DataFrame:
@@ -38,8 +50,8 @@ def leave_two_out(df: DataFrame) -> DataFrame:
     are those two, train is what is earlier than val. Other users are train as a whole.
     """
     seq = positions(df)
-    at = lambda back: F.max(F.when(F.col("pos") == F.col("n") - back, F.col("ts"))).over(WHOLE)
-    seq = seq.withColumns({"val_ts": at(2), "test_ts": at(1), "first_ts": F.min("ts").over(WHOLE)})
+    at = lambda back: F.max(F.when(F.col("pos") == F.col("n") - back, F.col("ts"))).over(whole())
+    seq = seq.withColumns({"val_ts": at(2), "test_ts": at(1), "first_ts": F.min("ts").over(whole())})
     ok = (F.col("n") >= 3) & (F.col("val_ts") > F.col("first_ts")) & (F.col("test_ts") > F.col("val_ts"))
     part = F.when(~ok, "train").when(F.col("pos") == F.col("n") - 2, "val").when(F.col("pos") == F.col("n") - 1, "test").when(F.col("ts") < F.col("val_ts"), "train").otherwise("rest")
     return seq.withColumns({"eligible": ok, "split": part})
@@ -52,7 +64,7 @@ def future_window(df: DataFrame) -> DataFrame:
     """
     seq = positions(df)
     cut = F.least(F.greatest(F.expr("n * 4 div 5"), F.lit(1)), F.col("n") - 1)
-    seq = seq.withColumn("cut_ts", F.max(F.when(F.col("pos") == cut, F.col("ts"))).over(WHOLE)).withColumn("first_ts", F.min("ts").over(WHOLE))
+    seq = seq.withColumn("cut_ts", F.max(F.when(F.col("pos") == cut, F.col("ts"))).over(whole())).withColumn("first_ts", F.min("ts").over(whole()))
     ok = (F.col("n") >= 2) & (F.col("cut_ts") > F.col("first_ts"))
     return seq.withColumns({"eligible": ok, "split": F.when(ok & (F.col("ts") >= F.col("cut_ts")), "target").otherwise("train")})
 
@@ -64,7 +76,7 @@ def debug_split(df: DataFrame, share: float = 0.8) -> DataFrame:
 
 def train_samples(train: DataFrame) -> DataFrame:
     """Events later than the user's first time: those with a history to learn from."""
-    return train.withColumn("_first", F.min("ts").over(WHOLE)).where("ts > _first").drop("_first")
+    return train.withColumn("_first", F.min("ts").over(whole())).where("ts > _first").drop("_first")
 
 
 def last_events(df: DataFrame, n: int = 50) -> DataFrame:
@@ -81,14 +93,14 @@ def padded(df: DataFrame, n: int = 50, pad: int = 0) -> DataFrame:
 
 def gaps(df: DataFrame, n: int = 50) -> DataFrame:
     """Days since the event before, 0 for the first, over a month and at most a year; among the last ``n``."""
-    g = F.coalesce((F.col("ts") - F.lag("ts").over(BY_USER)) / DAY_MS, F.lit(0.0))
+    g = F.coalesce((F.col("ts") - F.lag("ts").over(by_user())) / DAY_MS, F.lit(0.0))
     return last_events(df, n).withColumn("gap", F.least(g / 30, F.lit(365 / 30)))
 
 
 def legacy_gaps(df: DataFrame, n: int = 50) -> DataFrame:
     """Days since the event before, at most 365, over the user's largest (1 if that is 0)."""
-    g = F.least(F.coalesce((F.col("ts") - F.lag("ts").over(BY_USER)) / DAY_MS, F.lit(0.0)), F.lit(365.0))
-    top = F.max("_g").over(WHOLE)
+    g = F.least(F.coalesce((F.col("ts") - F.lag("ts").over(by_user())) / DAY_MS, F.lit(0.0)), F.lit(365.0))
+    top = F.max("_g").over(whole())
     return last_events(df, n).withColumn("_g", g).withColumn("gap", F.col("_g") / (F.when(top == 0, 1.0).otherwise(top) + 1e-8)).drop("_g")
 
 
@@ -96,13 +108,13 @@ def recency(df: DataFrame, rate: float) -> DataFrame:
     """Weight exp(-rate * gaps still to come) of every event, over its user's sum (1 at least)."""
     after = Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("item_id").desc()).rowsBetween(Window.unboundedPreceding, -1)
     w = F.exp(-F.lit(rate) * F.coalesce(F.sum("gap").over(after), F.lit(0.0)))
-    return df.withColumn("_w", w).withColumn("recency", F.col("_w") / F.greatest(F.lit(1.0), F.sum("_w").over(WHOLE))).drop("_w")
+    return df.withColumn("_w", w).withColumn("recency", F.col("_w") / F.greatest(F.lit(1.0), F.sum("_w").over(whole()))).drop("_w")
 
 
 def prefix_statistics(df: DataFrame, count_scale: float, span_scale: float, n: int = 50) -> DataFrame:
     """Log count of the strict prefix, and log span, mean and population deviation of rating over its last ``n`` events."""
     seen = strict_history(df)
-    lists = seen.withColumn("h", F.collect_list(F.struct("ts", "item_id", "rating")).over(EARLIER))
+    lists = seen.withColumn("h", F.collect_list(F.struct("ts", "item_id", "rating")).over(earlier()))
     last = F.reverse(F.slice(F.reverse(F.array_sort("h")), 1, n))
     lists = lists.withColumn("h", last).where("hist_len > 0")
     mean = F.aggregate("h", F.lit(0.0), lambda a, x: a + x["rating"]) / F.size("h")
