@@ -32,7 +32,7 @@ class Settings:
     rows: int = 4
     features: int = 1 << 20
     idf: float = 0.25
-    stars: int = 2
+    hubs: tuple[int, ...] = (1, 4, 16, 64)
 
 
 DEFAULT = Settings()
@@ -149,9 +149,10 @@ def near_duplicates(docs: DataFrame, settings: Settings = DEFAULT, id_col: str =
 
     A class is what links of weighted Jaccard similarity >= ``threshold`` over TF-IDF shingles of ``size`` words connect;
     ``class_id`` is its smallest id and ``kept`` marks that document. Equal texts are one node from the start. Nodes that agree
-    in a band meet in its bucket. There each is verified against one node picked by hash, another in each
-    band and round (``stars`` rounds), which grows with the bucket, not its square; then every pair of a bucket that is still in
-    different classes is verified as well, but for those whose similarities s, t to a common node prove the
+    in a band meet in its bucket. There each is verified against one node picked by hash, others in each band and round, which
+    grows with the bucket, not its square. Rounds go on with more such hubs (``hubs``), but only where a bucket is still in
+    several classes and only across them, so a large group's stragglers find their links among few. At last every pair of a bucket that is still
+    in different classes is verified, but for those whose similarities s, t to a common node prove the
     opposite: 1 - s is a metric. So no link between bucket mates is lost, and copies are not paired.
 
     Words are runs of anything but ASCII white space. A text of fewer words than ``size`` is one shingle. A text without
@@ -177,30 +178,31 @@ def near_duplicates(docs: DataFrame, settings: Settings = DEFAULT, id_col: str =
     full = slots.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1").select("band", "value")
     buckets = materialize(slots.join(full, ["band", "value"]), "buckets")
 
+    texts = _texts(buckets.select("node").distinct(), keyed)
     tested, classes = None, None
-    for turn in range(s.stars + 1):
+    for turn, hubs in enumerate([*s.hubs, None]):
         now = buckets if classes is None else buckets.join(classes, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-        if turn:
-            split = now.groupBy("band", "value").agg((F.min("part") < F.max("part")).alias("split")).where("split").select("band", "value")
+        if turn and classes is not None:
+            split = now.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").drop("lo", "hi")
             now = materialize(now.join(split, ["band", "value"]), "split")
-        if turn < s.stars:
-            hub = now.groupBy("band", "value").agg(F.min_by("node", F.xxhash64("node", "band", F.lit(turn))).alias("hub"), *([F.min_by("part", F.xxhash64("node", "band", F.lit(turn))).alias("hub_part")] if turn else []))
-            pairs = now.join(hub, ["band", "value"]).where("node <> hub")
-            if turn:
-                pairs = pairs.where("part <> hub_part")
-            pairs = _pairs(pairs, "node", "hub")
+        elif turn:
+            now = materialize(now.withColumn("part", F.col("node")).join(buckets.groupBy("band", "value").agg(F.count("*").alias("n")), ["band", "value"]), "split")
+        if not turn:
+            hub = now.groupBy("band", "value").agg(F.min_by("node", F.xxhash64("node", "band")).alias("hub"))
+            pairs = _pairs(now.join(hub, ["band", "value"]), "node", "hub")
+        elif hubs:
+            some = now.where(F.pmod(F.xxhash64("node", "band", F.lit(turn)), F.col("n")) < hubs).select("band", "value", F.col("node").alias("hub"), F.col("part").alias("hub_part"))
+            pairs = _pairs(now.join(some, ["band", "value"]).where("part <> hub_part"), "node", "hub")
         else:
             pairs = _undecided(now, tested, s.threshold)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         if pairs.isEmpty():
-            if turn < s.stars:
-                continue
-            break
-        done = _verify(pairs, keyed, s, idf)
+            continue
+        done = _verify(pairs, texts, s, idf)
         tested = done if tested is None else materialize(tested.union(done), "tested")
-        classes = materialize(connected_components(tested.where(F.col("sim") >= s.threshold).select("a", "b")), "classes")
+        classes = _joined(classes, done.where(F.col("sim") >= s.threshold).select("a", "b"))
 
     named = keyed.select("id", "node", F.col("text").rlike(r"[^\x20\x09-\x0D]").alias("words"))
     if classes is not None:
@@ -216,13 +218,25 @@ def near_duplicates(docs: DataFrame, settings: Settings = DEFAULT, id_col: str =
     return out.select(F.col("id").alias(id_col), class_id.alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.coalesce(F.col("id") == class_id, F.lit(True)).alias("kept"))
 
 
+def _joined(classes: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Classes ``node, component`` after more links: the classes that they connect become one."""
+    if classes is None:
+        return materialize(connected_components(links), "classes")
+    a, b = (classes.select(F.col("node").alias(k), F.col("component").alias(f"of_{k}")) for k in "ab")
+    parts = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    merged = materialize(connected_components(parts), "merged").withColumnsRenamed({"node": "old", "component": "new"})
+    moved = classes.join(merged, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
+    first = merged.join(classes, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("component"))
+    return materialize(moved.union(first), "classes")
+
+
 def _pairs(d: DataFrame, x: str, y: str) -> DataFrame:
     return d.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a < b").distinct()
 
 
 def _undecided(now: DataFrame, tested: DataFrame | None, threshold: float) -> DataFrame:
     """Pairs of bucket mates in different classes that no common hub proves to be apart."""
-    hub = now.groupBy("band", "value").agg(F.min_by("node", F.xxhash64("node", "band", F.lit(0))).alias("hub"))
+    hub = now.groupBy("band", "value").agg(F.min_by("node", F.xxhash64("node", "band")).alias("hub"))
     far = now.join(hub, ["band", "value"])
     if tested is not None:
         far = far.withColumn("a", F.least("node", "hub")).withColumn("b", F.greatest("node", "hub")).join(tested, ["a", "b"], "left")
@@ -235,13 +249,15 @@ def _undecided(now: DataFrame, tested: DataFrame | None, threshold: float) -> Da
     return _pairs(met, "node_x", "node_y")
 
 
-def _verify(pairs: DataFrame, keyed: DataFrame, s: Settings, idf) -> DataFrame:
-    """``pairs`` with ``sim``; each text in question is read once and sent to the pairs it is in."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    # one row for each text: the row with the least id
-    who = keyed.groupBy("node").agg(F.min(F.struct("id")).alias("one")).join(asked, "node").select(F.col("node").alias("n"), F.col("one.id").alias("i"))
+def _texts(nodes: DataFrame, keyed: DataFrame) -> DataFrame:
+    """The text of each node, read and dealt out once: that of its row with the least id."""
+    who = keyed.groupBy("node").agg(F.min(F.struct("id")).alias("one")).join(nodes, "node").select(F.col("node").alias("n"), F.col("one.id").alias("i"))
     texts = keyed.join(who, (F.col("node") == F.col("n")) & F.col("id").eqNullSafe(F.col("i"))).select("node", "text")
-    texts = materialize(texts.dropDuplicates(["node"]), "texts")
+    return materialize(texts.dropDuplicates(["node"]), "texts")
+
+
+def _verify(pairs: DataFrame, texts: DataFrame, s: Settings, idf) -> DataFrame:
+    """``pairs`` with ``sim``; a small table of pairs is broadcast to the texts by its measured size, a large one shuffled with them."""
     one = texts.select(F.col("node").alias("a"), F.col("text").alias("text"))
     two = texts.select(F.col("node").alias("b"), F.col("text").alias("other"))
 
