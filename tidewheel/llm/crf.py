@@ -109,14 +109,14 @@ def train(score: Callable[[dict], np.ndarray], gradient: Callable[[np.ndarray],
         adam.step(params, {k: g - l2 * params[k] / n for k, g in grads.items()})
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
-    """Logistic regression by Newton's method with a small ridge: weights of the columns of ``x`` and, last, the constant."""
+def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 60) -> np.ndarray:
+    """Weighted logistic regression by Newton's method with a small ridge: weights of the columns of ``x`` and, last, the constant."""
     x = np.column_stack([x, np.ones(len(y))])
     w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.eye(len(w)) * 0.05
-        step = np.linalg.solve(h, x.T @ (y - p) - 0.05 * w)
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + np.eye(len(w)) * 0.05
+        step = np.linalg.solve(h, x.T @ (weight * (y - p)) - 0.05 * w)
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break

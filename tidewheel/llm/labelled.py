@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from .words import Words, mix, shingles
 
-#: Labelled documents of each class on which a classifier is fitted, at most: those with the least hashes of their ids.
-SAMPLE_PER_CLASS = 2500
+#: Labelled documents of either class on which a classifier is fitted, at most: those with the least hashes of their ids.
+SAMPLE_PER_CLASS = 1400
 #: Documents with more characters are scored like any other but not trained on, so that the sample fits the driver.
-SAMPLE_MAX_CHARS = 50_000
+SAMPLE_MAX_CHARS = 20_000
 
 
 def remainder(id_col: str, mod: int) -> Column:
@@ -20,11 +20,11 @@ def remainder(id_col: str, mod: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % mod
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, use: Column, id_col: str = "doc_id", text: str = "text", per_class: int = SAMPLE_PER_CLASS) -> tuple[pa.Array, np.ndarray]:
-    """Texts and 0/1 labels of at most ``per_class`` documents of each class for which ``use`` holds, in the order of the ids' hashes.
+def sample(docs: DataFrame, labels: DataFrame, label: str, use: Column, id_col: str = "doc_id", text: str = "text", per_class: int = SAMPLE_PER_CLASS) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Texts, 0/1 labels and weights of at most ``per_class`` documents of each class for which ``use`` holds, in the order of the ids' hashes.
 
     The ids are picked from ``labels`` and broadcast (their number is bounded), so the texts are read without a shuffle.
-    Near copies are thinned: of documents that agree in one of three MinHash values of their shingles, the first stays.
+    The weights restore the classes' shares among all labelled rows in use. Near copies are thinned: of documents that agree in one of three MinHash values of their shingles, the first stays.
     """
     seen = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1) & use).select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y")).distinct()
     some = [seen.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_class) for y in (0, 1)]
@@ -32,7 +32,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, use: Column, id_col:
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("text")).where(F.length("text") <= SAMPLE_MAX_CHARS)
     got = rows.join(F.broadcast(ids), "_id").select("_id", "text", "_y").toArrow()
     if not got.num_rows:
-        return pa.array([], pa.string()), np.zeros(0)
+        return pa.array([], pa.string()), np.zeros(0), np.zeros(0)
     order = np.lexsort((got.column("_y").to_numpy(), got.column("_id").to_numpy() if got.column("_id").type != pa.string() else np.array(got.column("_id").to_pylist())))
     got = got.take(pa.array(order)).combine_chunks()
     texts = got.column("text").combine_chunks() if isinstance(got.column("text"), pa.ChunkedArray) else got.column("text")
@@ -48,4 +48,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, use: Column, id_col:
             keep[d] = not (mine & met)
             met |= mine
     kept = pa.array(np.flatnonzero(keep))
-    return texts.take(kept), got.column("_y").to_numpy()[keep].astype(np.float64)
+    y = got.column("_y").to_numpy()[keep].astype(np.float64)
+    count = {r["_y"]: r["n"] for r in seen.groupBy("_y").agg(F.count("*").alias("n")).collect()}
+    share = np.array([count.get(k, 0) / max(1, (y == k).sum()) for k in (0, 1)])
+    return texts.take(kept), y, share[y.astype(int)] / max(share.max(), 1e-9)

@@ -37,6 +37,8 @@ class Settings:
 
 DEFAULT = Settings()
 _FEATURE_BLOCKS = 256
+#: Classes of shingles whose total weights bound a pair's similarity from above.
+_CLASSES = 64
 _DRAWS = 1 << 16
 
 
@@ -152,8 +154,8 @@ def near_duplicates(docs: DataFrame, settings: Settings = DEFAULT, id_col: str =
     in a band meet in its bucket. There each is verified against one node picked by hash, others in each band and round, which
     grows with the bucket, not its square. Rounds go on with more such hubs (``hubs``), but only where a bucket is still in
     several classes and only across them, so a large group's stragglers find their links among few. At last every pair of a bucket that is still
-    in different classes is verified, but for those whose similarities s, t to a common node prove the
-    opposite: 1 - s is a metric. So no link between bucket mates is lost, and copies are not paired.
+    in different classes is verified. Passed over are only pairs that are proved to be apart: by their similarities s, t to
+    a common node, as 1 - s is a metric, or by the weights of 64 classes of shingles, of which they share the lesser at most. So no link between bucket mates is lost, and copies are not paired.
 
     Words are runs of anything but ASCII white space. A text of fewer words than ``size`` is one shingle. A text without
     words (null, empty) is a class of its own. Repeated rows and null ids are rows like any other; a class without
@@ -169,11 +171,12 @@ def near_duplicates(docs: DataFrame, settings: Settings = DEFAULT, id_col: str =
             doc, h, w = weighted_shingles(batch.column("text"), s.size, idf.value)
             if len(doc):
                 who, bands = sample_bands(doc, h, w, s)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(who) + 1, dtype=np.int32) * s.bands), pa.array(bands.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(who)), lists], names=["node", "bands"])
+                mass = np.bincount(doc * _CLASSES + (h >> np.uint64(58)).astype(np.int64), w, batch.num_rows * _CLASSES).reshape(-1, _CLASSES)[who].astype(np.float32)
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(who) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1))) for x in (bands.view(np.int64), mass)]
+                yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(who)), *lists], names=["node", "bands", "mass"])
 
-    signed = keyed.where("text is not null").select("node", "text").mapInArrow(sign, "node long, bands array<long>")
-    nodes = materialize(signed.groupBy("node").agg(F.first("bands").alias("bands")), "signatures")
+    signed = keyed.where("text is not null").select("node", "text").mapInArrow(sign, "node long, bands array<long>, mass array<float>")
+    nodes = materialize(signed.groupBy("node").agg(F.first("bands").alias("bands"), F.first("mass").alias("mass")), "signatures")
     slots = nodes.select("node", F.posexplode("bands").alias("band", "value"))
     full = slots.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1").select("band", "value")
     buckets = materialize(slots.join(full, ["band", "value"]), "buckets")
@@ -184,15 +187,15 @@ def near_duplicates(docs: DataFrame, settings: Settings = DEFAULT, id_col: str =
         now = buckets if classes is None else buckets.join(classes, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
         if turn and classes is not None:
             split = now.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").drop("lo", "hi")
-            now = materialize(now.join(split, ["band", "value"]), "split")
+            now = materialize(now.join(split, ["band", "value"]).join(nodes.select("node", "mass"), "node"), "split")
         elif turn:
-            now = materialize(now.withColumn("part", F.col("node")).join(buckets.groupBy("band", "value").agg(F.count("*").alias("n")), ["band", "value"]), "split")
+            now = materialize(now.withColumn("part", F.col("node")).join(buckets.groupBy("band", "value").agg(F.count("*").alias("n")), ["band", "value"]).join(nodes.select("node", "mass"), "node"), "split")
         if not turn:
             hub = now.groupBy("band", "value").agg(F.min_by("node", F.xxhash64("node", "band")).alias("hub"))
             pairs = _pairs(now.join(hub, ["band", "value"]), "node", "hub")
         elif hubs:
-            some = now.where(F.pmod(F.xxhash64("node", "band", F.lit(turn)), F.col("n")) < hubs).select("band", "value", F.col("node").alias("hub"), F.col("part").alias("hub_part"))
-            pairs = _pairs(now.join(some, ["band", "value"]).where("part <> hub_part"), "node", "hub")
+            some = now.where(F.pmod(F.xxhash64("node", "band", F.lit(turn)), F.col("n")) < hubs).select("band", "value", F.col("node").alias("hub"), F.col("part").alias("hub_part"), F.col("mass").alias("hub_mass"))
+            pairs = _pairs(now.join(some, ["band", "value"]).where((F.col("part") != F.col("hub_part")) & _may_reach("mass", "hub_mass", s.threshold)), "node", "hub")
         else:
             pairs = _undecided(now, tested, s.threshold)
         if tested is not None:
@@ -234,6 +237,17 @@ def _pairs(d: DataFrame, x: str, y: str) -> DataFrame:
     return d.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a < b").distinct()
 
 
+def _may_reach(a: str, b: str, threshold: float) -> Column:
+    """Whether the classes' weights allow a weighted Jaccard of ``threshold``.
+
+    Two texts share at most the lesser weight of each class of shingles, so their similarity is at most that sum over the rest of
+    both. Texts that merely share a common passage fall below, and no pair above is lost (the margin covers rounding).
+    """
+    add = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v.cast("double"))
+    both = add(F.zip_with(a, b, lambda x, y: F.least(x, y)))
+    return both * (1 + threshold) >= (threshold - 1e-4) * (add(F.col(a)) + add(F.col(b)))
+
+
 def _undecided(now: DataFrame, tested: DataFrame | None, threshold: float) -> DataFrame:
     """Pairs of bucket mates in different classes that no common hub proves to be apart."""
     hub = now.groupBy("band", "value").agg(F.min_by("node", F.xxhash64("node", "band")).alias("hub"))
@@ -243,9 +257,9 @@ def _undecided(now: DataFrame, tested: DataFrame | None, threshold: float) -> Da
     else:
         far = far.withColumn("sim", F.lit(None).cast("double"))
     far = far.withColumn("sim", F.when(F.col("node") == F.col("hub"), 1.0).otherwise(F.col("sim")))
-    x, y = (far.select("band", "value", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "part", "sim")]) for k in "xy")
+    x, y = (far.select("band", "value", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "part", "sim", "mass")]) for k in "xy")
     apart: Column = F.abs(F.col("sim_x") - F.col("sim_y")) > 1 - threshold + 1e-9
-    met = x.join(y, ["band", "value"]).where((F.col("part_x") != F.col("part_y")) & (F.col("node_x") < F.col("node_y")) & ~F.coalesce(apart, F.lit(False)))
+    met = x.join(y, ["band", "value"]).where((F.col("part_x") != F.col("part_y")) & (F.col("node_x") < F.col("node_y")) & ~F.coalesce(apart, F.lit(False)) & _may_reach("mass_x", "mass_y", threshold))
     return _pairs(met, "node_x", "node_y")
 
 

@@ -136,8 +136,8 @@ def _logit(p: np.ndarray) -> np.ndarray:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, use: Column, label: str = "quality", id_col: str = "doc_id", text: str = "text") -> QualityModel:
     """Fit on the bounded sample of :mod:`labelled`: every line is labelled as its document. Without labels of both kinds every score is the prior."""
-    texts, y = sample(docs, labels, label, use, id_col, text)
-    prior = float((y.sum() + 1) / (len(y) + 2))
+    texts, y, weight = sample(docs, labels, label, use, id_col, text)
+    prior = float(((y * weight).sum() + 1) / (weight.sum() + 2))
     if not len(y) or y.min() == y.max():
         k = line_features(pa.array([""]))[0].shape[1]
         return QualityModel(np.zeros(k), np.ones(k), np.zeros(3 * k + 3), np.zeros((2, 2)), np.array([0.0, np.log(prior / (1 - prior))]), prior)
@@ -150,7 +150,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, use: Column, label: str = "q
     model = QualityModel(mean, scale, params["w"], params["trans"], np.zeros(2), prior)
     p, _ = crf.marginals(z @ params["w"], params["trans"], first, _BLOCK)
     s, total = _mean(p, size, first)
-    model.link = crf.calibrate(_logit(s)[total > 0][:, None], y[total > 0])
+    model.link = crf.calibrate(_logit(s)[total > 0][:, None], y[total > 0], weight[total > 0])
     return model
 
 

@@ -40,7 +40,7 @@ class ToxicityModel:
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Places among ``keys``, their number where unknown."""
-        out = np.full(len(h), len(self.keys), np.int64)
+        out = np.full(len(h), len(self.keys), np.int32)
         some = np.flatnonzero(self.known[(h >> np.uint64(44)).astype(np.int64)])
         at = np.searchsorted(self.keys, h[some])
         hit = at < len(self.keys)
@@ -62,7 +62,7 @@ class ToxicityModel:
 
 def _shift(found: np.ndarray, w: Words, by: int, none: int) -> np.ndarray:
     """The neighbour's place: of the word before (1) or after (-1) in the same text."""
-    out = np.full(len(found), none, np.int64)
+    out = np.full(len(found), none, np.int32)
     doc = w.doc()
     if by == 1:
         out[1:] = np.where(doc[1:] == doc[:-1], found[:-1], none)
@@ -72,19 +72,20 @@ def _shift(found: np.ndarray, w: Words, by: int, none: int) -> np.ndarray:
 
 
 def _summary(w: Words, p: np.ndarray) -> np.ndarray:
-    """Logarithm of the expected number of toxic words."""
-    return np.log(np.bincount(w.doc(), p, w.n_docs) + 1e-3)[:, None]
+    """Of the expected number s of toxic words: its logarithm, the chance of two or more (as Poisson has it), and the logarithm of its share of the words."""
+    s = np.bincount(w.doc(), p, w.n_docs)
+    return np.stack([np.log(s + 1e-3), 1 - np.exp(-s) * (1 + s), np.log((s + 1e-3) / (np.diff(w.first) + 10))], axis=1)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, use: Column, label: str = "toxic", id_col: str = "doc_id", text: str = "text") -> ToxicityModel:
     """Fit on the bounded sample of :mod:`labelled`.
 
     Labels are of documents; the words' labels follow from them: a word of a toxic document is toxic if it, or one of its
-    stems, stands in toxic documents only (at least 20 times likelier there, after smoothing) and in enough of
-    them (2, and one in a hundred). Toxic documents without such a word teach the link only. Without labels of both kinds nothing is toxic.
+    stems, stands in toxic documents only (at least 30 times likelier there, after smoothing) and in enough of
+    them (2, and 15 in a thousand). Toxic documents without such a word teach the link only. Without labels of both kinds nothing is toxic.
     """
-    texts, y = sample(docs, labels, label, use, id_col, text)
-    none = ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), np.zeros(0), -10.0, np.zeros((2, 2)), np.array([1.0, 0.0]))
+    texts, y, weight = sample(docs, labels, label, use, id_col, text)
+    none = ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), np.zeros(0), -10.0, np.zeros((2, 2)), np.array([0.0, 0.0, 0.0, -4.0]))
     if not len(y) or y.min() == y.max():
         return none
     w = Words(texts, PUNCT, lower=True)
@@ -97,9 +98,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, use: Column, label: str = "
         keys.append(k)
         count.append(np.stack([np.bincount(inverse, y[pair[1].astype(np.int64)], len(k)), np.bincount(inverse, 1 - y[pair[1].astype(np.int64)], len(k))], axis=1))
     n1, n0 = y.sum(), len(y) - y.sum()
-    enough = max(2.0, 0.01 * n1)
+    enough = max(2.0, 0.015 * n1)
     odds = [np.log((c[:, 0] + 0.5) / (n1 + 1)) - np.log((c[:, 1] + 0.5) / (n0 + 1)) for c in count]
-    sure = [np.sort(k[(o >= np.log(20)) & (c[:, 0] >= enough)]) for k, o, c in zip(keys, odds, count, strict=True)]
+    sure = [np.sort(k[(o >= np.log(30)) & (c[:, 0] >= enough)]) for k, o, c in zip(keys, odds, count, strict=True)]
     label_of = np.zeros(len(doc), bool)
     for h, s in zip(hashes, sure, strict=True):
         label_of |= np.isin(h, s)
@@ -107,10 +108,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, use: Column, label: str = "
     if not label_of.any():
         return none
     vocabulary = np.unique(np.concatenate([k[(c[:, 0] >= enough) | (c.sum(axis=1) >= max(5, 0.02 * len(y)))] for k, c in zip(keys, count, strict=True)]))
-    model = ToxicityModel(vocabulary, np.zeros(len(vocabulary)), np.zeros(len(vocabulary)), np.zeros(len(vocabulary)), 0.0, np.zeros((2, 2)), np.zeros(2))
+    model = ToxicityModel(vocabulary, np.zeros(len(vocabulary)), np.zeros(len(vocabulary)), np.zeros(len(vocabulary)), 0.0, np.zeros((2, 2)), np.zeros(4))
     tagged = np.bincount(doc, label_of, len(y)) > 0
     teach = Words(texts.take(pa.array(np.flatnonzero(tagged | (y == 0)))), PUNCT, lower=True)
     label_of = label_of[(tagged | (y == 0))[doc]].astype(float)
+    del w, doc, toxic, hashes, keys, count, odds
     found = [model.find(h) for h in _hashes(teach)]
     near = [_shift(found[0], teach, by, len(vocabulary)) for by in (1, -1)]
     size = len(vocabulary) + 1
@@ -127,7 +129,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, use: Column, label: str = "
 
     crf.train(unary, pull, params, label_of, teach.first, steps=40, rate=0.3, l2=0.05, block=_BLOCK)
     model = ToxicityModel(vocabulary, params["own"][:-1], params["before"][:-1], params["after"][:-1], float(params["bias"][0]), params["trans"], np.zeros(2))
-    model.link = crf.calibrate(_summary(w, model.words(w)), y)
+    del found, near, teach
+    w = Words(texts, PUNCT, lower=True)
+    model.link = crf.calibrate(_summary(w, model.words(w)), y, weight)
     return model
 
 
