@@ -360,6 +360,35 @@ def test_license_scan(spark):
     assert licenses.bands_for(10) >= math.log(1e-4) / math.log(1 - 0.8 / 2.2) - 1
 
 
+def test_license_scan_matches_every_window(spark):
+    """Templates of 1 to 8 shingles, whole or cut by a word, at any offset among other words."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    templates = [(i, "x", [word() for _ in range(i % 8 + 5)]) for i in range(160)]
+    docs = []
+    for i, _, t in templates:
+        part = t[: len(t) - (i % 5 == 0)]
+        docs.append((i, [word() for _ in range(rng.randrange(40))] + part + [word() for _ in range(rng.randrange(40))]))
+    grams = lambda w: [tuple(w[j : j + 5]) for j in range(len(w) - 4)]
+    want = set()
+    for d, w in docs:
+        g = grams(w)
+        for i, _, t in templates:
+            ts, hits = set(grams(t)), []
+            for k in range(0, len(g), len(ts)):
+                at = [j for j in range(k, min(k + 2 * len(ts), len(g))) if g[j] in ts]
+                c = len({g[j] for j in at}) / len(ts)
+                if at and c >= licenses.CONTAINMENT:
+                    hits.append((-c, at[0], -(at[-1] + 5)))
+            if hits:
+                c, a, b = min(hits)
+                want.add((d, i, -c, a, -b))
+    frame = spark.createDataFrame([(i, a, " ".join(t)) for i, a, t in templates], "template_id int, license string, template string")
+    out = licenses.scan_licenses(spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string"), frame)
+    assert len(want) > 130
+    assert {(r["doc_id"], r["template_id"], r["containment"], r["word_start"], r["word_end"]) for r in out.collect()} == want
+
+
 # 10
 def test_line_dedup(spark):
     rows = [(100 + i, f"menu\n own line {i} \n\n menu \nlast {i % 30}", "s") for i in range(60)] + [(300 + i, "menu\nx", "u") for i in range(2)]

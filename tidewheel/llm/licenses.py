@@ -59,8 +59,14 @@ def default_templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(TEMPLATES)], "template_id int, license string, template string")
 
 
-def _least(hashes: Column, mask: int) -> Column:
-    return F.array_min(F.transform(hashes, lambda h: h.bitwiseXOR(F.lit(mask))))
+def _least(hashes: Column, band: int) -> Column:
+    """The MinHash value of a band: each band hashes the hashes anew, so that its order of shingles is independent of the others'."""
+    return F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, F.lit(band))))
+
+
+def _least_shingle(hashes: Column, band: int) -> Column:
+    """The shingle hash that :func:`_least` is the value of."""
+    return F.array_min(F.transform(hashes, lambda h: F.struct(F.xxhash64(h, F.lit(band)).alias("v"), h.alias("h"))))["h"]
 
 
 def scan_licenses(docs: DataFrame, templates: DataFrame | None = None, containment: float = CONTAINMENT, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -72,8 +78,8 @@ def scan_licenses(docs: DataFrame, templates: DataFrame | None = None, containme
     equals), with the span of that window's matching shingles in words; documents without a licence have no row.
 
     Windows overlap by half and are two template lengths long, so that any passage as long as the template lies
-    whole in one.  A window's MinHash value under a mask m is the least of h XOR m over its shingle hashes h; each
-    value is a band, and :func:`bands_for` sets their number.  As a window can share a band with a template only
+    whole in one.  A window's MinHash value in a band is the least of its shingle hashes when hashed again
+    with the band's number; each value is a band, and :func:`bands_for` sets their number.  As a window can share a band with a template only
     if it holds the very shingle that is the template's least, texts without any of those shingles are
     passed over first, by a hash lookup in the scan: that is implied by the bands and loses nothing.
     Windows retrieved by a band are verified by exact containment.  No shuffle of texts, no Python.
@@ -87,15 +93,13 @@ def scan_licenses(docs: DataFrame, templates: DataFrame | None = None, containme
     chars = templates.agg(F.coalesce(F.sum(F.length("template")), F.lit(0))).first()[0]
     if chars > MAX_TEMPLATE_CHARS:
         raise ValueError(f"templates have {chars} characters; at most {MAX_TEMPLATE_CHARS} can be broadcast")
-    b = bands_for(1)
-    # odd constants spread over 63 bits, one a band
-    masks = [((i + 1) * 0x9E3779B97F4A7C15) & 0x7FFFFFFFFFFFFFFF for i in range(b)]
+    bands = range(bands_for(1))
     t = once(templates, "words", _word_array(F.col("template"))).select("template_id", "license", F.array_distinct(_shingle_hashes(F.col("words"))).alias("t")).where(F.size("t") > 0)
-    t = t.withColumn("bands", F.array(*[_least(F.col("t"), m) for m in masks])).withColumn("n", F.size("t"))
+    t = t.select("*", F.array(*[_least(F.col("t"), i) for i in bands]).alias("bands"), F.array(*[_least_shingle(F.col("t"), i) for i in bands]).alias("least"), F.size("t").alias("n"))
     rows = [r.asDict() for r in t.collect()]  # bounded by the check above
     if not rows:
         return docs.where("false").select(id_col, F.lit(0).alias("template_id"), F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).alias("word_start"), F.lit(0).alias("word_end"))
-    least = sorted({v ^ m for r in rows for v, m in zip(r["bands"], masks, strict=True)})
+    least = sorted({h for r in rows for h in r["least"]})
     known = F.broadcast(spark.createDataFrame([(r["template_id"], r["license"], r["t"], r["bands"], r["n"]) for r in rows], "template_id int, license string, t array<bigint>, bands array<bigint>, n int"))
 
     hashed = once(once(docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")), "words", _word_array(F.col("_text"))).drop("_text"), "h", _shingle_hashes(F.col("words"))).drop("words")
@@ -107,7 +111,7 @@ def scan_licenses(docs: DataFrame, templates: DataFrame | None = None, containme
     held = once(near, "p", places).withColumn("n", F.explode(F.lit(lengths)))
     starts = F.array_distinct(F.flatten(F.transform("p", lambda i: F.array(F.floor(i / F.col("n")), F.greatest(F.floor(i / F.col("n")) - 1, F.lit(0).cast("long"))))))
     windows = held.withColumn("k", F.explode(starts)).withColumn("w", F.slice("h", (F.col("k") * F.col("n") + 1).cast("int"), 2 * F.col("n")))
-    signed = once(windows, "sig", F.array(*[_least(F.col("w"), m) for m in masks])).select("_id", "_row", "n", "k", "w", "sig")
+    signed = once(windows, "sig", F.array(*[_least(F.col("w"), i) for i in bands])).select("_id", "_row", "n", "k", "w", "sig")
     found = signed.join(known.withColumnRenamed("n", "tn"), (F.col("n") == F.col("tn")) & F.exists(F.zip_with("sig", "bands", lambda x, y: x == y), lambda x: x))
     hit = found.withColumn("in", F.size(F.array_intersect("w", "t"))).withColumn("containment", F.col("in") / F.col("n")).where(F.col("containment") >= containment)
     at = F.filter(F.transform("w", lambda h, i: F.when(F.array_contains("t", h), i)), lambda i: i.isNotNull())
