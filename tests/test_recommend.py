@@ -138,6 +138,25 @@ def test_k_core_is_a_fixpoint(spark):
     assert clean.k_core(df, 99, 99).count() == 0
 
 
+def test_propagation_covers_all_of_train(spark):
+    import __spark_entry__
+
+    ids = [(r["user_id"] * 10 + 1, r["item_id"] * 10 + 2) for r in Tables(spark, SF).train.collect()]
+    near, vec = {}, {}
+    for a, b in ids:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+        vec |= {x: [math.sin(x * k) for k in (1, 2, 3)] for x in (a, b)}
+    now, total = vec, {i: list(v) for i, v in vec.items()}
+    for _ in range(3):
+        now = {i: [sum(now[j][k] / math.sqrt(len(near[i]) * len(near[j])) for j in near[i]) for k in range(3)] for i in near}
+        for i, v in now.items():
+            total[i] = [x + y for x, y in zip(total[i], v)]
+    got = {r["id"]: r["v"] for r in __spark_entry__.queries()["j_propagation"](spark, SF).collect()}
+    assert max(a for a, _ in ids) > 501 and set(got) == set(total)
+    assert all(math.isclose(x, y / 4, abs_tol=1e-9) for i in got for x, y in zip(got[i], total[i], strict=True))
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "r.csv").write_text("user_id,item_id,rating,ts\nu,i,5.0,1\nv,j,3,2\n")
     df = src.read_ratings_csv(spark, {"books": str(tmp_path / "r.csv"), "toys": str(tmp_path / "r.csv")}, per_file=1)

@@ -57,10 +57,10 @@ def _(t: Tables) -> DataFrame:
 
 @query("j_propagation")
 def _(t: Tables) -> DataFrame:
-    edges = t.train.where("user_id <= 50").select((F.col("user_id") * 10 + 1).alias("a"), (F.col("item_id") * 10 + 2).alias("b"))
+    edges = t.train.select((F.col("user_id") * 10 + 1).alias("a"), (F.col("item_id") * 10 + 2).alias("b"))
     ids = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
     vec = ids.select("id", F.array(*[F.sin(F.col("id") * k) for k in (1, 2, 3)]).alias("v"))
-    return similarity.propagate(edges, vec, 2)
+    return similarity.propagate(edges, vec)
 
 
 # channels
