@@ -131,6 +131,27 @@ def test_negatives_are_legal_and_repeat(spark):
     assert neg.exceptAll(sampling.random_negatives(t.hist.repartition(9), t.hot, t.hist, 4)).count() == 0
 
 
+def test_weighted_negatives_cover_the_catalogue(spark):
+    """By popularity from all 3000 items; users who know nearly all of it still get what is left."""
+    n = 3000
+    hot = spark.range(1, n + 1).select(F.col("id").alias("item_id"), (F.floor(n / F.col("id")) + 1).alias("cnt"), F.col("id").cast("int").alias("hot_rank"))
+    ids = lambda lo, hi: spark.range(lo, hi).select(F.col("id").alias("item_id"))
+    known = ids(1, 2951).withColumn("user_id", F.lit(-1).cast("long")).unionByName(ids(3, 3001).withColumn("user_id", F.lit(-2).cast("long")))
+    records = known.select("user_id").unionByName(spark.range(500).select(F.col("id").alias("user_id")))
+    neg = sampling.weighted_negatives(records, hot, known, 4)
+    got = {}
+    for r in neg.collect():
+        got.setdefault(r["user_id"], {})[r["place"]] = r["item_id"]
+    assert len(got) == 502 and all(set(v) == {1, 2, 3, 4} and len(set(v.values())) == 4 for u, v in got.items() if u != -2)
+    assert set(got[-2].values()) == {1, 2} and all(i > 2950 for i in got[-1].values())
+    cnt = {r["item_id"]: r["cnt"] for r in hot.collect()}
+    for lo, hi in ((1, 10), (1001, 3000)):
+        share = sum(c for i, c in cnt.items() if lo <= i <= hi) / sum(cnt.values())
+        drawn = sum(lo <= v[1] <= hi for u, v in got.items() if u >= 0) / 500
+        assert abs(drawn - share) < 0.08
+    assert neg.exceptAll(sampling.weighted_negatives(records.repartition(9), hot.repartition(3, "cnt"), known, 4)).count() == 0
+
+
 def test_k_core_is_a_fixpoint(spark):
     df = log(spark, [(u, i, u + i) for u in range(6) for i in range(6) if (u + i) % 5])
     core = clean.k_core(df, 4, 4)

@@ -11,8 +11,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .channels import by_ranks
-
 
 def uniform(seed: int, *cols: str) -> Column:
     """A number in (0, 1) by hash."""
@@ -47,12 +45,30 @@ def mixed_negatives(pool: DataFrame, fallback: DataFrame, known: DataFrame, k: i
     return all_.select("user_id", "item_id", F.col("at.tier").alias("tier"), "place")
 
 
-def weighted_negatives(records: DataFrame, hot: DataFrame, known: DataFrame, k: int, top: int = 1000, seed: int = 0) -> DataFrame:
-    """``k`` items by popularity without replacement, the largest u ** (1 / weight), among the ``top`` and what a user knows."""
-    n = records.groupBy("user_id").agg(F.count("*").alias("n"))
-    cand = by_ranks(n, F.lit(top), hot, "hot_rank").join(known.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
-    w = Window.partitionBy("user_id").orderBy(-F.ln(uniform(seed, "user_id", "item_id")) / F.col("cnt"), "item_id")
-    return cand.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("user_id", "item_id", "place")
+def weighted_negatives(records: DataFrame, hot: DataFrame, known: DataFrame, k: int, seed: int = 0) -> DataFrame:
+    """``k`` distinct items a user that are not known, drawn one after the other by popularity from all of ``hot``: ``user_id, item_id, place``.
+
+    A draw is a hashed place among all counted events, so an equal join finds its item, and repeated or known items are drawn
+    again.  A user who lacks items after all draws gets the rest from the whole catalogue in the order of -ln(u) / count,
+    which continues the same drawing.  Only a user with fewer than ``k`` unknown items of positive count has fewer.
+    """
+    items = hot.where("cnt > 0").select("item_id", "cnt", "hot_rank", F.floor(F.col("hot_rank") / 4096).alias("block"))
+    sums = items.groupBy("block").agg(F.sum("cnt").alias("s"))
+    before = sums.withColumn("before", F.sum("s").over(Window.orderBy("block")) - F.col("s")).select("block", "before")
+    end = F.col("before") + F.sum("cnt").over(Window.partitionBy("block").orderBy("hot_rank"))
+    events = items.join(F.broadcast(before), "block").withColumn("end", end).select("item_id", F.explode(F.sequence(F.col("end") - F.col("cnt"), F.col("end") - 1)).alias("at"))
+    users = records.select("user_id").distinct()
+    known = known.select("user_id", "item_id").distinct()
+    draws = users.crossJoin(F.broadcast(sums.agg(F.sum("s").alias("total")))).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(4 * k + 16))))
+    draws = draws.withColumn("at", F.pmod(F.xxhash64(F.lit(seed), "user_id", "draw"), F.col("total")))
+    first = draws.join(events, "at").groupBy("user_id", "item_id").agg(F.min("draw").alias("draw")).join(known, ["user_id", "item_id"], "left_anti")
+    w = Window.partitionBy("user_id").orderBy("draw")
+    drawn = first.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("user_id", "item_id", "place")
+    short = users.join(drawn.groupBy("user_id").agg(F.count("*").alias("got")), "user_id", "left").na.fill(0).where(F.col("got") < k)
+    rest = short.crossJoin(items.select("item_id", "cnt")).join(known.unionByName(drawn.select("user_id", "item_id")), ["user_id", "item_id"], "left_anti")
+    o = Window.partitionBy("user_id").orderBy(-F.ln(uniform(seed + 1, "user_id", "item_id")) / F.col("cnt"), "item_id")
+    rest = rest.withColumn("place", F.col("got").cast("int") + F.row_number().over(o)).where(F.col("place") <= k)
+    return drawn.unionByName(rest.select("user_id", "item_id", "place"))
 
 
 def cf_negatives(hist: DataFrame, sim: DataFrame, known: DataFrame, k: int, seed: int = 0) -> DataFrame:

@@ -176,7 +176,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("n_weighted_negatives")
 def _(t: Tables) -> DataFrame:
-    return sampling.weighted_negatives(t.hist, t.hot, t.hist, 4, top=200)
+    return sampling.weighted_negatives(t.hist, t.hot, t.hist, 4)
 
 
 @query("n_negative_audit", "SELECT 0::BIGINT AS repeated, 0::BIGINT AS known, 0::BIGINT AS outside")
