@@ -12,9 +12,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
+#: Places of chains worked on together.
+PLACES = 1 << 17
 
-def _messages(e0: np.ndarray, e1: np.ndarray, a: np.ndarray, first: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
-    """Normalised forward messages of chains ``first[c]:first[c+1]`` with emissions e and transitions ``a``."""
+
+def _messages(e0: np.ndarray, e1: np.ndarray, a: np.ndarray, first: np.ndarray, block: int, enter: tuple[float, float] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Normalised forward messages of chains ``first[c]:first[c+1]`` with emissions e and transitions ``a``.
+
+    ``enter``: the first chain goes on from a place with this message.
+    """
     n = len(e0)
     count = np.diff(first)
     blocks = -(-count // block)
@@ -28,6 +34,9 @@ def _messages(e0: np.ndarray, e1: np.ndarray, a: np.ndarray, first: np.ndarray,
     opens = np.zeros(total, bool)
     opens[base[:-1][blocks > 0]] = True
     v0, v1 = np.ones(total), np.ones(total)
+    if enter is not None:
+        opens[0] = False
+        v0[0], v1[0] = enter
     if blocks.max(initial=0) > 1:
         p00, p01, p10, p11 = np.ones(total), np.zeros(total), np.zeros(total), np.ones(total)
         for s in range(block):
@@ -41,6 +50,8 @@ def _messages(e0: np.ndarray, e1: np.ndarray, a: np.ndarray, first: np.ndarray,
         order = np.argsort(-blocks, kind="stable")
         longest = -blocks[order]
         w0, w1 = np.ones(len(order)), np.ones(len(order))
+        if enter is not None:
+            w0[order == 0], w1[order == 0] = enter
         for j in range(int(blocks.max()) - 1):
             live = int(np.searchsorted(longest, -(j + 1), "left"))  # chains with a block after j
             at = base[:-1][order[:live]] + j
@@ -60,23 +71,62 @@ def _messages(e0: np.ndarray, e1: np.ndarray, a: np.ndarray, first: np.ndarray,
     return m0[row, col], m1[row, col]
 
 
+def _groups(first: np.ndarray, limit: int) -> list[tuple[int, int]]:
+    """Ranges of whole chains of about ``limit`` places; a longer chain is a range of its own."""
+    out, lo = [], 0
+    while lo < len(first) - 1:
+        hi = max(lo + 1, int(np.searchsorted(first, first[lo] + limit, "right")) - 1)
+        out.append((lo, hi))
+        lo = hi
+    return out
+
+
+def _long(e0: np.ndarray, e1: np.ndarray, a: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """Forward messages of one chain, part after part."""
+    n, enter = len(e0), None
+    out = np.empty(n), np.empty(n)
+    for lo in range(0, n, PLACES):
+        hi = min(n, lo + PLACES)
+        out[0][lo:hi], out[1][lo:hi] = _messages(e0[lo:hi], e1[lo:hi], a, np.array([0, hi - lo]), block, enter)
+        enter = float(out[0][hi - 1]), float(out[1][hi - 1])
+    return out
+
+
 def marginals(unary: np.ndarray, trans: np.ndarray, first: np.ndarray, block: int = 32) -> tuple[np.ndarray, np.ndarray]:
-    """P(state 1) of every place, and the expected transitions (2 x 2) summed over all chains."""
+    """P(state 1) of every place, and the expected transitions (2 x 2) summed over all chains.
+
+    Chains are worked on in groups of about ``PLACES`` places and a longer one in parts, which bounds what is held beside the result.
+    """
+    p, total = np.zeros(len(unary)), np.zeros((2, 2))
+    a = np.exp(trans - trans.max())
+    for lo, hi in _groups(first, PLACES):
+        at, to = first[lo], first[hi]
+        p[at:to], joint = _marginals(unary[at:to], a, first[lo : hi + 1] - at, block)
+        total += joint
+    return p, total
+
+
+def _marginals(unary: np.ndarray, a: np.ndarray, first: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(unary)
     if not n:
         return np.zeros(0), np.zeros((2, 2))
     e1 = 1 / (1 + np.exp(-np.clip(unary, -30, 30)))
     e0 = 1 - e1
-    a = np.exp(trans - trans.max())
-    f0, f1 = _messages(e0, e1, a, first, block)
-    turned = n - first[::-1]
-    b0, b1 = (x[::-1] for x in _messages(e0[::-1], e1[::-1], a.T, turned, block))
+    if n > PLACES:
+        f0, f1 = _long(e0, e1, a, block)
+        b0, b1 = (x[::-1] for x in _long(e0[::-1], e1[::-1], a.T, block))
+    else:
+        f0, f1 = _messages(e0, e1, a, first, block)
+        b0, b1 = (x[::-1] for x in _messages(e0[::-1], e1[::-1], a.T, n - first[::-1], block))
     p0, p1 = f0 * b0 / e0, f1 * b1 / e1
     inner = np.ones(n, bool)
     inner[first[:-1][np.diff(first) > 0]] = False
     t = np.flatnonzero(inner)
-    joint = np.stack([f0[t - 1] * a[0, 0] * b0[t], f0[t - 1] * a[0, 1] * b1[t], f1[t - 1] * a[1, 0] * b0[t], f1[t - 1] * a[1, 1] * b1[t]])
-    joint = (joint / joint.sum(axis=0)).sum(axis=1).reshape(2, 2) if len(t) else np.zeros((2, 2))
+    joint = np.zeros((2, 2))
+    for lo in range(0, len(t), PLACES):
+        u = t[lo : lo + PLACES]
+        one = np.stack([f0[u - 1] * a[0, 0] * b0[u], f0[u - 1] * a[0, 1] * b1[u], f1[u - 1] * a[1, 0] * b0[u], f1[u - 1] * a[1, 1] * b1[u]])
+        joint += (one / one.sum(axis=0)).sum(axis=1).reshape(2, 2)
     return p1 / (p0 + p1), joint
 
 

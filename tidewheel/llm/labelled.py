@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .words import Words, mix, shingles
+from .words import Words, batches, mix, shingles
 
 #: Labelled documents of either class on which a classifier is fitted, at most: those with the least hashes of their ids.
 SAMPLE_PER_CLASS = 1400
 #: Documents with more characters are scored like any other but not trained on, so that the sample fits the driver.
 SAMPLE_MAX_CHARS = 20_000
+#: Bytes of text of either class, at most: the driver holds twice this and small multiples of ``CHUNK_BYTES``.
+SAMPLE_BYTES = 4_000_000
+#: Bytes of text that a fit looks at together.
+CHUNK_BYTES = 250_000
 
 
 def remainder(id_col: str, mod: int) -> Column:
@@ -20,35 +27,42 @@ def remainder(id_col: str, mod: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % mod
 
 
+def chunks(texts: pa.Array) -> Iterator[pa.Array]:
+    """``texts`` in pieces of about ``CHUNK_BYTES``."""
+    for b in batches(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]), "text", CHUNK_BYTES):
+        yield b.column(0)
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, use: Column, id_col: str = "doc_id", text: str = "text", per_class: int = SAMPLE_PER_CLASS) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Texts, 0/1 labels and weights of at most ``per_class`` documents of each class for which ``use`` holds, in the order of the ids' hashes.
+    """Texts, 0/1 labels and weights of at most ``per_class`` documents of each class for which ``use`` holds, in the order of class and id.
 
-    The ids are picked from ``labels`` and broadcast (their number is bounded), so the texts are read without a shuffle.
+    Which documents: those with the least hashes of their ids, as far as ``SAMPLE_BYTES`` of text go. The ids are picked from ``labels`` and
+    broadcast (their number is bounded), so the texts are read without a shuffle. An id with several labels counts with each.
     The weights restore the classes' shares among all labelled rows in use. Near copies are thinned: of documents that agree in one of three MinHash values of their shingles, the first stays.
     """
     seen = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1) & use).select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y")).distinct()
     some = [seen.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_class) for y in (0, 1)]
     ids = some[0].union(some[1])
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("text")).where(F.length("text") <= SAMPLE_MAX_CHARS)
-    got = rows.join(F.broadcast(ids), "_id").select("_id", "text", "_y").toArrow()
+    by = Window.partitionBy("_y").orderBy(F.xxhash64("_id"), "_id", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = rows.join(F.broadcast(ids), "_id").withColumn("_bytes", F.sum(F.octet_length("text")).over(by)).where(F.col("_bytes") <= SAMPLE_BYTES)
+    got = near.select("_id", "text", "_y").toArrow()
     if not got.num_rows:
         return pa.array([], pa.string()), np.zeros(0), np.zeros(0)
-    order = np.lexsort((got.column("_y").to_numpy(), got.column("_id").to_numpy() if got.column("_id").type != pa.string() else np.array(got.column("_id").to_pylist())))
-    got = got.take(pa.array(order)).combine_chunks()
-    texts = got.column("text").combine_chunks() if isinstance(got.column("text"), pa.ChunkedArray) else got.column("text")
-    h, doc = shingles(Words(texts), 5)
-    keep = np.ones(len(texts), bool)
-    if len(h):
-        at = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-        least = [np.minimum.reduceat(mix(h, 31 + k), at) for k in range(3)]
-        y = got.column("_y").to_numpy()[doc[at]]
-        met: set = set()
-        for i, d in enumerate(doc[at].tolist()):
-            mine = {(k, int(least[k][i]), int(y[i])) for k in range(3)}
-            keep[d] = not (mine & met)
+    order = pc.sort_indices(got, sort_keys=[("_y", "ascending"), ("_id", "ascending"), ("text", "ascending")])
+    texts, y = got.column("text").take(order).combine_chunks(), got.column("_y").take(order).to_numpy()
+    del got
+    keep, met, d = np.ones(len(y), bool), set(), 0
+    for part in chunks(texts):
+        h, doc = shingles(Words(part), 5)
+        at = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(h) else []
+        least = [np.minimum.reduceat(mix(h, 31 + k), at) for k in range(3)] if len(h) else []
+        for i, w in enumerate(doc[at].tolist() if len(h) else []):
+            mine = {(k, int(least[k][i]), int(y[d + w])) for k in range(3)}
+            keep[d + w] = not (mine & met)
             met |= mine
-    kept = pa.array(np.flatnonzero(keep))
-    y = got.column("_y").to_numpy()[keep].astype(np.float64)
+        d += len(part)
+    y = y[keep].astype(np.float64)
     count = {r["_y"]: r["n"] for r in seen.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     share = np.array([count.get(k, 0) / max(1, (y == k).sum()) for k in (0, 1)])
-    return texts.take(kept), y, share[y.astype(int)] / max(share.max(), 1e-9)
+    return texts.take(pa.array(np.flatnonzero(keep))), y, share[y.astype(int)] / max(share.max(), 1e-9)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
 from . import crf
-from .labelled import sample
+from .labelled import chunks, sample
 from .words import Rolling, Words, batches, mix
 
 _BLOCK = 8
@@ -141,7 +141,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, use: Column, label: str = "q
     if not len(y) or y.min() == y.max():
         k = line_features(pa.array([""]))[0].shape[1]
         return QualityModel(np.zeros(k), np.ones(k), np.zeros(3 * k + 3), np.zeros((2, 2)), np.array([0.0, np.log(prior / (1 - prior))]), prior)
-    x, size, first = line_features(texts)
+    parts = [line_features(t) for t in chunks(texts)]
+    del texts
+    x, size = np.concatenate([x for x, _, _ in parts]), np.concatenate([s for _, s, _ in parts])
+    first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(f) for _, _, f in parts]))])
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     z = _with_neighbours((x - mean) / scale, first)
     lines_y = np.repeat(y, np.diff(first))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
 from . import crf
-from .labelled import sample
+from .labelled import chunks, sample
 from .words import PUNCT, Words, batches
 
 _BLOCK = 32
@@ -21,7 +21,7 @@ _STEMS = (4, 5, 6, 7)
 
 def _hashes(w: Words) -> list[np.ndarray]:
     """Word and stems, in hash spaces of their own."""
-    return [w.hash, *(w.prefix(k) ^ np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) for k in _STEMS)]
+    return [w.hash, *(h ^ np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) for k, h in zip(_STEMS, w.prefixes(_STEMS), strict=True))]
 
 
 @dataclass
@@ -77,6 +77,39 @@ def _summary(w: Words, p: np.ndarray) -> np.ndarray:
     return np.stack([np.log(s + 1e-3), 1 - np.exp(-s) * (1 + s), np.log((s + 1e-3) / (np.diff(w.first) + 10))], axis=1)
 
 
+@dataclass
+class _Sample:
+    """Words of the training texts as numbers of distinct words, whose hashes are kept once."""
+
+    hashes: np.ndarray  # word and stems x distinct words
+    word: np.ndarray  # distinct word of each place
+    first: np.ndarray  # places first[d]:first[d+1] are text d's
+
+    @classmethod
+    def of(cls, texts: pa.Array) -> _Sample:
+        tables, codes, counts, base = [], [], [], 0
+        for part in chunks(texts):
+            w = Words(part, PUNCT, lower=True)
+            _, at, code = np.unique(w.hash, return_index=True, return_inverse=True)
+            tables.append(np.stack([h[at] for h in _hashes(w)]))
+            codes.append(code.astype(np.int32) + np.int32(base))
+            counts.append(np.diff(w.first))
+            base += len(at)
+        if not tables:
+            return cls(np.zeros((1 + len(_STEMS), 0), np.uint64), np.zeros(0, np.int32), np.zeros(1, np.int64))
+        all_, word = np.concatenate(tables, axis=1), np.concatenate(codes)
+        _, at, code = np.unique(all_[0], return_index=True, return_inverse=True)
+        return cls(all_[:, at], code.astype(np.int32)[word], np.concatenate([[0], np.cumsum(np.concatenate(counts))]))
+
+    def docs(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.first) - 1, dtype=np.int32), np.diff(self.first))
+
+    def only(self, keep: np.ndarray) -> _Sample:
+        """The texts of the mask ``keep``."""
+        count = np.diff(self.first)
+        return _Sample(self.hashes, self.word[np.repeat(keep, count)], np.concatenate([[0], np.cumsum(count[keep])]))
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, use: Column, label: str = "toxic", id_col: str = "doc_id", text: str = "text") -> ToxicityModel:
     """Fit on the bounded sample of :mod:`labelled`.
 
@@ -88,60 +121,59 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, use: Column, label: str = "
     none = ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), np.zeros(0), -10.0, np.zeros((2, 2)), np.array([0.0, 0.0, 0.0, -4.0]))
     if not len(y) or y.min() == y.max():
         return none
-    w = Words(texts, PUNCT, lower=True)
-    doc, hashes = w.doc(), _hashes(w)
-    toxic = y[doc] > 0
-    keys, count = [], []
-    for h in hashes:
-        pair = np.unique(np.stack([h, doc.astype(np.uint64)]), axis=1) if len(h) < 1000 else _distinct(h, doc)
-        k, inverse = np.unique(pair[0], return_inverse=True)
-        keys.append(k)
-        count.append(np.stack([np.bincount(inverse, y[pair[1].astype(np.int64)], len(k)), np.bincount(inverse, 1 - y[pair[1].astype(np.int64)], len(k))], axis=1))
+    s = _Sample.of(texts)
+    doc = s.docs()
     n1, n0 = y.sum(), len(y) - y.sum()
     enough = max(2.0, 0.015 * n1)
-    odds = [np.log((c[:, 0] + 0.5) / (n1 + 1)) - np.log((c[:, 1] + 0.5) / (n0 + 1)) for c in count]
-    sure = [np.sort(k[(o >= np.log(30)) & (c[:, 0] >= enough)]) for k, o, c in zip(keys, odds, count, strict=True)]
-    label_of = np.zeros(len(doc), bool)
-    for h, s in zip(hashes, sure, strict=True):
-        label_of |= np.isin(h, s)
-    label_of &= toxic
+    toxic_word, known = np.zeros(s.hashes.shape[1], bool), []
+    for h in s.hashes:
+        keys, code = np.unique(h, return_inverse=True)
+        pair = np.unique(code.astype(np.int64)[s.word] * len(y) + doc)  # a document counts once for a word
+        key, label_ = pair // len(y), y[pair % len(y)]
+        c1, c0 = np.bincount(key, label_, len(keys)), np.bincount(key, 1 - label_, len(keys))
+        odds = np.log((c1 + 0.5) / (n1 + 1)) - np.log((c0 + 0.5) / (n0 + 1))
+        toxic_word |= ((odds >= np.log(30)) & (c1 >= enough))[code]
+        known.append(keys[(c1 >= enough) | (c1 + c0 >= max(5, 0.02 * len(y)))])
+    label_of = toxic_word[s.word] & (y[doc] > 0)
     if not label_of.any():
         return none
-    vocabulary = np.unique(np.concatenate([k[(c[:, 0] >= enough) | (c.sum(axis=1) >= max(5, 0.02 * len(y)))] for k, c in zip(keys, count, strict=True)]))
+    vocabulary = np.unique(np.concatenate(known))
     model = ToxicityModel(vocabulary, np.zeros(len(vocabulary)), np.zeros(len(vocabulary)), np.zeros(len(vocabulary)), 0.0, np.zeros((2, 2)), np.zeros(4))
-    tagged = np.bincount(doc, label_of, len(y)) > 0
-    teach = Words(texts.take(pa.array(np.flatnonzero(tagged | (y == 0)))), PUNCT, lower=True)
-    label_of = label_of[(tagged | (y == 0))[doc]].astype(float)
-    del w, doc, toxic, hashes, keys, count, odds
-    found = [model.find(h) for h in _hashes(teach)]
-    near = [_shift(found[0], teach, by, len(vocabulary)) for by in (1, -1)]
-    size = len(vocabulary) + 1
+    teach = (np.bincount(doc, label_of, len(y)) > 0) | (y == 0)
+    label_of = label_of[teach[doc]].astype(np.float32)
+    t = s.only(teach)
+    found = [model.find(h) for h in s.hashes]  # of distinct words
+    inner = np.ones(len(t.word), bool)
+    inner[t.first[:-1][np.diff(t.first) > 0]] = False
+    later = np.flatnonzero(inner)  # places with a word before
+    size, n_words = len(vocabulary) + 1, s.hashes.shape[1]
     params = {"own": np.zeros(size), "before": np.zeros(size), "after": np.zeros(size), "bias": np.array([-3.0]), "trans": np.zeros((2, 2))}
 
     def unary(q: dict) -> np.ndarray:
-        return q["bias"] + sum(q["own"][f] for f in found) + q["before"][near[0]] + q["after"][near[1]]
+        out = (q["bias"] + sum(q["own"][f] for f in found))[t.word]
+        out[later] += q["before"][found[0]][t.word[later - 1]]
+        out[later - 1] += q["after"][found[0]][t.word[later]]
+        return out
 
     def pull(g: np.ndarray) -> dict:
-        out = {"own": sum(np.bincount(f, g, size) for f in found), "before": np.bincount(near[0], g, size), "after": np.bincount(near[1], g, size), "bias": np.array([g.sum()])}
+        own = np.bincount(t.word, g, n_words)
+        before, after = np.bincount(t.word[later - 1], g[later], n_words), np.bincount(t.word[later], g[later - 1], n_words)
+        out = {"own": sum(np.bincount(f, own, size) for f in found), "before": np.bincount(found[0], before, size), "after": np.bincount(found[0], after, size), "bias": np.array([g.sum()])}
         for k in ("own", "before", "after"):
             out[k][-1] = 0  # unknown words weigh nothing
         return out
 
-    crf.train(unary, pull, params, label_of, teach.first, steps=40, rate=0.3, l2=0.05, block=_BLOCK)
+    crf.train(unary, pull, params, label_of, t.first, steps=40, rate=0.3, l2=0.05, block=_BLOCK)
     model = ToxicityModel(vocabulary, params["own"][:-1], params["before"][:-1], params["after"][:-1], float(params["bias"][0]), params["trans"], np.zeros(2))
-    del found, near, teach
-    w = Words(texts, PUNCT, lower=True)
-    model.link = crf.calibrate(_summary(w, model.words(w)), y, weight)
+    del found, t, later, inner, s, doc
+    summary = []
+    for part in chunks(texts):
+        w = Words(part, PUNCT, lower=True)
+        summary.append(_summary(w, model.words(w)))
+    model.link = crf.calibrate(np.concatenate(summary), y, weight)
     return model
 
 
-def _distinct(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    order = np.lexsort((doc, h))
-    a, b = h[order], doc[order]
-    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-    return np.stack([a[new], b[new].astype(np.uint64)])
-
-
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
     """``docs`` with ``score``, 0 to 1, and ``spans``: character offsets ``start, end`` (exclusive) of runs of words tagged toxic.
 

@@ -2,12 +2,13 @@
 
 A batch of texts is one byte buffer.  Words are found, hashed to 64 bits and counted with array
 operations over that buffer, so the cost per word is a few dozen nanoseconds and memory is bounded
-by the size of a batch (``batches`` cuts what Spark hands over into pieces of about ``BATCH_BYTES``).
+by the size of a batch (``batches`` cuts what Spark hands over into pieces of about ``BATCH_BYTES``;
+a longer text is a batch of its own).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -15,6 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BATCH_BYTES = 1_000_000
+#: Bytes of a batch that are looked at together.
+SEGMENT = 1 << 20
 _P, _Q = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -58,7 +61,11 @@ class Rolling:
 
 
 class Words:
-    """Words of a text column: ``start``/``end`` byte positions, ``hash``, and ``first[d]:first[d+1]`` per text."""
+    """Words of a text column: ``start``/``end`` byte positions, ``hash``, and ``first[d]:first[d+1]`` per text.
+
+    The bytes are read in segments of ``SEGMENT``, so what is held beside the texts is three numbers a word; a word that
+    crosses segments has its hash put together from its parts.
+    """
 
     def __init__(self, texts: pa.Array, separators: np.ndarray = SPACE, lower: bool = False):
         texts = pc.fill_null(texts, "")
@@ -69,23 +76,49 @@ class Words:
         self.bytes = raw[self.at[0] : self.at[-1]]
         self.at = self.at - self.at[0]
         self.n_docs = len(texts)
-        n = len(self.bytes)
-        inside = ~separators[self.bytes]
-        edge = np.zeros(n + 1, bool)
-        edge[self.at] = True
-        before = np.zeros(n, bool)
-        before[1:] = inside[:-1]
-        after = np.zeros(n, bool)
-        after[:-1] = inside[1:]
-        self.start = np.flatnonzero(inside & (~before | edge[:-1]))
-        self.end = np.flatnonzero(inside & (~after | edge[1:])) + 1
-        self._roll = Rolling((LOWER[self.bytes] if lower else self.bytes).astype(np.uint64) + np.uint64(1), _P)
-        self.hash = mix(self._roll.of(self.start, self.end) + (self.end - self.start).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+        self._table = LOWER if lower else np.arange(256, dtype=np.uint8)
+        starts, ends, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        open_at, open_sum = -1, 0  # a word begun in an earlier segment, and its sum so far
+        for lo in range(0, len(self.bytes), SEGMENT):
+            hi = min(lo + SEGMENT, len(self.bytes))
+            start, end, sums, open_at, open_sum = self._segment(lo, hi, separators, open_at, open_sum)
+            starts.append(start)
+            ends.append(end)
+            hashes.append(sums)
+        self.start, self.end = np.concatenate(starts), np.concatenate(ends)
+        self.hash = mix(np.concatenate(hashes) + (self.end - self.start).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
         self.first = np.searchsorted(self.start, self.at)
 
-    def prefix(self, length: int) -> np.ndarray:
-        """Hash of the first ``length`` bytes of each word (of the whole word, if shorter)."""
-        return mix(self._roll.of(self.start, np.minimum(self.end, self.start + length)), length)
+    def _segment(self, lo: int, hi: int, separators: np.ndarray, open_at: int, open_sum: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
+        """Words that end between ``lo`` and ``hi``, their polynomial sums, and the word still open at ``hi``."""
+        part = self.bytes[lo:hi]
+        inside = ~separators[part]
+        edge = np.zeros(hi - lo + 1, bool)  # texts begin or end here
+        edge[self.at[np.searchsorted(self.at, lo) : np.searchsorted(self.at, hi, "right")] - lo] = True
+        opens, closes = inside.copy(), inside.copy()
+        opens[1:] &= ~inside[:-1] | edge[1:-1]
+        closes[:-1] &= ~inside[1:] | edge[1:-1]
+        start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+        sums = Rolling(self._table[part].astype(np.uint64) + np.uint64(1), _P).of(start, end)
+        start, end = start + lo, end + lo
+        if open_at >= 0:  # the first piece is the rest of the open word
+            sums[0] = np.uint64((open_sum + int(sums[0]) * pow(_P, lo - open_at, 1 << 64)) % (1 << 64))
+            start[0] = open_at
+        if hi < len(self.bytes) and inside[-1] and not edge[-1] and not separators[self.bytes[hi]]:
+            return start[:-1], end[:-1], sums[:-1], int(start[-1]), int(sums[-1])
+        return start, end, sums, -1, 0
+
+    def prefixes(self, lengths: Sequence[int]) -> list[np.ndarray]:
+        """Hashes of the first bytes of each word, for each of the ascending ``lengths`` (of the whole word, if shorter)."""
+        out, total, power = [], np.zeros(len(self.start), np.uint64), 1
+        room = self.end - self.start
+        for k in range(max(lengths)):
+            values = (self._table.astype(np.uint64) + np.uint64(1)) * np.uint64(power)
+            total += values[self.bytes[np.minimum(self.start + k, len(self.bytes) - 1)]] * (room > k) if len(room) else total
+            power = power * _P % (1 << 64)
+            if k + 1 in lengths:
+                out.append(mix(total, k + 1))
+        return out
 
     def doc(self) -> np.ndarray:
         """The text's number, for each word."""
