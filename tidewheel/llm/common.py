@@ -44,6 +44,12 @@ def spread(rows: int, per_block: int) -> int:
     return max(1, -(-int(rows) // per_block))
 
 
+def fed(df: DataFrame) -> DataFrame:
+    """``df``, dealt out anew if its scan has fewer than half as many parts as the cluster has cores (a small file in one piece)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 < cores else df
+
+
 def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """``df`` with ``value`` as a column that the optimizer computes once a row.
 

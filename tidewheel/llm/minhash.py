@@ -8,11 +8,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
-from .words import Words, batches, mix, shingles
+from .common import connected_components, fed, materialize, salted
+from .words import BATCH_BYTES, Words, batches, mix, shingles
 
 
 @dataclass(frozen=True)
@@ -32,14 +33,17 @@ class Settings:
     rows: int = 4
     features: int = 1 << 20
     idf: float = 0.25
-    hubs: tuple[int, ...] = (1, 4, 16, 64)
 
 
 DEFAULT = Settings()
 _FEATURE_BLOCKS = 256
-#: Classes of shingles whose total weights bound a pair's similarity from above.
-_CLASSES = 64
 _DRAWS = 1 << 16
+#: Members verified against their hub, and members in a block of a bucket, by one task.
+STAR_ROWS, BLOCK_ROWS = 256, 512
+#: Bytes of text in either.
+BLOCK_BYTES = 16_000_000
+#: Columns of a block's table of shingles that are multiplied out together.
+COLUMNS = 2048
 
 
 @lru_cache(maxsize=2)
@@ -69,6 +73,9 @@ def sample_bands(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, s: Settings
 
     Improved consistent weighted sampling: with draws r, c ~ Gamma(2, 1), b ~ U(0, 1) of the shingle,
     t = floor(ln w / r + b), ln y = r (t - b), and the sample is the shingle (with t) of least ln c - ln y - r.
+
+    A shingle picks its draws from a table of 2^16 by a hash of the sample. In texts of more shingles than that many share
+    draws and weights and are equal; of them the least by the other bits of that hash is taken, so each is as likely.
     """
     first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
     count = np.diff(np.append(first, len(doc)))
@@ -80,13 +87,16 @@ def sample_bands(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, s: Settings
         total = np.zeros(len(first), np.uint64)
         for row in range(s.rows):
             odd = np.uint64((int(mix(np.array([band * s.rows + row + 1], np.uint64))[0])) | 1)
-            pick = (((h ^ (h >> np.uint64(29))) * odd) >> np.uint64(48)).astype(np.int32)
+            z = (h ^ (h >> np.uint64(29))) * odd
+            pick = (z >> np.uint64(48)).astype(np.int32)
             b, step = beta[pick], r[pick]
             t = np.floor(ln_w * inverse[pick] + b)
             a = base[pick] - step * (t - b)
             least = np.flatnonzero(a == np.minimum.reduceat(a, first)[group])
-            # the first of equals; shingles are in order of their hash
-            one = least[np.append(True, np.diff(group[least]) > 0)]
+            if len(least) > len(first):  # equals: the order of the rest of their hash
+                least = least[np.lexsort((z[least], group[least]))]
+                least = least[np.append(True, np.diff(group[least]) > 0)]
+            one = least
             total = mix(total ^ mix(h[one] + t[one].astype(np.int64).view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F), row + 1), 5)
         out[:, band] = mix(total, band + 100)
     return doc[first], out
@@ -146,24 +156,100 @@ def pair_similarity(a: pa.Array, b: pa.Array, s: Settings, idf: np.ndarray) -> n
     return np.divide(both, totals - both, out=np.zeros(n), where=totals > 0)
 
 
+def _linked(overlap: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether overlaps give a weighted Jaccard of ``threshold``, for total weights ``x`` by ``y``; no words link with nothing."""
+    return (overlap >= threshold * (x + y - overlap)) & (overlap > 0)
+
+
+def star_links(texts: pa.Array, s: Settings, idf: np.ndarray) -> np.ndarray:
+    """Which texts are linked with the first."""
+    doc, h, w = weighted_shingles(texts, s.size, idf)
+    w = w.astype(np.float64)
+    total = np.bincount(doc, w, len(texts))
+    first = doc == 0
+    at = np.searchsorted(h[first], h)
+    there = at < first.sum()
+    there[there] = h[first][at[there]] == h[there]
+    overlap = np.bincount(doc[there], np.minimum(w[there], w[first][at[there]]), len(texts))
+    return _linked(overlap, total, total[0], s.threshold)
+
+
+def block_links(texts: pa.Array, left: np.ndarray, right: np.ndarray, part: np.ndarray, s: Settings, idf: np.ndarray) -> np.ndarray:
+    """For each text, the number of the least text that links connect it to, over all pairs of ``left`` x ``right`` (masks).
+
+    Weights of a shingle differ by its count only, so a pair's overlap is the product of its rows in a table of
+    (shingle, nth occurrence) columns. Only columns that both sides have matter, and rows whose weight in them can
+    still reach the threshold. The table is multiplied out in slices of ``COLUMNS``, so memory follows the block.
+    """
+    doc, h, w = weighted_shingles(texts, s.size, idf)
+    w = w.astype(np.float64)
+    n = len(texts)
+    total = np.bincount(doc, w, n)
+    unit = idf[(h & np.uint64(len(idf) - 1)).astype(np.int64)].astype(np.float64)
+    count = np.rint(w / unit).astype(np.int64)
+    each = np.repeat(np.arange(len(h)), count)  # one entry an occurrence
+    nth = np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
+    row, unit = doc[each], unit[each]
+    _, col = np.unique(mix(h[each] + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 7), return_inverse=True)
+    least = np.arange(n)
+    while True:  # leave out columns of one text, then rows that can't reach the threshold by what is left
+        shared = (np.bincount(col) > 1)[col]
+        row, col, unit = row[shared], col[shared], unit[shared]
+        able = np.bincount(row, unit, n) >= s.threshold * total * (1 - 1e-12)
+        if able[row].all():
+            break
+        keep = able[row]
+        row, col, unit = row[keep], col[keep], unit[keep]
+        if not len(row):
+            return least
+    if not len(row):
+        return least
+    _, col = np.unique(col, return_inverse=True)
+    x, y = np.flatnonzero(able & left), np.flatnonzero(able & right)
+    place_x, place_y = np.full(n, -1), np.full(n, -1)
+    place_x[x], place_y[y] = np.arange(len(x)), np.arange(len(y))
+    overlap = np.zeros((len(x), len(y)))
+    order = np.argsort(col, kind="stable")
+    row, col, unit = row[order], col[order], unit[order]
+    for lo in range(0, int(col[-1]) + 1, COLUMNS):
+        some = slice(np.searchsorted(col, lo), np.searchsorted(col, lo + COLUMNS))
+        r, c, u = row[some], col[some] - lo, unit[some]
+        a, b = np.zeros((len(x), COLUMNS)), np.zeros((len(y), COLUMNS))
+        ax, by = place_x[r] >= 0, place_y[r] >= 0
+        a[place_x[r[ax]], c[ax]] = u[ax]
+        b[place_y[r[by]], c[by]] = 1
+        overlap += a @ b.T
+    hit = _linked(overlap, total[x][:, None], total[y][None, :], s.threshold) & (x[:, None] != y[None, :]) & (part[x][:, None] != part[y][None, :])
+    i, j = np.nonzero(hit)
+    while True:
+        new = least.copy()
+        np.minimum.at(new, x[i], least[y[j]])
+        np.minimum.at(new, y[j], new[x[i]])
+        if (new == least).all():
+            return least
+        least = new
+
+
 def near_duplicates(docs: DataFrame, settings: Settings = DEFAULT, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: ``id_col, class_id, class_size, kept``.
 
     A class is what links of weighted Jaccard similarity >= ``threshold`` over TF-IDF shingles of ``size`` words connect;
     ``class_id`` is its smallest id and ``kept`` marks that document. Equal texts are one node from the start. Nodes that agree
-    in a band meet in its bucket. There each is verified against one node picked by hash, others in each band and round, which
-    grows with the bucket, not its square. Rounds go on with more such hubs (``hubs``), but only where a bucket is still in
-    several classes and only across them, so a large group's stragglers find their links among few. At last every pair of a bucket that is still
-    in different classes is verified. Passed over are only pairs that are proved to be apart: by their similarities s, t to
-    a common node, as 1 - s is a metric, or by the weights of 64 classes of shingles, of which they share the lesser at most. So no link between bucket mates is lost, and copies are not paired.
+    in a band meet in its bucket, and all links between the mates of a bucket count:
+
+    1. Each is verified against the bucket's hub, the member with most mates over all bands, which is the common
+       original where there is one. A hub's text goes once to each block of ``STAR_ROWS`` members, so rows grow with the members.
+    2. Buckets of three and more that are still in several classes are compared whole: members are dealt into blocks of
+       ``BLOCK_ROWS``, those of the bucket's main class apart from the rest, and each pair of blocks but those of the
+       main class with itself is one product of tables in a task, which gives back at most a row a member.
 
     Words are runs of anything but ASCII white space. A text of fewer words than ``size`` is one shingle. A text without
     words (null, empty) is a class of its own. Repeated rows and null ids are rows like any other; a class without
     an id has a null class and keeps all. Texts are told apart by a 64-bit hash.
     """
     s = settings
-    keyed = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("node"))
-    df, n = hashed_frequencies(docs, s, text)
+    keyed = fed(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))).withColumn("node", F.xxhash64("text"))
+    df, n = hashed_frequencies(keyed, s)
     idf = docs.sparkSession.sparkContext.broadcast(idf_weights(df, n, s.idf))  # ``features`` floats
 
     def sign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,47 +257,28 @@ def near_duplicates(docs: DataFrame, settings: Settings = DEFAULT, id_col: str =
             doc, h, w = weighted_shingles(batch.column("text"), s.size, idf.value)
             if len(doc):
                 who, bands = sample_bands(doc, h, w, s)
-                mass = np.bincount(doc * _CLASSES + (h >> np.uint64(58)).astype(np.int64), w, batch.num_rows * _CLASSES).reshape(-1, _CLASSES)[who].astype(np.float32)
-                lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(who) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1))) for x in (bands.view(np.int64), mass)]
-                yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(who)), *lists], names=["node", "bands", "mass"])
-
-    signed = keyed.where("text is not null").select("node", "text").mapInArrow(sign, "node long, bands array<long>, mass array<float>")
-    nodes = materialize(signed.groupBy("node").agg(F.first("bands").alias("bands"), F.first("mass").alias("mass")), "signatures")
-    slots = nodes.select("node", F.posexplode("bands").alias("band", "value"))
-    full = slots.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1").select("band", "value")
-    buckets = materialize(slots.join(full, ["band", "value"]), "buckets")
-
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(who) + 1, dtype=np.int32) * s.bands), pa.array(bands.view(np.int64).reshape(-1)))
+                size = pc.binary_length(batch.column("text")).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(who)), size.take(pa.array(who)), lists], names=["node", "bytes", "bands"])
+
+    signed = keyed.where("text is not null").select("node", "text").mapInArrow(sign, "node long, bytes long, bands array<long>")
+    nodes = materialize(signed.groupBy("node").agg(F.first("bytes").alias("bytes"), F.first("bands").alias("bands")), "signatures")
+    slots = nodes.select("node", "bytes", F.posexplode("bands").alias("band", "value"))
+    full = slots.groupBy("band", "value").agg(F.count("*").alias("n"), F.bit_xor("node").alias("who")).where("n > 1")
+    # buckets of the same members are one
+    full = full.groupBy("n", "who").agg(F.min(F.struct("band", "value")).alias("at"), F.count("*").alias("bands"))
+    buckets = materialize(slots.join(full.select("at.*", "n", "bands"), ["band", "value"]), "buckets")
     texts = _texts(buckets.select("node").distinct(), keyed)
-    tested, classes = None, None
-    for turn, hubs in enumerate([*s.hubs, None]):
-        now = buckets if classes is None else buckets.join(classes, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-        if turn and classes is not None:
-            split = now.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").drop("lo", "hi")
-            now = materialize(now.join(split, ["band", "value"]).join(nodes.select("node", "mass"), "node"), "split")
-        elif turn:
-            now = materialize(now.withColumn("part", F.col("node")).join(buckets.groupBy("band", "value").agg(F.count("*").alias("n")), ["band", "value"]).join(nodes.select("node", "mass"), "node"), "split")
-        if not turn:
-            hub = now.groupBy("band", "value").agg(F.min_by("node", F.xxhash64("node", "band")).alias("hub"))
-            pairs = _pairs(now.join(hub, ["band", "value"]), "node", "hub")
-        elif hubs:
-            some = now.where(F.pmod(F.xxhash64("node", "band", F.lit(turn)), F.col("n")) < hubs).select("band", "value", F.col("node").alias("hub"), F.col("part").alias("hub_part"), F.col("mass").alias("hub_mass"))
-            pairs = _pairs(now.join(some, ["band", "value"]).where((F.col("part") != F.col("hub_part")) & _may_reach("mass", "hub_mass", s.threshold)), "node", "hub")
-        else:
-            pairs = _undecided(now, tested, s.threshold)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        if pairs.isEmpty():
-            continue
-        done = _verify(pairs, texts, s, idf)
-        tested = done if tested is None else materialize(tested.union(done), "tested")
-        classes = _joined(classes, done.where(F.col("sim") >= s.threshold).select("a", "b"))
+
+    reach = buckets.groupBy("node").agg(F.sum(F.col("n") * F.col("bands")).alias("reach"))
+    hub = buckets.join(reach, "node").groupBy("band", "value").agg(F.max_by("node", F.struct("reach", "node")).alias("hub"))
+    classes = connected_components(_stars(buckets.join(hub, ["band", "value"]).select("hub", "node", "bytes").where("node <> hub").distinct(), texts, s, idf))
+    classes = materialize(classes, "classes")
+    more = _blocks(_split(buckets, classes), texts, s, idf)
+    classes = _joined(classes, more)
 
     named = keyed.select("id", "node", F.col("text").rlike(r"[^\x20\x09-\x0D]").alias("words"))
-    if classes is not None:
-        named = named.join(classes, "node", "left").withColumn("part", F.coalesce("component", "node"))
-    else:
-        named = named.withColumn("part", F.col("node"))
+    named = named.join(classes, "node", "left").withColumn("part", F.coalesce("component", "node"))
     named = named.withColumn("part", F.when(F.coalesce("words", F.lit(False)), F.col("part")))
     named = materialize(named.select("id", "part"), "named")
     sizes = named.where("part is not null").groupBy("part").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
@@ -221,10 +288,10 @@ def near_duplicates(docs: DataFrame, settings: Settings = DEFAULT, id_col: str =
     return out.select(F.col("id").alias(id_col), class_id.alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.coalesce(F.col("id") == class_id, F.lit(True)).alias("kept"))
 
 
-def _joined(classes: DataFrame | None, links: DataFrame) -> DataFrame:
+def _joined(classes: DataFrame, links: DataFrame) -> DataFrame:
     """Classes ``node, component`` after more links: the classes that they connect become one."""
-    if classes is None:
-        return materialize(connected_components(links), "classes")
+    if links.isEmpty():
+        return classes
     a, b = (classes.select(F.col("node").alias(k), F.col("component").alias(f"of_{k}")) for k in "ab")
     parts = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
     merged = materialize(connected_components(parts), "merged").withColumnsRenamed({"node": "old", "component": "new"})
@@ -233,56 +300,73 @@ def _joined(classes: DataFrame | None, links: DataFrame) -> DataFrame:
     return materialize(moved.union(first), "classes")
 
 
-def _pairs(d: DataFrame, x: str, y: str) -> DataFrame:
-    return d.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a < b").distinct()
-
-
-def _may_reach(a: str, b: str, threshold: float) -> Column:
-    """Whether the classes' weights allow a weighted Jaccard of ``threshold``.
-
-    Two texts share at most the lesser weight of each class of shingles, so their similarity is at most that sum over the rest of
-    both. Texts that merely share a common passage fall below, and no pair above is lost (the margin covers rounding).
-    """
-    add = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v.cast("double"))
-    both = add(F.zip_with(a, b, lambda x, y: F.least(x, y)))
-    return both * (1 + threshold) >= (threshold - 1e-4) * (add(F.col(a)) + add(F.col(b)))
-
-
-def _undecided(now: DataFrame, tested: DataFrame | None, threshold: float) -> DataFrame:
-    """Pairs of bucket mates in different classes that no common hub proves to be apart."""
-    hub = now.groupBy("band", "value").agg(F.min_by("node", F.xxhash64("node", "band")).alias("hub"))
-    far = now.join(hub, ["band", "value"])
-    if tested is not None:
-        far = far.withColumn("a", F.least("node", "hub")).withColumn("b", F.greatest("node", "hub")).join(tested, ["a", "b"], "left")
-    else:
-        far = far.withColumn("sim", F.lit(None).cast("double"))
-    far = far.withColumn("sim", F.when(F.col("node") == F.col("hub"), 1.0).otherwise(F.col("sim")))
-    x, y = (far.select("band", "value", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "part", "sim", "mass")]) for k in "xy")
-    apart: Column = F.abs(F.col("sim_x") - F.col("sim_y")) > 1 - threshold + 1e-9
-    met = x.join(y, ["band", "value"]).where((F.col("part_x") != F.col("part_y")) & (F.col("node_x") < F.col("node_y")) & ~F.coalesce(apart, F.lit(False)) & _may_reach("mass_x", "mass_y", threshold))
-    return _pairs(met, "node_x", "node_y")
-
-
 def _texts(nodes: DataFrame, keyed: DataFrame) -> DataFrame:
-    """The text of each node, read and dealt out once: that of its row with the least id."""
+    """The text of each node, dealt out once: that of its row with the least id."""
     who = keyed.groupBy("node").agg(F.min(F.struct("id")).alias("one")).join(nodes, "node").select(F.col("node").alias("n"), F.col("one.id").alias("i"))
     texts = keyed.join(who, (F.col("node") == F.col("n")) & F.col("id").eqNullSafe(F.col("i"))).select("node", "text")
     return materialize(texts.dropDuplicates(["node"]), "texts")
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, s: Settings, idf) -> DataFrame:
-    """``pairs`` with ``sim``; a small table of pairs is broadcast to the texts by its measured size, a large one shuffled with them."""
-    one = texts.select(F.col("node").alias("a"), F.col("text").alias("text"))
-    two = texts.select(F.col("node").alias("b"), F.col("text").alias("other"))
-
-    def score(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(it, "text"):
-            for part in batches([batch], "other"):
-                sim = pair_similarity(part.column("text"), part.column("other"), s, idf.value)
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(sim)], names=["a", "b", "sim"])
-
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "text", "other")
-    return materialize(both.mapInArrow(score, "a long, b long, sim double"), "tested")
+def _stars(pairs: DataFrame, texts: DataFrame, s: Settings, idf) -> DataFrame:
+    """Links ``a, b`` among pairs ``hub, node, bytes``."""
+    blocks = pairs.groupBy("hub").agg(_needed(F.count("*"), F.sum("bytes"), STAR_ROWS).alias("blocks"))
+    dealt = pairs.join(blocks, "hub").select("hub", salted(F.col("blocks"), F.col("node")).alias("block"), "node")
+    heads = blocks.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("hub").alias("node"))
+    rows = dealt.unionByName(heads).join(texts, "node")
+
+    def verify(table: pa.Table) -> pa.Table:
+        hub = table.column("hub")[0].as_py()
+        node = table.column("node").to_numpy()
+        order = np.argsort(node != hub, kind="stable")  # the hub first
+        text, node = table.column("text").take(pa.array(order)), node[order]
+        out = [np.zeros(0, np.int64)]
+        at = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo = 1
+        while lo < len(node):  # the hub with some members at a time, by bytes
+            hi = max(lo + 1, int(np.searchsorted(at, at[lo - 1] + BATCH_BYTES, "right")))
+            hit = star_links(pa.concat_arrays(text.take(pa.array([0, *range(lo, hi)])).chunks), s, idf.value)[1:]
+            out.append(node[lo:hi][hit])
+            lo = hi
+        b = np.concatenate(out)
+        return pa.table({"a": pa.array(np.full(len(b), hub), pa.int64()), "b": pa.array(b)})
+
+    return rows.groupBy("hub", "block").applyInArrow(verify, "a long, b long")
+
+
+def _needed(rows: Column, size: Column, per_block: int) -> Column:
+    """Blocks for so many rows and bytes of text."""
+    return F.ceil(F.greatest(rows / per_block, size / BLOCK_BYTES)).cast("int")
+
+
+def _split(buckets: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members of the buckets that are in several classes, but pairs, which the first round has settled, with ``main``: in the bucket's largest class, and the blocks ``p`` it needs and ``q`` of the rest."""
+    now = buckets.where("n > 2").join(classes, "node", "left").select("band", "value", "node", "bytes", F.coalesce("component", "node").alias("part"))
+    per = now.groupBy("band", "value", "part").agg(F.count("*").alias("k"), F.sum("bytes").alias("bytes"))
+    top = per.groupBy("band", "value").agg(F.max(F.struct("k", "part", "bytes")).alias("top"), F.count("*").alias("parts"), F.sum("k").alias("n"), F.sum("bytes").alias("bytes")).where("parts > 1")
+    p, q = _needed(F.col("top.k"), F.col("top.bytes"), BLOCK_ROWS), _needed(F.col("n") - F.col("top.k"), F.col("bytes") - F.col("top.bytes"), BLOCK_ROWS)
+    top = top.select("band", "value", F.col("top.part").alias("top"), p.alias("p"), q.alias("q"))
+    return now.drop("bytes").join(top, ["band", "value"]).withColumn("main", F.col("part") == F.col("top"))
+
+
+def _blocks(members: DataFrame, texts: DataFrame, s: Settings, idf) -> DataFrame:
+    """Links ``a, b`` that connect whatever bucket mates are linked across classes."""
+    m = members.withColumn("own", F.when(F.col("main"), salted(F.col("p"), F.col("node"))).otherwise(F.col("p") + salted(F.col("q"), F.col("node"))))
+    # blocks 0..p-1 hold the main class, p..p+q-1 the rest; each pair with one of the rest at least meets once
+    with_rest = F.sequence(F.col("p"), F.col("p") + F.col("q") - 1)
+    mates = F.when(F.col("main"), with_rest).otherwise(F.sequence(F.lit(0), F.col("p") + F.col("q") - 1))
+    m = m.select("band", "value", "node", "part", "own", F.explode(mates).alias("mate"))
+    m = m.select("band", "value", "node", "part", "own", F.least("own", "mate").alias("i"), F.greatest("own", "mate").alias("j"))
+    rows = m.join(texts, "node")
+
+    def verify(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")
+        node, part, own = (table.column(c).to_numpy() for c in ("node", "part", "own"))
+        left, right = own == table.column("i")[0].as_py(), own == table.column("j")[0].as_py()
+        least = block_links(pa.concat_arrays(table.column("text").chunks), left, right, part, s, idf.value)
+        some = np.flatnonzero(least != np.arange(len(least)))
+        return pa.table({"a": pa.array(node[some]), "b": pa.array(node[least[some]])})
+
+    return materialize(rows.groupBy("band", "value", "i", "j").applyInArrow(verify, "a long, b long").distinct(), "links")
 
 
 def drop_near_duplicates(docs: DataFrame, settings: Settings = DEFAULT, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, salted, spread
+from .common import fed, materialize, salted, spread
 from .words import batches
 
 CAP = 2048
@@ -118,7 +118,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, cap: int = CAP, end_id
                 columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(kept) if kept else np.zeros(0, np.int32))))
             yield pa.RecordBatch.from_arrays(columns, names=out.names)
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(run, out)
+    return fed(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))).mapInArrow(run, out)
 
 
 def best_fit(sizes: np.ndarray, caps: np.ndarray, weights: np.ndarray, rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
 from . import crf
+from .common import fed
 from .labelled import chunks, sample
 from .words import Rolling, Words, batches, mix
 
@@ -176,4 +177,4 @@ def score_quality(docs: DataFrame, model: QualityModel, text: str = "text") -> D
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(nth.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), lists], names=out.names)
 
-    return kept.mapInArrow(run, out)
+    return fed(kept).mapInArrow(run, out)

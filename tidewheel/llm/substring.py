@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import fed, materialize
 from .words import Rolling, Words, batches, mix
 
 #: Words of an anchor. A window of L words holds L - ANCHOR + 1 of them; its least hash is the window's anchor.
@@ -125,7 +125,7 @@ def drop_repeats(docs: DataFrame, length: int = 35, id_col: str = "doc_id", text
     Repeated rows repeat all their windows. Rows are told apart by a 64-bit hash of id and text; other columns pass through.
     """
     clash = [c for c in docs.columns if c.lower() in ("n_words", "n_removed", "removed")]
-    keyed = docs.drop(*clash).withColumn("_key", F.xxhash64(F.col(id_col), F.col(text)))
+    keyed = fed(docs.drop(*clash)).withColumn("_key", F.xxhash64(F.col(id_col), F.col(text)))
     spans = repeated_spans(keyed, length, text).groupBy("key").agg(F.collect_list(F.shiftleft(F.col("lo").cast("long"), 32).bitwiseOR(F.col("hi").cast("long"))).alias("_spans"))
     joined = keyed.join(spans.withColumnRenamed("key", "_key"), "_key", "left").drop("_key").withColumnRenamed(text, "_text_")
     out = joined.drop("_spans", "_text_").schema.add("_left", "string").add("n_words", "long").add("n_removed", "long").add("removed", T.ArrayType(T.StructType().add("lo", T.IntegerType()).add("hi", T.IntegerType())))

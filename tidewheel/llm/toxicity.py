@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
 from . import crf
+from .common import fed
 from .labelled import chunks, sample
 from .words import PUNCT, Words, batches
 
@@ -201,4 +202,4 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") ->
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(where, np.arange(batch.num_rows + 1)).astype(np.int32)), pairs)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.documents(w, p)), lists], names=out.names)
 
-    return kept.mapInArrow(run, out)
+    return fed(kept).mapInArrow(run, out)
