@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize, salted
+
+#: Boilerplate lines of all hosts together (8 bytes each) up to which their table is broadcast; beyond it pages are dealt by (host, salt).
+BROADCAST_LINES = 1_000_000
+#: Parts of a host's pages then, and copies of its one row of boilerplate.
+SALTS = 64
+
 _MARK = "_line_"
 
 
@@ -36,7 +43,7 @@ def boilerplate_lines(docs: DataFrame, ratio: float = 0.02, min_pages: int = 3,
     )
 
 
-def drop_boilerplate(docs: DataFrame, ratio: float = 0.02, min_pages: int = 3, host: str = "source", id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_boilerplate(docs: DataFrame, ratio: float = 0.02, min_pages: int = 3, host: str = "source", id_col: str = "doc_id", text: str = "text", broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """``docs`` with its boilerplate lines dropped, and ``n_lines``, ``n_removed`` appended.
 
     Pages are grouped by ``host``; a line (spaces around it do not count) goes from every page of a
@@ -46,15 +53,23 @@ def drop_boilerplate(docs: DataFrame, ratio: float = 0.02, min_pages: int = 3, h
     Every row stays, repeated rows too; other columns pass through.
 
     A host's boilerplate is one row of hashes: a page has few lines and each must be on ``ratio`` of the
-    pages, so the array is bounded by (mean lines per page) / ``ratio``, whatever the number of pages.
-    Spark broadcasts that table where its measured size allows it and otherwise joins by host, where
-    adaptive execution splits a hot host's pages (the other side of which is one row).
+    pages, so the array is bounded by (mean lines per page) / ``ratio``, whatever the number of pages. The table is
+    written and its lines are counted: up to ``broadcast_lines`` it is broadcast and no text is shuffled; beyond that
+    pages meet their host's row by (host, salt), so a hot host's pages are in ``SALTS`` parts.
     """
     clash = [c for c in docs.columns if c.lower() in ("n_lines", "n_removed")]
     bad = boilerplate_lines(docs, ratio, min_pages, host, id_col, text).groupBy(F.col("host").alias(_MARK + "host")).agg(F.collect_list("line_hash").alias(_MARK + "bad"))
-    known = F.array_contains
-    joined = docs.drop(*clash).join(bad, F.col(host).eqNullSafe(F.col(_MARK + "host")), "left")
+    bad = materialize(bad, "boilerplate")
+    n_lines = bad.agg(F.coalesce(F.sum(F.size(_MARK + "bad")), F.lit(0))).first()[0]
+    pages, same = docs.drop(*clash), F.col(host).eqNullSafe(F.col(_MARK + "host"))
+    if n_lines <= broadcast_lines:
+        joined = pages.join(F.broadcast(bad), same, "left")
+    else:
+        bad = bad.withColumn(_MARK + "part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        pages = pages.withColumn(_MARK + "salt", salted(SALTS, F.col(id_col), F.length(text)))
+        joined = pages.join(bad, same & (F.col(_MARK + "salt") == F.col(_MARK + "part")), "left")
     lines = _lines(F.col(text))
+    known = F.array_contains
     stays = F.filter(lines, lambda x: F.coalesce(~known(F.col(_MARK + "bad"), _key(x)), F.lit(True)))
     out = joined.withColumn(_MARK + "kept", F.when(F.col(_MARK + "bad").isNull(), lines).otherwise(stays))
     return out.select(
