@@ -294,6 +294,13 @@ def test_mix_meets_targets(spark):
         taken[r["source"]] += r["taken"]
     for s, t in want.items():
         assert abs(taken[s] - t) <= max(3, 0.01 * t), (s, taken[s], t)
+    tilt = {}
+    for r in out:  # rates are the exponential tilt of one multiplier a source, and meet the target by themselves
+        if r["size"] and 1e-9 < r["rate"] < 3 - 1e-9:
+            t = math.log(r["rate"]) / r["size"]
+            assert math.isclose(tilt.setdefault(r["source"], t), t, rel_tol=1e-6, abs_tol=1e-12)
+    for s, t in want.items():
+        assert math.isclose(sum(r["rate"] * r["size"] for r in out if r["source"] == s), t, rel_tol=1e-6)
     key = lambda rows: sorted(map(str, rows))
     assert key(out) == key(mix_sources(docs.repartition(7)).collect())
     assert mix_sources(docs.where("false")).count() == 0
@@ -397,6 +404,8 @@ def test_line_dedup(spark):
     assert out[300]["text"] == "menu\nx" and out[2]["text"] is None and out[3]["text"] == "" and out[2]["n_lines"] == 0
     assert drop_boilerplate(odd_docs(spark, rows)).count() == 9 + 62
     assert drop_boilerplate(odd_docs(spark).where("false")).count() == 0
+    salted = {r["doc_id"]: r for r in drop_boilerplate(odd_docs(spark, rows), ratio=0.5, min_pages=3, broadcast_lines=0).collect()}
+    assert salted == out
 
 
 @pytest.mark.parametrize("name", ["toxicity", "line dedup", "minhash near-dedup", "source mixing", "best-fit packing"])

@@ -11,8 +11,8 @@ from .common import materialize, salted, word_count
 
 #: Documents rounded together; each block of a source is one row of an aggregate, about 256 small structs.
 BLOCK_DOCS = 256
-#: Newton steps; the dual is smooth and the start is the solution without the bound, so few are needed.
-MAX_STEPS = 50
+#: Newton steps at most; about ten are needed. Without convergence an error is raised.
+MAX_STEPS = 60
 
 
 def token_targets(sizes: DataFrame, weights: Sequence[float] = (1, 2, 3), total_share: float = 1.0, max_copies: int = 3) -> DataFrame:
@@ -39,29 +39,59 @@ def token_targets(sizes: DataFrame, weights: Sequence[float] = (1, 2, 3), total_
     return tried.withColumn("at", level).select("source", "source_size", "weight", F.coalesce(F.least(F.col("cap"), F.col("at") * F.col("weight")), F.col("cap")).alias("target"))
 
 
-def document_rates(sizes: DataFrame, targets: DataFrame, max_copies: int = 3, tolerance: float = 1e-9) -> DataFrame:
-    """``targets`` with ``multiplier`` and ``rate`` by entropy balancing.
+def _sum(x: Column) -> Column:
+    """A sum in billionths, which is the same in any order, so that reruns agree to the last bit."""
+    return F.sum((x * 1e9).cast("decimal(38,0)")).cast("double") / 1e9
 
-    The rates r of the documents minimise sum size * (r ln r - r + 1), their divergence from one copy of each
-    word, so that every source's words, sum size * r, meet its target.  The convex dual
-    sum_s [ sum_{d in s} size_d exp(lambda_s) - lambda_s target_s ] has one multiplier for each constraint
-    and the optimum is the exponential tilt r_d = exp(lambda_{s(d)}).  Newton's step for a multiplier
-    needs the gradient and the Hessian of its constraint, both sums over the source's documents.  Under
-    this divergence a source's documents have the same tilt, so the sums reduce to exp(lambda) times one
-    distributed aggregate, taken once; the steps then run side by side over the table of sources, without
-    the driver.  Each starts at lambda = 0, the whole corpus once, and is damped to a step of 1; it stops
-    when the gradient is within ``tolerance`` of the target.  A source with no words or no target has rate 0.
-    """
-    size, goal = F.col("source_size").cast("double"), F.col("target")
 
-    def step(state: Column, _: Column) -> Column:
-        mass = size * F.exp(state)
-        gap = mass - goal
-        return F.when(F.abs(gap) <= goal * tolerance, state).otherwise(state - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), gap / mass)))
+def document_rates(sizes: DataFrame, targets: DataFrame, max_copies: int = 3, tolerance: float = 1e-7) -> DataFrame:
+    """``targets`` with ``tilt``: a document of size z gets the rate :func:`rate` gives for it, by entropy balancing.
 
-    solved = F.aggregate(F.sequence(F.lit(1), F.lit(MAX_STEPS)), F.lit(0.0), step)
-    lam = F.when((size > 0) & (goal > 0), solved)
-    return targets.withColumn("multiplier", lam).withColumn("rate", F.coalesce(F.least(F.exp("multiplier"), F.lit(float(max_copies))), F.lit(0.0)))
+    The rates r of the documents minimise their divergence from one copy each, sum r ln r - r + 1, with r at most
+    ``max_copies``, so that every source's tokens, sum size * r, meet its target. The dual is convex with one multiplier t for each
+    constraint, and the optimum is the exponential tilt r_d = min(max_copies, exp(t size_d)), so long documents are tilted more
+    than short ones. Each Newton step sums gradient and Hessian over all documents (``sizes``: source, size, count n,
+    one row for each size of a source) in a distributed aggregate, and moves the multipliers of all sources side by side. A step that leaves the
+    bracket of a multiplier found so far halves the bracket instead, so the iteration can't run away. It ends when all sources are within
+    ``tolerance`` of their targets, and raises an error if ``MAX_STEPS`` steps don't get there. A target of ``max_copies`` times its source is the limit
+    of t to infinity and a target of 0 that to minus infinity; both are set.
+    """
+    size, n = F.col("size").cast("double"), F.col("n").cast("double")
+    sums = sizes.where("size > 0").groupBy("source").agg(_sum(size * n).alias("s1"), _sum(size * size * n).alias("s2"))
+    state = targets.join(sums.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+    inf = F.lit(float("inf"))
+    goal = F.col("target")
+    fixed = F.when(F.col("s1").isNull() | (goal <= 0), -inf).when(goal >= F.col("s1") * (max_copies * (1 - 1e-12)), inf)
+    # the start: the multiplier at which a document of the mean size of a token's document has the source's mean rate
+    start = F.coalesce(fixed, F.ln(goal / F.col("s1")) * F.col("s1") / F.col("s2"))
+    state = state.select("source", "source_size", "weight", "target", start.alias("tilt"), (-inf).alias("lo"), inf.alias("hi"), fixed.isNotNull().alias("done"))
+    state = materialize(state, "tilts")
+    for _ in range(MAX_STEPS):
+        if state.where("not done").isEmpty():
+            return state.select("source", "source_size", "weight", "target", "tilt")
+        # the tilts of all sources, of which there are few beside documents; Spark broadcasts or shuffles them by their size
+        t = state.where("not done").select(F.col("source").alias("_s"), "tilt")
+        r = F.exp(F.col("tilt") * size)
+        free = r < max_copies
+        got = sizes.where("size > 0").join(t, F.col("source").eqNullSafe(F.col("_s"))).groupBy("_s").agg(
+            _sum(F.least(r, F.lit(float(max_copies))) * size * n).alias("mass"), _sum(F.when(free, r * size * size * n).otherwise(0.0)).alias("slope")
+        )
+        now = state.join(got, F.col("source").eqNullSafe(F.col("_s")), "left")
+        gap = F.col("mass") - goal
+        lo, hi = F.when(gap < 0, F.col("tilt")).otherwise(F.col("lo")), F.when(gap > 0, F.col("tilt")).otherwise(F.col("hi"))
+        now = now.withColumn("met", F.abs(gap) <= goal * tolerance).withColumn("lo2", lo).withColumn("hi2", hi)
+        newton = F.col("tilt") - gap / F.col("slope")
+        half = F.when((F.col("lo2") > -inf) & (F.col("hi2") < inf), (F.col("lo2") + F.col("hi2")) / 2).otherwise(F.col("tilt") * 2 + F.when(gap < 0, 1e-6).otherwise(-1e-6))
+        step = F.when((F.col("slope") > 0) & (newton > F.col("lo2")) & (newton < F.col("hi2")), newton).otherwise(half)
+        done = F.col("done") | F.coalesce("met", F.lit(False))
+        state = materialize(now.select("source", "source_size", "weight", "target", F.when(done, F.col("tilt")).otherwise(step).alias("tilt"), F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), done.alias("done")), "tilts")
+    raise ArithmeticError(f"the multipliers did not converge in {MAX_STEPS} steps")
+
+
+def rate(tilt: Column, size: Column, max_copies: int) -> Column:
+    """min(``max_copies``, exp(tilt * size)); of a document without words 1, or 0 where the source takes nothing."""
+    power = F.when(size > 0, tilt * size).when(tilt == F.lit(float("-inf")), tilt).otherwise(0.0)
+    return F.least(F.exp(power), F.lit(float(max_copies)))
 
 
 def mix_sources(
@@ -75,20 +105,21 @@ def mix_sources(
 ) -> DataFrame:
     """Copies of every document in the mix: ``id_col, source, size, source_size, target, rate, copies, taken``.
 
-    ``size`` is the number of words of the text (null: 0), ``copies`` the whole number, 0 to ``max_copies``,
-    to which the document's rate is rounded, ``taken`` = copies * size.  Rounding carries its error on: a source's documents
+    ``size`` is the number of words of the text (null: 0), ``rate`` what :func:`document_rates` finds, ``copies`` the whole number, 0 to ``max_copies``,
+    to which it is rounded, ``taken`` = copies * size.  Rounding carries its error on: a source's documents
     are dealt by hash into blocks of about ``BLOCK_DOCS`` and within a block, from the longest
     to the shortest, each takes the whole number of copies nearest to its rate plus what is owed, so a block
     ends within about half its shortest document of its share.  Nothing is drawn: reruns agree.
 
     Rows alike in id, source and size are decided together and get the same copies, one output row for
     each of them.  Null ids, sources and texts are values like any other; an empty table gives no rows.
-    A document of size 0 takes one copy where the rate is above 0.
+    A document of size 0 takes one copy unless its source takes nothing.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
     unit = materialize(rows.groupBy("id", "source", "size").agg(F.count("*").alias("n")), "mix")
     sums = unit.select("source", (F.col("size") * F.col("n")).alias("size"))
-    rates = document_rates(sums, token_targets(sums, weights, total_share, max_copies), max_copies)
+    histogram = materialize(unit.groupBy("source", "size").agg(F.sum("n").alias("n")), "mix")
+    rates = document_rates(histogram, token_targets(sums, weights, total_share, max_copies), max_copies)
     blocks = unit.groupBy("source").agg(F.count("*").alias("units"))
     per = rates.join(blocks.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
     per = materialize(per.withColumn("blocks", F.ceil(F.col("units") / BLOCK_DOCS)), "mix")
@@ -96,18 +127,20 @@ def mix_sources(
     dealt = dealt.withColumn("block", salted(F.col("blocks"), F.col("id"), F.col("size")))
     # the id's own order breaks ties, so that the order of arrival doesn't matter
     item = F.struct((-F.col("size") * F.col("n")).alias("long_first"), F.xxhash64("id").alias("tie"), "id", "size", "n")
-    block = dealt.groupBy("source", "block").agg(F.array_sort(F.collect_list(item)).alias("items"), F.first("rate").alias("rate"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
+    block = dealt.groupBy("source", "block").agg(F.array_sort(F.collect_list(item)).alias("items"), F.first("tilt").alias("tilt"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
+
+    own = lambda x: rate(F.col("tilt"), x["size"].cast("double"), max_copies)
 
     def take(state: Column, x: Column) -> Column:
         words = x["size"] * x["n"]
-        due = state["owed"] + F.col("rate") * words
-        n = F.when(words > 0, F.greatest(F.lit(0.0), F.least(F.lit(float(max_copies)), F.round(due / words)))).when(F.col("rate") > 0, F.lit(1.0)).otherwise(F.lit(0.0))
+        due = state["owed"] + own(x) * words
+        n = F.when(words > 0, F.greatest(F.lit(0.0), F.least(F.lit(float(max_copies)), F.round(due / words)))).otherwise(own(x))
         return F.struct((due - n * words).alias("owed"), F.concat(state["copies"], F.array(n.cast("int"))).alias("copies"))
 
     start = F.struct(F.lit(0.0).alias("owed"), F.array().cast("array<int>").alias("copies"))
     done = block.withColumn("copies", F.aggregate("items", start, take, lambda s: s["copies"]))
-    one = done.select("source", "source_size", "target", "rate", F.explode(F.arrays_zip("items", "copies")).alias("x"))
-    flat = one.select(F.col("x.items.id").alias(id_col), "source", F.col("x.items.size").alias("size"), "source_size", "target", "rate", F.col("x.copies").alias("copies"), (F.col("x.copies") * F.col("x.items.size")).cast("long").alias("taken"), F.col("x.items.n").alias("n"))
+    one = done.select("source", "source_size", "target", "tilt", F.explode(F.arrays_zip("items", "copies")).alias("x"))
+    flat = one.select(F.col("x.items.id").alias(id_col), "source", F.col("x.items.size").alias("size"), "source_size", "target", own(F.col("x.items")).alias("rate"), F.col("x.copies").alias("copies"), (F.col("x.copies") * F.col("x.items.size")).cast("long").alias("taken"), F.col("x.items.n").alias("n"))
     return flat.withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("n")
 
 
