@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,12 +121,41 @@ def test_packing_obeys_every_capacity(spark):
 
 
 def test_fast_ids_are_the_tokenizers_ids():
+    from tokenizers import Tokenizer
+
     from tidewheel.llm.packing import Encoder
 
-    e, r = Encoder(tokenizer_path()), random.Random(5)
-    texts = ["", "<|endoftext|> x", "漢字 text’s", "a\u0085b c  d\n\n e"] + ["".join(chr(r.choice([r.randrange(0x250), r.randrange(32, 127), 32, 10, 0x2019])) for _ in range(80)) for _ in range(500)]
+    e, plain, r = Encoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path()), random.Random(5)
+    texts = ["", "a <|endoftext|> b", "<|endoftext|>", "<|endoftext", "漢字 text’s", "a\u0085b c  d\n\n e"] + ["".join(chr(r.choice([r.randrange(0x250), r.randrange(32, 127), 32, 10, 0x2019])) for _ in range(80)) for _ in range(500)]
+    texts += [x or "" for x in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()]
     assert e.fast is not None
-    assert e(texts) == [x.ids for x in e.exact.encode_batch(texts, add_special_tokens=False)]
+    assert e(texts) == [x.ids for x in plain.encode_batch(texts, add_special_tokens=False)]
+    assert 50256 in e(["a <|endoftext|> b"])[0]
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_best_fit_matches_brute_force(rule):
+    """Every item, all bins looked at: the rule's best bin of those with room in every dimension."""
+    rng = np.random.default_rng(8)
+    for caps, weights in (((100, 100, 10_000), (1, 0.1, 0.1)), ((100, 4, 4_000), (1, 0.5, 2.0)), ((100, 3, 10_000), (0.2, 1, 0))):
+        length = np.minimum(rng.integers(1, 64, 90), math.isqrt(caps[2]))
+        sizes = np.stack([length, np.ones(90), length**2], axis=1).astype(float)
+        caps, w = np.array(caps, float), np.array(weights, float)
+        place, order = best_fit(sizes, caps, w, rule)
+        need, bins, want = sizes / caps, [], {}
+        assert order.tolist() == sorted(range(90), key=lambda i: (-float(need[i] @ w), i))
+        for i in order:
+            able = [k for k, left in enumerate(bins) if (left >= need[i] - 1e-12).all()]
+            value = lambda k: float((w * need[i]) @ bins[k]) if rule == "dot" else -float(w @ (bins[k] - need[i]) ** 2)  # noqa: B023, E731
+            if not able:
+                bins.append(np.ones(3))
+                able = [len(bins) - 1]
+            top = max(map(value, able))
+            assert place[i] in able and value(place[i]) >= top - 1e-12
+            bins[place[i]] = bins[place[i]] - need[i]
+            want[int(i)] = int(place[i])
+        for k in set(place.tolist()):
+            assert (sizes[place == k].sum(axis=0) <= caps + 1e-9).all()
 
 
 # 3
