@@ -47,8 +47,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their ids and their places in sequences of 2048."""
-    return pack_documents(docs.select(*COLUMNS), tokenizer_path(), cap=2048, keep_ids=True)
+    """Pieces of the documents with their ids and their places in sequences of 2048 tokens and 64 pieces at most."""
+    return pack_documents(docs.select(*COLUMNS), tokenizer_path(), cap=2048, keep_ids=True, max_docs=64)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
