@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,9 +15,9 @@ from .common import connected_components, materialize, salted
 #: The codebooks and the radius of traversal are fitted on so many vectors at most, those with the least hashes.
 SAMPLE_VECTORS = 4096
 #: Share of the pairs at the threshold itself that the traversal reaches; closer pairs are reached more often.
-TARGET_RECALL = 0.999
+TARGET_RECALL = 0.9999
 #: Vectors wanted in a cell of one label, and the most in a block of postings or probes.
-CELL_ROWS, BLOCK_ROWS = 256, 1024
+CELL_ROWS, BLOCK_ROWS = 16, 1024
 
 
 class MultiIndex:
@@ -28,14 +29,15 @@ class MultiIndex:
         self.books = [self._means(x, k, rng) for x in (sample[:, : self.half], sample[:, self.half :])]
         self.k = len(self.books[0]), len(self.books[1])
         # neighbours in random directions, just at the threshold: how far must the traversal go to meet their cells?
-        gaps = []
+        gaps, rows = [], np.arange(len(sample))
         for _ in range(4):
             g = rng.standard_normal(sample.shape)
             g -= (g * sample).sum(axis=1, keepdims=True) * sample
             near = threshold * sample + np.sqrt(1 - threshold**2) * g / np.maximum(np.linalg.norm(g, axis=1, keepdims=True), 1e-12)
-            a, b = self.distances(sample), self.distances(near)
-            rows = np.arange(len(sample))
-            gaps.append(np.minimum(a[rows, b.argmin(axis=1)] - a.min(axis=1), b[rows, a.argmin(axis=1)] - b.min(axis=1)))
+            a, b = self.halves(sample), self.halves(near)
+            there = sum(x[rows, y.argmin(axis=1)] - x.min(axis=1) for x, y in zip(a, b, strict=True))
+            back = sum(y[rows, x.argmin(axis=1)] - y.min(axis=1) for x, y in zip(a, b, strict=True))
+            gaps.append(np.minimum(there, back))
         self.radius = float(np.quantile(np.concatenate(gaps), target)) + 1e-9
 
     @staticmethod
@@ -48,23 +50,37 @@ class MultiIndex:
                 c[j] = x[near == j].mean(axis=0)
         return c
 
-    def distances(self, u: np.ndarray) -> np.ndarray:
-        """Squared distances to the centroids of all cells, in the order of the cells' numbers."""
-        a, b = (-2 * x @ c.T + (c * c).sum(axis=1) for x, c in zip((u[:, : self.half], u[:, self.half :]), self.books, strict=True))
-        return (a[:, :, None] + b[:, None, :]).reshape(len(u), -1)
+    def halves(self, u: np.ndarray) -> list[np.ndarray]:
+        """Squared distances of both halves to their centroids, but for what is the same for all of them."""
+        return [-2 * x @ c.T + (c * c).sum(axis=1) for x, c in zip((u[:, : self.half], u[:, self.half :]), self.books, strict=True)]
 
     def probes(self, u: np.ndarray) -> list[np.ndarray]:
         """The cells that a multi-sequence traversal visits, nearest first, up to ``radius`` beyond the nearest.
 
-        The two sorted lists of half distances are walked in order of their sum. The pair of ranks (p, q) comes
-        after (p + 1)(q + 1) - 1 others, so the walk's order is that of the sums; all cells within the radius are taken.
+        Each half's centroids are sorted by distance. The pair of ranks (0, 0) is the nearest cell; a heap holds the pairs whose
+        predecessors (p - 1, q) and (p, q - 1) are both out, and gives the next nearest, until that is beyond the radius. So a vector
+        costs two sorts of k numbers and a heap of the cells it visits, and the grid is never laid out.
         """
-        d = self.distances(u)
-        out = []
-        for row in d:
-            order = np.argsort(row, kind="stable")
-            out.append(order[row[order] <= row[order[0]] + self.radius].astype(np.int32))
-        return out
+        ranked = []
+        for d in self.halves(u):
+            order = np.argsort(d, axis=1, kind="stable")
+            ranked.append((order.tolist(), np.take_along_axis(d, order, axis=1).tolist()))
+        (left, x), (right, y) = ranked
+        return [self._walk(*row) for row in zip(left, x, right, y, strict=True)]
+
+    def _walk(self, left: list[int], x: list[float], right: list[int], y: list[float]) -> np.ndarray:
+        limit = x[0] + y[0] + self.radius
+        heap, out, width = [(x[0] + y[0], 0, 0)], [], self.k[1]
+        reached = [0] * len(x)  # reached[p]: pairs (p, q) with smaller q are out
+        while heap and heap[0][0] <= limit:
+            _, p, q = heapq.heappop(heap)
+            out.append(left[p] * width + right[q])
+            reached[p] = q + 1
+            if q + 1 < len(y) and (p == 0 or reached[p - 1] > q + 1):
+                heapq.heappush(heap, (x[p] + y[q + 1], p, q + 1))
+            if p + 1 < len(x) and reached[p + 1] == q:
+                heapq.heappush(heap, (x[p + 1] + y[q], p + 1, q))
+        return np.array(out, np.int32)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -133,13 +149,14 @@ def vector_links(vectors: DataFrame, threshold: float = 0.98, target_recall: flo
         y, q = np.flatnonzero(~ask), np.flatnonzero(ask)
         node, links, to = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if len(y) and len(q):
-            visits = np.zeros((len(y), cells), bool)
             probes = table.column("probes").combine_chunks().take(pa.array(y))
-            visits[np.repeat(np.arange(len(y)), np.diff(probes.offsets.to_numpy())), probes.flatten().to_numpy()] = True
+            visits = np.repeat(np.arange(len(y)), np.diff(probes.offsets.to_numpy())) * cells + probes.flatten().to_numpy()
             hit = u[q] @ u[y].T >= threshold
             hit &= rep[q][:, None] != rep[y][None, :]
             # met in both cells: counted where the smaller id asks
-            hit &= (rep[q][:, None] < rep[y][None, :]) | ~visits[:, own[q]].T
+            i, j = np.nonzero(hit)
+            both = (rep[q[i]] > rep[y[j]]) & np.isin(j * cells + own[q[i]], visits)
+            hit[i[both], j[both]] = False
             if hit.any():
                 node += [rep[q], rep[y]]
                 links += [hit @ weight[y], hit.T @ weight[q]]
