@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .sequence import DAY_MS, last_events
+from .similarity import block_top_k
 
 
 def by_score(*tie: str) -> Window:
@@ -34,7 +35,7 @@ def recent(hist: DataFrame, half_life_days: float = 0.0, n: int = 50) -> DataFra
 
 
 def item_cf(hist: DataFrame, sim: DataFrame, seen: DataFrame, budget: int, half_life_days: float = 90.0, n: int = 50) -> DataFrame:
-    """Decayed sums of the similarities of neighbours of the history."""
+    """Decayed sums of the similarities of neighbours of the history; :func:`refill` tops them up before fusion."""
     s = recent(hist, half_life_days, n).join(sim.select("item_id", "neighbor", "sim"), "item_id")
     s = s.groupBy("user_id", F.col("neighbor").alias("item_id")).agg(F.sum(F.col("decay") * F.col("sim")).alias("score"))
     return best(unseen(s, seen), budget)
@@ -105,6 +106,20 @@ def hot_items(hist: DataFrame, hot: DataFrame, seen: DataFrame, k: int = 5) -> D
     return cand.select("user_id", "item_id", (1 / F.col("rank")).alias("score"), "rank")
 
 
+def vector(hist: DataFrame, items: DataFrame, seen: DataFrame, budget: int, n: int = 50) -> DataFrame:
+    """Unseen items of the highest inner product with the mean vector of the last ``n`` events' items: ``items(item_id, v)``.
+
+    Each user asks for ``budget`` and as many more as have been seen, so leaving those out keeps the first ``budget`` exactly.
+    Users none of whose items has a vector have no rows.
+    """
+    each = last_events(hist, n).join(items, "item_id").select("user_id", F.posexplode("v").alias("d", "x"))
+    mean = each.groupBy("user_id", "d").agg(F.avg(F.col("x").cast("double")).alias("x")).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("q"))
+    seen_n = seen.groupBy("user_id").agg(F.count("*").alias("seen_n"))
+    ask = mean.join(seen_n, "user_id", "left").select(F.lit(0).alias("part"), F.col("user_id").alias("record"), "q", (F.coalesce("seen_n", F.lit(0)) + budget).alias("k"))
+    near = block_top_k(ask, items.select(F.lit(0).alias("part"), "item_id", "v")).withColumnRenamed("record", "user_id")
+    return best(unseen(near.drop("rank"), seen), budget)
+
+
 def refill(pool: DataFrame, hist: DataFrame, hot: DataFrame, seen: DataFrame, budget: int, score: float = -1.0) -> DataFrame:
     """``pool`` topped up with unseen popular items that it lacks, up to ``budget`` a user."""
     users = hist.groupBy("user_id").agg(F.count("*").alias("seen_n"))

@@ -33,12 +33,14 @@ def random_negatives(records: DataFrame, catalogue: DataFrame, known: DataFrame,
     return cand.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("user_id", "item_id", "place")
 
 
-def mixed_negatives(pool: DataFrame, fallback: DataFrame, known: DataFrame, k: int = 4, seed: int = 0) -> DataFrame:
-    """Two of pool ranks 11 to 25, two of 26 to 50, then the rest of the pool, then ``fallback``; never known or twice."""
+def mixed_negatives(pool: DataFrame, fallback: DataFrame, known: DataFrame, k: int = 4, seed: int = 0, quota: int = 2) -> DataFrame:
+    """``quota`` of pool ranks 11 to 25, ``quota`` of 26 to 50; what the bands lack of that comes from the rest of the pool, all else from ``fallback``; never known or twice."""
     band = F.when(F.col("rank").between(11, 25), 0).when(F.col("rank").between(26, 50), 1).otherwise(2)
     p = pool.join(known.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti").withColumn("band", band)
-    w = Window.partitionBy("user_id", "band").orderBy(F.xxhash64(F.lit(seed), "user_id", "item_id"), "item_id")
-    p = p.withColumn("n", F.row_number().over(w)).withColumn("tier", F.when((F.col("band") < 2) & (F.col("n") <= 2), F.col("band")).otherwise(2))
+    by = lambda *c: Window.partitionBy("user_id", *c).orderBy(F.xxhash64(F.lit(seed), "user_id", "item_id"), "item_id")
+    p = p.withColumn("n", F.row_number().over(by("band"))).withColumn("tier", F.when((F.col("band") < 2) & (F.col("n") <= quota), F.col("band")).otherwise(2))
+    got = F.sum((F.col("tier") < 2).cast("int")).over(Window.partitionBy("user_id"))
+    p = p.withColumn("got", got).withColumn("n", F.row_number().over(by("tier"))).where((F.col("tier") < 2) | (F.col("n") <= 2 * quota - F.col("got")))
     f = fallback.select("user_id", "item_id", F.lit(3).alias("tier"), F.col("place").alias("n"))
     all_ = p.select("user_id", "item_id", "tier", "n").unionByName(f).groupBy("user_id", "item_id").agg(F.min(F.struct("tier", "n")).alias("at"))
     all_ = all_.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy("at", "item_id"))).where(F.col("place") <= k)

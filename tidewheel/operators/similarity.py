@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,8 +13,8 @@ from .sequence import DAY_MS
 def cosine_iuf(train: DataFrame, k: int | None = None) -> DataFrame:
     """Inverse-user-frequency cosine of items that users share: ``item_id, neighbor, sim, rank``, the first ``k`` by (-sim, neighbor).
 
-    A pair is formed once, with item_id < neighbor, within a user and mirrored after the sum. Its cost is the square of a
-    user's events, so a very active user's pairs are spread by the item, not by the user.
+    A pair is formed once, with item_id < neighbor, within a user and mirrored after the sum. The cost is the square of a
+    user's items; what a very active user has is joined in that user's task, which adaptive execution may split.
     """
     deg = train.groupBy("user_id").agg(F.count("*").alias("du"))
     items = train.groupBy("item_id").agg(F.count("*").alias("di"))
@@ -60,25 +62,64 @@ def unit(v: str | Column) -> Column:
     return F.transform(c, lambda x: x / F.when(n > 0, n).otherwise(1.0))
 
 
-def same_label_neighbors(vectors: DataFrame, k: int) -> DataFrame:
-    """The ``k`` nearest other vectors of the same label by inner product."""
-    a = vectors.select(F.col("vec_id").alias("item_id"), "label", F.col("embedding").alias("v"))
-    b = vectors.select(F.col("vec_id").alias("neighbor"), "label", F.col("embedding").alias("u"))
-    s = a.join(b, "label").where("item_id <> neighbor").select("item_id", "neighbor", dot("v", "u").alias("sim"))
-    w = Window.partitionBy("item_id").orderBy(F.round("sim", 9).desc(), "neighbor")
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+#: Vectors and queries of a block product; a task holds a table of both.
+BLOCK_VECTORS, BLOCK_QUERIES = 8192, 512
 
 
-def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, blocks: int = 32) -> DataFrame:
-    """The ``k`` highest inner products of every query with the vectors: ``record, item_id, score, rank``.
+def block_top_k(queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """The first ``k`` vectors of each query by inner product: ``record, item_id, score, rank``.
 
-    ``queries(record, q)``. The vectors are dealt into ``blocks``; queries are copied to each, so neither side is broadcast.
+    ``queries(part, record, q, k)`` and ``vectors(part, item_id, v)``, compared where the parts are equal. Each part's
+    vectors and queries are dealt by hash into blocks, as many as their counts need; a pair of blocks is one matrix product in one task,
+    of which only each query's first ``k`` leave. So a vector is copied once for 512 queries, not paired with each.
     """
-    v = vectors.select(F.col("vec_id").alias("item_id"), "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("b"))
-    q = queries.withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-    s = q.join(v, "b").select("record", "item_id", dot("q", "embedding").alias("score"))
-    w = Window.partitionBy("record").orderBy(F.round("score", 9).desc(), "item_id")
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    n_v = vectors.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_VECTORS).cast("int").alias("vb"))
+    n_q = queries.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("qb"))
+    n = n_v.join(n_q, "part")
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    kind = dict(queries.dtypes)["record"]
+    double = lambda c: F.col(c).cast("array<double>").alias("x")
+    v = vectors.join(n, "part").select("part", own("item_id", "vb").alias("i"), every("qb").alias("j"), F.lit(None).cast(kind).alias("record"), "item_id", double("v"), F.lit(0).alias("k"))
+    q = queries.join(n, "part").select("part", every("vb").alias("i"), own("record", "qb").alias("j"), "record", F.lit(None).cast(dict(vectors.dtypes)["item_id"]).alias("item_id"), double("q"), F.col("k").cast("int").alias("k"))
+
+    def product(t: pa.Table) -> pa.Table:
+        k = t.column("k").to_numpy()
+        x = t.column("x").combine_chunks().flatten().to_numpy().reshape(len(k), -1)
+        ask, have = np.flatnonzero(k > 0), np.flatnonzero(k == 0)
+        score = np.round(x[ask] @ x[have].T, 9)
+        item = t.column("item_id").to_numpy(zero_copy_only=False)[have]
+        who, what, value = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for r, n_best in zip(range(len(ask)), k[ask], strict=True):
+            some = np.arange(len(have))
+            if n_best < len(have):
+                some = np.flatnonzero(score[r] >= np.partition(score[r], len(have) - n_best)[len(have) - n_best])
+            best = some[np.lexsort((item[some], -score[r][some]))][:n_best]
+            who.append(np.full(len(best), ask[r]))
+            what.append(have[best])
+            value.append(score[r][best])
+        take = lambda c, at: t.column(c).take(pa.array(np.concatenate(at)))
+        return pa.table({"record": take("record", who), "k": take("k", who), "item_id": take("item_id", what), "score": pa.array(np.concatenate(value))})
+
+    found = v.unionByName(q).groupBy("part", "i", "j").applyInArrow(product, f"record {kind}, k int, item_id {dict(vectors.dtypes)['item_id']}, score double")
+    w = Window.partitionBy("record").orderBy(F.col("score").desc(), "item_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col("k")).select("record", "item_id", "score", "rank")
+
+
+def same_label_neighbors(vectors: DataFrame, k: int) -> DataFrame:
+    """The ``k`` nearest other vectors of the same label by inner product; ids are unique."""
+    known = vectors.where("label is not null")
+    q = known.select(F.col("label").alias("part"), F.col("vec_id").alias("record"), F.col("embedding").alias("q"), F.lit(k + 1).alias("k"))
+    near = block_top_k(q, known.select(F.col("label").alias("part"), F.col("vec_id").alias("item_id"), F.col("embedding").alias("v")))
+    w = Window.partitionBy("record").orderBy("rank")
+    near = near.where("record <> item_id").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return near.select(F.col("record").alias("item_id"), F.col("item_id").alias("neighbor"), F.col("score").alias("sim"), "rank")
+
+
+def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """The ``k`` highest inner products of every query with the vectors: ``record, item_id, score, rank``, for ``queries(record, q)``."""
+    q = queries.select(F.lit(0).alias("part"), "record", "q", F.lit(k).alias("k"))
+    return block_top_k(q, vectors.select(F.lit(0).alias("part"), F.col("vec_id").alias("item_id"), F.col("embedding").alias("v")))
 
 
 def popular_in_category(items: DataFrame, n: int) -> DataFrame:

@@ -19,9 +19,12 @@ PARTS = {
     "sim": """sim AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(sim, 9) DESC, neighbor) AS rank FROM simall) WHERE rank <= 30)""",
     "recent": """recent AS (SELECT *, power(2.0, -((max(ts) OVER (PARTITION BY user_id) - ts) / 86400000.0) / 90.0) AS decay FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, item_id DESC) AS back FROM hist) WHERE back <= 50)""",
-    "cf": """cf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM (
+    "cfraw": """cfraw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM (
   SELECT r.user_id, s.neighbor AS item_id, sum(r.decay * s.sim) AS score FROM recent r JOIN sim s USING (item_id)
   WHERE NOT EXISTS (SELECT 1 FROM hist h WHERE h.user_id = r.user_id AND h.item_id = s.neighbor) GROUP BY 1, 2)) WHERE rank <= 75)""",
+    "cf": """cf AS (SELECT user_id, item_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY tier, spot) AS rank FROM (
+  SELECT user_id, item_id, score, 0 AS tier, rank AS spot FROM cfraw UNION ALL
+  SELECT user_id, item_id, -1.0, 1, hot_rank FROM unseen u WHERE NOT EXISTS (SELECT 1 FROM cfraw f WHERE f.user_id = u.user_id AND f.item_id = u.item_id))) WHERE rank <= 75)""",
     "pref": """pref AS (SELECT user_id, category, cnt / CAST(len AS DOUBLE) AS share FROM (SELECT user_id, category, count(*) AS cnt, sum(count(*)) OVER (PARTITION BY user_id) AS len,
   row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, category) AS place FROM recent GROUP BY 1, 2) WHERE place <= 3)""",
     "cat": """cat AS (SELECT user_id, item_id, score, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM (
@@ -34,7 +37,19 @@ PARTS = {
     "stacked": """stacked AS (SELECT 'cf' AS channel, 2.0 AS w, user_id, item_id, score, rank FROM cf UNION ALL SELECT 'category', 0.7, user_id, item_id, score, rank FROM cat
   UNION ALL SELECT 'hot', 0.05, user_id, item_id, CAST(score AS DOUBLE), rank FROM hot5)""",
     "fused": """fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM (
-  SELECT user_id, item_id, sum(CAST(w AS DOUBLE) / (60 + rank)) AS score FROM stacked GROUP BY 1, 2)) WHERE rank <= 75)""",
+  SELECT user_id, item_id, sum(CAST(w AS DOUBLE) / (60 + place)) AS score FROM (SELECT *, row_number() OVER (PARTITION BY channel, user_id ORDER BY round(CAST(score AS DOUBLE), 9) DESC, item_id) AS place FROM stacked) GROUP BY 1, 2)) WHERE rank <= 75)""",
+    "vec": """vec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM (
+  SELECT r.user_id, b.vec_id AS item_id, avg(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) AS score FROM recent r JOIN embeddings a ON a.vec_id = r.item_id, embeddings b
+  WHERE NOT EXISTS (SELECT 1 FROM hist h WHERE h.user_id = r.user_id AND h.item_id = b.vec_id) GROUP BY 1, 2)) WHERE rank <= 75)""",
+    "four": """four AS (SELECT user_id, item_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM (
+  SELECT user_id, item_id, sum(CAST(w AS DOUBLE) / (60 + place)) AS score FROM (SELECT *, row_number() OVER (PARTITION BY w, user_id ORDER BY round(CAST(score AS DOUBLE), 9) DESC, item_id) AS place FROM (
+  SELECT CASE channel WHEN 'cf' THEN 1.0 ELSE w END AS w, user_id, item_id, score FROM stacked UNION ALL SELECT 1.5, user_id, item_id, score FROM vec)) GROUP BY 1, 2)) WHERE rank <= 75)""",
+    "pool4": """pool4 AS (SELECT user_id, item_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY tier, spot) AS rank FROM (
+  SELECT user_id, item_id, score, 0 AS tier, rank AS spot FROM four UNION ALL
+  SELECT user_id, item_id, -1.0, 1, hot_rank FROM unseen u WHERE NOT EXISTS (SELECT 1 FROM four f WHERE f.user_id = u.user_id AND f.item_id = u.item_id))) WHERE rank <= 75)""",
+    "reach": """reach AS (SELECT 'hot' AS channel, user_id, item_id FROM tgt WHERE item_id IN (SELECT item_id FROM hot) UNION SELECT 'cf', user_id, item_id FROM tgt WHERE item_id IN (SELECT item_id FROM hot)
+  UNION SELECT 'cf', t.user_id, t.item_id FROM tgt t JOIN recent r USING (user_id) JOIN sim s ON s.item_id = r.item_id AND s.neighbor = t.item_id
+  UNION SELECT 'category', t.user_id, t.item_id FROM tgt t JOIN part ON p_partkey = t.item_id JOIN pref p ON p.user_id = t.user_id AND p.category = p_type WHERE t.item_id IN (SELECT item_id FROM hot))""",
     "pool": """pool AS (SELECT user_id, item_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY tier, spot) AS rank FROM (
   SELECT user_id, item_id, score, 0 AS tier, rank AS spot FROM fused UNION ALL
   SELECT user_id, item_id, -1.0, 1, hot_rank FROM unseen u WHERE NOT EXISTS (SELECT 1 FROM fused f WHERE f.user_id = u.user_id AND f.item_id = u.item_id))) WHERE rank <= 75)""",
@@ -45,7 +60,7 @@ PARTS = {
 }
 NEEDS = {
     "ded": ["inter"], "seq": ["ded"], "fw": ["seq"], "train": ["fw"], "tgt": ["fw"], "hist": ["fw"], "hot": ["train"], "simall": ["train"], "sim": ["simall"],
-    "recent": ["hist"], "cf": ["recent", "sim", "hist"], "pref": ["recent"], "cat": ["pref", "hot", "hist"], "unseen": ["hist", "hot"], "hot5": ["unseen"],
+    "recent": ["hist"], "cfraw": ["recent", "sim", "hist"], "cf": ["cfraw", "unseen"], "vec": ["recent", "hist"], "four": ["stacked", "vec"], "pool4": ["four", "unseen"], "reach": ["tgt", "hot", "recent", "sim", "pref"], "pref": ["recent"], "cat": ["pref", "hot", "hist"], "unseen": ["hist", "hot"], "hot5": ["unseen"],
     "stacked": ["cf", "cat", "hot5"], "fused": ["stacked"], "pool": ["fused", "unseen"], "um": ["tgt", "pool"],
 }
 

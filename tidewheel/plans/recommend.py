@@ -6,16 +6,19 @@ from collections.abc import Mapping
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewheel.operators import channels, clean, fusion, sequence, similarity, stats
 from tidewheel.sources.interactions import star_interactions
 
+from .shared import stored
+
 NEIGHBORS, BUDGET, HALF_LIFE = 30, 75, 90.0
 WEIGHTS: Mapping[str, float] = {"cf": 2.0, "category": 0.7, "hot": 0.05}
 
 
 class Tables:
-    """Lazily built frames over one data folder; each is a plan, nothing is computed until it is used."""
+    """Lazily built frames over one data folder. The split log and the popularity table, which most plans read several times, are stored on first use; the others are plans."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -34,7 +37,7 @@ class Tables:
 
     @cached_property
     def fw(self) -> DataFrame:
-        return sequence.future_window(self.ded)
+        return stored(sequence.future_window(self.ded), "split")
 
     @cached_property
     def train(self) -> DataFrame:
@@ -51,7 +54,7 @@ class Tables:
 
     @cached_property
     def hot(self) -> DataFrame:
-        return stats.popularity(self.train)
+        return stored(stats.popularity(self.train), "hot")
 
     @cached_property
     def dim(self) -> DataFrame:
@@ -61,9 +64,21 @@ class Tables:
     def sim(self) -> DataFrame:
         return similarity.cosine_iuf(self.train, NEIGHBORS)
 
+    @cached_property
+    def known(self) -> DataFrame:
+        """What may not be a negative of the users with targets: their histories and the targets themselves."""
+        return self.fw.where("eligible").select("user_id", "item_id")
+
     @cached_property
     def cf(self) -> DataFrame:
-        return channels.item_cf(self.hist, self.sim, self.hist, BUDGET, HALF_LIFE)
+        """Topped up with popular items at score -1 before fusion, where these take ranks of their own."""
+        return channels.refill(channels.item_cf(self.hist, self.sim, self.hist, BUDGET, HALF_LIFE), self.hist, self.hot, self.hist, BUDGET)
+
+    @cached_property
+    def vector(self) -> DataFrame:
+        """Unseen items nearest to the mean vector of the last items that have one; ``embeddings`` are the items' vectors."""
+        items = self.read("embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("v"))
+        return channels.vector(self.hist, items, self.hist, BUDGET)
 
     @cached_property
     def category(self) -> DataFrame:
@@ -83,6 +98,13 @@ class Tables:
         return channels.refill(fused, self.hist, self.hot, self.hist, BUDGET)
 
 
+    @cached_property
+    def four_channels(self) -> DataFrame:
+        """The pool with the vector channel, at the default weights."""
+        stacked = self.stacked.unionByName(fusion.stack({"vector": self.vector}))
+        return channels.refill(fusion.rrf(stacked, fusion.DEFAULT_WEIGHTS, BUDGET), self.hist, self.hot, self.hist, BUDGET)
+
+
 def recommend(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
     """The first ``k`` items of every user: channels, fusion and refill from the training part of the log."""
     return Tables(spark, sf_dir).pool.where(f"rank <= {int(k)}")

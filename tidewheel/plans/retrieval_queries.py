@@ -42,7 +42,7 @@ def _(t: Tables) -> DataFrame:
   SELECT a.vec_id AS record, b.vec_id AS item_id, list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0)) WHERE rank <= 10""")
 def _(t: Tables) -> DataFrame:
     e = t.read("embeddings")
-    return _r(similarity.vector_top_k(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("record"), F.col("embedding").alias("q")), e, 10, blocks=8), "record", "item_id")
+    return _r(similarity.vector_top_k(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("record"), F.col("embedding").alias("q")), e, 10), "record", "item_id")
 
 
 @query("n_popular_in_category", using("hot", "SELECT item_id, neighbor, CAST(rank AS INTEGER) AS rank FROM (SELECT a.item_id, b.item_id AS neighbor, row_number() OVER (PARTITION BY a.item_id ORDER BY b.cnt DESC, b.item_id) AS rank FROM c a JOIN c b USING (category) WHERE a.item_id <> b.item_id) WHERE rank <= 4", "c AS (SELECT item_id, p_type AS category, cnt FROM hot JOIN part ON p_partkey = item_id)"))
@@ -105,10 +105,20 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     e = t.read("embeddings")
     q = e.groupBy("label", (F.col("vec_id") % 3).alias("interest")).agg(F.min_by("embedding", "vec_id").alias("q"))
-    near = similarity.vector_top_k(q.select(F.struct("label", "interest").alias("record"), "q"), e, 8, blocks=8)
+    near = similarity.vector_top_k(q.select(F.struct("label", "interest").alias("record"), "q"), e, 8)
     return _r(channels.multi_interest(near.select(F.col("record.label").alias("user_id"), F.col("record.interest").alias("interest"), "item_id", "rank"), 12), "user_id", "item_id")
 
 
+@query("f_vector", using("vec", f"SELECT user_id, item_id, round(score, 6) AS score, {_TOP} FROM vec"))
+def _(t: Tables) -> DataFrame:
+    return _r(t.vector, "user_id", "item_id")
+
+
+@query("f_four_channels", using("pool4", f"SELECT user_id, item_id, round(score, 6) AS score, {_TOP} FROM pool4"))
+def _(t: Tables) -> DataFrame:
+    return _r(t.four_channels, "user_id", "item_id")
+
+
 @query("f_refilled_pool", using("pool", f"SELECT user_id, item_id, round(score, 6) AS score, {_TOP} FROM pool"))
 def _(t: Tables) -> DataFrame:
     return _r(t.pool, "user_id", "item_id")
@@ -161,33 +171,40 @@ def _(t: Tables) -> DataFrame:
 # sampling: by hash order, so only properties are checked
 @query("n_random_negatives")
 def _(t: Tables) -> DataFrame:
-    return sampling.random_negatives(t.hist, t.hot, t.hist, 4)
+    return sampling.random_negatives(t.hist, t.hot, t.known, 4)
 
 
 @query("n_mixed_negatives")
 def _(t: Tables) -> DataFrame:
-    return sampling.mixed_negatives(t.pool, sampling.random_negatives(t.hist, t.hot, t.hist, 8), t.hist, 4)
+    return sampling.mixed_negatives(t.pool, sampling.random_negatives(t.hist, t.hot, t.known, 20), t.known, 16)
 
 
 @query("n_cf_negatives")
 def _(t: Tables) -> DataFrame:
-    return sampling.cf_negatives(t.hist, t.sim, t.hist, 4)
+    return sampling.cf_negatives(t.hist, t.sim, t.known, 4)
 
 
 @query("n_weighted_negatives")
 def _(t: Tables) -> DataFrame:
-    return sampling.weighted_negatives(t.hist, t.hot, t.hist, 4)
+    return sampling.weighted_negatives(t.hist, t.hot, t.known, 4)
 
 
-@query("n_negative_audit", "SELECT 0::BIGINT AS repeated, 0::BIGINT AS known, 0::BIGINT AS outside")
+@query("n_negative_audit", using("pool hist hot", """SELECT count(*) FILTER (n > 1) AS repeated, count(*) FILTER (k) AS known, count(*) FILTER (NOT c) AS outside FROM (
+  SELECT user_id, item_id, count(*) AS n, EXISTS (SELECT 1 FROM hist h WHERE h.user_id = g.user_id AND h.item_id = g.item_id) AS k, item_id IN (SELECT item_id FROM hot) AS c FROM g GROUP BY 1, 2)""", """g AS (SELECT user_id, item_id FROM pool WHERE rank <= 4
+  UNION ALL SELECT user_id, item_id FROM pool WHERE rank = 3 AND user_id % 3 = 0 UNION ALL SELECT user_id, max(item_id) FROM hist GROUP BY 1 UNION ALL SELECT DISTINCT user_id, -1 FROM hist WHERE user_id % 5 = 0)"""))
 def _(t: Tables) -> DataFrame:
-    return sampling.negative_audit(sampling.random_negatives(t.hist, t.hot, t.hist, 4), t.hist, t.hot)
+    """Legal lists with faults put in, all of which must be counted."""
+    good = t.pool.where("rank <= 4").select("user_id", "item_id")
+    twice = t.pool.where("rank = 3 and user_id % 3 = 0").select("user_id", "item_id")
+    known = t.hist.groupBy("user_id").agg(F.max("item_id").alias("item_id"))
+    outside = t.hist.where("user_id % 5 = 0").select("user_id").distinct().withColumn("item_id", F.lit(-1).cast(dict(t.hist.dtypes)["item_id"]))
+    return sampling.negative_audit(good.union(twice).union(known).union(outside), t.hist, t.hot)
 
 
 @query("n_bpr_pairs", using("hist", "SELECT user_id, count(*) * 3 AS pairs FROM hist GROUP BY 1"))
 def _(t: Tables) -> DataFrame:
-    rand = sampling.random_negatives(t.hist, t.hot, t.hist, 3)
-    return sampling.bpr_pairs(t.hist, sampling.cf_negatives(t.hist, t.sim, t.hist, 2), rand, 3).groupBy("user_id").agg(F.count("*").alias("pairs"))
+    rand = sampling.random_negatives(t.hist, t.hot, t.known, 3)
+    return sampling.bpr_pairs(t.hist, sampling.cf_negatives(t.hist, t.sim, t.known, 2), rand, 3).groupBy("user_id").agg(F.count("*").alias("pairs"))
 
 
 @query("n_user_sample")

@@ -1,0 +1,27 @@
+"""Tables that several parts of a plan read: written once to the folder that driver and executors share."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; where it is unset on one machine, a temporary one is set for the session."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="tidewheel-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet and read back: computed once however many parts of a plan read it, and no lineage to recompute."""
+    path = os.path.join(shared_dir(df.sparkSession), f"tidewheel-{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
