@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import numbered
+
 
 def positives(df: DataFrame, least: float = 4) -> DataFrame:
     """Ratings of ``least`` and more."""
@@ -72,6 +74,11 @@ def k_core(df: DataFrame, least_user: int = 5, least_item: int = 5, rounds: int
     return df
 
 
+def complete(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """Rows without a null (in ``cols``)."""
+    return df.na.drop(subset=cols)
+
+
 def dense_ids(df: DataFrame, col: str, first: int = 2) -> DataFrame:
     """Dense ids of the distinct values in order, from ``first`` (0 pads, 1 is unknown): ``raw, idx``.
 
@@ -80,7 +87,7 @@ def dense_ids(df: DataFrame, col: str, first: int = 2) -> DataFrame:
     values = df.select(F.col(col).cast("string").alias("raw")).where("raw is not null").distinct()
     if values.where("raw in ('[PAD]', '[UNK]')").limit(1).count():
         raise ValueError("reserved ids occur in the data")
-    return values.withColumn("idx", (F.dense_rank().over(Window.orderBy("raw")) + F.lit(first - 1)).cast("int"))
+    return numbered(values, "idx", F.col("raw")).withColumn("idx", F.col("idx") + F.lit(first - 1))
 
 
 def encode(df: DataFrame, ids: DataFrame, col: str, unknown: int = 1) -> DataFrame:

@@ -189,3 +189,46 @@ def reduced(df: DataFrame, stages: Mapping[str, DataFrame]) -> DataFrame:
 def fingerprint(df: DataFrame) -> DataFrame:
     """Rows and an order-insensitive hash of a table's content."""
     return df.agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64(*df.columns)).alias("hash"))
+
+
+def attribution(stacked: DataFrame, reach: DataFrame, targets: DataFrame, channels: list[str]) -> DataFrame:
+    """What each channel, and their union (``all``), does for the targets: users and targets hit, targets it could reach without its cap, reachable
+    ones beyond the cap, unreachable ones, and mean, least and greatest number of candidates of the users with targets.
+
+    ``reach(channel, user_id, item_id)``: targets in the channel's uncapped set.
+    """
+    truth = targets.select("user_id", "item_id").distinct()
+    names = truth.sparkSession.createDataFrame([(c,) for c in [*channels, "all"]], "channel string")
+    both = lambda d: d.select("channel", "user_id", "item_id").union(d.select(F.lit("all"), "user_id", "item_id")).distinct()
+    on = ["channel", "user_id", "item_id"]
+    hit = both(stacked).withColumn("hit", F.lit(1))
+    can = both(reach).withColumn("can", F.lit(1))
+    t = truth.crossJoin(F.broadcast(names)).join(hit, on, "left").join(can, on, "left").na.fill(0, ["hit", "can"])
+    per = t.groupBy("channel").agg(
+        F.count_distinct(F.when(F.col("hit") == 1, F.col("user_id"))).alias("users_hit"), F.sum("hit").alias("target_hits"), F.sum("can").alias("reachable"),
+        F.sum(F.col("can") * (1 - F.col("hit"))).alias("outside"), F.sum(1 - F.col("can")).alias("unreachable"),
+    )
+    users = truth.select("user_id").distinct().crossJoin(F.broadcast(names))
+    size = users.join(hit.groupBy("channel", "user_id").agg(F.count("*").alias("n")), ["channel", "user_id"], "left").na.fill(0, ["n"])
+    return per.join(size.groupBy("channel").agg(F.round(F.avg("n"), 6).alias("mean_size"), F.min("n").alias("min_size"), F.max("n").alias("max_size")), "channel")
+
+
+def reach_by_length(classes: DataFrame, hist: DataFrame) -> DataFrame:
+    """Users by history length, and how many of them have a target that a neighbour of the history reaches: ``hist_len, users, reached``."""
+    length = hist.groupBy("user_id").agg(F.count("*").alias("hist_len"))
+    per = classes.groupBy("user_id").agg(F.max(F.col("reach").isin("near", "edge").cast("int")).alias("any"))
+    return per.join(length, "user_id").groupBy("hist_len").agg(F.count("*").alias("users"), F.sum("any").alias("reached"))
+
+
+def grouped_delta(paired: DataFrame, group: Column, tolerance: float = 1e-12) -> DataFrame:
+    """``paired(user_id, old, new)`` by group: users, share, means and mean difference; every user is in one group.
+
+    The overall difference must be the groups' differences by their shares, else an error is raised in the rows.
+    """
+    g = paired.withColumn("grp", group)
+    total = g.agg(F.count("*").alias("all_n"), F.avg(F.col("new") - F.col("old")).alias("overall"))
+    out = g.groupBy("grp").agg(F.count("*").alias("users"), F.avg("old").alias("old_mean"), F.avg("new").alias("new_mean"), F.avg(F.col("new") - F.col("old")).alias("delta")).crossJoin(F.broadcast(total))
+    share = F.col("users") / F.col("all_n")
+    back = F.sum(F.col("delta") * share).over(Window.partitionBy(F.lit(0)))  # one row a group
+    whole = F.when(F.col("grp").isNull() | (F.abs(back - F.col("overall")) > tolerance), F.raise_error(F.lit("groups do not give the overall difference"))).otherwise(share)
+    return out.select("grp", "users", whole.cast("double").alias("share"), "old_mean", "new_mean", "delta")

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import numbered
+
 
 def uniform(seed: int, *cols: str) -> Column:
     """A number in (0, 1) by hash."""
@@ -22,7 +24,7 @@ def random_negatives(records: DataFrame, catalogue: DataFrame, known: DataFrame,
 
     Each user starts at a hashed place of a hashed order of the catalogue and walks on, k + known steps at most.
     """
-    order = catalogue.select("item_id").withColumn("at", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), "item_id"), "item_id")))
+    order = numbered(catalogue.select("item_id"), "at", F.xxhash64(F.lit(seed), "item_id"), F.col("item_id"))
     size = order.agg(F.count("*").alias("size"))
     n = known.groupBy("user_id").agg(F.count_distinct("item_id").alias("known_n"))
     u = records.select("user_id").distinct().join(n, "user_id", "left").na.fill(0).crossJoin(F.broadcast(size))
@@ -105,8 +107,8 @@ def negative_audit(neg: DataFrame, known: DataFrame, catalogue: DataFrame) -> Da
 
 def cohorts(users: DataFrame, screen: int, seed: int) -> DataFrame:
     """Users in hash order: the first ``screen`` are the screening cohort, the others confirm."""
-    at = F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), "user_id"), "user_id"))
-    return users.select("user_id").distinct().withColumn("cohort", F.when(at <= screen, "screen").otherwise("confirm"))
+    at = numbered(users.select("user_id").distinct(), "_at", F.xxhash64(F.lit(seed), "user_id"), F.col("user_id"))
+    return at.select("user_id", F.when(F.col("_at") <= screen, "screen").otherwise("confirm").alias("cohort"))
 
 
 def blend(logit: Column, channel: Column) -> Column:

@@ -128,3 +128,14 @@ def spaced(df: DataFrame, k: int) -> DataFrame:
     """``k`` rows at even spacing of a table numbered by ``pos`` from 0: the first, the last and between."""
     at = df.agg(F.max("pos").alias("last")).select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.floor(i * F.col("last") / (k - 1)))).alias("pos")).distinct()
     return df.join(F.broadcast(at), "pos", "left_semi")
+
+
+def intervals(events: DataFrame, bounds: DataFrame, key: str = "user_id", at: str = "pos") -> DataFrame:
+    """``events`` with ``interval``: the number of ``bounds(key, bound)`` at or before ``at`` within the key, from 0.
+
+    Events and bounds are merged in one order of each key and the bounds are counted as they pass, so no event is paired with a bound.
+    """
+    kind = dict(events.dtypes)[at]
+    both = events.withColumn("_at", F.col(at)).withColumn("_tier", F.lit(1)).unionByName(bounds.select(key, F.col("bound").cast(kind).alias("_at"), F.lit(0).alias("_tier")), allowMissingColumns=True)
+    w = Window.partitionBy(key).orderBy("_at", "_tier").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn("interval", F.sum(1 - F.col("_tier")).over(w).cast("int")).where("_tier = 1").drop("_at", "_tier")

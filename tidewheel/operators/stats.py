@@ -8,15 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .sequence import DAY_MS
+from .shared import numbered
 
 
 def popularity(train: DataFrame) -> DataFrame:
     """Items by number of events, ties to smaller ids: ``item_id, cnt, hot_rank``.
 
-    Ranks of a long tail need one order over all items; the table has one row an item and is sorted once.
+    The table has one row an item and is ranked range by range.
     """
     cnt = train.groupBy("item_id").agg(F.count("*").alias("cnt"))
-    return cnt.withColumn("hot_rank", F.row_number().over(Window.orderBy(F.col("cnt").desc(), "item_id")))
+    return numbered(cnt, "hot_rank", F.col("cnt").desc(), F.col("item_id"))
 
 
 def top_items(train: DataFrame, k: int) -> DataFrame:

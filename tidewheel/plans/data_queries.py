@@ -166,9 +166,16 @@ def _(t: Tables) -> DataFrame:
     return both.where("o_orderkey is not null").select("o_orderkey", F.col("user_id").alias("o_custkey"), "last_event")
 
 
-@query("j_boundary_groups", using("seq", "SELECT user_id, pos // 5 AS block, min(ts) AS starts, count(*) AS events FROM seq GROUP BY 1, 2"))
+@query("j_boundary_intervals", using("seq", """SELECT user_id, item_id, CAST(pos AS INTEGER) AS pos, CAST((SELECT count(*) FROM seq b WHERE b.user_id = a.user_id AND b.rating = 5 AND b.pos + 1 <= a.pos) AS INTEGER) AS interval FROM seq a"""))
 def _(t: Tables) -> DataFrame:
-    return sequence.positions(t.ded).groupBy("user_id", F.expr("pos div 5").alias("block")).agg(F.min("ts").alias("starts"), F.count("*").alias("events"))
+    """Positions by the intervals of their user, which end after each rating of 5."""
+    p = sequence.positions(t.ded)
+    return sequence.intervals(p.select("user_id", "item_id", "pos"), p.where("rating = 5").select("user_id", (F.col("pos") + 1).alias("bound")))
+
+
+@query("b_complete_rows", "SELECT doc_id, lang, quality, toxic FROM documents LEFT JOIN labels USING (doc_id) WHERE lang IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL")
+def _(t: Tables) -> DataFrame:
+    return clean.complete(t.read("documents").select("doc_id", "lang").join(t.read("labels").select("doc_id", "quality", "toxic"), "doc_id", "left"))
 
 
 # aggregations
@@ -254,10 +261,13 @@ def _(t: Tables) -> DataFrame:
     return stats.exposure(t.train, 2000, ["ts", "user_id", "item_id"])
 
 
-@query("g_recomputed", using("train", "SELECT item_id, count(*) AS train_cnt, 'left' AS side FROM train WHERE false GROUP BY 1"))
+@query("g_recomputed", using("train", """SELECT item_id, cnt AS train_cnt, side FROM (SELECT item_id, cnt + CAST(item_id % 7 = 0 AS BIGINT) AS cnt, 'left' AS side FROM c WHERE item_id % 7 = 0 OR item_id % 11 = 0
+  UNION ALL SELECT item_id, cnt, 'right' FROM c WHERE item_id % 7 = 0) WHERE side = 'right' OR item_id % 7 = 0""", "c AS (SELECT item_id, count(*) AS cnt FROM train GROUP BY 1)"))
 def _(t: Tables) -> DataFrame:
-    a = t.train.groupBy("item_id").agg(F.count("*").alias("train_cnt"))
-    return stats.differs(a, stats.item_stats(t.train).select("item_id", "train_cnt"))
+    """Kept counts, every seventh of which is off by one, against those recomputed."""
+    off = (F.col("item_id") % 7 == 0).cast("bigint")
+    kept = t.train.groupBy("item_id").agg(F.count("*").alias("train_cnt")).withColumn("train_cnt", F.col("train_cnt") + off)
+    return stats.differs(kept, stats.item_stats(t.train).select("item_id", "train_cnt"))
 
 
 # ordered sequences

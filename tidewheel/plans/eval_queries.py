@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.operators import fusion, metrics, sampling
+from tidewheel.operators import channels, metrics, sampling
 
 from .oracle import using
 from .recommend import BUDGET, Tables
@@ -188,7 +188,39 @@ def _(t: Tables) -> DataFrame:
     return metrics.fingerprint(t.ded)
 
 
-@query("f_recipe_half_lives")
+@query("e_attribution", using("stacked reach", """SELECT channel, users_hit, target_hits, reachable, outside, unreachable, mean_size, min_size, max_size FROM (
+  SELECT channel, count(DISTINCT CASE WHEN h THEN user_id END) AS users_hit, count(*) FILTER (h) AS target_hits, count(*) FILTER (c) AS reachable, count(*) FILTER (c AND NOT h) AS outside, count(*) FILTER (NOT c) AS unreachable FROM (
+    SELECT n.channel, t.user_id, t.item_id, EXISTS (SELECT 1 FROM s WHERE s.channel = n.channel AND s.user_id = t.user_id AND s.item_id = t.item_id) AS h, EXISTS (SELECT 1 FROM r WHERE r.channel = n.channel AND r.user_id = t.user_id AND r.item_id = t.item_id) AS c
+    FROM (SELECT DISTINCT * FROM tgt) t, n) GROUP BY 1) JOIN (SELECT channel, round(avg(k), 6) AS mean_size, min(k) AS min_size, max(k) AS max_size FROM (SELECT n.channel, u.user_id, (SELECT count(*) FROM s WHERE s.channel = n.channel AND s.user_id = u.user_id) AS k FROM (SELECT DISTINCT user_id FROM tgt) u, n) GROUP BY 1) USING (channel)""",
+  """s AS (SELECT channel, user_id, item_id FROM stacked UNION SELECT 'all', user_id, item_id FROM stacked), r AS (SELECT * FROM reach UNION SELECT 'all', user_id, item_id FROM reach), n AS (SELECT unnest(['cf', 'category', 'hot', 'all']) AS channel)"""))
 def _(t: Tables) -> DataFrame:
-    rows = [(k, mode, days) for k, (mode, days) in fusion.RECIPES.items()]
-    return t.spark.createDataFrame(rows, "recipe string, mode string, half_life_days double")
+    on = ["user_id", "item_id"]
+    popular = t.targets.join(t.hot.select("item_id"), "item_id", "left_semi").select(*on)
+    last = channels.recent(t.hist)
+    near = last.join(t.sim.select("item_id", "neighbor"), "item_id").select("user_id", F.col("neighbor").alias("item_id")).distinct()
+    liked = channels.preferred(t.hist.drop("category").join(t.dim.select("item_id", "category"), "item_id"), "category")
+    alike = popular.join(t.dim.select("item_id", "category"), "item_id").join(liked.select("user_id", "category"), ["user_id", "category"], "left_semi").select(*on)
+    reach = {"hot": popular, "cf": popular.union(t.targets.join(near, on, "left_semi").select(*on)), "category": alike}
+    all_ = None
+    for name, d in reach.items():
+        d = d.select(F.lit(name).alias("channel"), *on)
+        all_ = d if all_ is None else all_.union(d)
+    return metrics.attribution(t.stacked, all_.distinct(), t.targets, list(reach))
+
+
+@query("g_reach_by_length", using("tgt hist sim", """SELECT hist_len, count(*) AS users, CAST(sum(reached) AS BIGINT) AS reached FROM (SELECT user_id, count(*) AS hist_len FROM hist GROUP BY 1) JOIN (
+  SELECT user_id, max(CAST(EXISTS (SELECT 1 FROM hist h JOIN sim s ON s.item_id = h.item_id WHERE h.user_id = t.user_id AND s.neighbor = t.item_id) AND NOT EXISTS (SELECT 1 FROM hist h WHERE h.user_id = t.user_id AND h.item_id = t.item_id) AS INTEGER)) AS reached FROM tgt t GROUP BY 1) USING (user_id) GROUP BY 1"""))
+def _(t: Tables) -> DataFrame:
+    return metrics.reach_by_length(metrics.reachability(t.targets, t.hist, t.sim), t.hist)
+
+
+@query("e_exposure_groups", using("pool hot5 tgt hist", """SELECT grp, count(*) AS users, round(count(*) / CAST((SELECT count(*) FROM b) AS DOUBLE), 6) AS share, round(avg(o), 6) AS old_mean, round(avg(n), 6) AS new_mean, round(avg(n - o), 6) AS delta FROM b GROUP BY 1""",
+  """b AS (SELECT user_id, CASE WHEN len <= 5 THEN 'short' WHEN len <= 20 THEN 'middle' ELSE 'long' END AS grp, CAST(EXISTS (SELECT 1 FROM hot5 h JOIN tgt USING (user_id, item_id) WHERE h.user_id = u.user_id) AS DOUBLE) AS o,
+  CAST(EXISTS (SELECT 1 FROM pool p JOIN tgt USING (user_id, item_id) WHERE p.user_id = u.user_id AND p.rank <= 5) AS DOUBLE) AS n FROM (SELECT user_id, count(*) AS len FROM hist GROUP BY 1) u)"""))
+def _(t: Tables) -> DataFrame:
+    hit = lambda ranked, name: t.targets.join(ranked.where("rank <= 5").select("user_id", "item_id"), ["user_id", "item_id"], "left_semi").select("user_id").distinct().withColumn(name, F.lit(1.0))
+    users = t.hist.groupBy("user_id").agg(F.count("*").alias("len"))
+    paired = users.join(hit(t.hot5, "old"), "user_id", "left").join(hit(t.pool, "new"), "user_id", "left").na.fill(0.0, ["old", "new"])
+    group = F.when(F.col("len") <= 5, "short").when(F.col("len") <= 20, "middle").otherwise("long")
+    out = metrics.grouped_delta(paired, group)
+    return out.select("grp", "users", *[F.round(c, 6).alias(c) for c in ("share", "old_mean", "new_mean", "delta")])

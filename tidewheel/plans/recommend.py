@@ -9,10 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.operators import channels, clean, fusion, sequence, similarity, stats
+from tidewheel.operators.shared import stored
 from tidewheel.sources.interactions import star_interactions
 
-from .shared import stored
-
 NEIGHBORS, BUDGET, HALF_LIFE = 30, 75, 90.0
 WEIGHTS: Mapping[str, float] = {"cf": 2.0, "category": 0.7, "hot": 0.05}
 
