@@ -54,10 +54,10 @@ def near(a, n_edits, seed):
 def test_top_k_matches_brute_force(spark):
     rng = np.random.default_rng(0)
     rows = [(i, (rng.standard_normal(8) * rng.choice([0.01, 1])).astype(float).tolist(), "x") for i in range(300)]
-    rows += [(300, None, "x"), (301, [None] * 8, "x"), (302, [math.inf] * 8, "x"), (303, [math.nan] * 8, "x"), (304, [0.0] * 8, "x"), (305, rows[7][1], "x"), (None, rows[3][1], "x")]
+    rows += [(300, None, "x"), (301, [None] * 8, "x"), (302, [math.inf] * 8, "x"), (303, [math.nan] * 8, "x"), (304, [0.0] * 8, "x"), (306, [1e300] * 8, "x"), (305, rows[7][1], "x"), (None, rows[3][1], "x")]
     e = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank string")
     got = sorted(map(tuple, top_k(e, e.where("vec_id % 20 = 0"), 20).collect()))
-    v = {i: np.floor(64 * np.array(x)).astype(int) for i, x, _ in rows if i is not None and i not in (300, 301, 302, 303)}
+    v = {i: np.floor(64 * np.array(x)).astype(int) for i, x, _ in rows if i is not None and i not in (300, 301, 302, 303, 306)}
     want = []
     for q in sorted(v):
         if q % 20 == 0:
@@ -68,6 +68,26 @@ def test_top_k_matches_brute_force(spark):
     assert top_k(e.where("vec_id < 3"), e.where("vec_id = 0"), 20).count() == 2
 
 
+def test_impact_index_touches_fewer_postings_and_bounds_hold():
+    rng = np.random.default_rng(11)
+    v = np.floor(64 * (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(rng.standard_normal((6000, 64)) * rng.choice([0.2, 1, 3], 64))).astype(np.int64)
+    v[100:140] = v[:40]  # ties
+    index, ids = ImpactIndex(v), rng.permutation(6000)
+    got = index.search(v[:60], 20, ids[:60], ids)
+    for i, (rows, scores) in enumerate(got):
+        s = (v @ v[i]).astype(float)
+        s[i] = -np.inf
+        best = np.lexsort((ids, -s))[:20]
+        assert rows.tolist() == best.tolist() and scores.tolist() == s[best].tolist()
+    assert index.touched < 0.9 * index.size * 60
+
+
+def test_impact_index_with_huge_and_zero_components():
+    v = np.array([[2**28, -(2**28), 0], [2**28, 2**28 - 1, 1], [0, 0, 0], [1, 2, 3]], np.int64)
+    rows, scores = ImpactIndex(v).search(v[:1], 3, np.array([0]), np.arange(4))[0]
+    assert rows.tolist() == [1, 2, 3] and scores.tolist() == [2**28, 0, -(2**28)]
+
+
 def test_impact_index_stops_on_proof():
     rng = np.random.default_rng(1)
     v = rng.integers(-30, 30, (500, 16))

@@ -10,68 +10,84 @@ from pyspark.sql import functions as F
 from .common import salted, spread
 
 #: Vectors of one index shard and queries of one block; a task holds a score table of both.
-SHARD_ROWS, BLOCK_QUERIES = 16384, 512
-#: Stop also when this share of a shard could still be members: rescoring them is then cheaper than another segment.
-RESCORE_SHARE = 1 / 64
+SHARD_ROWS, BLOCK_QUERIES = 16384, 2048
+#: Vectors whose scores are worked on together.
+TILE = 2048
 
 
 def quantised(vector: Column, scale: float) -> Column:
-    """floor(scale * x) of every component; null if the vector is null or holds a null or non-finite one."""
+    """floor(scale * x) of every component; null if the vector is null or holds a null or non-finite one, or one so large that an
+    inner product could leave 64 bits (beyond 2**31 / sqrt(dimensions) once scaled)."""
     x = vector.cast("array<double>")
-    bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf"))))
+    limit = F.lit(2.0**31) / F.sqrt(F.greatest(F.size(x), F.lit(1))) / abs(scale)
+    bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) >= limit - 1))
     return F.when(F.coalesce(~bad, F.lit(False)), F.transform(x, lambda v: F.floor(v * scale)))
 
 
 class ImpactIndex:
-    """Postings of a shard by descending impact.
+    """Posting lists of a shard by descending impact.
 
-    The impact of a component is the bit length of its absolute value. A segment holds the postings (vector,
-    dimension, component) of one impact over all dimensions; what is left after it bounds every score by
-    Cauchy-Schwarz: |q . rest| <= |q| |rest|, with the norm of each vector's rest kept beside the segment.
+    The impact of a component is the bit length of its absolute value. A posting (vector, component) stands in the list of its impact
+    and dimension, in the order of vectors; the lists of one impact are a segment, held one after another. What is left of the vectors after a segment bounds every score by Cauchy-Schwarz:
+    |q . rest| <= |q| |rest|, with the norm of each vector's rest kept beside the segment.
+    ``touched`` counts postings times queries that were added up, of ``size`` postings a query.
     """
 
     def __init__(self, vectors: np.ndarray):
         self.vectors = vectors
+        n, d = vectors.shape
         level = np.frexp(np.abs(vectors).astype(np.float64))[1]
         level[vectors == 0] = 0
-        self.segments = []
-        rest = vectors.astype(np.float64)
+        self.segments, self.size, self.touched = [], int((level > 0).sum()), 0
+        rest = (vectors.astype(np.float64) ** 2).sum(axis=1)
         for impact in sorted(set(level[level > 0].tolist()), reverse=True):
-            segment = np.where(level == impact, vectors, 0)
-            rest = rest - segment
-            self.segments.append((segment, np.sqrt((rest * rest).sum(axis=1))))
+            dim, row = np.nonzero(level.T == impact)  # by dimension, vectors ascending
+            value = vectors[row, dim].astype(np.float64)
+            rest = rest - np.bincount(row, value * value, n)
+            # where each list reaches each tile of vectors: a tile's scores stay in the processor's cache while its lists are added
+            edge = np.append(np.arange(0, n, TILE), n)
+            at = np.searchsorted(dim * n + row, np.arange(d)[:, None] * n + edge)
+            self.segments.append((at, row, value, np.sqrt(np.maximum(rest, 0))))
 
     def search(self, queries: np.ndarray, k: int, own: np.ndarray, ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Of every query, row numbers and scores of its ``k`` best (ties to smaller ids); ``own``: the id it must not return."""
+        """Of every query, row numbers and scores of its ``k`` best (ties to smaller ids); ``own``: the id it must not return.
+
+        A segment's lists are added to the scores of all queries that are still open. Only vectors whose upper bound reaches the
+        k-th best lower bound can be among a query's best; it is closed when there are so few that scoring them again costs no more than
+        half of the postings to come. Bounds are in double precision with room for its rounding, and whoever may be a member is scored again in integers.
+        """
         n = len(self.vectors)
         norm = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
-        bound = float(np.abs(queries).max(initial=0)) * float(np.abs(self.vectors).max(initial=0)) * queries.shape[1]
-        kind = np.float32 if bound < 2**23 else np.float64  # sums are whole numbers below the mantissa: exact
-        if bound >= 2**52:
-            raise OverflowError("components too large for exact scores")
-        q = queries.astype(kind)
-        score = np.zeros((len(queries), n), kind)
-        mine = own[:, None] == ids[None, :]
-        alive = np.ones(len(queries), bool)
-        members: list[np.ndarray] = [np.arange(n)] * len(queries)
+        length = np.sqrt((self.vectors.astype(np.float64) ** 2).sum(axis=1))
+        score = np.zeros((n, len(queries)))
+        live = np.arange(len(queries))  # queries of the columns of ``score``
+        q = queries.T.astype(np.float64)
+        members: list[np.ndarray | None] = [None] * len(queries)
         want = min(k, n)
-        for segment, rest in self.segments:
-            at = np.flatnonzero(alive)
-            if not len(at):
+        to_come = self.size
+        for at, row, value, rest in self.segments:
+            if not len(live):
                 break
-            score[at] += q[at] @ segment.T.astype(kind)
-            slack = norm[at, None].astype(kind) * rest[None, :].astype(kind) * kind(1.0001)
-            low = np.where(mine[at], -np.inf, score[at] - slack)
-            # the k-th best lower bound: whoever's upper bound is below is no member
-            floor = np.partition(low, n - want, axis=1)[:, n - want] if want < n else np.full(len(at), -np.inf)
-            maybe = (score[at] + slack >= floor[:, None]) & ~mine[at]
-            few = maybe.sum(axis=1) <= max(2 * k, n * RESCORE_SHARE)
+            to_come -= len(row)
+            for tile in range(at.shape[1] - 1):
+                base = tile * TILE
+                own_scores = score[base : base + TILE]
+                for d, (lo, hi) in enumerate(at[:, tile : tile + 2].tolist()):
+                    if lo < hi:
+                        own_scores[row[lo:hi] - base] += value[lo:hi, None] * q[d]
+            self.touched += len(row) * len(live)
+            slack = (rest[:, None] * (1 + 1e-9) + length[:, None] * 1e-9) * norm[live]
+            mine = ids[:, None] == own[live]
+            low = np.where(mine, -np.inf, score - slack)
+            floor = np.partition(low, n - want, axis=0)[n - want]
+            maybe = (score + slack >= floor) & ~mine
+            few = maybe.sum(axis=0) <= max(2 * k, to_come / 2 / max(1, len(q)))
             for i in np.flatnonzero(few):
-                members[at[i]] = np.flatnonzero(maybe[i])
-                alive[at[i]] = False
+                members[live[i]] = np.flatnonzero(maybe[:, i])
+            live, score, q = live[~few], score[:, ~few], q[:, ~few]
         out = []
         for i in range(len(queries)):
-            m = members[i] if not alive[i] else np.flatnonzero(~mine[i])
+            m = np.flatnonzero(ids != own[i]) if members[i] is None else members[i]
             exact = self.vectors[m] @ queries[i]  # integers
             if len(m) > 4 * k:
                 cut = np.partition(exact, len(m) - k)[len(m) - k]
@@ -85,13 +101,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64
     """The ``k`` highest integer inner products of every query with all other rows: ``query_id, rank, id_col, score``.
 
     Components are floor(``scale`` * x). Candidates are dealt by hash into index shards and queries into
-    blocks; every (shard, block) pair is one task's work, so its memory is fixed and the pairs grow
-    with (rows * queries) / (shard * block) while a row is copied only once a block. Each shard's index is walked
+    blocks; every (shard, block) pair is one task's work, so its memory is fixed, and a row is copied once for each block of
+    ``BLOCK_QUERIES`` queries. Each shard's index is walked
     score-at-a-time, a segment of one impact after another, until for a query it is proved that only few
     vectors can be among the ``k`` best of the shard; those are rescored exactly. The shards' lists then meet in
     one top-k by query.
 
-    Vectors that are null, or hold null or non-finite components, or are empty take no part, nor do null ids.
+    Vectors that are null, or hold null or non-finite components, or components too large for exact scores (see :func:`quantised`), or are empty take no part, nor do null ids.
     Ties go to smaller ids. Rows that share the query's id are its own. Repeated query ids count once, with the
     least of their vectors; repeated candidates are ranked each. All vectors must have the same length.
     """
@@ -112,7 +128,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64
         rows: list = [[], [], []]
         if len(c) and len(q):
             index = ImpactIndex(v[c])
-            step = max(1, 4_000_000 // len(c))
+            step = max(1, 2_000_000 // len(c))
             for lo in range(0, len(q), step):
                 part = q[lo : lo + step]
                 for i, (m, s) in enumerate(index.search(v[part], k, ids[part], ids[c])):
