@@ -65,6 +65,23 @@ def salted(n_blocks: int | Column, *cols: Column | str) -> Column:
     return F.pmod(F.xxhash64(*cols), n).cast("int")
 
 
+#: A key with more than this share of all rows is joined by broadcast; there are fewer than 1 / HOT_SHARE of them.
+HOT_SHARE = 1 / 2000
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
+    """``rows`` inner joined with ``keyed``, which has each key once and its number of rows as ``count``, of ``total``.
+
+    Hot keys, with more than ``HOT_SHARE`` of the rows, are at most 1 / HOT_SHARE rows of ``keyed`` whatever the data, so they are broadcast
+    and their rows stay where they are; the other keys are shuffled and none of them fills a task.
+    """
+    limit = max(1, int(total * HOT_SHARE))
+    hot = keyed.where(F.col(count) > limit)
+    near = rows.join(F.broadcast(hot), on)
+    far = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(keyed.where(F.col(count) <= limit), on)
+    return near.unionByName(far)
+
+
 def word_count(text: Column) -> Column:
     """Words of ``WORD``; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fed, materialize
+from .common import fed, join_hot, materialize
 from .words import Rolling, Words, batches, mix
 
 #: Words of an anchor. A window of L words holds L - ANCHOR + 1 of them; its least hash is the window's anchor.
@@ -61,8 +61,8 @@ def repeated_spans(docs: DataFrame, length: int = 35, text: str = "text", key: s
     of the words are anchors. Extend: an anchor's windows cover a stretch on both sides of it. Where the whole
     stretch occurs again, all its windows are repeats (the maximal case). Where anchors agree and
     stretches differ, one occurrence of each distinct stretch is reread and its windows are compared one by
-    one. Counting is by partial sums, so a passage in a third of all documents is never gathered
-    in one task, and no pairs of occurrences are formed.
+    one. Counting is by partial sums, and counts come back to the rows by :func:`common.join_hot`: a passage in a third of all documents is
+    never gathered in one task, and no pairs of occurrences are formed.
     """
 
     def scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,12 +78,14 @@ def repeated_spans(docs: DataFrame, length: int = 35, text: str = "text", key: s
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null")
     seeds = materialize(rows.mapInArrow(scan, "key long, anchor long, covered long, lo int, more int"), "anchors")
-    again = seeds.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    shared = materialize(seeds.join(again, "anchor"), "shared")
-    stretches = shared.groupBy("anchor", "covered").agg(F.count("*").alias("same"), F.min(F.struct("key", "lo")).alias("one"))
+    again = materialize(seeds.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "again")
+    total = seeds.count()
+    shared = materialize(join_hot(seeds, again, ["anchor"], "n", total).drop("n"), "shared")
+    stretches = materialize(shared.groupBy("anchor", "covered").agg(F.count("*").alias("same"), F.min(F.struct("key", "lo")).alias("one")), "stretches")
     kinds = stretches.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    known = shared.join(stretches, ["anchor", "covered"]).join(kinds, "anchor")
-    known = materialize(known.select("key", "anchor", "lo", "more", "same", "kinds", ((F.col("one.key") == F.col("key")) & (F.col("one.lo") == F.col("lo"))).alias("first")), "stretches")
+    told = join_hot(stretches, kinds, ["anchor"], "kinds", total)
+    known = join_hot(shared, told, ["anchor", "covered"], "same", total)
+    known = materialize(known.select("key", "anchor", "lo", "more", "same", "kinds", ((F.col("one.key") == F.col("key")) & (F.col("one.lo") == F.col("lo"))).alias("first")), "known")
     whole = known.where("same > 1").select("key", "lo", (F.col("lo") + F.col("more") + length).alias("hi"))
 
     # one occurrence of each stretch, of anchors with several
@@ -110,8 +112,8 @@ def repeated_spans(docs: DataFrame, length: int = 35, text: str = "text", key: s
             )
 
     single = materialize(reread.mapInArrow(windows, "key long, anchor long, window long, lo int, open boolean"), "windows")
-    twice = single.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "window")
-    some = single.where("open").join(twice, ["anchor", "window"]).select("key", "lo", (F.col("lo") + length).alias("hi"))
+    twice = single.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1")
+    some = join_hot(single.where("open"), twice, ["anchor", "window"], "n", single.count()).select("key", "lo", (F.col("lo") + length).alias("hi"))
     return whole.union(some)
 
 
