@@ -13,11 +13,11 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from tidewheel.llm import crf, licenses
+from tidewheel.llm import crf, licenses, quality
 from tidewheel.llm.common import connected_components
 from tidewheel.llm.labelled import remainder
 from tidewheel.llm.lines import drop_boilerplate
-from tidewheel.llm.minhash import Settings, drop_near_duplicates, idf_weights, near_duplicates, pair_similarity
+from tidewheel.llm.minhash import Settings, block_links, drop_near_duplicates, idf_weights, near_duplicates, pair_similarity, star_links
 from tidewheel.llm.mixing import apply_mix, mix_sources
 from tidewheel.llm.packing import best_fit, pack_documents, pack_pieces, tokenize_pieces
 from tidewheel.llm.quality import fit_quality, score_quality
@@ -26,6 +26,7 @@ from tidewheel.llm.substring import drop_repeats
 from tidewheel.llm.topk import ImpactIndex, top_k
 from tidewheel.llm.toxicity import fit_toxicity, score_toxicity
 from tidewheel.llm.vectors import MultiIndex, vector_components
+from tidewheel.llm.words import PUNCT, Words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, spans int, key int, n_words int, copies int, node int, n_lines string"
@@ -319,6 +320,77 @@ def test_classifiers_on_held_out_documents_and_odd_ones(spark):
     assert {tagged["text"][a:b] for a, b in tagged["spans"]} <= {"vilest", "vilest dregs", "dregs"} and tagged["spans"]
 
 
+def enumerated(unary, trans):
+    """P(state 1) of every place of one chain, over all labellings."""
+    n, total, one = len(unary), 0.0, np.zeros(len(unary))
+    for code in range(2**n):
+        s = [(code >> i) & 1 for i in range(n)]
+        w = math.exp(sum(u for u, x in zip(unary, s, strict=True) if x) + sum(trans[x, y] for x, y in zip(s, s[1:], strict=False)))
+        total += w
+        one += w * np.array(s)
+    return one / total
+
+
+def test_scores_and_spans_match_enumeration(spark):
+    """Document scores, bad lines and spans of the fitted fields, recomputed from all labellings of short texts."""
+    rows, labels = labelled(spark)
+    docs = spark.createDataFrame([(i, x) for i, x, _ in rows], "doc_id long, text string")
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    short = [(i, "\n".join(x.split("\n")[:3])) for i, x, _ in rows[:12]] + [(100, ""), (101, None), (102, "one\n\ntwo | |")]
+    frame = spark.createDataFrame(short, "doc_id long, text string")
+    q = fit_quality(docs, labels, F.lit(True))
+    got = {r["doc_id"]: r for r in score_quality(frame, q).collect()}
+    for i, text in short:
+        x, size, first = quality.line_features(pa.array([text or ""]))
+        p = enumerated(quality._with_neighbours((x - q.mean) / q.scale, first) @ q.weights, q.trans)
+        want = q.prior
+        if size.sum():
+            m = min(max(float(p @ size) / size.sum(), 1e-4), 1 - 1e-4)
+            want = sigmoid(math.log(m / (1 - m)) * q.link[0] + q.link[1])
+        assert math.isclose(got[i]["score"], want, rel_tol=1e-6) and got[i]["bad_lines"] == [k for k in range(len(p)) if p[k] < 0.5 and size[k]]
+    t = fit_toxicity(docs, labels, F.lit(True))
+    tiny = [(i, " ".join(x.split()[:4] + x.split()[-4:])) for i, x, _ in rows[:12]] + [(100, ""), (101, None), (102, "vilest, dregs vilest é dregs")]
+    got = {r["doc_id"]: r for r in score_toxicity(spark.createDataFrame(tiny, "doc_id long, text string"), t).collect()}
+    for i, text in tiny:
+        w = Words(pa.array([text or ""]), PUNCT, lower=True)
+        p = enumerated(t.unary(w), t.trans) if len(w.start) else np.zeros(0)
+        e = p.sum()
+        z = [math.log(e + 1e-3), 1 - math.exp(-e) * (1 + e), math.log((e + 1e-3) / (len(p) + 10)), 1]
+        assert math.isclose(got[i]["score"], sigmoid(float(np.dot(z, t.link))), rel_tol=1e-6)
+        raw, spans = (text or "").encode(), []
+        for k in np.flatnonzero(p >= 0.5).tolist():
+            a, b = (len(raw[: int(x[k])].decode()) for x in (w.start, w.end))
+            if spans and k - 1 == last:
+                spans[-1] = (spans[-1][0], b)
+            else:
+                spans.append((a, b))
+            last = k
+        assert [tuple(x) for x in got[i]["spans"]] == spans
+    assert any(r["spans"] for r in got.values())
+
+
+def test_texts_beyond_a_segment_and_repeated_labels(spark, monkeypatch):
+    """A text of many segments gives what smaller segments give; an id with both labels counts with each."""
+    from tidewheel.llm import words as module
+
+    text = " ".join(words(3000, 3)) + "\n" + "x" * 5000
+    whole = Words(pa.array([text, None, "", text]))
+    monkeypatch.setattr(module, "SEGMENT", 999)
+    cut = Words(pa.array([text, None, "", text]))
+    assert (whole.hash == cut.hash).all() and (whole.start == cut.start).all() and (whole.end == cut.end).all()
+    monkeypatch.setattr(crf, "PLACES", 50)
+    rng = np.random.default_rng(5)
+    u, trans, first = rng.standard_normal(400) * 3, rng.standard_normal((2, 2)), np.array([0, 10, 390, 400])
+    some = crf.marginals(u, trans, first, 8)[0]
+    monkeypatch.setattr(crf, "PLACES", 1 << 17)
+    assert np.allclose(some, crf.marginals(u, trans, first, 8)[0])
+    rows, labels = labelled(spark)
+    docs = spark.createDataFrame([(i, x) for i, x, _ in rows], "doc_id long, text string")
+    twice = labels.union(labels.where("doc_id < 20").selectExpr("doc_id", "1 - quality", "1 - toxic")).union(labels)
+    for fit, score in ((fit_quality, score_quality), (fit_toxicity, score_toxicity)):
+        assert all(0 <= r["score"] <= 1 for r in score(docs, fit(docs, twice, F.lit(True))).collect())
+
+
 # 6
 def test_drop_repeats_matches_brute_force(spark):
     r = random.Random(7)
@@ -497,6 +569,52 @@ def test_line_dedup(spark):
     assert salted == out
 
 
+def test_block_links_match_all_pairs():
+    rng = random.Random(9)
+    base = words(60, 1)
+    texts = [" ".join(near(base, rng.randrange(0, 9), i) + base[:6] * rng.randrange(3)) for i in range(40)] + [" ".join(words(30, 500 + i)) for i in range(5)] + ["a b"]
+    idf = idf_weights(np.random.default_rng(1).integers(0, 30, 1 << 10), 46, 1.0)
+    s, n = Settings(), len(texts)
+    left, part = np.arange(n) % 3 == 0, np.arange(n) // 2
+    for right in (~left, left, np.ones(n, bool)):
+        want = list(range(n))
+        pairs = [(i, j) for i in range(n) for j in range(n) if i != j and left[i] and right[j] and part[i] != part[j]]
+        sim = pair_similarity(pa.array([texts[i] for i, _ in pairs]), pa.array([texts[j] for _, j in pairs]), s, idf)
+        links = [p for p, v in zip(pairs, sim, strict=True) if v >= 0.8]
+        for _ in range(n):
+            for i, j in links:
+                want[i] = want[j] = min(want[i], want[j])
+        assert block_links(pa.array(texts), left, right, part, s, idf).tolist() == want and links
+    hit = star_links(pa.array(texts), s, idf)
+    sim = pair_similarity(pa.array(texts[:1] * n), pa.array(texts), s, idf)
+    assert hit.tolist() == (sim >= 0.8).tolist()
+
+
+def test_pipeline_end_to_end(spark, tmp_path):
+    """On odd and planted documents, and on none: what each stage must do is seen in the packed ids."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    rows, labels = labelled(spark)
+    plain = [(1000 + i, " ".join(words(60, 900 + i)) + "\nmenu", "s") for i in range(60)]
+    base = words(80, 77)
+    copies = [(2000 + i, " ".join(near(base, i % 2, i)), f"u{i}") for i in range(6)]
+    docs = odd_docs(spark, [*rows, *plain, *copies]).select(*corpus_pipeline.COLUMNS)
+    for name, d in (("odd", docs), ("none", docs.where("false"))):
+        (tmp_path / name).mkdir()
+        d.write.parquet(str(tmp_path / name / "documents.parquet"))
+        labels.write.parquet(str(tmp_path / name / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    out = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
+    t, text = Tokenizer.from_file(tokenizer_path()), {}
+    for r in sorted(out, key=lambda r: (str(r["doc_id"]), r["piece"])):
+        assert r["length"] == len(r["ids"]) <= 2048
+        text[r["doc_id"]] = (text.get(r["doc_id"], "") + t.decode(r["ids"], skip_special_tokens=False)) if r["piece"] else t.decode(r["ids"], skip_special_tokens=False)
+    assert not any("vilest" in x for x in text.values()) and not any("menu" in x.split() for x in text.values())
+    assert len({d for d in text if d in range(2000, 2006)}) <= 1
+    assert 5 not in {r["doc_id"] for r in out if r["length"] > 2048}
+
+
 @pytest.mark.parametrize("name", ["toxicity", "line dedup", "minhash near-dedup", "source mixing", "best-fit packing"])
 def test_pipeline_stages_take_odd_documents(spark, name):
     import corpus_pipeline
