@@ -87,7 +87,8 @@ def block_top_k(queries: DataFrame, vectors: DataFrame) -> DataFrame:
         k = t.column("k").to_numpy()
         x = t.column("x").combine_chunks().flatten().to_numpy().reshape(len(k), -1)
         ask, have = np.flatnonzero(k > 0), np.flatnonzero(k == 0)
-        score = np.round(x[ask] @ x[have].T, 9)
+        exact = x[ask] @ x[have].T
+        score = np.round(exact, 9)
         item = t.column("item_id").to_numpy(zero_copy_only=False)[have]
         who, what, value = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         for r, n_best in zip(range(len(ask)), k[ask], strict=True):
@@ -97,12 +98,12 @@ def block_top_k(queries: DataFrame, vectors: DataFrame) -> DataFrame:
             best = some[np.lexsort((item[some], -score[r][some]))][:n_best]
             who.append(np.full(len(best), ask[r]))
             what.append(have[best])
-            value.append(score[r][best])
+            value.append(exact[r][best])
         take = lambda c, at: t.column(c).take(pa.array(np.concatenate(at)))
         return pa.table({"record": take("record", who), "k": take("k", who), "item_id": take("item_id", what), "score": pa.array(np.concatenate(value))})
 
     found = v.unionByName(q).groupBy("part", "i", "j").applyInArrow(product, f"record {kind}, k int, item_id {dict(vectors.dtypes)['item_id']}, score double")
-    w = Window.partitionBy("record").orderBy(F.col("score").desc(), "item_id")
+    w = Window.partitionBy("record").orderBy(F.round("score", 9).desc(), "item_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col("k")).select("record", "item_id", "score", "rank")
 
 
