@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import numbered
+from .shared import numbered, stored
 
 
 def positives(df: DataFrame, least: float = 4) -> DataFrame:
@@ -59,13 +59,13 @@ def min_degree(df: DataFrame, key: str, least: int) -> DataFrame:
 def k_core(df: DataFrame, least_user: int = 5, least_item: int = 5, rounds: int | None = None) -> DataFrame:
     """Alternate minimum degrees of users and items until nothing goes (or for ``rounds``).
 
-    Each round is written to the checkpoint folder, so the lineage stays short and executors may be lost.
+    Each round is stored in the shared folder, so the lineage stays short and executors may be lost.
     """
     n, done = df.count(), 0
     while rounds is None or done < rounds:
         df = min_degree(min_degree(df, "user_id", least_user), "item_id", least_item)
         if rounds is None:
-            df = df.checkpoint()
+            df = stored(df, "core")
             m = df.count()
             if m == n:
                 return df

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .sequence import DAY_MS
+from .shared import stored
 
 
 def cosine_iuf(train: DataFrame, k: int | None = None) -> DataFrame:
@@ -144,15 +145,16 @@ def hard_negatives(sim: DataFrame, known: DataFrame, n: int) -> DataFrame:
 def propagate(edges: DataFrame, vectors: DataFrame, layers: int = 3) -> DataFrame:
     """Graph convolution of a bipartite graph: mean over the layers of normalised neighbour sums.
 
-    ``edges(a, b)`` with ids of one space and ``vectors(id, v)``; each round is one join, a sum by dimension and a checkpoint.
+    ``edges(a, b)`` with ids of one space and ``vectors(id, v)``; each round is one join and a sum by dimension, stored.
     """
     both = edges.union(edges.select("b", "a"))
     deg = both.groupBy("a").agg(F.count("*").alias("d"))
-    norm = both.join(deg, "a").join(deg.select(F.col("a").alias("b"), F.col("d").alias("e")), "b").select("a", "b", (1 / F.sqrt(F.col("d").cast("double") * F.col("e"))).alias("w")).checkpoint()
+    norm = both.join(deg, "a").join(deg.select(F.col("a").alias("b"), F.col("d").alias("e")), "b").select("a", "b", (1 / F.sqrt(F.col("d").cast("double") * F.col("e"))).alias("w"))
+    norm = stored(norm, "edges")
     now = vectors.select("id", F.posexplode("v").alias("k", "x"))
     total = now
     for _ in range(layers):
-        now = norm.join(now.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id"), "k").agg(F.sum(F.col("w") * F.col("x")).alias("x")).checkpoint()
+        now = stored(norm.join(now.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id"), "k").agg(F.sum(F.col("w") * F.col("x")).alias("x")), "layer")
         total = total.unionByName(now)
     mean = total.groupBy("id", "k").agg((F.sum("x") / (layers + 1)).alias("x"))
     return mean.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("v"))
