@@ -55,16 +55,22 @@ def _(t: Tables) -> DataFrame:
     return similarity.hard_negatives(t.sim, t.hot, 4)
 
 
+@query("j_propagation")
+def _propagated(t: Tables) -> DataFrame:
+    edges = t.train.select((F.col("user_id") * 10 + 1).alias("a"), (F.col("item_id") * 10 + 2).alias("b"))
+    ids = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
+    vec = ids.select("id", F.array(*[F.sin(F.col("id") * k) for k in (1, 2, 3)]).alias("v"))
+    return similarity.propagate(edges, vec)
+
+
 _LAYERS = ", ".join(f"l{n} AS MATERIALIZED (SELECT e.a AS id, v.k, sum(e.w * v.x) AS x FROM e JOIN l{n - 1} v ON v.id = e.b GROUP BY 1, 2)" for n in (1, 2, 3))
 
 
-@query("j_propagation", using("train", "SELECT id, list(round(x, 6) ORDER BY k) AS v FROM (SELECT id, k, sum(x) / 4 AS x FROM (SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3) GROUP BY 1, 2) GROUP BY 1", f"""b AS (SELECT user_id * 10 + 1 AS a, item_id * 10 + 2 AS b FROM train UNION ALL SELECT item_id * 10 + 2, user_id * 10 + 1 FROM train), d AS (SELECT a, count(*) AS d FROM b GROUP BY 1),
+@query("j_propagation_rounded", using("train", "SELECT id, list(round(x, 6) ORDER BY k) AS v FROM (SELECT id, k, sum(x) / 4 AS x FROM (SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3) GROUP BY 1, 2) GROUP BY 1", f"""b AS (SELECT user_id * 10 + 1 AS a, item_id * 10 + 2 AS b FROM train UNION ALL SELECT item_id * 10 + 2, user_id * 10 + 1 FROM train), d AS (SELECT a, count(*) AS d FROM b GROUP BY 1),
   e AS MATERIALIZED (SELECT b.a, b.b, 1 / sqrt(CAST(x.d AS DOUBLE) * y.d) AS w FROM b JOIN d x ON x.a = b.a JOIN d y ON y.a = b.b), l0 AS MATERIALIZED (SELECT a AS id, k - 1 AS k, sin(a * k) AS x FROM d, range(1, 4) AS r(k)), {_LAYERS}"""))
 def _(t: Tables) -> DataFrame:
-    edges = t.train.select((F.col("user_id") * 10 + 1).alias("a"), (F.col("item_id") * 10 + 2).alias("b"))
-    ids = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
-    vec = ids.select("id", F.array(*[F.sin(F.col("id") * k) for k in (1, 2, 3)]).alias("v"))
-    return similarity.propagate(edges, vec).select("id", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
+    """The same vectors to six digits, which SQL states."""
+    return _propagated(t).select("id", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
 
 
 # channels
