@@ -56,7 +56,8 @@ def bands_for(n: int, target: float = BAND_TARGET) -> int:
 
 
 def default_templates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(TEMPLATES)], "template_id int, license string, template string")
+    rows = F.array(*[F.struct(F.lit(i).alias("template_id"), F.lit(a).alias("license"), F.lit(b).alias("template")) for i, (a, b) in enumerate(TEMPLATES)])
+    return spark.range(1).select(F.inline(rows))
 
 
 def _least(hashes: Column, band: int) -> Column:
@@ -96,23 +97,24 @@ def scan_licenses(docs: DataFrame, templates: DataFrame | None = None, containme
     bands = range(bands_for(1))
     t = once(templates, "words", _word_array(F.col("template"))).select("template_id", "license", F.array_distinct(_shingle_hashes(F.col("words"))).alias("t")).where(F.size("t") > 0)
     t = t.select("*", F.array(*[_least(F.col("t"), i) for i in bands]).alias("bands"), F.array(*[_least_shingle(F.col("t"), i) for i in bands]).alias("least"), F.size("t").alias("n"))
-    rows = [r.asDict() for r in t.collect()]  # bounded by the check above
-    if not rows:
+    facts = t.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("least")))).alias("least"), F.sort_array(F.collect_set("n")).alias("lengths")).first()  # bounded by the check above
+    least, lengths = list(facts["least"]), list(facts["lengths"])
+    if not lengths:
         return docs.where("false").select(id_col, F.lit(0).alias("template_id"), F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).alias("word_start"), F.lit(0).alias("word_end"))
-    least = sorted({h for r in rows for h in r["least"]})
-    known = F.broadcast(spark.createDataFrame([(r["template_id"], r["license"], r["t"], r["bands"], r["n"]) for r in rows], "template_id int, license string, t array<bigint>, bands array<bigint>, n int"))
+    known = F.broadcast(t.select("template_id", "license", "t", "bands", F.col("n").alias("tn")))
 
     hashed = once(once(docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")), "words", _word_array(F.col("_text"))).drop("_text"), "h", _shingle_hashes(F.col("words"))).drop("words")
     near = hashed.where(F.arrays_overlap("h", F.lit(least))).withColumn("_row", F.monotonically_increasing_id())
     # windows of each template length: block k starts at shingle k * n
     # the windows that hold a possible band value: a shingle at i stands in the windows i div n and the one before
-    lengths = sorted({r["n"] for r in rows})
     places = F.filter(F.transform("h", lambda h, i: F.when(F.array_contains(F.lit(least), h), i)), lambda i: i.isNotNull())
-    held = once(near, "p", places).withColumn("n", F.explode(F.lit(lengths)))
-    starts = F.array_distinct(F.flatten(F.transform("p", lambda i: F.array(F.floor(i / F.col("n")), F.greatest(F.floor(i / F.col("n")) - 1, F.lit(0).cast("long"))))))
-    windows = held.withColumn("k", F.explode(starts)).withColumn("w", F.slice("h", (F.col("k") * F.col("n") + 1).cast("int"), 2 * F.col("n")))
+    starts = lambda n: F.array_distinct(F.flatten(F.transform("p", lambda i: F.array(F.floor(i / n), F.greatest(F.floor(i / n) - 1, F.lit(0).cast("long"))))))
+    cut = lambda n: lambda k: F.struct(F.lit(n).alias("n"), k.alias("k"), F.slice("h", (k * n + 1).cast("int"), 2 * n).alias("w"))
+    held = [F.transform(starts(n), cut(n)) for n in lengths]
+    # windows leave their text as slices: no row after this carries the whole text
+    windows = once(near, "p", places).select("_id", "_row", F.explode(F.concat(*held)).alias("x")).select("_id", "_row", "x.n", "x.k", "x.w")
     signed = once(windows, "sig", F.array(*[_least(F.col("w"), i) for i in bands])).select("_id", "_row", "n", "k", "w", "sig")
-    found = signed.join(known.withColumnRenamed("n", "tn"), (F.col("n") == F.col("tn")) & F.exists(F.zip_with("sig", "bands", lambda x, y: x == y), lambda x: x))
+    found = signed.join(known, (F.col("n") == F.col("tn")) & F.exists(F.zip_with("sig", "bands", lambda x, y: x == y), lambda x: x))
     hit = found.withColumn("in", F.size(F.array_intersect("w", "t"))).withColumn("containment", F.col("in") / F.col("n")).where(F.col("containment") >= containment)
     at = F.filter(F.transform("w", lambda h, i: F.when(F.array_contains("t", h), i)), lambda i: i.isNotNull())
     spans = hit.withColumn("at", at).select(
