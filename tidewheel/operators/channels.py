@@ -120,16 +120,26 @@ def vector(hist: DataFrame, items: DataFrame, seen: DataFrame, budget: int, n: i
     return best(unseen(near.drop("rank"), seen), budget)
 
 
-def refill(pool: DataFrame, hist: DataFrame, hot: DataFrame, seen: DataFrame, budget: int, score: float = -1.0) -> DataFrame:
-    """``pool`` topped up with unseen popular items that it lacks, up to ``budget`` a user."""
-    users = hist.groupBy("user_id").agg(F.count("*").alias("seen_n"))
-    extra = by_ranks(users, F.col("seen_n") + 2 * budget, hot, "hot_rank")
-    extra = unseen(unseen(extra, seen), pool).select("user_id", "item_id", F.lit(score).alias("score"), "hot_rank", F.lit(1).alias("tier"))
+def legacy_hot(users: DataFrame, hot: DataFrame, k: int = 5, weight: float = 0.1) -> DataFrame:
+    """The first ``k`` popular items for everyone, seen or not: weight * (1 - place / k), places from 0."""
+    u = users.select("user_id").distinct().withColumn("hot_rank", F.explode(F.sequence(F.lit(1), F.lit(k))))
+    return u.join(F.broadcast(hot.where(F.col("hot_rank") <= k)), "hot_rank").select("user_id", "item_id", (weight * (1 - (F.col("hot_rank") - 1) / k)).alias("score"), F.col("hot_rank").alias("rank"))
+
+
+def topped(pool: DataFrame, popular: DataFrame, budget: int, score: float = -1.0) -> DataFrame:
+    """``pool`` and, behind it, what it lacks of ``popular(user_id, item_id, hot_rank)``, up to ``budget`` a user."""
+    extra = unseen(popular, pool).select("user_id", "item_id", F.lit(score).alias("score"), "hot_rank", F.lit(1).alias("tier"))
     all_ = pool.select("user_id", "item_id", "score", F.col("rank").alias("hot_rank"), F.lit(0).alias("tier")).unionByName(extra)
     w = Window.partitionBy("user_id").orderBy("tier", "hot_rank")
     return all_.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= budget).select("user_id", "item_id", "score", "rank")
 
 
+def refill(pool: DataFrame, hist: DataFrame, hot: DataFrame, seen: DataFrame, budget: int, score: float = -1.0) -> DataFrame:
+    """``pool`` topped up with unseen popular items that it lacks, up to ``budget`` a user."""
+    users = hist.groupBy("user_id").agg(F.count("*").alias("seen_n"))
+    return topped(pool, unseen(by_ranks(users, F.col("seen_n") + 2 * budget, hot, "hot_rank"), seen), budget, score)
+
+
 def multi_interest(per_interest: DataFrame, budget: int) -> DataFrame:
     """Lists of several interests one after another, items once, cut at ``budget``: 1 / place."""
     first = per_interest.groupBy("user_id", "item_id").agg(F.min(F.struct("interest", "rank")).alias("at"))

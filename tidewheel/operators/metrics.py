@@ -232,3 +232,42 @@ def grouped_delta(paired: DataFrame, group: Column, tolerance: float = 1e-12) ->
     back = F.sum(F.col("delta") * share).over(Window.partitionBy(F.lit(0)))  # one row a group
     whole = F.when(F.col("grp").isNull() | (F.abs(back - F.col("overall")) > tolerance), F.raise_error(F.lit("groups do not give the overall difference"))).otherwise(share)
     return out.select("grp", "users", whole.cast("double").alias("share"), "old_mean", "new_mean", "delta")
+
+
+def leave_last_out(positive: DataFrame, negative: DataFrame, k: int) -> DataFrame:
+    """Share of (positive, negative) pairs of a user in the right order, ties half: ``positive(user_id, score)`` once a user, ``k`` rows of ``negative`` each.
+
+    A user with another number of negatives raises an error in the row.
+    """
+    pair = positive.select("user_id", F.col("score").alias("p")).join(negative.select("user_id", F.col("score").alias("n")), "user_id", "left")
+    won = F.when(F.col("p") > F.col("n"), 1.0).when(F.col("p") == F.col("n"), 0.5).otherwise(0.0)
+    per = pair.groupBy("user_id").agg(F.first("p").alias("p"), F.count("n").alias("n"), F.avg(won).alias("auc"))
+    whole = F.when(F.max((F.col("n") != k).cast("int")) == 1, F.raise_error(F.lit(f"a user has not {k} negatives")).cast("double")).otherwise(F.round(F.avg("auc"), 6))
+    return per.agg(whole.alias("auc"), F.round(F.avg("p"), 6).alias("pos_mean"), F.count("*").alias("users"))
+
+
+def pool_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """How pools of the same users differ: shared, added, removed, Jaccard (1 where both are empty), equal order, equal set, and changed members of ranks 11 to 25 and 26 to 50."""
+
+    def lists(d: DataFrame, name: str) -> DataFrame:
+        return d.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "item_id"))), lambda x: x["item_id"]).alias(name))
+
+    none = F.array().cast("array<bigint>")
+    j = lists(old, "x").join(lists(new, "y"), "user_id", "full").select(F.coalesce("x", none).alias("x"), F.coalesce("y", none).alias("y"))
+    same = lambda a, b: (F.size(F.array_except(a, b)) == 0) & (F.size(F.array_except(b, a)) == 0)
+    band = lambda at, n: (~same(F.slice("x", at, n), F.slice("y", at, n))).cast("int")
+    shared, union = F.size(F.array_intersect("x", "y")), F.size(F.array_union("x", "y"))
+    return j.agg(
+        F.count("*").alias("users"), F.sum((F.col("x") == F.col("y")).cast("int")).alias("same_order"), F.sum(same("x", "y").cast("int")).alias("same_set"),
+        F.sum(shared).alias("shared"), F.sum(F.size(F.array_except("y", "x"))).alias("added"), F.sum(F.size(F.array_except("x", "y"))).alias("removed"),
+        F.round(F.avg(F.when(union > 0, shared / union).otherwise(1.0)), 6).alias("jaccard"), F.sum(band(11, 15)).alias("changed_11_25"), F.sum(band(26, 25)).alias("changed_26_50"),
+    )
+
+
+def mean_cosine(vectors: DataFrame) -> DataFrame:
+    """Mean cosine over all pairs of different vectors, from the sum of the unit vectors: (|sum|^2 - n) / (n (n - 1)); no pair is formed."""
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    unit = vectors.withColumn("_n", norm).where("_n > 0").select("vec_id", F.posexplode("embedding").alias("k", "x"), "_n")
+    per = unit.groupBy("k").agg(F.sum(F.col("x") / F.col("_n")).alias("s"), F.count("*").alias("n"))
+    total = per.agg(F.sum(F.col("s") * F.col("s")).alias("s"), F.max("n").cast("double").alias("n"))
+    return total.select(F.col("n").cast("bigint").alias("vectors"), F.when(F.col("n") > 1, F.round((F.col("s") - F.col("n")) / (F.col("n") * (F.col("n") - 1)), 6)).alias("mean_cosine"))

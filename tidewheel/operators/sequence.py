@@ -111,17 +111,26 @@ def recency(df: DataFrame, rate: float) -> DataFrame:
     return df.withColumn("_w", w).withColumn("recency", F.col("_w") / F.greatest(F.lit(1.0), F.sum("_w").over(whole()))).drop("_w")
 
 
+def prefix_windows(df: DataFrame, n: int = 50) -> DataFrame:
+    """The last ``n`` events strictly before each event that has any: ``sample, hist_len, item_id, ts, rating``.
+
+    ``sample`` is a struct ``user_id, target, at, e`` of the event, ``hist_len`` all that came before. Events are numbered and
+    each asks for ``n`` numbers, an equal join; so rows grow with events, not with the square of a user's.
+    """
+    ev = df.select("user_id", "item_id", "ts", "rating").withColumn("e", F.row_number().over(by_user())).withColumn("hist_len", F.count("*").over(earlier()))
+    sample = F.struct("user_id", F.col("item_id").alias("target"), F.col("ts").alias("at"), "e").alias("sample")
+    last = F.col("hist_len").cast("int")
+    ask = ev.where("hist_len > 0").select("user_id", sample, "hist_len", F.explode(F.sequence(F.greatest(F.lit(1), last - n + 1), last)).alias("e"))
+    return ask.join(ev.select("user_id", "e", "item_id", "ts", "rating"), ["user_id", "e"]).select("sample", "hist_len", "item_id", "ts", "rating")
+
+
 def prefix_statistics(df: DataFrame, count_scale: float, span_scale: float, n: int = 50) -> DataFrame:
     """Log count of the strict prefix, and log span, mean and population deviation of rating over its last ``n`` events."""
-    seen = strict_history(df)
-    lists = seen.withColumn("h", F.collect_list(F.struct("ts", "item_id", "rating")).over(earlier()))
-    last = F.reverse(F.slice(F.reverse(F.array_sort("h")), 1, n))
-    lists = lists.withColumn("h", last).where("hist_len > 0")
-    mean = F.aggregate("h", F.lit(0.0), lambda a, x: a + x["rating"]) / F.size("h")
-    lists = lists.withColumn("mean", mean)
-    var = F.aggregate("h", F.lit(0.0), lambda a, x: a + (x["rating"] - F.col("mean")) * (x["rating"] - F.col("mean"))) / F.size("h")
-    span = (F.array_max(F.transform("h", lambda x: x["ts"])) - F.array_min(F.transform("h", lambda x: x["ts"]))) / DAY_MS
-    return lists.select("user_id", "item_id", "ts", (F.log1p("hist_len") / count_scale).alias("count_feature"), (F.log1p(span) / span_scale).alias("span_feature"), (F.col("mean") / 5).alias("rating_mean"), (F.sqrt(var) / 2).alias("rating_std"))
+    per = prefix_windows(df, n).groupBy("sample", "hist_len").agg((F.max("ts") - F.min("ts")).alias("span"), F.avg("rating").alias("mean"), F.stddev_pop("rating").alias("std"))
+    return per.select(
+        "sample.user_id", F.col("sample.target").alias("item_id"), F.col("sample.at").alias("ts"), (F.log1p("hist_len") / count_scale).alias("count_feature"),
+        (F.log1p(F.col("span") / DAY_MS) / span_scale).alias("span_feature"), (F.col("mean") / 5).alias("rating_mean"), (F.col("std") / 2).alias("rating_std"),
+    )
 
 
 def spaced(df: DataFrame, k: int) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewheel.operators import channels, metrics, sampling
+from tidewheel.operators import channels, fusion, metrics, sampling
 
 from .oracle import using
-from .recommend import BUDGET, Tables
+from .recommend import BUDGET, WEIGHTS, Tables
 from .registry import query
 
 _MEANS = "count(*) AS users, round(avg(hit), 6) AS hr, round(avg(recall), 6) AS recall, round(avg(ndcg), 6) AS ndcg"
@@ -224,3 +224,31 @@ def _(t: Tables) -> DataFrame:
     group = F.when(F.col("len") <= 5, "short").when(F.col("len") <= 20, "middle").otherwise("long")
     out = metrics.grouped_delta(paired, group)
     return out.select("grp", "users", *[F.round(c, 6).alias(c) for c in ("share", "old_mean", "new_mean", "delta")])
+
+
+@query("e_leave_last_out", using("pool tgt hot fw", """SELECT round(avg(auc), 6) AS auc, round(avg(p), 6) AS pos_mean, count(*) AS users FROM (
+  SELECT user_id, any_value(a.s) AS p, avg(CASE WHEN a.s > b.s THEN 1.0 WHEN a.s = b.s THEN 0.5 ELSE 0.0 END) AS auc FROM a JOIN b USING (user_id) GROUP BY 1)""", """sc AS (SELECT item_id, ln(1 + CAST(cnt AS DOUBLE)) AS s FROM hot),
+  a AS (SELECT user_id, coalesce(s, 0.0) AS s FROM (SELECT user_id, item_id FROM fw WHERE split = 'target' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, item_id DESC) = 1) LEFT JOIN sc USING (item_id)),
+  b AS (SELECT user_id, s FROM (SELECT user_id, item_id FROM pool p WHERE NOT EXISTS (SELECT 1 FROM tgt WHERE tgt.user_id = p.user_id AND tgt.item_id = p.item_id) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY rank DESC) <= 20) JOIN sc USING (item_id))"""))
+def _(t: Tables) -> DataFrame:
+    """The last target of a user against 20 unseen items that aren't targets, scored by popularity."""
+    score = t.hot.select("item_id", F.log1p("cnt").alias("score"))
+    back = Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("item_id").desc())
+    last = t.fw.where("split = 'target'").withColumn("b", F.row_number().over(back)).where("b = 1").select("user_id", "item_id")
+    low = Window.partitionBy("user_id").orderBy(F.col("rank").desc())
+    other = channels.unseen(t.pool, t.targets).withColumn("n", F.row_number().over(low)).where("n <= 20").select("user_id", "item_id")
+    return metrics.leave_last_out(last.join(score, "item_id", "left").na.fill(0.0, ["score"]), other.join(score, "item_id"), 20)
+
+
+@query("e_pool_changes", using("cf fused", """SELECT count(*) AS users, sum(CAST(x = y AS BIGINT)) AS same_order, sum(CAST(list_sort(x) = list_sort(y) AS BIGINT)) AS same_set, sum(len(list_intersect(x, y))) AS shared, sum(len(y) - len(list_intersect(x, y))) AS added,
+  sum(len(x) - len(list_intersect(x, y))) AS removed, round(avg(len(list_intersect(x, y)) / CAST(len(x) + len(y) - len(list_intersect(x, y)) AS DOUBLE)), 6) AS jaccard,
+  sum(CAST(list_sort(x[11:25]) <> list_sort(y[11:25]) AS BIGINT)) AS changed_11_25, sum(CAST(list_sort(x[26:50]) <> list_sort(y[26:50]) AS BIGINT)) AS changed_26_50
+  FROM (SELECT user_id, list(item_id ORDER BY rank) AS x FROM cf GROUP BY 1) JOIN (SELECT user_id, list(item_id ORDER BY rank) AS y FROM fused GROUP BY 1) USING (user_id)"""))
+def _(t: Tables) -> DataFrame:
+    return metrics.pool_changes(t.cf, fusion.rrf(t.stacked, WEIGHTS, BUDGET))
+
+
+@query("e_mean_cosine", """SELECT CAST(any_value(c) AS BIGINT) AS vectors, round(sum(s) / (any_value(c) * (any_value(c) - 1.0)), 6) AS mean_cosine FROM (SELECT count(*) OVER () AS c, * FROM embeddings) a,
+  LATERAL (SELECT sum(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) AS s FROM embeddings b WHERE b.vec_id <> a.vec_id)""")
+def _(t: Tables) -> DataFrame:
+    return metrics.mean_cosine(t.read("embeddings"))

@@ -1,5 +1,7 @@
 """Common table expressions of the oracle SQL, each stating the table of the same name in ``recommend.Tables``."""
 
+import re
+
 PARTS = {
     "inter": """inter AS (SELECT o_custkey AS user_id, l_partkey AS item_id, CAST(least(5, 1 + floor(l_quantity / 10)) AS INTEGER) AS rating,
   epoch_ms(CAST(o_orderdate AS TIMESTAMP)) AS ts, p_type AS category, p_brand AS brand
@@ -65,6 +67,14 @@ NEEDS = {
 }
 
 
+def inner(names: str, sql: str, more: str = "") -> str:
+    """As :func:`using` over the inner split: ``train0`` is the outer training part, which stands for the log."""
+    outer = ", ".join(re.sub(r"\b(ded|seq|fw|train)\b", r"\g<1>0", PARTS[n]) for n in ("inter", "ded", "seq", "fw", "train"))
+    rest = using(names, sql, more).removeprefix("WITH ")
+    rest = rest.removeprefix(PARTS["inter"] + ", " + PARTS["ded"] + ", ")
+    return f"WITH {outer}, ded AS (SELECT * FROM train0), {rest}"
+
+
 def using(names: str, sql: str, more: str = "") -> str:
     """``sql`` after the named tables and what they need; ``more`` adds tables of its own."""
     done: list[str] = []

@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.operators import channels, clean, fusion, sequence, similarity, stats
+from tidewheel.operators import channels, clean, fusion, sequence, similarity, stats, training
 from tidewheel.operators.shared import stored
 from tidewheel.sources.interactions import star_interactions
 
@@ -87,6 +87,17 @@ class Tables:
     def hot5(self) -> DataFrame:
         return channels.hot_items(self.hist, self.hot, self.hist)
 
+    @cached_property
+    def inner(self) -> Tables:
+        """The same tables within the training part: its last fifth is held out, so pools of it never saw those events."""
+        t = Tables(self.spark, self.sf_dir)
+        t.__dict__["ded"] = self.train
+        return t
+
+    @cached_property
+    def training_pools(self) -> DataFrame:
+        return training.training_pools(self.train, self.sim, self.dim, self.hot, {"cf": 2.0, "category": 0.7, "hot": 0.05}, BUDGET, 180.0)
+
     @cached_property
     def stacked(self) -> DataFrame:
         return fusion.stack({"cf": self.cf, "category": self.category, "hot": self.hot5})
@@ -96,7 +107,6 @@ class Tables:
         fused = fusion.rrf(self.stacked, WEIGHTS, BUDGET)
         return channels.refill(fused, self.hist, self.hot, self.hist, BUDGET)
 
-
     @cached_property
     def four_channels(self) -> DataFrame:
         """The pool with the vector channel, at the default weights."""

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.operators import channels, fusion, sampling, similarity
+from tidewheel.operators import channels, fusion, sampling, sequence, similarity, training
 
-from .oracle import using
+from .oracle import PARTS, inner, using
 from .recommend import BUDGET, WEIGHTS, Tables
 from .registry import query
 
@@ -254,3 +254,54 @@ def _(t: Tables) -> DataFrame:
     return t.stacked.groupBy("item_id").agg(F.count_distinct("user_id").alias("users"))
 
 
+@query("f_legacy_hot", using("hist hot", "SELECT user_id, item_id, round(0.1::DOUBLE * (1 - (hot_rank - 1) / 5.0::DOUBLE), 6) AS score, CAST(hot_rank AS INTEGER) AS rank FROM (SELECT DISTINCT user_id FROM hist), hot WHERE hot_rank <= 5"))
+def _(t: Tables) -> DataFrame:
+    return _r(channels.legacy_hot(t.hist, t.hot), "user_id", "item_id")
+
+
+# training samples
+_SAMPLES = """smp AS (SELECT user_id AS u, item_id AS target, ts AS at, row_number() OVER (ORDER BY user_id, ts, item_id) AS id FROM (SELECT *, min(ts) OVER (PARTITION BY user_id) AS first_ts FROM train) WHERE ts > first_ts),
+  hist AS (SELECT s.id AS user_id, e.item_id, e.ts, e.rating, e.category, e.brand FROM smp s JOIN train e ON e.user_id = s.u AND e.ts < s.at)"""
+_POOLS = using("hot sim", "SELECT u AS user_id, target, item_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM pool JOIN smp ON id = user_id", _SAMPLES + ", " + using("pool", "")[len("WITH "):].split(PARTS["hist"] + ", ")[1].replace(PARTS["hot"] + ", ", "").replace(PARTS["simall"] + ", ", "").replace(PARTS["sim"] + ", ", "").replace("/ 90.0", "/ 180.0"))
+
+
+@query("f_training_pools", _POOLS)
+def _(t: Tables) -> DataFrame:
+    """Every training position, not only users."""
+    return _r(t.training_pools, "user_id", "target", "item_id")
+
+
+@query("n_recall_negatives", inner("pool hot", "SELECT user_id, item_id, CAST(rank AS INTEGER) AS rank FROM pool p WHERE item_id IN (SELECT item_id FROM train0) AND NOT EXISTS (SELECT 1 FROM train0 t WHERE t.user_id = p.user_id AND t.item_id = p.item_id)"))
+def _recall_negatives(t: Tables) -> DataFrame:
+    return training.recall_negatives(t.inner.pool, t.hot, t.train).withColumn("rank", F.col("rank").cast("int"))
+
+
+@query("n_candidate_negatives", inner("hist", "SELECT user_id, 4 AS items, 1 AS hard FROM (SELECT DISTINCT user_id FROM hist)").replace("AS items", "::BIGINT AS items").replace("1 AS hard", "1::BIGINT AS hard"))
+def _(t: Tables) -> DataFrame:
+    """Four negatives a user, one of them from the pool of the inner split."""
+    rand = sampling.random_negatives(t.inner.hist, t.hot, t.train, 5)
+    neg = training.candidate_negatives(_recall_negatives(t), rand, 4, 1)
+    return neg.groupBy("user_id").agg(F.count("*").alias("items"), F.sum(F.col("hard").cast("int")).alias("hard"))
+
+
+def _fixed(t: Tables) -> DataFrame:
+    samples = sequence.train_samples(t.train).select("user_id", F.col("item_id").alias("target"))
+    return training.fixed_pools(samples, t.hot, t.fw.select("user_id", "item_id"), 16)
+
+
+@query("n_fixed_pools", using("train", "SELECT user_id, item_id AS target, 16 AS width FROM (SELECT *, min(ts) OVER (PARTITION BY user_id) AS first_ts FROM train) WHERE ts > first_ts"))
+def _(t: Tables) -> DataFrame:
+    """Sixteen distinct unknown items for each sample, which the check raises on otherwise."""
+    return training.pool_prefix(_fixed(t), t.fw, 16).select("user_id", "target", F.size("items").alias("width"))
+
+
+@query("n_prefix_stream", using("train", """SELECT user_id, item_id AS target, ts, hist_len, list_concat(h, list_transform(range(50 - len(h)), lambda i: CAST(0 AS BIGINT))) AS items, round(m, 6) AS rating_mean, 4 AS negatives FROM (
+  SELECT a.user_id, a.item_id, a.ts, count(*) AS hist_len, list_reverse(list_slice(list(b.item_id ORDER BY b.ts DESC, b.item_id DESC), 1, 50)) AS h, list_avg(list_slice(list(b.rating ORDER BY b.ts DESC, b.item_id DESC), 1, 50)) AS m FROM train a JOIN train b ON b.user_id = a.user_id AND b.ts < a.ts GROUP BY 1, 2, 3)"""))
+def _(t: Tables) -> DataFrame:
+    rows = training.prefix_stream(t.train, training.pool_prefix(_fixed(t), t.fw, 4))
+    return rows.select("user_id", "target", "ts", "hist_len", "items", F.round("rating_mean", 6).alias("rating_mean"), F.size("negatives").alias("negatives"))
+
+
+@query("m_svd_factors")
+def _(t: Tables) -> DataFrame:
+    return training.svd_factors(t.train)[0]
