@@ -262,7 +262,8 @@ def _(t: Tables) -> DataFrame:
 # training samples
 _SAMPLES = """smp AS (SELECT user_id AS u, item_id AS target, ts AS at, row_number() OVER (ORDER BY user_id, ts, item_id) AS id FROM (SELECT *, min(ts) OVER (PARTITION BY user_id) AS first_ts FROM train) WHERE ts > first_ts),
   hist AS (SELECT s.id AS user_id, e.item_id, e.ts, e.rating, e.category, e.brand FROM smp s JOIN train e ON e.user_id = s.u AND e.ts < s.at)"""
-_POOLS = using("hot sim", "SELECT u AS user_id, target, item_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM pool JOIN smp ON id = user_id", _SAMPLES + ", " + using("pool", "")[len("WITH "):].split(PARTS["hist"] + ", ")[1].replace(PARTS["hot"] + ", ", "").replace(PARTS["simall"] + ", ", "").replace(PARTS["sim"] + ", ", "").replace("/ 90.0", "/ 180.0"))
+_CHANNELS = ", ".join(PARTS[n] for n in ("recent", "unseen", "cfraw", "cf", "pref", "cat", "hot5", "stacked", "fused", "pool")).replace("/ 90.0", "/ 180.0")
+_POOLS = using("hot sim", "SELECT u AS user_id, target, item_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM pool JOIN smp ON id = user_id", f"{_SAMPLES}, {_CHANNELS}")
 
 
 @query("f_training_pools", _POOLS)
