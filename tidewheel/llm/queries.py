@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, lines
+from . import decontaminate, fim, licenses, lines
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,9 +85,28 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), window=10)
+    digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest, (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"), rate=100, spm=50, seed=7)
+    both = fim.restore_text(made.withColumn("output_sha256", F.sha2("fim_text", 256)))
+    return both.select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", "output_sha256", F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"), k=8, scale=1024.0, shift=100_000)
+
+
 OPERATORS = (
     op1_topk_search, op2_best_fit_packing, op3_embedding_neardup, op4_quality_lines, op5_toxic_spans,
     op6_substring_dedup, op7_source_mixing, op8_minhash_neardup, op9_license_scan, op10_line_dedup,
+    op11_decontamination, op12_fill_in_middle, op13_embedding_whitening,
 )
 
 
@@ -120,4 +139,5 @@ FROM embeddings e JOIN c ON c.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk_search": OP1, "op3_embedding_neardup": OP3, "op9_license_scan": licenses.oracle(), "op10_line_dedup": lines.ORACLE}
+    return {"op1_topk_search": OP1, "op3_embedding_neardup": OP3, "op9_license_scan": licenses.oracle(), "op10_line_dedup": lines.ORACLE,
+            "op11_decontamination": decontaminate.ORACLE, "op12_fill_in_middle": fim.ORACLE}
