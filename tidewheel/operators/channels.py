@@ -11,11 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .sequence import DAY_MS, last_events
+from .shared import dealt, nine
 from .similarity import block_top_k
 
 
 def by_score(*tie: str) -> Window:
-    return Window.partitionBy("user_id").orderBy(F.round("score", 9).desc(), *(tie or ("item_id",)))
+    return Window.partitionBy("user_id").orderBy(nine("score").desc(), *(tie or ("item_id",)))
 
 
 def best(scored: DataFrame, budget: int) -> DataFrame:
@@ -34,19 +35,31 @@ def recent(hist: DataFrame, half_life_days: float = 0.0, n: int = 50) -> DataFra
     return last_events(hist, n).withColumn("decay", decay)
 
 
+def neighbour_sums(events: DataFrame, sim: DataFrame, seen: DataFrame, budget: int) -> DataFrame:
+    """Of every user the ``budget`` unseen neighbours with the highest sums of decay * sim over the user's ``events(user_id, item_id, decay)``.
+
+    An item's neighbours are one array, so an event crosses the network once and is laid out where its user is; what was seen comes along as
+    an entry without a similarity. All that follows is by user and moves nothing again.
+    """
+    entry = lambda item, value: F.struct(F.col(item).alias("item_id"), value.cast("double").alias("sim"))
+    near = sim.groupBy("item_id").agg(F.collect_list(entry("neighbor", F.col("sim"))).alias("near"))
+    each = events.select("user_id", "item_id", F.col("decay").cast("double").alias("decay")).join(near, "item_id").select("user_id", "decay", "near")
+    past = seen.select("user_id", F.lit(0.0).alias("decay"), F.array(entry("item_id", F.lit(None))).alias("near"))
+    one = dealt(each.unionByName(past), "user_id").select("user_id", "decay", F.explode("near").alias("x")).select("user_id", "x.item_id", (F.col("decay") * F.col("x.sim")).alias("part"))
+    sums = one.groupBy("user_id", "item_id").agg(F.sum("part").alias("score"), F.max(F.col("part").isNull()).alias("seen"))
+    return best(sums.where("not seen").select("user_id", "item_id", "score"), budget)
+
+
 def item_cf(hist: DataFrame, sim: DataFrame, seen: DataFrame, budget: int, half_life_days: float = 90.0, n: int = 50) -> DataFrame:
     """Decayed sums of the similarities of neighbours of the history; :func:`refill` tops them up before fusion."""
-    s = recent(hist, half_life_days, n).join(sim.select("item_id", "neighbor", "sim"), "item_id")
-    s = s.groupBy("user_id", F.col("neighbor").alias("item_id")).agg(F.sum(F.col("decay") * F.col("sim")).alias("score"))
-    return best(unseen(s, seen), budget)
+    return neighbour_sums(recent(hist, half_life_days, n), sim, seen, budget)
 
 
 def legacy_item_cf(hist: DataFrame, sim: DataFrame, seen: DataFrame, budget: int, days: float = 7.0, neighbors: int = 10) -> DataFrame:
     """Each event lends its first ``neighbors`` neighbours exp(-age / ``days``) of their similarity; what was seen goes after that."""
     last = F.max("ts").over(Window.partitionBy("user_id"))
     ev = hist.withColumn("decay", F.exp(-((last - F.col("ts")) / DAY_MS) / days))
-    s = ev.join(sim.where(F.col("rank") <= neighbors).select("item_id", "neighbor", "sim"), "item_id")
-    return best(unseen(s.groupBy("user_id", F.col("neighbor").alias("item_id")).agg(F.sum(F.col("decay") * F.col("sim")).alias("score")), seen), budget)
+    return neighbour_sums(ev, sim.where(F.col("rank") <= neighbors), seen, budget)
 
 
 def hot_by(hot: DataFrame, dim: DataFrame, key: str) -> DataFrame:
@@ -56,18 +69,17 @@ def hot_by(hot: DataFrame, dim: DataFrame, key: str) -> DataFrame:
 
 
 def preferred(hist: DataFrame, key: str, top: int = 3, n: int = 50) -> DataFrame:
-    """A user's first ``top`` categories or brands of the last ``n`` events: ``user_id, key, share, seen_n``."""
-    ev = last_events(hist, n)
-    cnt = ev.groupBy("user_id", key).agg(F.count("*").alias("cnt"))
+    """A user's first ``top`` categories or brands of the last ``n`` events: ``user_id, key, share, cnt, seen_n``; ``seen_n`` counts all events with the key."""
     w = Window.partitionBy("user_id")
-    out = cnt.withColumn("len", F.sum("cnt").over(w)).withColumn("place", F.row_number().over(w.orderBy(F.col("cnt").desc(), key))).where(F.col("place") <= top)
-    total = hist.groupBy("user_id").agg(F.count("*").alias("seen_n"))
-    return out.join(total, "user_id").select("user_id", key, (F.col("cnt") / F.col("len")).alias("share"), "seen_n")
+    back = F.row_number().over(w.orderBy(F.col("ts").desc(), F.col("item_id").desc()))
+    cnt = hist.withColumn("_late", (back <= n).cast("int")).groupBy("user_id", key).agg(F.sum("_late").alias("cnt"), F.count("*").alias("seen_n"))
+    ranked = cnt.where("cnt > 0").withColumn("len", F.sum("cnt").over(w)).withColumn("place", F.row_number().over(w.orderBy(F.col("cnt").desc(), key)))
+    return ranked.where(F.col("place") <= top).select("user_id", key, (F.col("cnt") / F.col("len")).alias("share"), "cnt", "seen_n")
 
 
 def by_ranks(users: DataFrame, upto: Column, ranked: DataFrame, rank: str, *on: str) -> DataFrame:
     """Rows of ``ranked`` with a rank of at most ``upto``, by an equi-join on the rank."""
-    return users.withColumn(rank, F.explode(F.sequence(F.lit(1), upto.cast("int")))).join(ranked, [*on, rank])
+    return dealt(users, "user_id").withColumn(rank, F.explode(F.sequence(F.lit(1), upto.cast("int")))).join(ranked, [*on, rank])
 
 
 def category(hist: DataFrame, dim: DataFrame, hot: DataFrame, seen: DataFrame, top: int = 3, each: int = 20) -> DataFrame:
@@ -127,17 +139,22 @@ def legacy_hot(users: DataFrame, hot: DataFrame, k: int = 5, weight: float = 0.1
 
 
 def topped(pool: DataFrame, popular: DataFrame, budget: int, score: float = -1.0) -> DataFrame:
-    """``pool`` and, behind it, what it lacks of ``popular(user_id, item_id, hot_rank)``, up to ``budget`` a user."""
-    extra = unseen(popular, pool).select("user_id", "item_id", F.lit(score).alias("score"), "hot_rank", F.lit(1).alias("tier"))
-    all_ = pool.select("user_id", "item_id", "score", F.col("rank").alias("hot_rank"), F.lit(0).alias("tier")).unionByName(extra)
-    w = Window.partitionBy("user_id").orderBy("tier", "hot_rank")
-    return all_.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= budget).select("user_id", "item_id", "score", "rank")
+    """``pool``, ranked from 1 without gaps, and behind it what it lacks of ``popular(user_id, item_id, hot_rank)``, up to ``budget`` a user."""
+    have = pool.groupBy("user_id").agg(F.max("rank").alias("_have"))
+    w = Window.partitionBy("user_id").orderBy("hot_rank")
+    extra = unseen(popular, pool).join(have, "user_id", "left").withColumn("rank", F.row_number().over(w) + F.coalesce("_have", F.lit(0))).where(F.col("rank") <= budget)
+    return pool.select("user_id", "item_id", "score", "rank").where(F.col("rank") <= budget).unionByName(extra.select("user_id", "item_id", F.lit(score).alias("score"), "rank"))
 
 
 def refill(pool: DataFrame, hist: DataFrame, hot: DataFrame, seen: DataFrame, budget: int, score: float = -1.0) -> DataFrame:
-    """``pool`` topped up with unseen popular items that it lacks, up to ``budget`` a user."""
-    users = hist.groupBy("user_id").agg(F.count("*").alias("seen_n"))
-    return topped(pool, unseen(by_ranks(users, F.col("seen_n") + 2 * budget, hot, "hot_rank"), seen), budget, score)
+    """``pool`` topped up with unseen popular items that it lacks, up to ``budget`` a user.
+
+    Popular items are laid out only for users whose pool is short, and only as far down as ``budget`` and what they have seen. Pool and popular items are read more than once: a pool
+    that is dear to compute is best stored.
+    """
+    users = hist.groupBy("user_id").agg(F.count("*").alias("seen_n")).join(pool.groupBy("user_id").agg(F.count("*").alias("_n")), "user_id", "left")
+    short = users.where(F.coalesce("_n", F.lit(0)) < budget).drop("_n")
+    return topped(pool, unseen(by_ranks(short, F.col("seen_n") + budget, hot, "hot_rank"), seen), budget, score)
 
 
 def multi_interest(per_interest: DataFrame, budget: int) -> DataFrame:

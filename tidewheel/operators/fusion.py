@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .channels import best, unseen
+from .shared import nine
 
 DEFAULT_WEIGHTS = {"vector": 1.5, "cf": 1.0, "category": 0.7, "hot": 0.05}
 #: Fusion mode and half life in days of the named recipes.
@@ -38,9 +39,9 @@ def _weight(weights: Mapping[str, float]) -> Column:
 
 
 def rrf(stacked: DataFrame, weights: Mapping[str, float], budget: int, seen: DataFrame | None = None, k: int = 60) -> DataFrame:
-    """Reciprocal rank fusion: sums of w / (k + rank), ranks taken before what was seen is left out."""
-    w = Window.partitionBy("channel", "user_id").orderBy(F.round("score", 9).desc(), "item_id")
-    own = stacked.withColumn("w", _weight(weights)).where("w > 0").withColumn("rank", F.row_number().over(w))
+    """Reciprocal rank fusion: sums of w / (k + rank), ranks taken before what was seen is left out. Rows are dealt out by user once, for the ranks, the sums and the order."""
+    w = Window.partitionBy("channel", "user_id").orderBy(nine("score").desc(), "item_id")
+    own = stacked.withColumn("w", _weight(weights)).where("w > 0").repartition("user_id").withColumn("rank", F.row_number().over(w))
     s = own.groupBy("user_id", "item_id").agg(F.sum(F.col("w") / (k + F.col("rank"))).alias("score"))
     return best(unseen(s, seen) if seen is not None else s, budget)
 
@@ -52,11 +53,11 @@ def quota(stacked: DataFrame, weights: Mapping[str, float], budget: int, seen: D
     """
     total = sum(weights.values())
     own = stacked.withColumn("w", _weight(weights)).where("w > 0")
-    own = unseen(own, seen) if seen is not None else own
+    own = (unseen(own, seen) if seen is not None else own).repartition("user_id")
     w = Window.partitionBy("channel", "user_id").orderBy("rank")
     own = own.withColumn("place", F.row_number().over(w)).withColumn("q", F.greatest(F.lit(1), F.floor(F.lit(budget) * F.col("w") / total)))
     s = own.groupBy("user_id", "item_id").agg(F.sum(F.col("w") * F.col("score")).alias("score"), F.max((F.col("place") <= F.col("q")).cast("int")).alias("chosen"))
-    order = [F.round("score", 9).desc(), F.col("item_id").cast("string")]
+    order = [nine("score").desc(), F.col("item_id").cast("string")]
     s = s.withColumn("tier", F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("chosen").desc(), *order))).where(F.col("tier") <= budget)
     return s.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(*order))).select("user_id", "item_id", "score", "rank")
 
@@ -71,14 +72,14 @@ def legacy_weighted(stacked: DataFrame, weights: Mapping[str, float], n: int) ->
 def union_pool(stacked: DataFrame) -> DataFrame:
     """Every item of any channel with its best 1 / rank."""
     s = stacked.groupBy("user_id", "item_id").agg(F.max(1 / F.col("rank")).alias("score"))
-    return s.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(F.round("score", 9).desc(), "item_id")))
+    return s.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(nine("score").desc(), "item_id")))
 
 
 def weight_grid(stacked: DataFrame, grid: DataFrame, targets: DataFrame, budget: int, k: int = 60) -> DataFrame:
     """Hit rate of reciprocal rank fusion under many weight sets in one pass: ``grid(combo, channel, w)``."""
     each = stacked.join(F.broadcast(grid), "channel").where("w > 0")
     s = each.groupBy("combo", "user_id", "item_id").agg(F.sum(F.col("w") / (k + F.col("rank"))).alias("score"))
-    w = Window.partitionBy("combo", "user_id").orderBy(F.round("score", 9).desc(), "item_id")
+    w = Window.partitionBy("combo", "user_id").orderBy(nine("score").desc(), "item_id")
     top = s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= budget)
     hit = top.join(targets.select("user_id", "item_id").distinct(), ["user_id", "item_id"], "left_semi").groupBy("combo").agg(F.count_distinct("user_id").alias("hits"))
     users = targets.agg(F.count_distinct("user_id").alias("users"))

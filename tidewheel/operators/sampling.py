@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import numbered
+from .shared import nine, numbered
 
 
 def uniform(seed: int, *cols: str) -> Column:
@@ -132,5 +132,5 @@ def rerank(pool: DataFrame, scorer: Callable[[pd.DataFrame], pd.Series], feature
             yield pdf[["user_id", "item_id"]].assign(score=scorer(pdf[features]).astype(float))
 
     s = pool.select(*cols).mapInPandas(run, f"user_id {kind['user_id']}, item_id {kind['item_id']}, score double")
-    w = Window.partitionBy("user_id").orderBy(F.round("score", 9).desc(), "item_id")
+    w = Window.partitionBy("user_id").orderBy(nine("score").desc(), "item_id")
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

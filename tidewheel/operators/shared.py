@@ -22,18 +22,38 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet and read back: computed once however many parts of a plan read it, and no lineage to recompute."""
-    path = os.path.join(shared_dir(df.sparkSession), f"tidewheel-{name}-{uuid.uuid4().hex}")
+    """``df`` written as Parquet and read back: computed once however many parts of a plan read it, and no lineage to recompute. The table goes when the session's file system closes."""
+    spark = df.sparkSession
+    path = os.path.join(shared_dir(spark), f"tidewheel-{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def nine(score: str) -> Column:
+    """A score to nine digits, as a whole number: what orders compare. (``round`` of doubles goes by way of decimals and costs more than the sort.)"""
+    return F.floor(F.col(score) * 1e9 + 0.5)
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` hashed by ``keys`` into as many parts as the session shuffles into. For rows that are laid out to many more where they land: adaptive execution would judge the parts by what is sent and merge them."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+#: Rows that are numbered in one task at most.
+ONE_TASK = 1_000_000
 
 
 def numbered(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
     """``df`` with ``name``, its rows' numbers from 1 in ``order``, which must be total.
 
-    Rows are ranged over partitions by the order and stored with their part's number; each part is numbered by itself and
+    The rows are stored and counted; up to ``ONE_TASK`` are numbered in one window. More are ranged over partitions by the order and stored with their part's number; each part is numbered by itself and
     begins after the rows of the parts before, whose counts (one row a part) are broadcast. No task sees more than its range.
     """
+    df = stored(df, "rows")
+    if df.count() <= ONE_TASK:
+        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
     ranged = stored(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_rows"))
     before = counts.withColumn("_before", F.sum("_rows").over(Window.orderBy("_part")) - F.col("_rows")).drop("_rows")

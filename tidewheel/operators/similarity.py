@@ -8,46 +8,64 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .sequence import DAY_MS
-from .shared import stored
+from .shared import nine, stored
 
 
-def cosine_iuf(train: DataFrame, k: int | None = None) -> DataFrame:
+#: A user's items that are paired in one task; more are dealt into blocks, whose pairs are tasks of their own.
+BLOCK_ITEMS = 2048
+
+
+def user_pairs(events: DataFrame, block: int = BLOCK_ITEMS) -> DataFrame:
+    """All pairs of a user's events: rows ``user_id, x, y`` with the structs of ``events(user_id, n, e, ...)``, where x.e < y.e.
+
+    ``e`` numbers or names a user's events, ``n`` is how many there are. A user with up to ``block`` of them is one key; beyond that the events are dealt by hash into n / ``block``
+    blocks, and a pair of blocks is a key, so what a task joins at once is bounded by the square of a block, whatever the user.
+    """
+    parts = F.ceil(F.col("n") / block).cast("int")
+    ev = events.select("user_id", F.struct(*[c for c in events.columns if c not in ("user_id", "n")]).alias("v"), parts.alias("_parts"), F.pmod(F.xxhash64("e"), parts).cast("int").alias("_own"))
+    left = ev.select("user_id", F.col("_own").alias("_i"), F.explode(F.sequence("_own", F.col("_parts") - 1)).alias("_j"), F.col("v").alias("x"))
+    right = ev.select("user_id", F.explode(F.sequence(F.lit(0), F.col("_own"))).alias("_i"), F.col("_own").alias("_j"), F.col("v").alias("y"))
+    pair = left.join(right, ["user_id", "_i", "_j"]).where((F.col("_i") < F.col("_j")) | (F.col("x.e") < F.col("y.e")))
+    swap = F.col("x.e") > F.col("y.e")
+    return pair.where("x.e <> y.e").select("user_id", F.when(swap, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("y"))
+
+
+def cosine_iuf(train: DataFrame, k: int | None = None, block: int = BLOCK_ITEMS) -> DataFrame:
     """Inverse-user-frequency cosine of items that users share: ``item_id, neighbor, sim, rank``, the first ``k`` by (-sim, neighbor).
 
-    A pair is formed once, with item_id < neighbor, within a user and mirrored after the sum. The cost is the square of a
-    user's items; what a very active user has is joined in that user's task, which adaptive execution may split.
+    A pair is formed once, with item_id < neighbor, within a user (:func:`user_pairs`) and mirrored after the sum. Items bring their number of events along, so no pair is joined again.
     """
-    deg = train.groupBy("user_id").agg(F.count("*").alias("du"))
-    items = train.groupBy("item_id").agg(F.count("*").alias("di"))
-    ev = train.select("user_id", "item_id").join(deg, "user_id").select("user_id", "item_id", (1 / F.greatest(F.lit(1.0), F.log1p("du"))).alias("w"))
-    pair = ev.join(ev.select("user_id", F.col("item_id").alias("neighbor")), "user_id").where("item_id < neighbor")
-    half = pair.groupBy("item_id", "neighbor").agg(F.sum("w").alias("w"))
-    both = half.union(half.select(F.col("neighbor"), F.col("item_id"), "w"))
-    norm = both.join(items, "item_id").join(items.select(F.col("item_id").alias("neighbor"), F.col("di").alias("dj")), "neighbor")
-    return ranked(norm.select("item_id", "neighbor", (F.col("w") / F.sqrt(F.col("di").cast("double") * F.col("dj"))).alias("sim")), k)
+    deg = train.groupBy("user_id").agg(F.count("*").alias("n"))
+    items = train.groupBy("item_id").agg(F.count("*").alias("d"))
+    ev = train.select("user_id", "item_id").join(items, "item_id").join(deg, "user_id").select("user_id", "n", F.col("item_id").alias("e"), "d")
+    w = 1 / F.greatest(F.lit(1.0), F.log1p("n"))
+    pair = user_pairs(ev.withColumn("w", w), block)
+    half = pair.groupBy(F.col("x.e").alias("a"), F.col("y.e").alias("b")).agg(F.sum("x.w").alias("w"), F.first(F.sqrt(F.col("x.d").cast("double") * F.col("y.d"))).alias("norm"))
+    sides = F.explode(F.array(F.struct(F.col("a").alias("item_id"), F.col("b").alias("neighbor")), F.struct(F.col("b").alias("item_id"), F.col("a").alias("neighbor")))).alias("s")
+    return ranked(half.select((F.col("w") / F.col("norm")).alias("sim"), sides).select("s.item_id", "s.neighbor", "sim"), k)
 
 
 def ranked(sim: DataFrame, k: int | None) -> DataFrame:
     """Neighbours in order of (-sim, neighbor), similarity compared to nine digits."""
-    w = Window.partitionBy("item_id").orderBy(F.round("sim", 9).desc(), "neighbor")
+    w = Window.partitionBy("item_id").orderBy(nine("sim").desc(), "neighbor")
     out = sim.where("sim > 0").withColumn("rank", F.row_number().over(w))
     return out.where(F.col("rank") <= k) if k else out
 
 
-def time_decayed(df: DataFrame, k: int | None = None) -> DataFrame:
+def time_decayed(df: DataFrame, k: int | None = None, block: int = BLOCK_ITEMS) -> DataFrame:
     """Legacy co-occurrence: pairs of a user's events weigh by their distance in days, 0.7 against the order of time.
 
-    w = exp(-|dt| / day) / ln(1 + n) * (1 if the neighbour came later, else 0.7), over the root of both items' events.
+    w = exp(-|dt| / day) / ln(1 + n) * (1 if the neighbour came later, else 0.7), over the root of both items' events. Pairs as in :func:`cosine_iuf`; each counts for both directions.
     """
     n = Window.partitionBy("user_id")
-    ev = df.withColumn("n", F.count("*").over(n)).withColumn("e", F.row_number().over(n.orderBy("ts", "item_id"))).select("user_id", "item_id", "ts", "n", "e")
-    other = ev.select("user_id", F.col("item_id").alias("neighbor"), F.col("ts").alias("t2"), F.col("e").alias("e2"))
-    later = F.when(F.col("t2") > F.col("ts"), 1.0).otherwise(0.7)
-    w = later * F.exp(-F.abs(F.col("t2") - F.col("ts")) / DAY_MS) / F.log1p("n")
-    pair = ev.join(other, "user_id").where("e <> e2 and item_id <> neighbor").groupBy("item_id", "neighbor").agg(F.sum(w).alias("w"))
-    cnt = df.groupBy("item_id").agg(F.count("*").alias("ci"))
-    both = pair.join(cnt, "item_id").join(cnt.select(F.col("item_id").alias("neighbor"), F.col("ci").alias("cj")), "neighbor")
-    return ranked(both.select("item_id", "neighbor", (F.col("w") / F.sqrt(F.col("ci").cast("double") * F.col("cj"))).alias("sim")), k)
+    cnt = df.groupBy("item_id").agg(F.count("*").alias("c"))
+    ev = df.select("user_id", "item_id", "ts").join(cnt, "item_id")
+    ev = ev.withColumn("n", F.count("*").over(n)).withColumn("e", F.row_number().over(n.orderBy("ts", "item_id"))).withColumn("len", F.col("n"))
+    pair = user_pairs(ev, block).where("x.item_id <> y.item_id")
+    gap = F.exp(-F.abs(F.col("y.ts") - F.col("x.ts")) / DAY_MS) / F.log1p("x.len")
+    side = lambda a, b: F.struct(F.col(f"{a}.item_id").alias("item_id"), F.col(f"{b}.item_id").alias("neighbor"), (F.when(F.col(f"{b}.ts") > F.col(f"{a}.ts"), 1.0).otherwise(0.7) * gap).alias("w"), F.sqrt(F.col("x.c").cast("double") * F.col("y.c")).alias("norm"))
+    both = pair.select(F.explode(F.array(side("x", "y"), side("y", "x"))).alias("s")).select("s.*").groupBy("item_id", "neighbor").agg(F.sum("w").alias("w"), F.first("norm").alias("norm"))
+    return ranked(both.select("item_id", "neighbor", (F.col("w") / F.col("norm")).alias("sim")), k)
 
 
 def dot(a: str | Column, b: str | Column) -> Column:
@@ -104,7 +122,7 @@ def block_top_k(queries: DataFrame, vectors: DataFrame) -> DataFrame:
         return pa.table({"record": take("record", who), "k": take("k", who), "item_id": take("item_id", what), "score": pa.array(np.concatenate(value))})
 
     found = v.unionByName(q).groupBy("part", "i", "j").applyInArrow(product, f"record {kind}, k int, item_id {dict(vectors.dtypes)['item_id']}, score double")
-    w = Window.partitionBy("record").orderBy(F.round("score", 9).desc(), "item_id")
+    w = Window.partitionBy("record").orderBy(nine("score").desc(), "item_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col("k")).select("record", "item_id", "score", "rank")
 
 

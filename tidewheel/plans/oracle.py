@@ -34,7 +34,7 @@ PARTS = {
   FROM pref p JOIN part ON p_type = p.category JOIN hot h ON h.item_id = p_partkey
   WHERE NOT EXISTS (SELECT 1 FROM hist x WHERE x.user_id = p.user_id AND x.item_id = h.item_id)) WHERE place <= 20)""",
     "unseen": """unseen AS (SELECT u.user_id, h.item_id, h.hot_rank, row_number() OVER (PARTITION BY u.user_id ORDER BY h.hot_rank) AS place
-  FROM (SELECT DISTINCT user_id FROM hist) u CROSS JOIN hot h WHERE NOT EXISTS (SELECT 1 FROM hist x WHERE x.user_id = u.user_id AND x.item_id = h.item_id))""",
+  FROM (SELECT user_id, count(*) + 150 AS deep FROM hist GROUP BY 1) u JOIN hot h ON h.hot_rank <= u.deep WHERE NOT EXISTS (SELECT 1 FROM hist x WHERE x.user_id = u.user_id AND x.item_id = h.item_id))""",
     "hot5": """hot5 AS (SELECT user_id, item_id, 1.0 / place AS score, place AS rank FROM unseen WHERE place <= 5)""",
     "stacked": """stacked AS (SELECT 'cf' AS channel, 2.0 AS w, user_id, item_id, score, rank FROM cf UNION ALL SELECT 'category', 0.7, user_id, item_id, score, rank FROM cat
   UNION ALL SELECT 'hot', 0.05, user_id, item_id, CAST(score AS DOUBLE), rank FROM hot5)""",

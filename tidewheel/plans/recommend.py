@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from functools import cached_property
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,10 @@ WEIGHTS: Mapping[str, float] = {"cf": 2.0, "category": 0.7, "hot": 0.05}
 
 
 class Tables:
-    """Lazily built frames over one data folder. The split log and the popularity table, which most plans read several times, are stored on first use; the others are plans."""
+    """Lazily built frames over one data folder. What several plans or several parts of a plan read is stored on first use; the others are plans.
+
+    :func:`tables` gives the same set for the same session and folder, so a stored table is built once a session; the folder's tables must not change meanwhile.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -31,8 +35,8 @@ class Tables:
 
     @cached_property
     def ded(self) -> DataFrame:
-        """Positive interactions, each (user, item) once."""
-        return clean.first_interactions(clean.positives(self.inter)).select("user_id", "item_id", "ts", "rating", "category", "brand")
+        """Positive interactions, each (user, item) once, dealt out by user, as what follows wants them."""
+        return clean.first_interactions(clean.positives(self.inter).repartition("user_id")).select("user_id", "item_id", "ts", "rating", "category", "brand")
 
     @cached_property
     def fw(self) -> DataFrame:
@@ -61,17 +65,21 @@ class Tables:
 
     @cached_property
     def sim(self) -> DataFrame:
-        return similarity.cosine_iuf(self.train, NEIGHBORS)
+        return stored(similarity.cosine_iuf(self.train, NEIGHBORS), "similar")
 
     @cached_property
     def known(self) -> DataFrame:
         """What may not be a negative of the users with targets: their histories and the targets themselves."""
         return self.fw.where("eligible").select("user_id", "item_id")
 
+    @cached_property
+    def item_cf(self) -> DataFrame:
+        return stored(channels.item_cf(self.hist, self.sim, self.hist, BUDGET, HALF_LIFE), "item-cf")
+
     @cached_property
     def cf(self) -> DataFrame:
         """Topped up with popular items at score -1 before fusion, where these take ranks of their own."""
-        return channels.refill(channels.item_cf(self.hist, self.sim, self.hist, BUDGET, HALF_LIFE), self.hist, self.hot, self.hist, BUDGET)
+        return channels.refill(self.item_cf, self.hist, self.hot, self.hist, BUDGET)
 
     @cached_property
     def vector(self) -> DataFrame:
@@ -100,20 +108,29 @@ class Tables:
 
     @cached_property
     def stacked(self) -> DataFrame:
-        return fusion.stack({"cf": self.cf, "category": self.category, "hot": self.hot5})
+        return stored(fusion.stack({"cf": self.cf, "category": self.category, "hot": self.hot5}), "channels")
 
     @cached_property
     def pool(self) -> DataFrame:
-        fused = fusion.rrf(self.stacked, WEIGHTS, BUDGET)
-        return channels.refill(fused, self.hist, self.hot, self.hist, BUDGET)
+        """Reciprocal rank fusion. It needs no refill: the item-item channel is topped up to the same budget, so a list is full or holds every unseen popular item."""
+        return stored(fusion.rrf(self.stacked, WEIGHTS, BUDGET), "pool")
 
     @cached_property
     def four_channels(self) -> DataFrame:
-        """The pool with the vector channel, at the default weights."""
+        """The pool with the vector channel, at the default weights; as :attr:`pool`, it needs no refill."""
         stacked = self.stacked.unionByName(fusion.stack({"vector": self.vector}))
-        return channels.refill(fusion.rrf(stacked, fusion.DEFAULT_WEIGHTS, BUDGET), self.hist, self.hot, self.hist, BUDGET)
+        return fusion.rrf(stacked, fusion.DEFAULT_WEIGHTS, BUDGET)
+
+
+_KNOWN: WeakKeyDictionary[SparkSession, dict[str, Tables]] = WeakKeyDictionary()
+
+
+def tables(spark: SparkSession, sf_dir: str) -> Tables:
+    """The folder's tables, the same for each call of a session."""
+    own = _KNOWN.setdefault(spark, {})
+    return own.setdefault(sf_dir, Tables(spark, sf_dir))
 
 
 def recommend(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
     """The first ``k`` items of every user: channels, fusion and refill from the training part of the log."""
-    return Tables(spark, sf_dir).pool.where(f"rank <= {int(k)}")
+    return tables(spark, sf_dir).pool.where(f"rank <= {int(k)}")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .recommend import Tables, recommend
+from .recommend import Tables, recommend, tables
 
 Query = Callable[[Tables], DataFrame]
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -14,10 +14,10 @@ _SQL: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a plan over :class:`Tables` under ``name``, with its SQL."""
+    """Register a plan over :func:`tables` under ``name``, with its SQL."""
 
     def keep(f: Query) -> Query:
-        _QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        _QUERIES[name] = lambda spark, sf_dir: f(tables(spark, sf_dir))
         if sql:
             _SQL[name] = sql
         return f
