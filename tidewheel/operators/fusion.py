@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,3 +87,69 @@ def weight_grid(stacked: DataFrame, grid: DataFrame, targets: DataFrame, budget:
     hit = top.join(targets.select("user_id", "item_id").distinct(), ["user_id", "item_id"], "left_semi").groupBy("combo").agg(F.count_distinct("user_id").alias("hits"))
     users = targets.agg(F.count_distinct("user_id").alias("users"))
     return grid.select("combo").distinct().join(hit, "combo", "left").crossJoin(users).select("combo", F.round(F.coalesce("hits", F.lit(0)) / F.col("users"), 6).alias("hr"))
+
+
+def weight_sets(candidates: Mapping[str, Sequence[float]], fixed: Mapping[str, float] | None = None) -> list[dict[str, float]]:
+    """All combinations of the candidates' weights, the last channel varying fastest, each behind the ``fixed`` ones."""
+    return [{**(fixed or {}), **dict(zip(candidates, w, strict=True))} for w in product(*candidates.values())]
+
+
+#: Users whose lists are compared in one group of :func:`tune_weights`.
+GRID_USERS = 64
+
+
+def tune_weights(stacked: DataFrame, sets: Sequence[Mapping[str, float]], targets: DataFrame, n: int = 100, at: int = 20, least: int = 3) -> DataFrame:
+    """Hit rate at ``n`` and DCG at ``at`` of the weighted quota fusion under every set of weights: ``combo`` (from 0), a column a channel, ``hr, ndcg``.
+
+    A channel brings its first max(``least``, int(n * w / sum w)) items; an item scores the sum of w * score over the channels that bring it; lists are ordered by (-score, item_id). No list is
+    built: an item's score under all sets is one row of a product of channels x sets, and a target's rank under a set is one more than the items that beat it there. Only users with a target
+    in some channel are looked at, a group of about ``GRID_USERS`` in one task, and a group gives one row a set. All users of ``targets`` count. A channel without a weight brings nothing.
+    """
+    names = list(dict.fromkeys(c for s in sets for c in s))
+    weights = np.array([[float(s.get(c, 0.0)) for c in names] for s in sets])
+    total = np.zeros(len(sets))
+    for c in range(len(names)):
+        total = total + np.maximum(weights[:, c], 0)
+    quota = np.where(weights > 0, np.maximum(least, np.floor(n * weights / np.where(total > 0, total, 1)[:, None])), 0)
+    truth = targets.select("user_id", "item_id").distinct()
+    users = truth.agg(F.count_distinct("user_id")).first()[0]
+    own = stacked.select("user_id", "item_id", "score", "rank", (F.array_position(F.array(*map(F.lit, names)), F.col("channel")) - 1).cast("int").alias("channel")).where("channel >= 0")
+    some = own.join(truth, ["user_id", "item_id"], "left_semi").select("user_id").distinct()
+    rows = own.join(some, "user_id", "left_semi").join(truth.withColumn("hit", F.lit(True)), ["user_id", "item_id"], "left")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("user_id"), F.lit(max(1, users // GRID_USERS))))
+
+    def count(t: pa.Table) -> pa.Table:
+        who = np.unique(t.column("user_id").to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        item, channel, score, rank = (t.column(c).to_numpy(zero_copy_only=False) for c in ("item_id", "channel", "score", "rank"))
+        hit = t.column("hit").is_valid().to_numpy(zero_copy_only=False)
+        hits, dcg = np.zeros(len(sets), np.int64), np.zeros(len(sets))
+        order = np.argsort(who, kind="stable")
+        for mine in np.split(order, np.flatnonzero(np.diff(who[order])) + 1):
+            ids, at_item = np.unique(item[mine], return_inverse=True)
+            value, there = np.zeros((len(ids), len(sets))), np.zeros((len(ids), len(sets)), bool)
+            for c in range(len(names)):
+                own = mine[channel[mine] == c]
+                row = at_item[channel[mine] == c]
+                inside = rank[own][:, None] <= quota[:, c]
+                value[row] += score[own][:, None] * weights[:, c] * inside
+                there[row] |= inside
+            value = np.where(there, np.floor(value * 1e9 + 0.5), -np.inf)
+            found = np.zeros(len(sets), bool)
+            for j in np.unique(at_item[hit[mine]]):
+                place = 1 + (value > value[j]).sum(axis=0) + (value[:j] == value[j]).sum(axis=0)
+                found |= there[j] & (place <= n)
+                dcg += np.where(there[j] & (place <= at), 1 / np.log2(place + 1), 0.0)
+            hits += found
+        return pa.table({"combo": pa.array(range(len(sets)), pa.int32()), "hits": hits, "dcg": dcg})
+
+    spark = stacked.sparkSession
+    got = rows.groupBy("block").applyInArrow(count, "combo int, hits long, dcg double").groupBy("combo").agg(F.sum("hits").alias("hits"), F.sum("dcg").alias("dcg"))
+    grid = spark.createDataFrame([(i, *map(float, w)) for i, w in enumerate(weights.tolist())], f"combo int, {', '.join(f'`{c}` double' for c in names)}")
+    rate = lambda c: F.round(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) / max(1, users), 6)
+    return grid.join(F.broadcast(got), "combo", "left").select("combo", *names, rate("hits").alias("hr"), rate("dcg").alias("ndcg"))
+
+
+def best_weights(tuned: DataFrame, names: Sequence[str]) -> dict[str, float]:
+    """The weights of the highest hit rate, the first of equals."""
+    row = tuned.orderBy(F.desc("hr"), "combo").first()
+    return {c: row[c] for c in names}

@@ -173,6 +173,56 @@ def _(t: Tables) -> DataFrame:
     return fusion.weight_grid(t.stacked, t.spark.createDataFrame(rows, "combo int, channel string, w double"), t.targets, 20)
 
 
+_GRID = {"cf": (0.5, 1.0, 1.2, 1.5, 2.0, 3.0), "vector": (1.0, 1.5, 2.0, 2.5, 3.0, 4.0), "category": (0.1, 0.3, 0.5, 0.7, 1.0), "hot": (0.05, 0.1, 0.2)}
+_MORE = {"recent": (0.5, 1.0, 1.5, 2.0), "brand": (0.3, 0.5, 1.0, 1.5)}
+
+
+def _grid_sql(names: list[str], grid: str) -> str:
+    """Lists under every set of the table ``grid``, of the users with a target in a channel; channels in ``ch``."""
+    total = " + ".join(names)
+    each = " UNION ALL ".join(f"SELECT combo, '{c}' AS channel, {c} AS w, {total} AS total FROM {grid}" for c in names)
+    return f"""(SELECT g.*, round(coalesce(h.hits, 0) / u.n, 6) AS hr, round(coalesce(h.dcg, 0.0) / u.n, 6) AS ndcg FROM {grid} g CROSS JOIN (SELECT CAST(count(DISTINCT user_id) AS DOUBLE) AS n FROM tgt) u LEFT JOIN (
+  SELECT combo, count(DISTINCT user_id) AS hits, sum(CASE WHEN r <= 20 THEN 1 / log2(r + 1) ELSE 0.0 END) AS dcg FROM (
+    SELECT combo, user_id, item_id, row_number() OVER (PARTITION BY combo, user_id ORDER BY round(sum(q.w * score), 9) DESC, item_id) AS r FROM ch JOIN ({each}) q USING (channel)
+    WHERE q.w > 0 AND rank <= greatest(3, floor(100 * q.w / total)) AND user_id IN (SELECT user_id FROM ch JOIN tgt USING (user_id, item_id)) GROUP BY 1, 2, 3) JOIN tgt USING (user_id, item_id) WHERE r <= 100 GROUP BY 1) h USING (combo))"""
+
+
+def _lists_sql(lists: dict[str, tuple[float, ...]]) -> str:
+    """All combinations, the last list varying fastest."""
+    number, step = [], 1
+    for c in reversed(lists):
+        number.append(f"{c}_at * {step}")
+        step *= len(lists[c])
+    return f"SELECT CAST({' + '.join(number)} AS INTEGER) AS combo, {', '.join(lists)} FROM " + ", ".join(f"(SELECT unnest(range({len(v)})) AS {c}_at, unnest([{', '.join(f'{x}::DOUBLE' for x in v)}]) AS {c})" for c, v in lists.items())
+
+
+_CH = "ch AS (SELECT channel, user_id, item_id, CAST(score AS DOUBLE) AS score, rank FROM stacked UNION ALL SELECT 'vector', user_id, item_id, score, rank FROM vec{more})"
+_FIRST = f"g4 AS ({_lists_sql(_GRID)})"
+
+
+@query("f_weight_tuning", using("stacked vec tgt", f"SELECT * FROM {_grid_sql(list(_GRID), 'g4')}", f"{_CH.format(more='')}, {_FIRST}"))
+def _tuned(t: Tables) -> DataFrame:
+    """The whole grid of four channels, 540 sets."""
+    return fusion.tune_weights(t.stacked.unionByName(fusion.stack({"vector": t.vector})), fusion.weight_sets(_GRID), t.targets)
+
+
+@query("f_weight_tuning_six", using("stacked vec tgt hist sim recent hot", f"SELECT * FROM {_grid_sql([*_GRID, *_MORE], 'g6')}", f"""{_FIRST},
+  rec AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM (SELECT r.user_id, s.neighbor AS item_id, sum(d * s.sim) AS score FROM (SELECT *, exp(-((max(ts) OVER (PARTITION BY user_id) - ts) / 86400000.0) / 7.0) AS d FROM hist) r JOIN sim s USING (item_id)
+    WHERE s.rank <= 10 AND NOT EXISTS (SELECT 1 FROM hist h WHERE h.user_id = r.user_id AND h.item_id = s.neighbor) GROUP BY 1, 2) QUALIFY rank <= 75),
+  bp AS (SELECT user_id, brand, count(*) AS cnt, CAST(sum(count(*)) OVER (PARTITION BY user_id) AS DOUBLE) AS len FROM recent GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, brand) <= 3),
+  brd AS (SELECT user_id, item_id, cnt / len / place AS score, row_number() OVER (PARTITION BY user_id ORDER BY round(cnt / len / place, 9) DESC, item_id) AS rank FROM (SELECT p.*, h.item_id, row_number() OVER (PARTITION BY p.user_id, p.brand ORDER BY h.hot_rank) AS place FROM bp p JOIN part ON p_brand = p.brand JOIN hot h ON h.item_id = p_partkey
+    WHERE NOT EXISTS (SELECT 1 FROM hist x WHERE x.user_id = p.user_id AND x.item_id = h.item_id)) WHERE place <= 75 QUALIFY rank <= 75),
+  {_CH.format(more=" UNION ALL SELECT 'recent', user_id, item_id, score, rank FROM rec UNION ALL SELECT 'brand', user_id, item_id, score, rank FROM brd")},
+  ch4 AS (SELECT * FROM ch WHERE channel NOT IN ('recent', 'brand')),
+  first4 AS (SELECT {', '.join(_GRID)} FROM {_grid_sql(list(_GRID), 'g4').replace('FROM ch JOIN tgt', "FROM ch4 JOIN tgt").replace('FROM ch JOIN (', 'FROM ch4 JOIN (')} ORDER BY hr DESC, combo LIMIT 1),
+  more AS ({_lists_sql(_MORE)}), g6 AS (SELECT combo, {', '.join([*_GRID, *_MORE])} FROM more, first4)"""))
+def _(t: Tables) -> DataFrame:
+    """Second stage: the best of the first, with two more channels, 16 sets. The short-term item-item channel and the brands stand for the two models of the survey."""
+    four = fusion.best_weights(_tuned(t), list(_GRID))
+    six = {"vector": t.vector, "recent": channels.legacy_item_cf(t.hist, t.sim, t.hist, BUDGET), "brand": channels.brand(t.hist, t.dim, t.hot, t.hist, BUDGET)}
+    return fusion.tune_weights(t.stacked.unionByName(fusion.stack(six)), fusion.weight_sets(_MORE, four), t.targets)
+
+
 @query("f_popular_minus_known", using("unseen", "SELECT user_id, item_id, CAST(place AS INTEGER) AS rank FROM unseen WHERE place <= 20"))
 def _(t: Tables) -> DataFrame:
     return channels.hot_items(t.hist, t.hot, t.hist, 20).select("user_id", "item_id", "rank")
