@@ -69,6 +69,23 @@ def test_top_k_matches_brute_force(spark):
     assert top_k(e.where("vec_id < 3"), e.where("vec_id = 0"), 20).count() == 2
 
 
+def test_top_k_of_large_and_unequal_vectors(spark):
+    """Components up to 64 bits are scored as whole numbers; pairs that leave 64 bits have no row; other lengths are other spaces."""
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.choice([1.0, 5e6, -1e9, 1e15, 3e8], 6).tolist()) for i in range(60)] + [(i, rng.standard_normal(6).tolist()) for i in range(60, 130)] + [(i, [1.0, float(i)]) for i in range(130, 150)]
+    rows += [(200, [1.0] * 64), (201, [5e6] + [0.0] * 63), (202, [2.0**56] + [0.0] * 63), (203, [2.0**57] * 64)]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, top_k(e, e.where("vec_id % 20 = 0"), 20).collect()))
+    v = {i: [math.floor(64 * x) for x in v] for i, v in rows if max(map(abs, v)) < 2.0**57}
+    want = []
+    for q in v:
+        if q % 20 == 0:
+            scores = {c: sum(a * b for a, b in zip(v[q], x, strict=True)) for c, x in v.items() if c != q and len(x) == len(v[q])}
+            best = sorted((-s, c) for c, s in scores.items() if -(2**63) <= s < 2**63)[:20]
+            want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(best)]
+    assert got == sorted(want) and (200, 1, 201, 64 * 64 * 5_000_000) in got and not any(c == 202 for _, _, c, _ in got)
+
+
 def test_impact_index_touches_fewer_postings_and_bounds_hold():
     rng = np.random.default_rng(11)
     v = np.floor(64 * (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(rng.standard_normal((6000, 64)) * rng.choice([0.2, 1, 3], 64))).astype(np.int64)
@@ -528,6 +545,26 @@ def test_license_scan(spark):
     assert licenses.bands_for(10) >= math.log(1e-4) / math.log(1 - 0.8 / 2.2) - 1
 
 
+def test_license_scan_of_a_very_long_text(spark, monkeypatch):
+    """A notice at any place of a text of many slices, across their edges too, is found as in a short one."""
+    notices = dict(enumerate(t for _, t in licenses.TEMPLATES))
+    filler = words(1_000_000, 3)
+    at = [(0, 3), (licenses.SLICE - 60, 3), (5 * licenses.SLICE - 5, 10), (9 * licenses.SLICE - 130, 12), (700_001, 13), (999_990, 9)]
+    out, last = [], 0
+    for place, i in at:
+        out += filler[last:place] + notices[i].split()
+        last = place
+    out += filler[last:]
+    text = " ".join(out)
+    assert len(text) > 5_000_000
+    got = {(r["template_id"], r["word_start"], r["containment"]) for r in licenses.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()}
+    plain = re.sub(r"[^a-z0-9]+", " ", text.lower()).split()
+    for i in (3, 10, 12, 13, 9):
+        own = re.sub(r"[^a-z0-9]+", " ", notices[i].lower()).split()
+        first = next(k for k in range(len(plain)) if plain[k] == own[0] and plain[k : k + len(own)] == own)
+        assert (i, first, 1.0) in got
+
+
 def test_license_scan_matches_every_window(spark):
     """Templates of 1 to 8 shingles, whole or cut by a word, at any offset among other words."""
     rng = random.Random(5)

@@ -69,8 +69,8 @@ def salted(n_blocks: int | Column, *cols: Column | str) -> Column:
 HOT_SHARE = 1 / 2000
 
 
-def join_hot(rows: DataFrame, keyed: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
-    """``rows`` inner joined with ``keyed``, which has each key once and its number of rows as ``count``, of ``total``.
+def join_hot(rows: DataFrame, keyed: DataFrame, on: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``keyed`` (``how``: inner or left), which has each key once and its number of rows as ``count``, of ``total``.
 
     Hot keys, with more than ``HOT_SHARE`` of the rows, are at most 1 / HOT_SHARE rows of ``keyed`` whatever the data, so they are broadcast
     and their rows stay where they are; the other keys are shuffled and none of them fills a task.
@@ -78,7 +78,7 @@ def join_hot(rows: DataFrame, keyed: DataFrame, on: list[str], count: str, total
     limit = max(1, int(total * HOT_SHARE))
     hot = keyed.where(F.col(count) > limit)
     near = rows.join(F.broadcast(hot), on)
-    far = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(keyed.where(F.col(count) <= limit), on)
+    far = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(keyed.where(F.col(count) <= limit), on, how)
     return near.unionByName(far)
 
 

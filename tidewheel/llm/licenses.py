@@ -16,7 +16,10 @@ BAND_TARGET = 0.9999
 #: Templates are broadcast within the plan; more characters than this are refused.
 MAX_TEMPLATE_CHARS = 4_000_000
 
-#: Notices of public licences, as their stewards publish them for use in source files and pages.
+#: Shingles of a text that are looked at together; a slice also holds what its last windows need.
+SLICE = 2048
+
+#: Notices of public licences, as their stewards publish them for use in source files and pages, and whole texts of short ones.
 TEMPLATES = [
     ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
@@ -28,6 +31,10 @@ TEMPLATES = [
     ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("bsd-2-clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
 ]
 
 
@@ -81,9 +88,12 @@ def scan_licenses(docs: DataFrame, templates: DataFrame | None = None, containme
     Windows overlap by half and are two template lengths long, so that any passage as long as the template lies
     whole in one.  A window's MinHash value in a band is the least of its shingle hashes when hashed again
     with the band's number; each value is a band, and :func:`bands_for` sets their number.  As a window can share a band with a template only
-    if it holds the very shingle that is the template's least, texts without any of those shingles are
-    passed over first, by a hash lookup in the scan: that is implied by the bands and loses nothing.
-    Windows retrieved by a band are verified by exact containment.  No shuffle of texts, no Python.
+    if it holds the very shingle that is the template's least, slices without any of those shingles are
+    passed over first, by a lookup in a hash set: that is implied by the bands and loses nothing.
+    Windows retrieved by a band meet the templates by an equal join on (length, band, value) and are verified by exact containment.  No shuffle of texts, no Python.
+
+    A text is cut into words once; what follows holds slices of ``SLICE`` of them, each with as many more as the longest template's windows need, so a row stays
+    small however long the text (tested with 5 MB of text in one row). A window belongs to the slice in which it begins.
 
     Words are runs of letters and digits in lower case.  Null and empty texts have no rows; repeated rows are
     scanned each; a template without words never matches.
@@ -101,20 +111,31 @@ def scan_licenses(docs: DataFrame, templates: DataFrame | None = None, containme
     least, lengths = list(facts["least"]), list(facts["lengths"])
     if not lengths:
         return docs.where("false").select(id_col, F.lit(0).alias("template_id"), F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).alias("word_start"), F.lit(0).alias("word_end"))
-    known = F.broadcast(t.select("template_id", "license", "t", "bands", F.col("n").alias("tn")))
-
-    hashed = once(once(docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")), "words", _word_array(F.col("_text"))).drop("_text"), "h", _shingle_hashes(F.col("words"))).drop("words")
-    near = hashed.where(F.arrays_overlap("h", F.lit(least))).withColumn("_row", F.monotonically_increasing_id())
-    # windows of each template length: block k starts at shingle k * n
-    # the windows that hold a possible band value: a shingle at i stands in the windows i div n and the one before
-    places = F.filter(F.transform("h", lambda h, i: F.when(F.array_contains(F.lit(least), h), i)), lambda i: i.isNotNull())
-    starts = lambda n: F.array_distinct(F.flatten(F.transform("p", lambda i: F.array(F.floor(i / n), F.greatest(F.floor(i / n) - 1, F.lit(0).cast("long"))))))
-    cut = lambda n: lambda k: F.struct(F.lit(n).alias("n"), k.alias("k"), F.slice("h", (k * n + 1).cast("int"), 2 * n).alias("w"))
+    known = t.select("template_id", "license", "t", F.col("n").alias("tn"), F.posexplode("bands").alias("band", "value"))
+    probe = F.broadcast(known.groupBy("tn", "band", "value").agg(F.collect_set("template_id").alias("ids")))
+    longest = max(lengths)
+
+    words = once(docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")), "words", _word_array(F.col("_text"))).drop("_text")
+    # short texts are one shingle whatever their words, longer ones have words - SHINGLE + 1
+    count = F.greatest(F.size("words") - SHINGLE + 1, F.lit(1))
+    part = lambda k: F.struct(k.alias("at"), F.slice("words", (k * SLICE + 1).cast("int"), SLICE + 2 * longest + SHINGLE - 1).alias("words"))
+    rows = words.where(F.size("words") > 0).withColumn("_row", F.monotonically_increasing_id())
+    sliced = rows.select("_id", "_row", F.explode(F.transform(F.sequence(F.lit(0), F.floor((count - 1) / SLICE)), part)).alias("x")).select("_id", "_row", (F.col("x.at") * SLICE).alias("base"), "x.words")
+    hashed = once(sliced, "h", _shingle_hashes(F.col("words"))).drop("words")
+    near = once(hashed, "some", F.array_intersect(F.col("h"), F.lit(least))).where(F.size("some") > 0)
+    # a shingle at i stands in the windows i div n and the one before; those that begin in the slice are its own
+    places = F.filter(F.transform("h", lambda h, i: F.when(F.array_contains("some", h), i + F.col("base"))), lambda i: i.isNotNull())
+    own = lambda n: lambda k: (k * n >= F.col("base")) & (k * n < F.col("base") + SLICE)
+    starts = lambda n: F.filter(F.array_distinct(F.flatten(F.transform("p", lambda i: F.array(F.floor(i / n), F.greatest(F.floor(i / n) - 1, F.lit(0).cast("long")))))), own(n))
+    cut = lambda n: lambda k: F.struct(F.lit(n).alias("n"), k.alias("k"), F.slice("h", (k * n - F.col("base") + 1).cast("int"), 2 * n).alias("w"))
     held = [F.transform(starts(n), cut(n)) for n in lengths]
-    # windows leave their text as slices: no row after this carries the whole text
+    # windows leave their slice by themselves
     windows = once(near, "p", places).select("_id", "_row", F.explode(F.concat(*held)).alias("x")).select("_id", "_row", "x.n", "x.k", "x.w")
-    signed = once(windows, "sig", F.array(*[_least(F.col("w"), i) for i in bands])).select("_id", "_row", "n", "k", "w", "sig")
-    found = signed.join(known, (F.col("n") == F.col("tn")) & F.exists(F.zip_with("sig", "bands", lambda x, y: x == y), lambda x: x))
+    signed = windows.select("*", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(len(bands) - 1)), lambda i: F.array_min(F.transform("w", lambda h: F.xxhash64(h, i))))).alias("band", "value"))
+    met = signed.join(probe, (F.col("n") == F.col("tn")) & (signed["band"] == probe["band"]) & (signed["value"] == probe["value"])).select("_id", "_row", "n", "k", "w", F.explode("ids").alias("tid"))
+    whole = F.broadcast(t.select(F.col("template_id").alias("tid"), "template_id", "license", "t"))
+    # a window that several bands retrieve is verified each time and counted once
+    found = met.join(whole, "tid")
     hit = found.withColumn("in", F.size(F.array_intersect("w", "t"))).withColumn("containment", F.col("in") / F.col("n")).where(F.col("containment") >= containment)
     at = F.filter(F.transform("w", lambda h, i: F.when(F.array_contains("t", h), i)), lambda i: i.isNotNull())
     spans = hit.withColumn("at", at).select(

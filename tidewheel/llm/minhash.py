@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, fed, materialize, salted
+from .common import connected_components, fed, join_hot, materialize, salted
 from .words import BATCH_BYTES, Words, batches, mix, shingles
 
 
@@ -264,17 +264,19 @@ def near_duplicates(docs: DataFrame, settings: Settings = DEFAULT, id_col: str =
     signed = keyed.where("text is not null").select("node", "text").mapInArrow(sign, "node long, bytes long, bands array<long>")
     nodes = materialize(signed.groupBy("node").agg(F.first("bytes").alias("bytes"), F.first("bands").alias("bands")), "signatures")
     slots = nodes.select("node", "bytes", F.posexplode("bands").alias("band", "value"))
+    total = nodes.count() * s.bands
     full = slots.groupBy("band", "value").agg(F.count("*").alias("n"), F.bit_xor("node").alias("who")).where("n > 1")
     # buckets of the same members are one
     full = full.groupBy("n", "who").agg(F.min(F.struct("band", "value")).alias("at"), F.count("*").alias("bands"))
-    buckets = materialize(slots.join(full.select("at.*", "n", "bands"), ["band", "value"]), "buckets")
+    full = materialize(full.select("at.*", "n", "bands"), "full")
+    buckets = materialize(join_hot(slots, full, ["band", "value"], "n", total), "buckets")
     texts = _texts(buckets.select("node").distinct(), keyed)
 
     reach = buckets.groupBy("node").agg(F.sum(F.col("n") * F.col("bands")).alias("reach"))
-    hub = buckets.join(reach, "node").groupBy("band", "value").agg(F.max_by("node", F.struct("reach", "node")).alias("hub"))
-    classes = connected_components(_stars(buckets.join(hub, ["band", "value"]).select("hub", "node", "bytes").where("node <> hub").distinct(), texts, s, idf))
+    hub = materialize(buckets.join(reach, "node").groupBy("band", "value").agg(F.max_by("node", F.struct("reach", "node")).alias("hub"), F.count("*").alias("_n")), "hubs")
+    classes = connected_components(_stars(join_hot(buckets, hub, ["band", "value"], "_n", total).select("hub", "node", "bytes").where("node <> hub").distinct(), texts, s, idf))
     classes = materialize(classes, "classes")
-    more = _blocks(_split(buckets, classes), texts, s, idf)
+    more = _blocks(_split(buckets, classes, total), texts, s, idf)
     classes = _joined(classes, more)
 
     named = keyed.select("id", "node", F.col("text").rlike(r"[^\x20\x09-\x0D]").alias("words"))
@@ -282,7 +284,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = DEFAULT, id_col: str =
     named = named.withColumn("part", F.when(F.coalesce("words", F.lit(False)), F.col("part")))
     named = materialize(named.select("id", "part"), "named")
     sizes = named.where("part is not null").groupBy("part").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
-    out = named.join(sizes, "part", "left")
+    out = join_hot(named, materialize(sizes, "sizes"), ["part"], "class_size", named.count(), "left")
     alone = F.col("part").isNull()
     class_id = F.when(alone, F.col("id")).otherwise(F.col("class_id"))
     return out.select(F.col("id").alias(id_col), class_id.alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.coalesce(F.col("id") == class_id, F.lit(True)).alias("kept"))
@@ -295,7 +297,9 @@ def _joined(classes: DataFrame, links: DataFrame) -> DataFrame:
     a, b = (classes.select(F.col("node").alias(k), F.col("component").alias(f"of_{k}")) for k in "ab")
     parts = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
     merged = materialize(connected_components(parts), "merged").withColumnsRenamed({"node": "old", "component": "new"})
-    moved = classes.join(merged, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
+    size = classes.groupBy(F.col("component").alias("old")).agg(F.count("*").alias("_n"))
+    known = materialize(merged.join(size, "old"), "moves")
+    moved = join_hot(classes.withColumn("old", F.col("component")), known, ["old"], "_n", classes.count(), "left").select("node", F.coalesce("new", "component").alias("component"))
     first = merged.join(classes, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("component"))
     return materialize(moved.union(first), "classes")
 
@@ -338,14 +342,14 @@ def _needed(rows: Column, size: Column, per_block: int) -> Column:
     return F.ceil(F.greatest(rows / per_block, size / BLOCK_BYTES)).cast("int")
 
 
-def _split(buckets: DataFrame, classes: DataFrame) -> DataFrame:
+def _split(buckets: DataFrame, classes: DataFrame, total: int) -> DataFrame:
     """Members of the buckets that are in several classes, but pairs, which the first round has settled, with ``main``: in the bucket's largest class, and the blocks ``p`` it needs and ``q`` of the rest."""
     now = buckets.where("n > 2").join(classes, "node", "left").select("band", "value", "node", "bytes", F.coalesce("component", "node").alias("part"))
     per = now.groupBy("band", "value", "part").agg(F.count("*").alias("k"), F.sum("bytes").alias("bytes"))
     top = per.groupBy("band", "value").agg(F.max(F.struct("k", "part", "bytes")).alias("top"), F.count("*").alias("parts"), F.sum("k").alias("n"), F.sum("bytes").alias("bytes")).where("parts > 1")
     p, q = _needed(F.col("top.k"), F.col("top.bytes"), BLOCK_ROWS), _needed(F.col("n") - F.col("top.k"), F.col("bytes") - F.col("top.bytes"), BLOCK_ROWS)
-    top = top.select("band", "value", F.col("top.part").alias("top"), p.alias("p"), q.alias("q"))
-    return now.drop("bytes").join(top, ["band", "value"]).withColumn("main", F.col("part") == F.col("top"))
+    top = materialize(top.select("band", "value", F.col("top.part").alias("top"), p.alias("p"), q.alias("q"), F.col("n").alias("_n")), "split")
+    return join_hot(now.drop("bytes"), top, ["band", "value"], "_n", total).drop("_n").withColumn("main", F.col("part") == F.col("top"))
 
 
 def _blocks(members: DataFrame, texts: DataFrame, s: Settings, idf) -> DataFrame:

@@ -16,14 +16,35 @@ TILE = 2048
 
 
 def quantised(vector: Column, scale: float) -> Column:
-    """floor(scale * x) of every component; null if the vector is null or holds a null or non-finite one, or one so large that an
-    inner product could leave 64 bits (beyond 2**31 / sqrt(dimensions) once scaled)."""
+    """floor(scale * x) of every component; null if the vector is null or holds a null or non-finite one, or one that leaves 64 bits once scaled."""
     x = vector.cast("array<double>")
-    limit = F.lit(2.0**31) / F.sqrt(F.greatest(F.size(x), F.lit(1))) / abs(scale)
-    bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) >= limit - 1))
+    bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) >= 2.0**63 / abs(scale)))
     return F.when(F.coalesce(~bad, F.lit(False)), F.transform(x, lambda v: F.floor(v * scale)))
 
 
+def plain(v: np.ndarray) -> np.ndarray:
+    """Rows whose inner products with each other stay below 2**62 at every step, so that doubles bound them and 64-bit integers give them."""
+    return (np.abs(v.astype(np.float64)) < 2.0**31 / np.sqrt(v.shape[1]) - 1).all(axis=1)
+
+
+def large_scores(v: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exact inner products of the rows of ``v`` with ``q``, and which of them fit 64 bits, whatever the components.
+
+    Integer products are exact modulo 2**64; a sum in doubles, with room for its rounding, tells which are exact as they are. Those too near the
+    limit to tell are added up as whole numbers of any size.
+    """
+    x, y = v.astype(np.float64), q.astype(np.float64)
+    about = x @ y
+    slack = np.abs(x) @ np.abs(y) * (len(q) + 4) * 2.0**-52 + 1
+    with np.errstate(over="ignore"):
+        score = (v * q).sum(axis=1)
+    fits = np.abs(about) + slack < 2.0**63
+    for i in np.flatnonzero(~fits & (np.abs(about) - slack < 2.0**63)).tolist():
+        exact = sum(a * b for a, b in zip(v[i].tolist(), q.tolist(), strict=True))
+        fits[i] = -(2**63) <= exact < 2**63
+    return score, fits
+
+
 class ImpactIndex:
     """Posting lists of a shard by descending impact.
 
@@ -107,16 +128,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64
     vectors can be among the ``k`` best of the shard; those are rescored exactly. The shards' lists then meet in
     one top-k by query.
 
-    Vectors that are null, or hold null or non-finite components, or components too large for exact scores (see :func:`quantised`), or are empty take no part, nor do null ids.
+    Vectors that are null, or hold null or non-finite components, or components that leave 64 bits once scaled, or are empty take no part, nor do null ids.
+    Vectors with components so large that sums in doubles could not be trusted stand beside the index and are scored one by one, exactly; a pair whose score leaves 64 bits has no row.
     Ties go to smaller ids. Rows that share the query's id are its own. Repeated query ids count once, with the
-    least of their vectors; repeated candidates are ranked each. All vectors must have the same length.
+    least of their vectors; repeated candidates are ranked each. A query meets vectors of its own length only.
     """
     take = lambda d: d.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector), scale).alias("v")).where("id is not null and size(v) > 0")
     cand, ask = take(vectors), take(queries).groupBy("id").agg(F.min("v").alias("v"))
     n_shards, n_blocks = spread(vectors.count(), SHARD_ROWS), spread(queries.count(), BLOCK_QUERIES)
     c = cand.withColumn("shard", salted(n_shards, F.col("id"), F.lit("s"))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).withColumn("ask", F.lit(False))
     a = ask.withColumn("block", salted(n_blocks, F.col("id"), F.lit("b"))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))).withColumn("ask", F.lit(True))
-    both = c.select("shard", "block", "ask", "id", "v").unionByName(a.select("shard", "block", "ask", "id", "v"))
+    both = c.select("shard", "block", "ask", "id", "v").unionByName(a.select("shard", "block", "ask", "id", "v")).withColumn("d", F.size("v"))
 
     def run(table: pa.Table) -> pa.Table:
         asks = table.column("ask").to_numpy(zero_copy_only=False)
@@ -126,18 +148,31 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64
         pick = lambda m: m[np.argsort(ids[m], kind="stable")]
         c, q = pick(np.flatnonzero(~asks)), pick(np.flatnonzero(asks))
         rows: list = [[], [], []]
+
+        def tell(query: int, found: np.ndarray, score: np.ndarray) -> None:
+            best = np.lexsort((found, -score))[:k]
+            for column, x in zip(rows, (np.full(len(best), query), found[best], score[best]), strict=True):
+                column.append(x)
+
         if len(c) and len(q):
-            index = ImpactIndex(v[c])
-            step = max(1, 2_000_000 // len(c))
-            for lo in range(0, len(q), step):
-                part = q[lo : lo + step]
-                for i, (m, s) in enumerate(index.search(v[part], k, ids[part], ids[c])):
-                    rows[0].append(np.full(len(m), ids[part[i]]))
-                    rows[1].append(ids[c][m])
-                    rows[2].append(s)
+            few, easy = plain(v[c]), plain(v[q])
+            hard = c[~few]
+            if few.any() and easy.any():
+                index, small, asks = ImpactIndex(v[c[few]]), ids[c[few]], q[easy]
+                step = max(1, 2_000_000 // len(small))
+                for lo in range(0, len(asks), step):
+                    part = asks[lo : lo + step]
+                    for i, (m, s) in enumerate(index.search(v[part], k, ids[part], small)):
+                        tell(ids[part[i]], small[m], s)
+            for i in q[easy] if len(hard) else q[:0]:
+                s, fits = large_scores(v[hard], v[i])
+                tell(ids[i], ids[hard][fits & (ids[hard] != ids[i])], s[fits & (ids[hard] != ids[i])])
+            for i in q[~easy]:
+                s, fits = large_scores(v[c], v[i])
+                tell(ids[i], ids[c][fits & (ids[c] != ids[i])], s[fits & (ids[c] != ids[i])])
         cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
         return pa.table({"query_id": cat(rows[0]), "id": cat(rows[1]), "score": cat(rows[2])})
 
-    found = both.groupBy("shard", "block").applyInArrow(run, "query_id long, id long, score long")
+    found = both.groupBy("d", "shard", "block").applyInArrow(run, "query_id long, id long, score long")
     by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id"))
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")

@@ -10,14 +10,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, salted
+from .common import connected_components, materialize, salted, spread
 
-#: The codebooks and the radius of traversal are fitted on so many vectors at most, those with the least hashes.
-SAMPLE_VECTORS = 4096
+#: The codebooks and the radius of traversal are fitted on so many vectors at most, those with the least hashes: 16 a centroid, within these bounds.
+SAMPLE_VECTORS, MOST_VECTORS = 4096, 16384
+#: Centroids of a codebook at most. The grid has their square of cells, so up to about 16 million vectors of a label the cells keep their size; beyond that they grow with the label.
+CENTROIDS = 1024
 #: Share of the pairs at the threshold itself that the traversal reaches; closer pairs are reached more often.
 TARGET_RECALL = 0.9999
 #: Vectors wanted in a cell of one label, and the most in a block of postings or probes.
 CELL_ROWS, BLOCK_ROWS = 16, 1024
+#: Rows of blocks that are verified in one group, about.
+GROUP_ROWS = 4096
 
 
 class MultiIndex:
@@ -94,6 +98,11 @@ def _matrix(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1)
 
 
+def blocks_size(cells: DataFrame) -> int:
+    """Rows of all blocks of ``cells(n_post, n_ask, pb, qb)``."""
+    return cells.agg(F.coalesce(F.sum(F.col("n_post") * F.col("qb") + F.col("n_ask") * F.col("pb")), F.lit(0))).first()[0]
+
+
 def vector_links(vectors: DataFrame, threshold: float = 0.98, target_recall: float = TARGET_RECALL, id_col: str = "vec_id", vector: str = "embedding", label: str = "label") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Links between distinct vectors of equal labels: ``reps(label, v, rep, weight)``, ``counts(rep, links)``, ``edges(a, b)``.
 
@@ -111,13 +120,13 @@ def vector_links(vectors: DataFrame, threshold: float = 0.98, target_recall: flo
     valid = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label).alias("label"), x.alias("v")).where(F.col("id").isNotNull() & F.col("label").isNotNull() & F.coalesce(~bad, F.lit(False)) & F.exists("v", lambda v: v != 0))
     reps = materialize(valid.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("weight")), "vectors")
     n, labels, longest = reps.agg(F.count("*"), F.count_distinct("label"), F.max(F.size("v"))).first()
-    sample = [r[0] for r in reps.select("v", F.xxhash64("rep").alias("h"), "rep").orderBy("h", "rep").limit(SAMPLE_VECTORS).select("v").collect()] if n else []
+    k = int(np.clip(round(np.sqrt(n / max(1, labels) / CELL_ROWS)), 1, CENTROIDS))
+    sample = [r[0] for r in reps.select("v", F.xxhash64("rep").alias("h"), "rep").orderBy("h", "rep").limit(int(np.clip(16 * k, SAMPLE_VECTORS, MOST_VECTORS))).select("v").collect()] if n else []
     empty = spark.createDataFrame([], "rep long, links long"), spark.createDataFrame([], "a long, b long")
     if not sample or longest < 2:
         if longest == 1:  # all cosines are 1 or -1: pad to a half each
             return vector_links(vectors.withColumn(vector, F.concat(x, F.array(F.lit(0).cast(vectors.schema[vector].dataType.elementType)))), threshold, target_recall, id_col, vector, label)
         return reps.select("label", "v", "rep", "weight"), *empty
-    k = int(np.clip(round(np.sqrt(n / max(1, labels) / CELL_ROWS)), 1, 256))
     index = MultiIndex(_unit(np.array(sample)), k, threshold, target_recall)
 
     def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +189,22 @@ def vector_links(vectors: DataFrame, threshold: float = 0.98, target_recall: flo
                 return pa.table({"node": np.concatenate([x[s] for x, s in zip(node[1:], some, strict=True)]), "links": np.concatenate([x[s] for x, s in zip(links[1:], some, strict=True)]).astype(np.int64), "least": np.concatenate([x[s] for x, s in zip(to, some, strict=True)])})
         return pa.table({"node": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "least": pa.array([], pa.int64())})
 
-    found = materialize(both.groupBy("label", "cell", "p", "q").applyInArrow(verify, "node long, links long, least long"), "links")
+    # many small blocks are one group of about GROUP_ROWS rows: what a task pays for a group does not follow the number of cells
+    size = blocks_size(n_post.join(asked, where).join(blocks, where))
+    keys = [*where, "p", "q"]
+
+    def several(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in keys]).combine_chunks()
+        edge = np.zeros(len(table) + 1, bool)
+        edge[[0, -1]] = True
+        for c in keys:
+            column = table.column(c).dictionary_encode().combine_chunks().indices.to_numpy()
+            edge[1:-1] |= column[1:] != column[:-1]
+        at = np.flatnonzero(edge)
+        return pa.concat_tables([verify(table.slice(lo, hi - lo)) for lo, hi in zip(at[:-1], at[1:], strict=True)])
+
+    dealt = both.withColumn("_group", salted(spread(size, GROUP_ROWS), *keys))
+    found = materialize(dealt.groupBy("_group").applyInArrow(several, "node long, links long, least long"), "links")
     counts = found.groupBy(F.col("node").alias("rep")).agg(F.sum("links").alias("links"))
     return reps, counts, found.select(F.col("node").alias("a"), F.col("least").alias("b")).where("a <> b")
 
