@@ -5,9 +5,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import math
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,19 +126,94 @@ def paired(old: DataFrame, new: DataFrame) -> DataFrame:
 def bootstrap_interval(gained: int, lost: int, users: int, draws: int = 10_000, seed: int = 20) -> tuple[float, float]:
     """95 % interval of the change of hit rate: a multinomial of the three counts, whatever the number of users."""
     rng = np.random.default_rng(seed)
-    p = np.array([gained, lost, users - gained - lost]) / users
-    x = rng.multinomial(users, p, size=draws)
+    x = rng.multinomial(users, np.array([gained, lost, users - gained - lost]) / users, size=draws)
     lo, hi = np.quantile((x[:, 0] - x[:, 1]) / users, [0.025, 0.975])
     return float(lo), float(hi)
 
 
-def mean_delta_interval(deltas: DataFrame, draws: int = 10_000, seed: int = 20) -> tuple[float, float]:
-    """95 % interval of the mean of ``delta``, from its histogram at nine digits (bounded by distinct values)."""
-    rows = deltas.groupBy(F.round("delta", 9).alias("d")).agg(F.count("*").alias("n")).collect()
-    v, n = np.array([r["d"] for r in rows]), np.array([r["n"] for r in rows])
-    x = np.random.default_rng(seed).multinomial(n.sum(), n / n.sum(), size=draws) @ v / n.sum()
-    lo, hi = np.quantile(x, [0.025, 0.975])
-    return float(lo), float(hi)
+#: Cumulative probabilities of a Poisson variable of mean 1, at 0, 1, and so on; a draw gives a row the number of those below its hash.
+POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(12)])
+
+
+def scrambled(h: np.ndarray) -> np.ndarray:
+    """The 32-bit finalizer of MurmurHash3."""
+    h = h & np.uint64(0xFFFFFFFF)
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor) & np.uint64(0xFFFFFFFF)
+    return h ^ (h >> np.uint64(16))
+
+
+def resampled(rows: DataFrame, columns: Sequence[str], draws: int, seed: int = 20, key: str = "user_id") -> DataFrame:
+    """Bootstrap means: ``draw`` and the mean of each column in it.
+
+    Row and draw are hashed to a Poisson weight of mean 1, which stands for how often the row would be drawn: any partitioning and any rerun give the same, no row is copied, and a task
+    gives one row a draw. ``key`` is a whole number that tells rows apart (hash others first).
+    """
+    step = max(1, 2_000_000 // draws)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = np.arange(draws, dtype=np.uint64) * np.uint64(0x9E3779B1) & np.uint64(0xFFFFFFFF)
+        size, total = np.zeros(draws), np.zeros((draws, len(columns)))
+        for batch in it:
+            own = scrambled(batch.column(0).to_numpy().view(np.uint64) ^ np.uint64(seed))
+            x = np.column_stack([batch.column(i + 1).to_numpy(zero_copy_only=False) for i in range(len(columns))])
+            for lo in range(0, len(own), step):
+                u = (scrambled(own[lo : lo + step, None] + number) + 0.5) / 2.0**32
+                w = np.searchsorted(POISSON, u.ravel()).reshape(u.shape).astype(float)
+                size += w.sum(axis=0)
+                total += w.T @ x[lo : lo + step]
+        yield pa.RecordBatch.from_arrays([pa.array(range(draws), pa.int32()), pa.array(size), *(pa.array(total[:, i]) for i in range(len(columns)))], names=["draw", "size", *columns])
+
+    parts = rows.select(F.col(key).cast("long"), *[F.col(c).cast("double").alias(c) for c in columns]).mapInArrow(run, f"draw int, size double, {', '.join(f'`{c}` double' for c in columns)}")
+    sums = parts.groupBy("draw").agg(F.sum("size").alias("size"), *[F.sum(c).alias(c) for c in columns])
+    return sums.where("size > 0").select("draw", *[(F.col(c) / F.col("size")).alias(c) for c in columns])
+
+
+def bootstrap(rows: DataFrame, columns: Sequence[str], draws: int = 1000, alpha: float = 0.0125, seed: int = 20, key: str = "user_id") -> DataFrame:
+    """``metric, users, mean, low, high`` of every column: its mean and the ``alpha`` and 1 - ``alpha`` quantiles of its bootstrap means. Without rows all are 0."""
+    one = lambda c: F.percentile(c, F.array(F.lit(alpha), F.lit(1 - alpha))).alias(f"_{c}")
+    ends = resampled(rows, columns, draws, seed, key).agg(*[one(c) for c in columns])
+    means = rows.agg(F.count("*").alias("users"), *[F.avg(c).alias(c) for c in columns])
+    each = F.array(*[F.struct(F.lit(c).alias("metric"), "users", F.col(c).alias("mean"), F.col(f"_{c}")[0].alias("low"), F.col(f"_{c}")[1].alias("high")) for c in columns])
+    return means.crossJoin(ends).select(F.explode(each).alias("x")).select("x.*").na.fill(0.0, ["mean", "low", "high"])
+
+
+def acceptance(deltas: DataFrame, least: float = 0.0005, draws: int = 1000, alpha: float = 0.0125, seed: int = 20) -> DataFrame:
+    """Whether a challenger is accepted over runs of several seeds: ``deltas(seed, cohort, user_id, hr, ndcg)``, differences of a user's metrics, cohort screen or confirm.
+
+    Six conditions, a column each: the mean over seeds of the screening hit rates is above 0, of their NDCG not below; every seed's confirming hit rate is above 0, their mean at least ``least``, the
+    lower end of the bootstrap interval of users' means over seeds above 0, and the mean confirming NDCG not below 0. A cohort without rows fails its conditions.
+    """
+    per = deltas.groupBy("cohort", "seed").agg(F.avg("hr").alias("hr"), F.avg("ndcg").alias("ndcg"))
+    of = lambda f, cohort, c: f(F.when(F.col("cohort") == cohort, F.col(c)))
+    means = per.agg(
+        of(F.avg, "screen", "hr").alias("screen_hr"), of(F.avg, "screen", "ndcg").alias("screen_ndcg"), of(F.avg, "confirm", "hr").alias("confirm_hr"), of(F.avg, "confirm", "ndcg").alias("confirm_ndcg"),
+        of(F.min, "confirm", "hr").alias("worst_hr"), of(F.stddev_samp, "confirm", "hr").alias("hr_spread"),
+    )
+    pooled = deltas.where("cohort = 'confirm'").groupBy("user_id").agg(F.avg("hr").alias("hr"), F.avg("ndcg").alias("ndcg"))
+    ends = bootstrap(pooled, ["hr"], draws, alpha, seed).select("users", "low", "high")
+    tests = {"screen_gains": F.col("screen_hr") > 0, "screen_holds": F.col("screen_ndcg") >= 0, "every_seed_gains": F.col("worst_hr") > 0, "gain_suffices": F.col("confirm_hr") >= least, "interval_gains": F.col("low") > 0, "confirm_holds": F.col("confirm_ndcg") >= 0}
+    out = means.crossJoin(ends).withColumns({c: F.coalesce(x, F.lit(False)) for c, x in tests.items()})
+    return out.withColumn("accepted", F.expr(" and ".join(tests)))
+
+
+def pairwise_overlap(stacked: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Users' lists of every two channels: ``a, b, users, shared, mean_jaccard`` over the users with a list in either.
+
+    A row an item with the channels that hold it, summed by user for all pairs at once: nothing is joined.
+    """
+    has = stacked.groupBy("user_id", "item_id").agg(*[F.max((F.col("channel") == n).cast("int")).alias(n) for n in names])
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    both, any_ = (lambda a, b: F.sum(F.col(a) * F.col(b)), lambda a, b: F.sum(F.greatest(a, b)))
+    per = has.groupBy("user_id").agg(*[x for i, (a, b) in enumerate(pairs) for x in (both(a, b).alias(f"_s{i}"), any_(a, b).alias(f"_u{i}"))])
+    each = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_s{i}").alias("s"), F.col(f"_u{i}").alias("u")) for i, (a, b) in enumerate(pairs)])
+    x = per.select(F.explode(each).alias("x")).select("x.*").where("u > 0")
+    return x.groupBy("a", "b").agg(F.count("*").alias("users"), F.sum("s").alias("shared"), F.round(F.avg(F.col("s") / F.col("u")), 6).alias("mean_jaccard"))
+
+
+def by_category(users: DataFrame, dim: DataFrame) -> DataFrame:
+    """Hit rate by the category of the user's target: ``users(user_id, hit, item_id)``, ``dim(item_id, category)``; unknown items are one group without a name."""
+    return users.join(dim.select("item_id", "category"), "item_id", "left").groupBy("category").agg(F.count("*").alias("users"), F.round(F.avg("hit"), 6).alias("hr"))
 
 
 def accepted(delta_hr: float, delta_ndcg: float) -> bool:
@@ -164,10 +241,10 @@ def best_checkpoint(runs: DataFrame) -> DataFrame:
 
 def pool_audit(pool: DataFrame, seen: DataFrame, budget: int, catalogue: DataFrame) -> DataFrame:
     """Counts of users whose pool breaks a rule: size, duplicates, ids outside the catalogue, items already seen."""
-    per = pool.groupBy("user_id").agg(F.count("*").alias("n"), F.count_distinct("item_id").alias("d"))
-    outside = pool.join(catalogue.select("item_id"), "item_id", "left_anti").select("user_id").distinct().count
-    known = pool.join(seen.select("user_id", "item_id"), ["user_id", "item_id"], "left_semi").select("user_id").distinct().count
-    return per.agg(F.sum((F.col("n") != budget).cast("int")).alias("wrong_size"), F.sum((F.col("n") != F.col("d")).cast("int")).alias("repeated")).withColumns({"outside": F.lit(outside()).cast("bigint"), "seen": F.lit(known()).cast("bigint")})
+    flag = lambda d, name: d.select(*[c for c in ("user_id", "item_id") if c in d.columns]).distinct().withColumn(name, F.lit(1))
+    j = pool.join(flag(catalogue.select("item_id"), "_in"), "item_id", "left").join(flag(seen.select("user_id", "item_id"), "_seen"), ["user_id", "item_id"], "left")
+    per = j.groupBy("user_id").agg(F.count("*").alias("n"), F.count_distinct("item_id").alias("d"), F.max(F.col("_in").isNull().cast("int")).alias("out"), F.max(F.coalesce("_seen", F.lit(0))).alias("seen"))
+    return per.agg(F.sum((F.col("n") != budget).cast("int")).alias("wrong_size"), F.sum((F.col("n") != F.col("d")).cast("int")).alias("repeated"), F.sum("out").alias("outside"), F.sum("seen").alias("seen"))
 
 
 def embedding_health(vectors: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _load() -> None:
-    from . import data_queries, eval_queries, retrieval_queries  # noqa: F401  they register themselves
+    from . import data_queries, eval_queries, model_queries, retrieval_queries  # noqa: F401  they register themselves
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
