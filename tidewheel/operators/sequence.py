@@ -148,3 +148,11 @@ def intervals(events: DataFrame, bounds: DataFrame, key: str = "user_id", at: st
     both = events.withColumn("_at", F.col(at)).withColumn("_tier", F.lit(1)).unionByName(bounds.select(key, F.col("bound").cast(kind).alias("_at"), F.lit(0).alias("_tier")), allowMissingColumns=True)
     w = Window.partitionBy(key).orderBy("_at", "_tier").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return both.withColumn("interval", F.sum(1 - F.col("_tier")).over(w).cast("int")).where("_tier = 1").drop("_at", "_tier")
+
+
+def latest_history(df: DataFrame, n: int = 50) -> DataFrame:
+    """Every user's number of events and last ``n`` items by (ts, item_id), newest first: ``user_id, events, items``. Nothing is cut off: the last event counts."""
+    back = F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("item_id").desc()))
+    kept = df.select("user_id", "item_id", "ts").withColumn("_back", back).withColumn("_n", F.count("*").over(whole())).where(F.col("_back") <= n)
+    items = F.transform(F.array_sort(F.collect_list(F.struct("_back", "item_id"))), lambda x: x["item_id"])
+    return kept.groupBy("user_id").agg(F.first("_n").alias("events"), items.alias("items"))

@@ -369,9 +369,10 @@ def _(t: Tables) -> DataFrame:
     return stats.log_scaled(t.train.groupBy("item_id").agg(F.count("*").alias("cnt")), "cnt").select("item_id", F.round("cnt_log", 6).alias("scaled"))
 
 
-@query("w_latest_history", "SELECT user_id, count(*) AS events, max_by(event_type, ts) AS last_type FROM events GROUP BY 1")
+@query("w_latest_history", "SELECT user_id, count(*) AS events, list_slice(list(event_id ORDER BY ts DESC, event_id DESC), 1, 50) AS items FROM events GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    return t.read("events").groupBy("user_id").agg(F.count("*").alias("events"), F.max_by("event_type", "ts").alias("last_type"))
+    """The whole log, up to and with each user's last event; :mod:`tidewheel.streaming.history` keeps the same up to date."""
+    return sequence.latest_history(t.read("events").select("user_id", F.col("event_id").alias("item_id"), "ts"), 50)
 
 
 @query("w_spaced_rows", using("seq", "SELECT DISTINCT user_id, item_id, CAST(pos AS INTEGER) AS pos FROM (SELECT user_id, item_id, pos, max(pos) OVER () AS last FROM seq), range(5) AS r(i) WHERE pos = floor(i * last / 4)"))
