@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import numbered, stored
+from .shared import lot, numbered, stored
 
 
 def positives(df: DataFrame, least: float = 4) -> DataFrame:
@@ -103,7 +103,7 @@ def still_covers(ids: DataFrame, df: DataFrame, col: str, slack: float = 2.0) ->
 
 def sample_users(df: DataFrame, n: int, seed: int) -> DataFrame:
     """Rows of ``n`` users, picked by hash."""
-    some = df.select("user_id").distinct().orderBy(F.xxhash64(F.lit(seed), "user_id"), "user_id").limit(n)
+    some = df.select("user_id").distinct().orderBy(lot(seed, "user_id"), "user_id").limit(n)
     return df.join(some, "user_id", "left_semi")
 
 

@@ -1,6 +1,6 @@
 """Negative sampling by hash order, and reranking by pluggable scores.
 
-Nothing is drawn: a row's place in an order of hashes of (seed, keys) is its random number, so reruns and any partitioning agree.
+Nothing is drawn: a row's place in an order of hashes of (seed, keys) is its random number (:func:`tidewheel.operators.shared.lot`), so reruns, any partitioning and other engines agree.
 """
 
 from __future__ import annotations
@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import nine, numbered
+from .channels import by_ranks
+from .shared import lot, nine, numbered
 
 
 def uniform(seed: int, *cols: str) -> Column:
@@ -24,12 +25,12 @@ def random_negatives(records: DataFrame, catalogue: DataFrame, known: DataFrame,
 
     Each user starts at a hashed place of a hashed order of the catalogue and walks on, k + known steps at most.
     """
-    order = numbered(catalogue.select("item_id"), "at", F.xxhash64(F.lit(seed), "item_id"), F.col("item_id"))
+    order = numbered(catalogue.select("item_id"), "at", lot(seed, "item_id"), F.col("item_id"))
     size = order.agg(F.count("*").alias("size"))
     n = known.groupBy("user_id").agg(F.count_distinct("item_id").alias("known_n"))
     u = records.select("user_id").distinct().join(n, "user_id", "left").na.fill(0).crossJoin(F.broadcast(size))
     steps = u.withColumn("step", F.explode(F.sequence(F.lit(0), (F.least(F.col("size"), F.col("known_n") + k) - 1).cast("int"))))
-    steps = steps.withColumn("at", (F.pmod(F.xxhash64(F.lit(seed + 1), "user_id"), F.col("size")) + F.col("step")) % F.col("size") + 1)
+    steps = steps.withColumn("at", (lot(seed + 1, "user_id") % F.col("size") + F.col("step")) % F.col("size") + 1)
     cand = steps.join(order, "at").join(known.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
     w = Window.partitionBy("user_id").orderBy("step")
     return cand.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("user_id", "item_id", "place")
@@ -39,7 +40,7 @@ def mixed_negatives(pool: DataFrame, fallback: DataFrame, known: DataFrame, k: i
     """``quota`` of pool ranks 11 to 25, ``quota`` of 26 to 50; what the bands lack of that comes from the rest of the pool, all else from ``fallback``; never known or twice."""
     band = F.when(F.col("rank").between(11, 25), 0).when(F.col("rank").between(26, 50), 1).otherwise(2)
     p = pool.join(known.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti").withColumn("band", band)
-    by = lambda *c: Window.partitionBy("user_id", *c).orderBy(F.xxhash64(F.lit(seed), "user_id", "item_id"), "item_id")
+    by = lambda *c: Window.partitionBy("user_id", *c).orderBy(lot(seed, "user_id", "item_id"), "item_id")
     p = p.withColumn("n", F.row_number().over(by("band"))).withColumn("tier", F.when((F.col("band") < 2) & (F.col("n") <= quota), F.col("band")).otherwise(2))
     got = F.sum((F.col("tier") < 2).cast("int")).over(Window.partitionBy("user_id"))
     p = p.withColumn("got", got).withColumn("n", F.row_number().over(by("tier"))).where((F.col("tier") < 2) | (F.col("n") <= 2 * quota - F.col("got")))
@@ -49,29 +50,39 @@ def mixed_negatives(pool: DataFrame, fallback: DataFrame, known: DataFrame, k: i
     return all_.select("user_id", "item_id", F.col("at.tier").alias("tier"), "place")
 
 
+#: Stretches into which the counted events are cut, so that draws find their items.
+STRETCHES = 100_000
+
+
 def weighted_negatives(records: DataFrame, hot: DataFrame, known: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """``k`` distinct items a user that are not known, drawn one after the other by popularity from all of ``hot``: ``user_id, item_id, place``.
 
-    A draw is a hashed place among all counted events, so an equal join finds its item, and repeated or known items are drawn
-    again.  A user who lacks items after all draws gets the rest from the whole catalogue in the order of -ln(u) / count,
-    which continues the same drawing.  Only a user with fewer than ``k`` unknown items of positive count has fewer.
+    A draw is a hashed place among all counted events, 4 k + 16 of them a user; an item owns as many places as it has events. The places are cut into ``STRETCHES`` at most; an item stands
+    once in every stretch that it reaches into, and in the order of places a draw's item is the last one before it, so nothing is laid out by its count and no draw is paired with many items.
+    Repeated and known items are drawn again. A user who lacks items after all draws gets the most popular ones that are neither known nor drawn, from as far down as that takes.
+    Only a user with fewer than ``k`` unknown items of positive count has fewer.
     """
     items = hot.where("cnt > 0").select("item_id", "cnt", "hot_rank", F.floor(F.col("hot_rank") / 4096).alias("block"))
     sums = items.groupBy("block").agg(F.sum("cnt").alias("s"))
     before = sums.withColumn("before", F.sum("s").over(Window.orderBy("block")) - F.col("s")).select("block", "before")
+    total = sums.agg(F.coalesce(F.sum("s"), F.lit(0)).alias("total"), F.greatest(F.ceil(F.sum("s") / STRETCHES), F.lit(1)).alias("width"))
     end = F.col("before") + F.sum("cnt").over(Window.partitionBy("block").orderBy("hot_rank"))
-    events = items.join(F.broadcast(before), "block").withColumn("end", end).select("item_id", F.explode(F.sequence(F.col("end") - F.col("cnt"), F.col("end") - 1)).alias("at"))
+    owned = items.join(F.broadcast(before), "block").withColumn("end", end).withColumn("first", F.col("end") - F.col("cnt")).crossJoin(F.broadcast(total))
+    reach = F.sequence(F.floor(F.col("first") / F.col("width")), F.floor((F.col("end") - 1) / F.col("width")))
+    begins = owned.select("item_id", "first", "width", F.explode(reach).alias("stretch")).select("stretch", F.greatest("first", F.col("stretch") * F.col("width")).alias("at"), F.lit(None).cast(dict(records.dtypes)["user_id"]).alias("user_id"), F.lit(0).alias("draw"), "item_id")
     users = records.select("user_id").distinct()
     known = known.select("user_id", "item_id").distinct()
-    draws = users.crossJoin(F.broadcast(sums.agg(F.sum("s").alias("total")))).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(4 * k + 16))))
-    draws = draws.withColumn("at", F.pmod(F.xxhash64(F.lit(seed), "user_id", "draw"), F.col("total")))
-    first = draws.join(events, "at").groupBy("user_id", "item_id").agg(F.min("draw").alias("draw")).join(known, ["user_id", "item_id"], "left_anti")
+    draws = users.crossJoin(F.broadcast(total)).where("total > 0").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(4 * k + 16)))).withColumn("at", lot(seed, "user_id", "draw") % F.col("total"))
+    asks = draws.select(F.floor(F.col("at") / F.col("width")).alias("stretch"), "at", "user_id", "draw", F.lit(None).cast(dict(hot.dtypes)["item_id"]).alias("item_id"))
+    upto = Window.partitionBy("stretch").orderBy("at", "draw").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    told = begins.unionByName(asks).withColumn("item_id", F.last("item_id", ignorenulls=True).over(upto)).where("draw > 0")
+    first = told.groupBy("user_id", "item_id").agg(F.min("draw").alias("draw")).join(known, ["user_id", "item_id"], "left_anti")
     w = Window.partitionBy("user_id").orderBy("draw")
     drawn = first.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("user_id", "item_id", "place")
     short = users.join(drawn.groupBy("user_id").agg(F.count("*").alias("got")), "user_id", "left").na.fill(0).where(F.col("got") < k)
-    rest = short.crossJoin(items.select("item_id", "cnt")).join(known.unionByName(drawn.select("user_id", "item_id")), ["user_id", "item_id"], "left_anti")
-    o = Window.partitionBy("user_id").orderBy(-F.ln(uniform(seed + 1, "user_id", "item_id")) / F.col("cnt"), "item_id")
-    rest = rest.withColumn("place", F.col("got").cast("int") + F.row_number().over(o)).where(F.col("place") <= k)
+    short = short.join(known.groupBy("user_id").agg(F.count("*").alias("known_n")), "user_id", "left").na.fill(0, ["known_n"])
+    rest = by_ranks(short, F.col("known_n") + k, items.select("item_id", "hot_rank"), "hot_rank").join(known.unionByName(drawn.select("user_id", "item_id")), ["user_id", "item_id"], "left_anti")
+    rest = rest.withColumn("place", F.col("got").cast("int") + F.row_number().over(Window.partitionBy("user_id").orderBy("hot_rank"))).where(F.col("place") <= k)
     return drawn.unionByName(rest.select("user_id", "item_id", "place"))
 
 
@@ -81,7 +92,7 @@ def cf_negatives(hist: DataFrame, sim: DataFrame, known: DataFrame, k: int, seed
     last = hist.withColumn("b", F.row_number().over(w)).where("b <= 10")
     cand = last.join(sim.where("rank <= 30").select("item_id", "neighbor"), "item_id").select("user_id", F.col("neighbor").alias("item_id")).distinct()
     cand = cand.join(known.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
-    o = Window.partitionBy("user_id").orderBy(F.xxhash64(F.lit(seed), "user_id", "item_id"), "item_id")
+    o = Window.partitionBy("user_id").orderBy(lot(seed, "user_id", "item_id"), "item_id")
     return cand.withColumn("place", F.row_number().over(o)).where(F.col("place") <= k)
 
 
@@ -107,7 +118,7 @@ def negative_audit(neg: DataFrame, known: DataFrame, catalogue: DataFrame) -> Da
 
 def cohorts(users: DataFrame, screen: int, seed: int) -> DataFrame:
     """Users in hash order: the first ``screen`` are the screening cohort, the others confirm."""
-    at = numbered(users.select("user_id").distinct(), "_at", F.xxhash64(F.lit(seed), "user_id"), F.col("user_id"))
+    at = numbered(users.select("user_id").distinct(), "_at", lot(seed, "user_id"), F.col("user_id"))
     return at.select("user_id", F.when(F.col("_at") <= screen, "screen").otherwise("confirm").alias("cohort"))
 
 

@@ -36,6 +36,11 @@ def nine(score: str) -> Column:
     return F.floor(F.col(score) * 1e9 + 0.5)
 
 
+def lot(seed: int, *cols: str) -> Column:
+    """A whole number from 0 below 2**60: the first digits of the md5 of the seed and the columns' texts with colons between, which every engine has alike."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *cols)), 1, 15), 16, 10).cast("bigint")
+
+
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` hashed by ``keys`` into as many parts as the session shuffles into. For rows that are laid out to many more where they land: adaptive execution would judge the parts by what is sent and merge them."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

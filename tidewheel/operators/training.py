@@ -16,7 +16,7 @@ from .channels import best, by_ranks, by_score, hot_by, preferred, recent, toppe
 from .fusion import rrf, stack
 from .sampling import uniform
 from .sequence import prefix_windows
-from .shared import numbered, stored
+from .shared import lot, numbered, stored
 
 
 def not_yet(cand: DataFrame, train: DataFrame) -> DataFrame:
@@ -73,7 +73,7 @@ def recall_negatives(pool: DataFrame, active: DataFrame, known: DataFrame) -> Da
 
 def candidate_negatives(eligible: DataFrame, rand: DataFrame, k: int = 4, hard: int = 1, seed: int = 0) -> DataFrame:
     """``hard`` of the eligible recall negatives by hash, then random ones, ``k`` distinct a user: ``user_id, item_id, hard, place``."""
-    w = Window.partitionBy("user_id").orderBy(F.xxhash64(F.lit(seed), "user_id", "item_id"), "item_id")
+    w = Window.partitionBy("user_id").orderBy(lot(seed, "user_id", "item_id"), "item_id")
     h = eligible.withColumn("n", F.row_number().over(w)).where(F.col("n") <= hard).select("user_id", "item_id", F.lit(0).alias("tier"), "n")
     both = h.unionByName(rand.select("user_id", "item_id", F.lit(1).alias("tier"), F.col("place").alias("n")))
     one = both.groupBy("user_id", "item_id").agg(F.min(F.struct("tier", "n")).alias("at"))
@@ -87,19 +87,19 @@ def fixed_pools(samples: DataFrame, catalogue: DataFrame, known: DataFrame, widt
     Each sample draws hashed places of a hashed order; repeated and known items fall out. The few samples that lack items
     after that walk on from a hashed place until they have enough or have seen the whole catalogue.
     """
-    order = stored(numbered(catalogue.select("item_id").distinct(), "at", F.xxhash64(F.lit(seed), "item_id"), F.col("item_id")), "order")
+    order = stored(numbered(catalogue.select("item_id").distinct(), "at", lot(seed, "item_id"), F.col("item_id")), "order")
     size = order.agg(F.count("*").alias("size"))
     s = samples.select("user_id", "target").distinct().crossJoin(F.broadcast(size))
     known = known.select("user_id", "item_id").distinct()
     draws = s.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(2 * width + 8))))
-    draws = draws.withColumn("at", F.pmod(F.xxhash64(F.lit(seed + 1), "user_id", "target", "draw"), F.col("size")) + 1)
+    draws = draws.withColumn("at", lot(seed + 1, "user_id", "target", "draw") % F.col("size") + 1)
     key = ["user_id", "target"]
     got = draws.join(order, "at").groupBy(*key, "item_id").agg(F.min("draw").alias("n")).where("item_id <> target").join(known, ["user_id", "item_id"], "left_anti")
     got = stored(got.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy("n"))).where(F.col("place") <= width).select(*key, "item_id", "place"), "draws")
     short = s.join(got.groupBy(*key).agg(F.count("*").alias("got")), key, "left").na.fill(0, ["got"]).where(F.col("got") < width)
     short = short.join(known.groupBy("user_id").agg(F.count("*").alias("known_n")), "user_id", "left").na.fill(0, ["known_n"])
     steps = short.withColumn("step", F.explode(F.sequence(F.lit(0), F.least(F.col("size"), F.col("known_n") + 2 * width + 1).cast("int") - 1)))
-    steps = steps.withColumn("at", (F.pmod(F.xxhash64(F.lit(seed + 2), *key), F.col("size")) + F.col("step")) % F.col("size") + 1)
+    steps = steps.withColumn("at", (lot(seed + 2, *key) % F.col("size") + F.col("step")) % F.col("size") + 1)
     rest = steps.join(order, "at").where("item_id <> target").join(known, ["user_id", "item_id"], "left_anti").join(got.select(*key, "item_id"), [*key, "item_id"], "left_anti")
     rest = rest.withColumn("place", F.col("got").cast("int") + F.row_number().over(Window.partitionBy(*key).orderBy("step"))).where(F.col("place") <= width)
     all_ = got.unionByName(rest.select(*key, "item_id", "place"))

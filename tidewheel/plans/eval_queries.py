@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.operators import channels, fusion, metrics, sampling
 
-from .oracle import using
+from .oracle import lot, using
 from .recommend import BUDGET, WEIGHTS, Tables
 from .registry import query
 
@@ -178,12 +178,12 @@ def _(t: Tables) -> DataFrame:
     return metrics.reduced(t.inter, {"positive": t.inter.where("rating >= 4"), "first": t.ded})
 
 
-@query("e_cohorts")
+@query("e_cohorts", using("tgt", f"SELECT user_id, CASE WHEN row_number() OVER (ORDER BY {lot(5, 'user_id')}, user_id) <= 200 THEN 'screen' ELSE 'confirm' END AS cohort FROM (SELECT DISTINCT user_id FROM tgt)"))
 def _(t: Tables) -> DataFrame:
     return sampling.cohorts(t.targets, 200, seed=5)
 
 
-@query("i_fingerprint")
+@query("i_fingerprint", using("ded", f"SELECT count(*) AS rows, bit_xor({lot(0, 'user_id', 'item_id', 'ts', 'rating', 'category', 'brand')}) AS hash FROM ded"))
 def _(t: Tables) -> DataFrame:
     return metrics.fingerprint(t.ded)
 

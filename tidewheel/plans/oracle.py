@@ -67,6 +67,18 @@ NEEDS = {
 }
 
 
+def lot(seed: int, *cols: str) -> str:
+    """SQL of :func:`tidewheel.operators.shared.lot`."""
+    return f"CAST('0x' || md5(concat_ws(':', {', '.join([str(seed), *cols])}))[1:15] AS BIGINT)"
+
+
+def random_items(name: str, users: str, known: str, k: int, catalogue: str = "hot") -> str:
+    """SQL tables of random negatives: ``name(user_id, item_id, place)``."""
+    return f"""{name}_o AS (SELECT item_id, row_number() OVER (ORDER BY {lot(0, 'item_id')}, item_id) AS at, count(*) OVER () AS size FROM {catalogue}),
+  {name} AS (SELECT user_id, item_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY step) AS INTEGER) AS place FROM (SELECT u.user_id, o.item_id, (o.at - 1 - {lot(1, 'u.user_id')} % o.size + o.size) % o.size AS step FROM (SELECT DISTINCT user_id FROM {users}) u, {name}_o o
+    WHERE NOT EXISTS (SELECT 1 FROM {known} n WHERE n.user_id = u.user_id AND n.item_id = o.item_id)) QUALIFY place <= {k})"""
+
+
 def inner(names: str, sql: str, more: str = "") -> str:
     """As :func:`using` over the inner split: ``train0`` is the outer training part, which stands for the log."""
     outer = ", ".join(re.sub(r"\b(ded|seq|fw|train)\b", r"\g<1>0", PARTS[n]) for n in ("inter", "ded", "seq", "fw", "train"))

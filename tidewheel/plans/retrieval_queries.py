@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.operators import channels, fusion, sampling, sequence, similarity, training
 
-from .oracle import PARTS, inner, using
+from .oracle import PARTS, inner, lot, random_items, using
 from .recommend import BUDGET, WEIGHTS, Tables
 from .registry import query
 
@@ -228,23 +228,35 @@ def _(t: Tables) -> DataFrame:
     return channels.hot_items(t.hist, t.hot, t.hist, 20).select("user_id", "item_id", "rank")
 
 
-# sampling: by hash order, so only properties are checked
-@query("n_random_negatives")
+# sampling, in the order of hashes that SQL has too
+_KNOWN = "kn AS (SELECT user_id, item_id FROM fw WHERE eligible)"
+_CFNEG = f"""cn AS (SELECT user_id, item_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY {lot(0, 'user_id', 'item_id')}, item_id) AS INTEGER) AS place FROM (SELECT DISTINCT h.user_id, s.neighbor AS item_id FROM (SELECT * FROM hist QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, item_id DESC) <= 10) h JOIN sim s USING (item_id)) c
+  WHERE NOT EXISTS (SELECT 1 FROM kn WHERE kn.user_id = c.user_id AND kn.item_id = c.item_id))"""
+
+
+@query("n_random_negatives", using("hist hot", "SELECT * FROM rnd", f"{_KNOWN}, {random_items('rnd', 'hist', 'kn', 4)}"))
 def _(t: Tables) -> DataFrame:
     return sampling.random_negatives(t.hist, t.hot, t.known, 4)
 
 
-@query("n_mixed_negatives")
+@query("n_mixed_negatives", using("pool hist hot", "SELECT user_id, item_id, CAST(tier AS INTEGER) AS tier, CAST(place AS INTEGER) AS place FROM f WHERE place <= 16", f"""{_KNOWN}, {random_items('rnd', 'hist', 'kn', 20)},
+  p AS (SELECT user_id, item_id, CASE WHEN rank BETWEEN 11 AND 25 THEN 0 WHEN rank BETWEEN 26 AND 50 THEN 1 ELSE 2 END AS band, {lot(0, 'user_id', 'item_id')} AS h FROM pool a WHERE NOT EXISTS (SELECT 1 FROM kn WHERE kn.user_id = a.user_id AND kn.item_id = a.item_id)),
+  q AS (SELECT *, CASE WHEN band < 2 AND row_number() OVER (PARTITION BY user_id, band ORDER BY h, item_id) <= 2 THEN band ELSE 2 END AS tier FROM p),
+  r AS (SELECT *, count(*) FILTER (tier < 2) OVER (PARTITION BY user_id) AS got, row_number() OVER (PARTITION BY user_id, tier ORDER BY h, item_id) AS n FROM q),
+  a AS (SELECT user_id, item_id, tier, n FROM r WHERE tier < 2 OR n <= 4 - got UNION ALL SELECT user_id, item_id, 3, place FROM rnd),
+  f AS (SELECT user_id, item_id, x // 1000000 AS tier, row_number() OVER (PARTITION BY user_id ORDER BY x, item_id) AS place FROM (SELECT user_id, item_id, min(tier * 1000000 + n) AS x FROM a GROUP BY 1, 2))"""))
 def _(t: Tables) -> DataFrame:
     return sampling.mixed_negatives(t.pool, sampling.random_negatives(t.hist, t.hot, t.known, 20), t.known, 16)
 
 
-@query("n_cf_negatives")
+@query("n_cf_negatives", using("hist sim", "SELECT * FROM cn WHERE place <= 4", f"{_KNOWN}, {_CFNEG}"))
 def _(t: Tables) -> DataFrame:
-    return sampling.cf_negatives(t.hist, t.sim, t.known, 4)
+    return sampling.cf_negatives(t.hist, t.sim, t.known, 4).select("user_id", "item_id", "place")
 
 
-@query("n_weighted_negatives")
+@query("n_weighted_negatives", using("hist hot", "SELECT user_id, item_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY draw) AS INTEGER) AS place FROM d QUALIFY place <= 4", f"""{_KNOWN}, e AS (SELECT item_id, cnt, sum(cnt) OVER (ORDER BY hot_rank) AS hi, sum(cnt) OVER () AS total FROM hot),
+  d AS (SELECT user_id, item_id, min(draw) AS draw FROM (SELECT user_id, draw, {lot(0, 'user_id', 'draw')} % (SELECT any_value(total) FROM e) AS at FROM (SELECT DISTINCT user_id FROM hist), range(1, 33) AS r(draw)) x JOIN e ON x.at < e.hi AND x.at >= e.hi - e.cnt
+    WHERE NOT EXISTS (SELECT 1 FROM kn WHERE kn.user_id = x.user_id AND kn.item_id = e.item_id) GROUP BY 1, 2)"""))
 def _(t: Tables) -> DataFrame:
     return sampling.weighted_negatives(t.hist, t.hot, t.known, 4)
 
@@ -261,13 +273,14 @@ def _(t: Tables) -> DataFrame:
     return sampling.negative_audit(good.union(twice).union(known).union(outside), t.hist, t.hot)
 
 
-@query("n_bpr_pairs", using("hist", "SELECT user_id, count(*) * 3 AS pairs FROM hist GROUP BY 1"))
+@query("n_bpr_pairs", using("hist hot sim", "SELECT h.user_id, h.item_id, n.neg FROM hist h JOIN (SELECT user_id, neg FROM (SELECT user_id, neg, min(x) AS x FROM b GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY x) <= 3) n USING (user_id)",
+  f"{_KNOWN}, {_CFNEG}, {random_items('rnd', 'hist', 'kn', 3)}, b AS (SELECT user_id, item_id AS neg, place AS x FROM cn WHERE place <= 2 UNION ALL SELECT user_id, item_id, 1000 + place FROM rnd)"))
 def _(t: Tables) -> DataFrame:
     rand = sampling.random_negatives(t.hist, t.hot, t.known, 3)
-    return sampling.bpr_pairs(t.hist, sampling.cf_negatives(t.hist, t.sim, t.known, 2), rand, 3).groupBy("user_id").agg(F.count("*").alias("pairs"))
+    return sampling.bpr_pairs(t.hist, sampling.cf_negatives(t.hist, t.sim, t.known, 2), rand, 3).select("user_id", "item_id", "neg")
 
 
-@query("n_user_sample")
+@query("n_user_sample", using("ded", f"SELECT user_id, item_id FROM ded WHERE user_id IN (SELECT user_id FROM (SELECT DISTINCT user_id FROM ded) ORDER BY {lot(7, 'user_id')}, user_id LIMIT 100)"))
 def _(t: Tables) -> DataFrame:
     from tidewheel.operators.clean import sample_users
 
@@ -327,12 +340,16 @@ def _recall_negatives(t: Tables) -> DataFrame:
     return training.recall_negatives(t.inner.pool, t.hot, t.train).withColumn("rank", F.col("rank").cast("int"))
 
 
-@query("n_candidate_negatives", inner("hist", "SELECT user_id, 4 AS items, 1 AS hard FROM (SELECT DISTINCT user_id FROM hist)").replace("AS items", "::BIGINT AS items").replace("1 AS hard", "1::BIGINT AS hard"))
+_RECALLED = "el AS (SELECT user_id, item_id FROM pool p WHERE item_id IN (SELECT item_id FROM train0) AND NOT EXISTS (SELECT 1 FROM train0 t WHERE t.user_id = p.user_id AND t.item_id = p.item_id))"
+
+
+@query("n_candidate_negatives", inner("pool hist", "SELECT user_id, item_id, x < 1000 AS hard, CAST(row_number() OVER (PARTITION BY user_id ORDER BY x, item_id) AS INTEGER) AS place FROM (SELECT user_id, item_id, min(x) AS x FROM b GROUP BY 1, 2) QUALIFY place <= 4",
+  f"""{_RECALLED}, h0 AS (SELECT DISTINCT item_id FROM train0), {random_items('rnd', 'hist', 'train0', 5, 'h0')},
+  b AS (SELECT user_id, item_id, 1 AS x FROM el QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY {lot(0, 'user_id', 'item_id')}, item_id) <= 1 UNION ALL SELECT user_id, item_id, 1000 + place FROM rnd)"""))
 def _(t: Tables) -> DataFrame:
     """Four negatives a user, one of them from the pool of the inner split."""
     rand = sampling.random_negatives(t.inner.hist, t.hot, t.train, 5)
-    neg = training.candidate_negatives(_recall_negatives(t), rand, 4, 1)
-    return neg.groupBy("user_id").agg(F.count("*").alias("items"), F.sum(F.col("hard").cast("int")).alias("hard"))
+    return training.candidate_negatives(_recall_negatives(t), rand, 4, 1).select("user_id", "item_id", "hard", "place")
 
 
 def _fixed(t: Tables) -> DataFrame:
@@ -340,17 +357,24 @@ def _fixed(t: Tables) -> DataFrame:
     return training.fixed_pools(samples, t.hot, t.fw.select("user_id", "item_id"), 16)
 
 
-@query("n_fixed_pools", using("train", "SELECT user_id, item_id AS target, 16 AS width FROM (SELECT *, min(ts) OVER (PARTITION BY user_id) AS first_ts FROM train) WHERE ts > first_ts"))
+_FIXED = f"""sm AS (SELECT user_id, item_id AS target FROM (SELECT *, min(ts) OVER (PARTITION BY user_id) AS first_ts FROM train) WHERE ts > first_ts), od AS (SELECT item_id, row_number() OVER (ORDER BY {lot(0, 'item_id')}, item_id) AS slot, count(*) OVER () AS size FROM hot),
+  dr AS (SELECT user_id, target, draw, {lot(1, 'user_id', 'target', 'draw')} % (SELECT any_value(size) FROM od) + 1 AS slot FROM sm, range(1, 41) AS r(draw)),
+  fx AS (SELECT user_id, target, list(item_id ORDER BY n) AS items FROM (SELECT user_id, target, item_id, min(draw) AS n FROM dr x JOIN od USING (slot) WHERE item_id <> target AND NOT EXISTS (SELECT 1 FROM fw k WHERE k.user_id = x.user_id AND k.item_id = od.item_id) GROUP BY 1, 2, 3
+    QUALIFY row_number() OVER (PARTITION BY user_id, target ORDER BY n) <= 16) GROUP BY 1, 2)"""
+
+
+@query("n_fixed_pools", using("train hot", "SELECT user_id, target, items FROM fx", _FIXED))
 def _(t: Tables) -> DataFrame:
     """Sixteen distinct unknown items for each sample, which the check raises on otherwise."""
-    return training.pool_prefix(_fixed(t), t.fw, 16).select("user_id", "target", F.size("items").alias("width"))
+    return training.pool_prefix(_fixed(t), t.fw, 16).select("user_id", "target", "items")
 
 
-@query("n_prefix_stream", using("train", """SELECT user_id, item_id AS target, ts, hist_len, list_concat(h, list_transform(range(50 - len(h)), lambda i: CAST(0 AS BIGINT))) AS items, round(m, 6) AS rating_mean, 4 AS negatives FROM (
-  SELECT a.user_id, a.item_id, a.ts, count(*) AS hist_len, list_reverse(list_slice(list(b.item_id ORDER BY b.ts DESC, b.item_id DESC), 1, 50)) AS h, list_avg(list_slice(list(b.rating ORDER BY b.ts DESC, b.item_id DESC), 1, 50)) AS m FROM train a JOIN train b ON b.user_id = a.user_id AND b.ts < a.ts GROUP BY 1, 2, 3)"""))
+@query("n_prefix_stream", using("train hot", """SELECT user_id, s.item_id AS target, ts, hist_len, list_concat(h, list_transform(range(50 - len(h)), lambda i: CAST(0 AS BIGINT))) AS items, round(m, 6) AS rating_mean, fx.items[1:4] AS negatives FROM (
+  SELECT a.user_id, a.item_id, a.ts, count(*) AS hist_len, list_reverse(list_slice(list(b.item_id ORDER BY b.ts DESC, b.item_id DESC), 1, 50)) AS h, list_avg(list_slice(list(b.rating ORDER BY b.ts DESC, b.item_id DESC), 1, 50)) AS m FROM train a JOIN train b ON b.user_id = a.user_id AND b.ts < a.ts GROUP BY 1, 2, 3) s
+  JOIN fx USING (user_id) WHERE fx.target = s.item_id""", _FIXED))
 def _(t: Tables) -> DataFrame:
     rows = training.prefix_stream(t.train, training.pool_prefix(_fixed(t), t.fw, 4))
-    return rows.select("user_id", "target", "ts", "hist_len", "items", F.round("rating_mean", 6).alias("rating_mean"), F.size("negatives").alias("negatives"))
+    return rows.select("user_id", "target", "ts", "hist_len", "items", F.round("rating_mean", 6).alias("rating_mean"), "negatives")
 
 
 @query("m_svd_factors")
