@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewheel.operators import channels, fusion, metrics, ranking, sequence, shared, similarity
+from tidewheel.operators import channels, clean, fusion, metrics, ranking, sequence, shared, similarity
 
 
 def relu(x):
@@ -192,3 +192,31 @@ def test_kept_history_equals_batch_over_late_rows_and_a_restart(spark, tmp_path)
     log(rows[2 * third :]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     go()  # a new query goes on from the checkpoint
     assert seen == want
+
+
+def test_kept_encoder_over_three_loads(spark):
+    load = lambda *x: spark.createDataFrame([(v,) for v in x], "x string")
+    ids = lambda d: {r["raw"]: r["idx"] for r in d.collect()}
+    first, done = clean.kept_ids(None, load("b", "a", None, "b"), "x")
+    assert done == "rebuilt" and ids(first) == {"a": 2, "b": 3}
+    same, done = clean.kept_ids(first, load("b"), "x")
+    assert done == "kept" and ids(same) == ids(first)
+    grown, done = clean.kept_ids(first, load("b", "d", "aa"), "x")
+    assert done == "grown" and ids(grown) == {"a": 2, "b": 3, "aa": 4, "d": 5}
+    again, done = clean.kept_ids(grown, load("z"), "x")  # four ids for one value
+    assert done == "rebuilt" and ids(again) == {"z": 2}
+
+
+def test_hash_tree_names_the_range_that_differs(spark):
+    rows = [(i, f"v{i}") for i in range(500)]
+    frame = lambda r: spark.createDataFrame([(n, *x) for n, x in enumerate(r)], "n int, a int, b string").repartition(3)
+    tree = lambda r: metrics.hash_tree(frame(r).drop("x"), ["n"], leaf=16)
+    base = tree(rows).cache()
+    root = lambda t: t.orderBy(F.desc("level")).first()
+    assert root(base)["node"] == 0 and base.count() == 32 + 16 + 8 + 4 + 2 + 1
+    assert metrics.first_difference(base, tree(rows), 16) is None and root(base) == root(tree(rows))
+    for change, at in (({300: (300, "x")}, 288), ({70: rows[71], 71: rows[70]}, 64), ({499: (1, "y")}, 496)):
+        other = tree([change.get(i, r) for i, r in enumerate(rows)])
+        assert metrics.first_difference(base, other, 16) == (at, at + 16) and root(base)["hash"] != root(other)["hash"]
+    assert metrics.first_difference(base, tree(rows[:-1]), 16) == (496, 512)
+    assert tree([]).count() == 0

@@ -101,6 +101,23 @@ def still_covers(ids: DataFrame, df: DataFrame, col: str, slack: float = 2.0) ->
     return now.join(ids, "raw", "left_anti").isEmpty() and ids.count() <= slack * now.count()
 
 
+def kept_ids(old: DataFrame | None, df: DataFrame, col: str, slack: float = 2.0, first: int = 2) -> tuple[DataFrame, str]:
+    """The encoder for ``df``, from the one of an earlier load (``raw, idx``; None at the first), and what was done: rebuilt, kept or grown.
+
+    An encoder of more than ``slack`` times the values of now is built anew. Else every old id stays, and values that it lacks are numbered behind the largest one, in their own order;
+    only they are sorted. Nulls have no id.
+    """
+    now = df.select(F.col(col).cast("string").alias("raw")).where("raw is not null").distinct()
+    sizes = None if old is None else (old.count(), now.count())
+    if old is None or sizes[0] > slack * sizes[1]:
+        return dense_ids(df, col, first), "rebuilt"
+    new = now.join(old, "raw", "left_anti")
+    if new.isEmpty():
+        return old, "kept"
+    last = old.agg(F.coalesce(F.max("idx"), F.lit(first - 1))).first()[0]
+    return old.select("raw", "idx").unionByName(dense_ids(new, "raw", last + 1).select("raw", "idx")), "grown"
+
+
 def sample_users(df: DataFrame, n: int, seed: int) -> DataFrame:
     """Rows of ``n`` users, picked by hash."""
     some = df.select("user_id").distinct().orderBy(lot(seed, "user_id"), "user_id").limit(n)

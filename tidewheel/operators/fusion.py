@@ -15,8 +15,9 @@ from .channels import best, unseen
 from .shared import nine
 
 DEFAULT_WEIGHTS = {"vector": 1.5, "cf": 1.0, "category": 0.7, "hot": 0.05}
-#: Fusion mode and half life in days of the named recipes.
-RECIPES = {"quota": ("quota", 0.0), "rrf": ("rrf", 0.0), "cf30": ("rrf", 30.0), "cf90": ("rrf", 90.0), "brand": ("rrf", 90.0)}
+#: Fusion mode, half life in days (0: none) and whether brands are a channel, of the named recipes, and their channels' weights.
+RECIPES = {"quota": ("quota", 0.0, False), "rrf": ("rrf", 0.0, False), "cf30": ("quota", 30.0, False), "cf90": ("quota", 90.0, False), "brand": ("quota", 0.0, True)}
+RECIPE_WEIGHTS = {"cf": 1.5, "vector": 1.0, "category": 0.7, "hot": 0.05, "brand": 0.2}
 
 
 def check_weights(weights: Sequence[float] | None, names: Sequence[str] = tuple(DEFAULT_WEIGHTS)) -> dict[str, float]:
@@ -65,6 +66,14 @@ def quota(stacked: DataFrame, weights: Mapping[str, float], budget: int, seen: D
     return s.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(*order))).select("user_id", "item_id", "score", "rank")
 
 
+def fuse(lists: Mapping[str, DataFrame], mode: str, weights: Mapping[str, float], budget: int, seen: DataFrame | None = None) -> DataFrame:
+    """The channels' lists in one pool by the named mode, quota or rrf, with the weights of the channels that are there."""
+    if mode not in ("quota", "rrf"):
+        raise ValueError(f"no fusion mode {mode}")
+    own = {c: weights[c] for c in lists}
+    return (quota if mode == "quota" else rrf)(stack(lists), own, budget, seen)
+
+
 def legacy_weighted(stacked: DataFrame, weights: Mapping[str, float], n: int) -> DataFrame:
     """Only each channel's first max(3, int(n * w / sum w)) items count: sums of score * w, the first ``n``."""
     total = sum(weights.values())

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import lot
+from .shared import lot, numbered, stored
 
 
 def user_metrics(ranked: DataFrame, targets: DataFrame, k: int) -> DataFrame:
@@ -270,6 +270,30 @@ def fingerprint(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("rows"), F.bit_xor(lot(0, *df.columns)).alias("hash"))
 
 
+def hash_tree(df: DataFrame, order: Sequence[str], leaf: int = 1024) -> DataFrame:
+    """A hash tree over the rows in ``order``, which must be total: ``level, node, hash``.
+
+    A leaf (level 0) holds ``leaf`` rows, each hashed with its place, so exchanged rows tell as changed ones do; a node above hashes its two children in order, up to one root. Two
+    tables are equal in content and order if their roots are; :func:`first_difference` finds where they part. An empty table has no node.
+    """
+    rows = numbered(df, "_at", *order).withColumn("_at", F.col("_at") - 1)
+    level = stored(rows.groupBy(F.floor(F.col("_at") / leaf).alias("node")).agg(F.bit_xor(lot(0, "_at", *df.columns)).alias("hash")), "leaves")
+    out, n, height = level.select(F.lit(0).alias("level"), "node", "hash"), level.count(), 0
+    while n > 1:
+        pair = F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("node", "hash"))), lambda x: x["hash"].cast("string"))).alias("both")
+        level = level.groupBy(F.floor(F.col("node") / 2).alias("node")).agg(pair).select("node", lot(1, "both").alias("hash"))
+        n, height = -(-n // 2), height + 1
+        out = out.unionByName(level.select(F.lit(height).alias("level"), "node", "hash"))
+    return out
+
+
+def first_difference(a: DataFrame, b: DataFrame, leaf: int = 1024) -> tuple[int, int] | None:
+    """Numbers (from 0, the end exclusive) of the first range of rows in which two hash trees differ, or None if they are equal."""
+    leaves = a.where("level = 0").select("node", F.col("hash").alias("x")).join(b.where("level = 0").select("node", F.col("hash").alias("y")), "node", "full")
+    node = leaves.where(~F.col("x").eqNullSafe(F.col("y"))).agg(F.min("node")).first()[0]
+    return None if node is None else (node * leaf, (node + 1) * leaf)
+
+
 def attribution(stacked: DataFrame, reach: DataFrame, targets: DataFrame, channels: list[str]) -> DataFrame:
     """What each channel, and their union (``all``), does for the targets: users and targets hit, targets it could reach without its cap, reachable
     ones beyond the cap, unreachable ones, and mean, least and greatest number of candidates of the users with targets.

@@ -122,6 +122,12 @@ def cohorts(users: DataFrame, screen: int, seed: int) -> DataFrame:
     return at.select("user_id", F.when(F.col("_at") <= screen, "screen").otherwise("confirm").alias("cohort"))
 
 
+def split_cohorts(users: DataFrame, screen: int, seed: int, historical: DataFrame) -> DataFrame:
+    """:func:`cohorts` with ``historical``: whether the user is in the (large) table of users known from before."""
+    past = historical.select("user_id").distinct().withColumn("_past", F.lit(True))
+    return cohorts(users, screen, seed).join(past, "user_id", "left").select("user_id", "cohort", F.col("_past").isNotNull().alias("historical"))
+
+
 def blend(logit: Column, channel: Column) -> Column:
     """0.7 of the model's probability and 0.3 of a squashed channel score."""
     return 0.7 / (1 + F.exp(-logit)) + 0.3 * channel / (F.abs(channel) + 1)

@@ -16,7 +16,7 @@ from .channels import best, by_ranks, by_score, hot_by, preferred, recent, toppe
 from .fusion import rrf, stack
 from .sampling import uniform
 from .sequence import prefix_windows
-from .shared import lot, numbered, stored
+from .shared import dealt, lot, numbered, stored
 
 
 def not_yet(cand: DataFrame, train: DataFrame) -> DataFrame:
@@ -45,14 +45,17 @@ def training_pools(train: DataFrame, sim: DataFrame, dim: DataFrame, hot: DataFr
     users = win.select("user_id").distinct().withColumn("_u", F.col("user_id.user_id"))
     to = lambda d, k, on: d.join(depth(train, on[0], on[1], k, *on[2:]), ["_u", *on[2:]], "left").withColumn("upto", F.coalesce("upto", F.lit(k))).drop("_u")
 
-    deep = by_ranks(to(users, 2 * budget, (hot.select("item_id", "hot_rank"), "hot_rank")), F.col("upto"), hot, "hot_rank")
+    # a list that is short by s has at most budget - s of the first budget popular items, so these suffice
+    deep = by_ranks(to(users, budget, (hot.select("item_id", "hot_rank"), "hot_rank")), F.col("upto"), hot, "hot_rank")
     popular = stored(not_yet(deep, train).select("user_id", "item_id", "hot_rank"), "popular")
     own = Window.partitionBy("user_id").orderBy("hot_rank")
     hot5 = popular.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= first).select("user_id", "item_id", (1 / F.col("rank")).alias("score"), "rank")
 
-    near = recent(win, half_life, n).join(sim.select("item_id", "neighbor", "sim"), "item_id")
-    near = near.groupBy("user_id", F.col("neighbor").alias("item_id")).agg(F.sum(F.col("decay") * F.col("sim")).alias("score"))
-    cf = topped(best(not_yet(near, train), budget), popular, budget)
+    # an item's neighbours cross the network as one array and are laid out where the sample is
+    lists = sim.groupBy("item_id").agg(F.collect_list(F.struct("neighbor", "sim")).alias("near"))
+    near = dealt(recent(win, half_life, n).join(lists, "item_id").select("user_id", "decay", "near"), "user_id").select("user_id", "decay", F.explode("near").alias("x"))
+    near = near.groupBy("user_id", F.col("x.neighbor").alias("item_id")).agg(F.sum(F.col("decay") * F.col("x.sim")).alias("score"))
+    cf = topped(stored(best(not_yet(near, train), budget), "item-cf"), popular, budget)
 
     kinds = hot_by(hot, dim, "category")
     pref = preferred(win.join(dim.select("item_id", "category"), "item_id"), "category", top, n).drop("seen_n").withColumn("_u", F.col("user_id.user_id"))
@@ -61,7 +64,8 @@ def training_pools(train: DataFrame, sim: DataFrame, dim: DataFrame, hot: DataFr
     cand = not_yet(cand, train).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= each)
     cat = cand.select("user_id", "item_id", F.col("share").alias("score")).withColumn("rank", F.row_number().over(by_score()))
 
-    fused = topped(rrf(stack({"cf": cf, "category": cat, "hot": hot5}), weights, budget), popular, budget)
+    # the item-item lists are full or hold all that is unseen, so the fused ones need no refill
+    fused = rrf(stack({"cf": cf, "category": cat, "hot": hot5}), weights, budget)
     return fused.select("user_id.user_id", "user_id.target", "item_id", "score", "rank")
 
 

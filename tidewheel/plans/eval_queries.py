@@ -162,9 +162,16 @@ def _(t: Tables) -> DataFrame:
     return metrics.best_checkpoint(t.read("orders").select(F.col("o_orderkey").alias("step"), F.floor(p / 100000).cast("double").alias("hr"), (F.floor(p / 10000) % 10).cast("double").alias("ndcg")))
 
 
-@query("e_pool_audit", using("pool hist", "SELECT CAST(sum(CAST(n <> 75 AS INTEGER)) AS BIGINT) AS wrong_size, CAST(sum(CAST(n <> d AS INTEGER)) AS BIGINT) AS repeated, 0::BIGINT AS outside, (SELECT count(DISTINCT p.user_id) FROM pool p JOIN hist h ON p.user_id = h.user_id AND p.item_id = h.item_id) AS seen FROM (SELECT user_id, count(*) AS n, count(DISTINCT item_id) AS d FROM pool GROUP BY 1)"))
+@query("e_pool_audit", using("pool hist", """SELECT CAST(sum(CAST(n <> 75 AS INTEGER)) AS BIGINT) AS wrong_size, CAST(sum(CAST(n <> d AS INTEGER)) AS BIGINT) AS repeated, CAST(sum(o) AS BIGINT) AS outside, CAST(sum(s) AS BIGINT) AS seen FROM (
+  SELECT user_id, count(*) AS n, count(DISTINCT item_id) AS d, max(CAST(item_id NOT IN (SELECT p_partkey FROM part) AS INTEGER)) AS o, max(CAST(EXISTS (SELECT 1 FROM hist h WHERE h.user_id = g.user_id AND h.item_id = g.item_id) AS INTEGER)) AS s FROM g GROUP BY 1)""", """g AS (SELECT user_id, item_id FROM pool WHERE user_id % 7 <> 0 OR rank < 75
+  UNION ALL SELECT user_id, item_id FROM pool WHERE rank = 2 AND user_id % 3 = 0 UNION ALL SELECT user_id, -1 FROM pool WHERE rank = 1 AND user_id % 5 = 0 UNION ALL SELECT user_id, max(item_id) FROM hist WHERE user_id % 4 = 0 GROUP BY 1)"""))
 def _(t: Tables) -> DataFrame:
-    return metrics.pool_audit(t.pool, t.hist, BUDGET, t.dim)
+    """The pool with faults put in, all of which must be counted."""
+    good = t.pool.where("user_id % 7 <> 0 or rank < 75").select("user_id", "item_id")
+    twice = t.pool.where("rank = 2 and user_id % 3 = 0").select("user_id", "item_id")
+    outside = t.pool.where("rank = 1 and user_id % 5 = 0").select("user_id", F.lit(-1).cast(dict(t.pool.dtypes)["item_id"]).alias("item_id"))
+    seen = t.hist.where("user_id % 4 = 0").groupBy("user_id").agg(F.max("item_id").alias("item_id"))
+    return metrics.pool_audit(good.union(twice).union(outside).union(seen), t.hist, BUDGET, t.dim)
 
 
 @query("e_embedding_health", """SELECT round(avg(n), 6) AS norm_mean, round(stddev_pop(n), 6) AS norm_std, round(min(n), 6) AS norm_min, round(max(n), 6) AS norm_max, any_value(v) AS dim_variance FROM (SELECT sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n FROM embeddings),
@@ -183,6 +190,19 @@ def _(t: Tables) -> DataFrame:
     return sampling.cohorts(t.targets, 200, seed=5)
 
 
+@query("e_cohorts_split", using("tgt", f"SELECT user_id, CASE WHEN row_number() OVER (ORDER BY {lot(5, 'user_id')}, user_id) <= 200 THEN 'screen' ELSE 'confirm' END AS cohort, user_id IN (SELECT o_custkey FROM orders WHERE o_orderdate < DATE '1993-01-01') AS historical FROM (SELECT DISTINCT user_id FROM tgt)"))
+def _(t: Tables) -> DataFrame:
+    """Cohorts, and whether the user had ordered before 1993."""
+    past = t.read("orders").where("o_orderdate < DATE '1993-01-01'").select(F.col("o_custkey").alias("user_id"))
+    return sampling.split_cohorts(t.targets, 200, 5, past)
+
+
+@query("i_hash_tree", using("ded", f"""SELECT 0 AS level, CAST(spot // 1024 AS BIGINT) AS node, bit_xor({lot(0, 'spot', 'user_id', 'item_id', 'ts', 'rating', 'category', 'brand')}) AS hash FROM (SELECT *, row_number() OVER (ORDER BY user_id, ts, item_id) - 1 AS spot FROM ded) GROUP BY 2"""))
+def _(t: Tables) -> DataFrame:
+    """The leaves of the tree over the log in the order of users and time."""
+    return metrics.hash_tree(t.ded, ["user_id", "ts", "item_id"]).where("level = 0")
+
+
 @query("i_fingerprint", using("ded", f"SELECT count(*) AS rows, bit_xor({lot(0, 'user_id', 'item_id', 'ts', 'rating', 'category', 'brand')}) AS hash FROM ded"))
 def _(t: Tables) -> DataFrame:
     return metrics.fingerprint(t.ded)

@@ -85,7 +85,7 @@ class Tables:
     def vector(self) -> DataFrame:
         """Unseen items nearest to the mean vector of the last items that have one; ``embeddings`` are the items' vectors."""
         items = self.read("embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("v"))
-        return channels.vector(self.hist, items, self.hist, BUDGET)
+        return stored(channels.vector(self.hist, items, self.hist, BUDGET), "vector")
 
     @cached_property
     def category(self) -> DataFrame:
@@ -115,6 +115,17 @@ class Tables:
         """Reciprocal rank fusion. It needs no refill: the item-item channel is topped up to the same budget, so a list is full or holds every unseen popular item."""
         return stored(fusion.rrf(self.stacked, WEIGHTS, BUDGET), "pool")
 
+    @cached_property
+    def brand(self) -> DataFrame:
+        return channels.brand(self.hist, self.dim, self.hot, self.hist, BUDGET)
+
+    def recipe(self, name: str) -> DataFrame:
+        """The pool of a named recipe. The item-item channel has the recipe's half life and is topped up to the budget, so no pool needs a refill."""
+        mode, half_life, brands = fusion.RECIPES[name]
+        raw = stored(channels.item_cf(self.hist, self.sim, self.hist, BUDGET, half_life), "item-cf")
+        lists = {"cf": channels.refill(raw, self.hist, self.hot, self.hist, BUDGET), "vector": self.vector, "category": self.category, "hot": self.hot5}
+        return fusion.fuse({**lists, **({"brand": self.brand} if brands else {})}, mode, fusion.RECIPE_WEIGHTS, BUDGET)
+
     @cached_property
     def four_channels(self) -> DataFrame:
         """The pool with the vector channel, at the default weights; as :attr:`pool`, it needs no refill."""
@@ -131,6 +142,7 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
     return own.setdefault(sf_dir, Tables(spark, sf_dir))
 
 
-def recommend(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
-    """The first ``k`` items of every user: channels, fusion and refill from the training part of the log."""
-    return tables(spark, sf_dir).pool.where(f"rank <= {int(k)}")
+def recommend(spark: SparkSession, sf_dir: str, k: int = 5, recipe: str | None = None) -> DataFrame:
+    """The first ``k`` items of every user: channels and fusion from the training part of the log, by the default plan or a named recipe of ``fusion.RECIPES``."""
+    t = tables(spark, sf_dir)
+    return (t.recipe(recipe) if recipe else t.pool).where(f"rank <= {int(k)}")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,7 +102,7 @@ def _(t: Tables) -> DataFrame:
   c AS (SELECT user_id, item_id, cnt / len / place AS score FROM (SELECT p.*, h.item_id, row_number() OVER (PARTITION BY p.user_id, p.brand ORDER BY h.hot_rank) AS place FROM p JOIN part ON p_brand = p.brand JOIN hot h ON h.item_id = p_partkey
   WHERE NOT EXISTS (SELECT 1 FROM hist x WHERE x.user_id = p.user_id AND x.item_id = h.item_id)) WHERE place <= 75)"""))
 def _(t: Tables) -> DataFrame:
-    return _r(channels.brand(t.hist, t.dim, t.hot, t.hist, BUDGET), "user_id", "item_id")
+    return _r(t.brand, "user_id", "item_id")
 
 
 @query("f_hot", using("hot5", f"SELECT user_id, item_id, round(CAST(score AS DOUBLE), 6) AS score, {_TOP} FROM hot5"))
@@ -196,6 +198,9 @@ def _lists_sql(lists: dict[str, tuple[float, ...]]) -> str:
     return f"SELECT CAST({' + '.join(number)} AS INTEGER) AS combo, {', '.join(lists)} FROM " + ", ".join(f"(SELECT unnest(range({len(v)})) AS {c}_at, unnest([{', '.join(f'{x}::DOUBLE' for x in v)}]) AS {c})" for c, v in lists.items())
 
 
+_BRANDS = """bp AS (SELECT user_id, brand, count(*) AS cnt, CAST(sum(count(*)) OVER (PARTITION BY user_id) AS DOUBLE) AS len FROM recent GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, brand) <= 3),
+  brd AS (SELECT user_id, item_id, cnt / len / place AS score, row_number() OVER (PARTITION BY user_id ORDER BY round(cnt / len / place, 9) DESC, item_id) AS rank FROM (SELECT p.*, h.item_id, row_number() OVER (PARTITION BY p.user_id, p.brand ORDER BY h.hot_rank) AS place FROM bp p JOIN part ON p_brand = p.brand JOIN hot h ON h.item_id = p_partkey
+    WHERE NOT EXISTS (SELECT 1 FROM hist x WHERE x.user_id = p.user_id AND x.item_id = h.item_id)) WHERE place <= 75 QUALIFY rank <= 75)"""
 _CH = "ch AS (SELECT channel, user_id, item_id, CAST(score AS DOUBLE) AS score, rank FROM stacked UNION ALL SELECT 'vector', user_id, item_id, score, rank FROM vec{more})"
 _FIRST = f"g4 AS ({_lists_sql(_GRID)})"
 
@@ -209,9 +214,7 @@ def _tuned(t: Tables) -> DataFrame:
 @query("f_weight_tuning_six", using("stacked vec tgt hist sim recent hot", f"SELECT * FROM {_grid_sql([*_GRID, *_MORE], 'g6')}", f"""{_FIRST},
   rec AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM (SELECT r.user_id, s.neighbor AS item_id, sum(d * s.sim) AS score FROM (SELECT *, exp(-((max(ts) OVER (PARTITION BY user_id) - ts) / 86400000.0) / 7.0) AS d FROM hist) r JOIN sim s USING (item_id)
     WHERE s.rank <= 10 AND NOT EXISTS (SELECT 1 FROM hist h WHERE h.user_id = r.user_id AND h.item_id = s.neighbor) GROUP BY 1, 2) QUALIFY rank <= 75),
-  bp AS (SELECT user_id, brand, count(*) AS cnt, CAST(sum(count(*)) OVER (PARTITION BY user_id) AS DOUBLE) AS len FROM recent GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, brand) <= 3),
-  brd AS (SELECT user_id, item_id, cnt / len / place AS score, row_number() OVER (PARTITION BY user_id ORDER BY round(cnt / len / place, 9) DESC, item_id) AS rank FROM (SELECT p.*, h.item_id, row_number() OVER (PARTITION BY p.user_id, p.brand ORDER BY h.hot_rank) AS place FROM bp p JOIN part ON p_brand = p.brand JOIN hot h ON h.item_id = p_partkey
-    WHERE NOT EXISTS (SELECT 1 FROM hist x WHERE x.user_id = p.user_id AND x.item_id = h.item_id)) WHERE place <= 75 QUALIFY rank <= 75),
+  {_BRANDS},
   {_CH.format(more=" UNION ALL SELECT 'recent', user_id, item_id, score, rank FROM rec UNION ALL SELECT 'brand', user_id, item_id, score, rank FROM brd")},
   ch4 AS (SELECT * FROM ch WHERE channel NOT IN ('recent', 'brand')),
   first4 AS (SELECT {', '.join(_GRID)} FROM {_grid_sql(list(_GRID), 'g4').replace('FROM ch JOIN tgt', "FROM ch4 JOIN tgt").replace('FROM ch JOIN (', 'FROM ch4 JOIN (')} ORDER BY hr DESC, combo LIMIT 1),
@@ -219,10 +222,36 @@ def _tuned(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     """Second stage: the best of the first, with two more channels, 16 sets. The short-term item-item channel and the brands stand for the two models of the survey."""
     four = fusion.best_weights(_tuned(t), list(_GRID))
-    six = {"vector": t.vector, "recent": channels.legacy_item_cf(t.hist, t.sim, t.hist, BUDGET), "brand": channels.brand(t.hist, t.dim, t.hot, t.hist, BUDGET)}
+    six = {"vector": t.vector, "recent": channels.legacy_item_cf(t.hist, t.sim, t.hist, BUDGET), "brand": t.brand}
     return fusion.tune_weights(t.stacked.unionByName(fusion.stack(six)), fusion.weight_sets(_MORE, four), t.targets)
 
 
+def _recipe_sql(name: str) -> str:
+    """SQL tables of a recipe's pool, ``out_<name>``."""
+    mode, half, brands = fusion.RECIPES[name]
+    own = {c: w for c, w in fusion.RECIPE_WEIGHTS.items() if brands or c != "brand"}
+    mine = ", ".join(re.sub(r"\b(recent|cfraw|cf)\b", rf"\1_{name}", PARTS[n]).replace("/ 90.0", f"/ {half or 1e300}") for n in ("recent", "cfraw", "cf"))
+    source = {"cf": f"cf_{name}", "vector": "vec", "category": "cat", "hot": "hot5", "brand": "brd"}
+    rows = " UNION ALL ".join(f"SELECT '{c}' AS channel, {w}::DOUBLE AS w, user_id, item_id, CAST(score AS DOUBLE) AS score, rank FROM {source[c]}" for c, w in own.items())
+    if mode == "rrf":
+        out = f"""SELECT user_id, item_id, score, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM (SELECT user_id, item_id, sum(w / (60 + place)) AS score FROM (
+    SELECT *, row_number() OVER (PARTITION BY channel, user_id ORDER BY round(score, 9) DESC, item_id) AS place FROM st_{name}) GROUP BY 1, 2)"""
+    else:
+        out = f"""SELECT user_id, item_id, score, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, CAST(item_id AS VARCHAR)) AS rank FROM (SELECT * FROM (SELECT user_id, item_id, sum(w * score) AS score, max(CAST(c AS INTEGER)) AS chosen FROM (
+    SELECT *, row_number() OVER (PARTITION BY channel, user_id ORDER BY rank) <= greatest(1, floor({BUDGET} * w / {sum(own.values())!r}::DOUBLE)) AS c FROM st_{name}) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY chosen DESC, round(score, 9) DESC, CAST(item_id AS VARCHAR)) <= {BUDGET})"""
+    return f"{mine}, st_{name} AS ({rows}), out_{name} AS ({out})"
+
+
+@query("f_recipes", using("cf vec cat hot5 recent sim hist unseen", " UNION ALL ".join(f"SELECT '{n}' AS recipe, user_id, item_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM out_{n} WHERE rank <= 5" for n in fusion.RECIPES), f"{_BRANDS}, " + ", ".join(map(_recipe_sql, fusion.RECIPES))))
+def _(t: Tables) -> DataFrame:
+    """The first five items of every user by every named recipe."""
+    out = None
+    for name in fusion.RECIPES:
+        d = _r(t.recipe(name).where("rank <= 5"), "user_id", "item_id").withColumn("recipe", F.lit(name))
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
 @query("f_popular_minus_known", using("unseen", "SELECT user_id, item_id, CAST(place AS INTEGER) AS rank FROM unseen WHERE place <= 20"))
 def _(t: Tables) -> DataFrame:
     return channels.hot_items(t.hist, t.hot, t.hist, 20).select("user_id", "item_id", "rank")
