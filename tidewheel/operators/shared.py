@@ -21,13 +21,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing uses yet."""
+    return os.path.join(shared_dir(spark), f"tidewheel-{name}-{uuid.uuid4().hex}")
+
+
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """What stands at ``path`` goes when the session's file system closes."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(at)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet and read back: computed once however many parts of a plan read it, and no lineage to recompute. The table goes when the session's file system closes."""
     spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"tidewheel-{name}-{uuid.uuid4().hex}")
+    path = new_path(spark, name)
     df.write.parquet(path)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(at)
+    delete_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import io
+import json
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.functions import scalars
 from tidewheel.operators import clean, sequence, stats
+from tidewheel.operators.shared import delete_on_exit, new_path, stored
 from tidewheel.sources import interactions as src
+from tidewheel.sources import recovery
+from tidewheel.sources.quarantine import line_counts, usable
 
 from .oracle import using
 from .recommend import Tables
@@ -48,6 +59,113 @@ def _(t: Tables) -> DataFrame:
     return src.all_user_ids(t.read("orders").select(F.col("o_custkey").alias("user_id")), t.read("events").select("user_id"))
 
 
+# files with bad lines, and files of earlier runs, both written from the tables first
+REVIEW_LINE = """CASE event_id % 20 WHEN 1 THEN '' WHEN 2 THEN '[1]' ELSE left(line, length(line) - CASE event_id % 20 WHEN 0 THEN 1 ELSE 0 END) END"""
+
+
+def _lines(t: Tables, lines: DataFrame, name: str) -> str:
+    path = new_path(t.spark, name)
+    lines.write.text(path)
+    delete_on_exit(t.spark, path)
+    return path
+
+
+def _reviews(t: Tables) -> DataFrame:
+    """Events as review lines: of each twenty one is cut off, one is blank, one is an array, one has a rating in words and one has no user."""
+    at = F.col("event_id") % 20
+    fields = {
+        "user_id": F.when(at != 4, F.concat(F.lit("u"), F.col("user_id").cast("string"))),
+        "parent_asin": F.concat(F.lit("p"), (F.col("event_id") % 997).cast("string")),
+        "rating": F.when(at == 3, "good").otherwise(F.col("value").cast("string")),
+        "timestamp": src.epoch_ms("ts"),
+        "verified_purchase": F.col("event_type") == "purchase",
+    }
+    rows = t.read("events").select("event_id", F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()])).alias("line"))
+    return src.checked_reviews(t.spark, _lines(t, rows.selectExpr(f"{REVIEW_LINE} AS value"), "reviews"))
+
+
+@query("a_review_jsonl", """SELECT 'u' || user_id AS user_id, 'p' || (event_id % 997) AS parent_asin, round(value, 4) AS rating, epoch_ms(ts) AS timestamp, count(*) AS lines,
+CAST(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS BIGINT) AS verified FROM events WHERE event_id % 20 > 4 AND value IS NOT NULL AND user_id IS NOT NULL AND ts IS NOT NULL GROUP BY ALL""")
+def _(t: Tables) -> DataFrame:
+    rows = usable(_reviews(t)).withColumn("rating", F.round(F.col("rating").cast("double"), 4))
+    return rows.groupBy("user_id", "parent_asin", "rating", "timestamp").agg(F.count("*").alias("lines"), F.count_if("verified_purchase").alias("verified"))
+
+
+@query("a_review_quarantine", """SELECT CASE event_id % 20 WHEN 0 THEN 'not json' WHEN 1 THEN 'blank' WHEN 2 THEN 'not an object' ELSE CASE WHEN event_id % 20 = 4 OR user_id IS NULL THEN 'no user_id'
+WHEN event_id % 20 <> 3 AND value IS NULL THEN 'no rating' WHEN ts IS NULL THEN 'no timestamp' WHEN event_id % 20 = 3 THEN 'bad rating' ELSE 'usable' END END AS reason, count(*) AS lines FROM events GROUP BY 1""")
+def _(t: Tables) -> DataFrame:
+    return line_counts(_reviews(t)).groupBy("reason").agg(F.sum("lines").alias("lines"))
+
+
+@query("a_meta_jsonl", """SELECT 'p' || p_partkey AS item_id, CASE WHEN p_partkey % 3 > 1 THEN p_brand WHEN p_partkey % 5 > 0 THEN upper(p_brand) ELSE 'Unknown' END AS brand,
+CASE p_partkey % 4 WHEN 0 THEN -1.0 WHEN 3 THEN -1.0 ELSE CAST(p_size AS DOUBLE) + 1000.5 END AS price, CASE WHEN p_partkey % 5 > 0 THEN p_type ELSE 'Unknown' END AS skin_type FROM part WHERE p_partkey % 7 > 0""")
+def _(t: Tables) -> DataFrame:
+    k = F.col("p_partkey")
+    price = F.when(k % 4 == 0, "from 3").when(k % 4 == 1, F.concat(F.lit("$1,"), F.lpad(F.col("p_size").cast("string"), 3, "0"), F.lit(".5"))).when(k % 4 == 2, (F.col("p_size") + F.lit(1000.5)).cast("string"))
+    fields = {
+        "parent_asin": F.concat(F.lit("p"), k.cast("string")),
+        "store": F.when(k % 3 == 2, F.col("p_brand")).when(k % 3 == 1, " "),
+        "details": F.create_map(F.lit("Brand"), F.upper("p_brand"), F.lit("Skin Type"), F.col("p_type")),
+        "price": price,
+    }
+    line = F.to_json(F.struct(*[v.alias(c) for c, v in fields.items()]))
+    line = F.when(k % 5 == 0, F.regexp_replace(line, r'"details":\{[^}]*\}', '"details":"none"')).otherwise(line)
+    rows = t.read("part").select(F.when(k % 7 == 0, F.concat(line, F.lit("}"))).otherwise(line).alias("value"))
+    return src.read_meta_jsonl(t.spark, _lines(t, rows, "meta")).select("item_id", "brand", "price", "skin_type")
+
+
+def _write_runs(root: str):
+    """Rows ``kind, user_id, uid`` as files of earlier runs under ``root``, a file a batch and kind; gives their paths."""
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part = TaskContext.get().partitionId()
+        store, base = fs.FileSystem.from_uri(root)
+        for n, batch in enumerate(batches):
+            for kind, rows in batch.groupby("kind"):
+                name = {"json": f"predictions_{part}_{n}.json", "csv": f"preds_{part}_{n}.csv", "npz": f"eval_{part}_{n}_users.npz"}[kind]
+                buffer = io.BytesIO()
+                if kind == "npz":
+                    np.savez_compressed(buffer, uid=rows["uid"].to_numpy("int64"))
+                elif kind == "csv":
+                    rows[["user_id", "uid"]].to_csv(buffer, index=False)
+                else:
+                    made = [{"user_id": u, "labels": [{"user_id": "not this"}]} for u in rows["user_id"]]
+                    buffer.write(json.dumps({"rows": made}).encode())
+                with store.open_output_stream(f"{base}/{name}") as f:
+                    f.write(buffer.getvalue())
+                yield pd.DataFrame({"path": [f"{root}/{name}"]})
+
+    return write
+
+
+def _recovered(t: Tables) -> recovery.Recovery:
+    """Customers with orders evaluated by runs that left JSON and CSV, users of events by one that left uids."""
+    root = new_path(t.spark, "runs")
+    store, base = fs.FileSystem.from_uri(root)
+    store.create_dir(base)
+    delete_on_exit(t.spark, root)
+    orders = t.read("orders").select(F.when(F.col("o_custkey") % 2 == 0, "json").otherwise("csv").alias("kind"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("user_id"), F.lit(0).cast("bigint").alias("uid"))
+    events = t.read("events").where("user_id >= 0").select(F.lit("npz").alias("kind"), F.lit("").alias("user_id"), (F.col("user_id") + 2).alias("uid"))
+    runs = stored(orders.where("o_custkey is not null").union(events).mapInPandas(_write_runs(root), "path string"), "inventory")
+    with store.open_output_stream(f"{base}/{recovery.MANIFEST}") as f:
+        f.write(b'{"source": {"data_id": "events"}}')
+    users = t.read("events").where("user_id >= 0").select((F.col("user_id") + 2).alias("uid"), F.concat(F.lit("e"), F.col("user_id").cast("string")).alias("user_id"))
+    customers = t.read("customer").select((-F.col("c_custkey") - 1).alias("uid"), F.concat(F.lit("x"), F.col("c_custkey").cast("string")).alias("user_id"))
+    identity = users.union(customers).distinct().withColumn("data_id", F.lit("events"))
+    return recovery.recover(runs, identity)
+
+
+@query("a_recovered_users", "SELECT 'c' || o_custkey AS user_id FROM orders WHERE o_custkey IS NOT NULL UNION SELECT 'e' || user_id FROM events WHERE user_id >= 0")
+def _(t: Tables) -> DataFrame:
+    return _recovered(t).users
+
+
+@query("a_recovered_encoders", """SELECT 'events' AS data_id, (SELECT count(DISTINCT user_id) FROM events WHERE user_id >= 0) + (SELECT count(DISTINCT c_custkey) FROM customer) AS n_users,
+(SELECT count(DISTINCT c_custkey) FROM customer) AS n_outside""")
+def _(t: Tables) -> DataFrame:
+    return _recovered(t).encoders
+
+
 @query("a_first_brand", "SELECT p_partkey AS item_id, p_brand AS brand FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem) AND trim(p_brand) <> ''")
 def _(t: Tables) -> DataFrame:
     meta = t.dim.withColumn("line", F.lit(0))

@@ -8,9 +8,11 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .quarantine import checked_lines, usable
+
 RATINGS = "user_id STRING, item_id STRING, rating DOUBLE, ts BIGINT"
-REVIEWS = "user_id STRING, parent_asin STRING, asin STRING, rating FLOAT, timestamp BIGINT, helpful_vote INT, verified_purchase BOOLEAN"
-META = "parent_asin STRING, store STRING, details MAP<STRING,STRING>, main_category STRING, average_rating DOUBLE, rating_number INT, price STRING"
+REVIEWS = {"user_id": "STRING", "parent_asin": "STRING", "asin": "STRING", "rating": "FLOAT", "timestamp": "BIGINT", "helpful_vote": "INT", "verified_purchase": "BOOLEAN"}
+META = {"parent_asin": "STRING", "store": "STRING", "details": "MAP<STRING,STRING>", "main_category": "STRING", "average_rating": "DOUBLE", "rating_number": "INT", "price": "STRING"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,20 +44,29 @@ def read_ratings_csv(spark: SparkSession, files: dict[str, str], per_file: int |
     return out
 
 
+def checked_reviews(spark: SparkSession, path: str) -> DataFrame:
+    """Raw reviews line by line, with what is wrong with each (see ``quarantine``)."""
+    return checked_lines(spark, path, REVIEWS, ["user_id", "parent_asin", "rating", "timestamp"])
+
+
 def read_reviews_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """Raw reviews; malformed lines and lines without the required keys are skipped."""
-    rows = spark.read.schema(REVIEWS).option("mode", "DROPMALFORMED").json(path)
-    rows = rows.where("user_id is not null and parent_asin is not null and rating is not null and timestamp is not null")
+    rows = usable(checked_reviews(spark, path))
     return rows.withColumns({"asin": F.coalesce("asin", "parent_asin"), "helpful_vote": F.coalesce("helpful_vote", F.lit(0)), "verified_purchase": F.coalesce("verified_purchase", F.lit(False)).cast("tinyint")})
 
 
+def checked_meta(spark: SparkSession, path: str) -> DataFrame:
+    """Item metadata line by line, with what is wrong with each."""
+    return checked_lines(spark, path, META, ["parent_asin"])
+
+
 def read_meta_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """Item metadata with brand, price, skin type and item form taken out of the nested details."""
-    rows = spark.read.schema(META).option("mode", "DROPMALFORMED").json(path).where("parent_asin is not null")
+    """Item metadata with brand (the store's name, else the details'), price, skin type and item form taken out of the nested details; lines that can't be used are skipped."""
+    rows = usable(checked_meta(spark, path))
     some = lambda c: F.when(F.trim(c) != "", F.trim(c))
     return rows.select(
         F.col("parent_asin").alias("item_id"),
-        F.coalesce(some(F.col("details")["Brand"]), some(F.col("store")), F.lit("Unknown")).alias("brand"),
+        F.coalesce(some(F.col("store")), some(F.col("details")["Brand"]), F.lit("Unknown")).alias("brand"),
         F.coalesce(F.expr("try_cast(regexp_replace(price, '[$,]', '') as double)"), F.lit(-1.0)).alias("price"),
         F.coalesce(some(F.col("details")["Skin Type"]), F.lit("Unknown")).alias("skin_type"),
         F.coalesce(some(F.col("details")["Item Form"]), F.lit("Unknown")).alias("item_form"),
