@@ -118,6 +118,10 @@ def test_bad_lines_are_kept_with_their_reason(spark, tmp_path):
     bad = {"not json": "{oops", "blank": "  ", "not an object": "[1]", "no user_id": ok.replace('"u"', "null"), "bad rating": ok.replace("4.5", "good"), "bad timestamp": ok.replace("7", '"x"')}
     path = put(tmp_path, "r.jsonl", "\n".join([ok, *bad.values(), '"text"', "null", ok, ""]))
     rows = src.checked_reviews(spark, path)
+    more = [ok + "}", ok + "x", ok + "," + ok, ok + "]", ok + '] "a"', ok + "],[{}", "{'user_id':'u'}"]
+    assert [r["reason"] for r in src.checked_reviews(spark, put(tmp_path, "s.jsonl", "\n".join(more) + "\n")).collect()] == ["not json"] * len(more)
+    nested = ok.replace('{"a":1}', '[{"a":1}, {"a":[{}]}]')
+    assert usable(src.checked_reviews(spark, put(tmp_path, "n.jsonl", nested + " \r\n  " + nested))).count() == 2
     assert {r["reason"]: r["lines"] for r in line_counts(rows).collect()} == {**dict.fromkeys(bad, 1), "not an object": 3, "usable": 2}
     got = usable(rows).collect()
     assert len(got) == 2 and got[0]["rating"] == 4.5 and got[0]["verified_purchase"] is True and got[0]["asin"] is None

@@ -14,14 +14,16 @@ def checked_lines(spark: SparkSession, path: str | list[str], fields: Mapping[st
     ``reason`` is null for a usable line, else one of: ``blank``, ``not json``, ``not an object``, ``no <field>`` (a required one is missing or null), ``bad <field>`` (its value doesn't cast). Numbers and
     booleans in quotes count as such; MAP fields that aren't objects are null. Keys of no field are ignored; of a repeated key one value counts. A line is read once and parsed in the JVM.
     """
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "allowSingleQuotes": "false"}
-    raw = ", ".join(f"`{c}` STRING" for c in (*fields, "_corrupt"))
+    strict = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "allowSingleQuotes": "false"}
+    raw = ", ".join(f"`{c}`: STRING" for c in fields)
     rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
-    rows = rows.withColumn("_raw", F.from_json("line", raw, options))
+    # the parser ignores what follows a value; inside brackets anything but blanks is an error or a second element
+    rows = rows.withColumn("_all", F.from_json(F.concat(F.lit("["), "line", F.lit("]")), f"ARRAY<STRUCT<{raw}>>", strict)).withColumn("_raw", F.get("_all", F.lit(0)))
     cast = {c: F.from_json(F.col("_raw")[c], t, {"mode": "PERMISSIVE"}) if t.upper().startswith("MAP") else F.col("_raw")[c].try_cast(t) for c, t in fields.items()}
-    why = F.when(F.col("line").rlike(r"^\s*$"), "blank")
-    why = why.when(F.expr("_raw is null or _raw._corrupt is not null"), F.when(F.expr("try_parse_json(line) is null"), "not json").otherwise("not an object"))
-    why = why.when(~F.ltrim("line").startswith("{"), "not an object")
+    in_braces = F.from_json(F.concat(F.lit('{"r":'), "line", F.lit("}")), "r STRING, _corrupt STRING", strict)["_corrupt"].isNull()
+    # only a line that closes the bracket itself passes the first test wrongly, so few lines need the second
+    doubtful = F.col("_raw").isNull() | (F.size("_all") != 1) | F.col("line").rlike(r"\}\s*\]")
+    why = F.when(F.col("line").rlike(r"^\s*$"), "blank").when(doubtful & ~in_braces, "not json").when(~F.ltrim("line").startswith("{"), "not an object").when(F.coalesce(F.size("_all"), F.lit(0)) != 1, "not json")
     for c in required:
         why = why.when(F.col("_raw")[c].isNull(), f"no {c}")
     for c, t in fields.items():
