@@ -133,3 +133,8 @@ def test_bad_lines_are_kept_with_their_reason(spark, tmp_path):
     assert checked_lines(spark, put(tmp_path, "none.jsonl", ""), {"a": "INT"}, ["a"]).count() == 0
     meta = put(tmp_path, "m.jsonl", '{"parent_asin":"p","store":"S","details":{"Brand":"B"}}\n{"parent_asin":"q","details":"none"}\n{"parent_asin":"r","store":" ","details":{"Brand":"B"}}\n')
     assert {r["item_id"]: r["brand"] for r in src.read_meta_jsonl(spark, meta).collect()} == {"p": "S", "q": "Unknown", "r": "B"}
+
+
+def test_milliseconds_are_rounded_away_from_1970(spark):
+    rows = spark.sql("select cast(c1 as timestamp_ntz) as ts, c2 as want from values ('1970-01-01 00:00:00.001499', 1), ('1970-01-01 00:00:00.0015', 2), ('1969-12-31 23:59:59.9986', -1), ('1969-12-31 23:59:59.9985', -2), ('1970-01-01 00:00:00', 0), ('2024-01-10 21:15:40.290500', 1704921340291) as t(c1, c2)")
+    assert all(r["got"] == r["want"] for r in rows.select(src.epoch_ms("ts").alias("got"), "want").collect())
