@@ -47,6 +47,13 @@ def test_cosine_by_hand(spark):
     assert math.isclose(sim[(2, 3)], (1 / math.log(4) + 1 / math.log(3)) / math.sqrt(6)) and sim[(2, 3)] == sim[(3, 2)]
 
 
+def test_pairs_below_the_least_double_keep_their_place(spark):
+    """Items 1 and 2 are so far apart that their weight is above 0 and their similarity isn't."""
+    rows = [(1, 1, 0.0), (1, 3, 100.0), (1, 2, 744.4), *[(u, i, 0.0) for u in (2, 3, 4) for i in (1,)], *[(u, 2, 0.0) for u in (5, 6, 7)]]
+    got = {(r["item_id"], r["neighbor"]): r["rank"] for r in similarity.time_decayed(log(spark, [(u, i, int(t * 10)) for u, i, t in rows]).withColumn("ts", (F.col("ts") / 10).cast("long"))).collect()}
+    assert (1, 2) not in got and got[(1, 3)] == 2
+
+
 def ranks(spark, rows):
     return spark.createDataFrame(rows, "channel string, user_id long, item_id long, score double, rank int")
 
