@@ -54,6 +54,13 @@ def test_pairs_below_the_least_double_keep_their_place(spark):
     assert (1, 2) not in got and got[(1, 3)] == 2
 
 
+def test_rounding_keeps_the_sign_of_zero(spark):
+    from tidewheel.operators.shared import signed_round
+
+    got = [r[0] for r in spark.createDataFrame([(-2e-7,), (2e-7,), (0.0,), (-1.5e-6,), (0.1234565,)], "x double").select(signed_round(F.col("x"), 6)).collect()]
+    assert list(map(str, got)) == ["-0.0", "0.0", "0.0", "-2e-06", "0.123457"]
+
+
 def ranks(spark, rows):
     return spark.createDataFrame(rows, "channel string, user_id long, item_id long, score double, rank int")
 
