@@ -61,6 +61,19 @@ def test_rounding_keeps_the_sign_of_zero(spark):
     assert list(map(str, got)) == ["-0.0", "0.0", "0.0", "-2e-06", "0.123457"]
 
 
+def test_vectors_in_blocks_leave_out_what_a_query_names(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK_NUMBERS", 40)
+    monkeypatch.setattr(similarity, "BLOCK_QUERIES", 3)
+    v = {i: [float(i % 7), float(i % 5), 1.0, float(i % 3)] for i in range(60)}
+    skip = {r: list(range(r, 60, 4)) for r in range(9)}
+    q = spark.createDataFrame([(0, r, v[r], 5, skip[r] or None) for r in range(9)], "part int, record long, q array<double>, k int, skip array<long>")
+    items = spark.createDataFrame([(0, i, x) for i, x in v.items()], "part int, item_id long, v array<float>")
+    got = {(r["record"], r["rank"]): r["item_id"] for r in similarity.block_top_k(q, items).collect()}
+    for r in range(9):
+        want = sorted((i for i in v if i not in skip[r]), key=lambda i: (-sum(a * b for a, b in zip(v[r], v[i], strict=True)), i))[:5]
+        assert [got[(r, n)] for n in range(1, 6)] == want
+
+
 def ranks(spark, rows):
     return spark.createDataFrame(rows, "channel string, user_id long, item_id long, score double, rank int")
 
