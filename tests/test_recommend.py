@@ -74,6 +74,24 @@ def test_vectors_in_blocks_leave_out_what_a_query_names(spark, monkeypatch):
         assert [got[(r, n)] for n in range(1, 6)] == want
 
 
+def test_weight_grid_lays_no_rows_out_by_set(spark):
+    rows = [(c, u, (u * 3 + n * m) % 11, 1.0 / n, n) for c, m in (("a", 1), ("b", 2)) for u in range(5) for n in range(1, 8)]
+    truth = [(u, (u * 5) % 11) for u in range(5)] + [(9, 1)]
+    sets = {0: {"a": 1.0, "b": 0.5}, 1: {"a": 0.0, "b": 2.0}, 2: {"a": 0.0, "b": 0.0}}
+    out = fusion.weight_grid(ranks(spark, rows), spark.createDataFrame([(i, c, w) for i, s in sets.items() for c, w in s.items()], "combo int, channel string, w double"), spark.createDataFrame(truth, "user_id long, item_id long"), 3)
+    assert "FlatMapGroupsInArrow" in out._jdf.queryExecution().toString()
+    got = {r["combo"]: r["hr"] for r in out.collect()}
+    for i, s in sets.items():
+        hits = set()
+        for u, x in truth:
+            score = {}
+            for c, v, item, _, n in rows:
+                if v == u and s[c] > 0:
+                    score[item] = score.get(item, 0.0) + s[c] / (60 + n)
+            hits |= {u} if x in sorted(score, key=lambda k: (-math.floor(score[k] * 1e9 + 0.5), k))[:3] else set()
+        assert got[i] == round(len(hits) / 6, 6)
+
+
 def ranks(spark, rows):
     return spark.createDataFrame(rows, "channel string, user_id long, item_id long, score double, rank int")
 
