@@ -92,6 +92,17 @@ def test_weight_grid_lays_no_rows_out_by_set(spark):
         assert got[i] == round(len(hits) / 6, 6)
 
 
+def test_unseen_popular_items_in_place_are_those_of_the_joins(spark, monkeypatch):
+    hot = spark.createDataFrame([(i, i + 1) for i in range(40)], "item_id long, hot_rank int")
+    hist = spark.createDataFrame([(u, i) for u in range(4) for i in range(0, 5 * u + 1, u + 1)] + [(7, 99)], "user_id long, item_id long")
+    got = channels.hot_items(hist, hot, hist)
+    assert "Exchange hashpartitioning(hot_rank" not in got._jdf.queryExecution().toString()
+    rows = lambda d: sorted(map(tuple, d.select("user_id", "item_id", "rank").collect()))
+    first = rows(got)
+    monkeypatch.setattr(channels, "BROADCAST_ROWS", 0)
+    assert first == rows(channels.hot_items(hist, hot, hist)) and (7, 0, 1) in first and len(first) == 25
+
+
 def ranks(spark, rows):
     return spark.createDataFrame(rows, "channel string, user_id long, item_id long, score double, rank int")
 
