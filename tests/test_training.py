@@ -97,3 +97,23 @@ def test_mean_cosine_matches_all_pairs(spark):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     c = u @ u.T
     assert metrics.mean_cosine(df).first()["mean_cosine"] == pytest.approx((c.sum() - 30) / (30 * 29), abs=1e-6)
+
+
+def test_fixed_pools_send_only_short_samples_through_joins(spark, events, monkeypatch):
+    samples = training.prefix_windows(events).select("sample.user_id", "sample.target").distinct()
+    wide = spark.range(1, 5001).withColumnRenamed("id", "item_id")
+    joins, sent = training.drawn_by_joins, []
+
+    def spy(s, *rest):
+        sent.append(s.count())
+        return joins(s, *rest)
+
+    monkeypatch.setattr(training, "drawn_by_joins", spy)
+    rows = lambda d: sorted((r["user_id"], r["target"], tuple(r["items"])) for r in d.collect())
+    got = rows(training.fixed_pools(samples, wide, events, 16))
+    assert len(got) == samples.count() and sent[0] < len(got) / 4
+    for name, value in (("LISTED", 0), ("LOOKED_THROUGH", 0)):
+        with monkeypatch.context() as m:
+            m.setattr(training, name, value)
+            assert rows(training.fixed_pools(samples, wide, events, 16)) == got
+    assert sent[1:] == [len(got), len(got)]
