@@ -279,3 +279,21 @@ def test_every_query_has_named_columns(spark):
     qs, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(qs) and len(qs) > 90
     assert __spark_entry__.entry(spark).columns == ["user_id", "item_id", "score", "rank"]
+
+
+def test_the_pool_moves_no_row_that_is_stored_by_user(spark):
+    """Channels and pool are stored by user: fusion, and full lists in the top-up, send nothing."""
+    t = Tables(spark, SF)
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(fusion.rrf(t.stacked, {"cf": 2.0, "category": 0.7, "hot": 0.05}, 75, placed=True))
+    assert "Exchange" not in plan(t.pool.groupBy("user_id").agg(F.count("*")))
+    assert {r["rank"] for r in t.cf.collect()} == set(range(1, 76))
+
+
+def test_similarities_send_lists_and_split_popular_items(spark, monkeypatch):
+    df = log(spark, [(u, i, i) for u in range(12) for i in range(30) if (u * i) % 5 < 3])
+    rows = lambda d: {(r["item_id"], r["neighbor"], r["rank"]): round(r["sim"], 12) for r in d.collect()}
+    want = rows(similarity.cosine_iuf(df, 10))
+    monkeypatch.setattr(similarity, "HOT_EVENTS", 5)
+    assert rows(similarity.cosine_iuf(df, 10)) == want and len(want) == 300
+    assert rows(similarity.cosine_iuf(df, 10, block=4)) == want
