@@ -1,5 +1,7 @@
 """Samples of training: prefixes, negatives, factors, and the comparisons of pools, against plain Python."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -117,3 +119,56 @@ def test_fixed_pools_send_only_short_samples_through_joins(spark, events, monkey
             m.setattr(training, name, value)
             assert rows(training.fixed_pools(samples, wide, events, 16)) == got
     assert sent[1:] == [len(got), len(got)]
+
+
+def brute_pool(hist, seen, near, kind, hot, weights, budget, half_life, n, top, each, first):
+    """The pool after ``hist`` (ts, item), in plain Python: similarities ``near``, categories ``kind``, popular items ``hot`` in order."""
+    late = sorted(hist)[-n:]
+    free = [i for i in hot if i not in seen]
+    nine = lambda x: math.floor(x * 1e9 + 0.5)
+    cf = {}
+    for ts, i in late:
+        for j, s in near.get(i, {}).items():
+            if j not in seen:
+                cf[j] = cf.get(j, 0.0) + 2.0 ** (-((late[-1][0] - ts) / 86_400_000) / half_life) * s
+    cf = dict(sorted(cf.items(), key=lambda x: (-nine(x[1]), x[0]))[:budget])
+    cf.update(dict.fromkeys([i for i in free if i not in cf][: budget - len(cf)], -1.0))
+    count = {}
+    for _, i in late:
+        if i in kind:
+            count[kind[i]] = count.get(kind[i], 0) + 1
+    best = sorted(count, key=lambda c: (-count[c], c is not None, c or ""))[:top]
+    cat = {i: count[c] / sum(count.values()) for c in best if c is not None for i in [i for i in free if kind.get(i) == c][:each]}
+    score = {}
+    for w, channel in ((weights["cf"], cf), (weights["category"], cat), (weights["hot"], {i: 1 / p for p, i in enumerate(free[:first], 1)})):
+        for p, i in enumerate(sorted(channel, key=lambda i: (-nine(channel[i]), i)), 1):
+            score[i] = score.get(i, 0.0) + w / (60 + p)
+    return sorted(score, key=lambda i: (-nine(score[i]), i))[:budget]
+
+
+@pytest.mark.parametrize("block", [4096, 3])
+def test_training_pools_are_made_where_the_user_is(spark, monkeypatch, block):
+    """No row of a sample is stored, whatever the blocks; pools as by hand, with ties of time, items without neighbours, of no category and unknown to the catalogue."""
+    rng = np.random.default_rng(5)
+    weights, wide = {"cf": 2.0, "category": 0.7, "hot": 0.05}, dict(budget=12, half_life=3.0, n=4, top=2, each=3, first=2)
+    log = {u: sorted((int(t) * 86_400_000, int(i)) for t, i in zip(rng.integers(0, 9, size), rng.choice(40, size, replace=False), strict=True)) for u, size in enumerate([1, 2, 9, 14, 25, 40])}
+    near = {i: {int(j): float(rng.integers(1, 9)) / 10 for j in rng.choice(40, 5, replace=False) if j != i} for i in range(30)}
+    kind = {i: None if i % 13 == 0 else f"c{i % 5}" for i in range(36)}
+    hot = [int(i) for i in rng.permutation(40)]
+    train = spark.createDataFrame([(u, i, t, 4.0) for u, own in log.items() for t, i in own], "user_id long, item_id long, ts long, rating double")
+    sim = spark.createDataFrame([(i, j, s) for i, own in near.items() for j, s in own.items()], "item_id long, neighbor long, sim double")
+    dim = spark.createDataFrame(list(kind.items()), "item_id long, category string")
+    ranks = spark.createDataFrame([(i, r) for r, i in enumerate(hot, 1)], "item_id long, hot_rank int")
+    stored = []
+    monkeypatch.setattr(training, "stored", lambda df, name: stored.append(name) or df)
+    monkeypatch.setattr(training, "SAMPLE_BLOCK", block, raising=False)
+    got = {}
+    for r in training.training_pools(train, sim, dim, ranks, weights, **wide).collect():
+        got.setdefault((r["user_id"], r["target"]), {})[r["rank"]] = r["item_id"]
+    want = {}
+    for u, own in log.items():
+        for t, i in own:
+            if hist := [x for x in own if x[0] < t]:
+                want[u, i] = dict(enumerate(brute_pool(hist, {i for _, i in hist}, near, kind, hot, weights, **wide), 1))
+    assert got == want
+    assert not stored
