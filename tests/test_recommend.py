@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tidewheel.operators import channels, clean, fusion, metrics, sampling, sequence, similarity
+from tidewheel.operators import channels, clean, fusion, grouped, metrics, sampling, sequence, similarity
 from tidewheel.plans.recommend import Tables
 from tidewheel.sources import interactions as src
 
@@ -297,3 +297,39 @@ def test_similarities_send_lists_and_split_popular_items(spark, monkeypatch):
     monkeypatch.setattr(similarity, "HOT_EVENTS", 5)
     assert rows(similarity.cosine_iuf(df, 10)) == want and len(want) == 300
     assert rows(similarity.cosine_iuf(df, 10, block=4)) == want
+
+
+def test_channels_of_all_users_at_once_are_those_of_the_joins(spark):
+    """The channels' lists are made where a user's events are; what reads a single channel sends nothing either."""
+    t = Tables(spark, SF)
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    assert not any("Exchange" in plan(d) for d in (t.cf, t.category, t.hot5))
+    cf = channels.refill(channels.item_cf(t.hist, t.sim, t.hist, 75, 90.0), t.hist, t.hot, t.hist, 75)
+    joined = fusion.stack({"cf": cf, "category": channels.category(t.hist, t.dim, t.hot, t.hist), "hot": channels.hot_items(t.hist, t.hot, t.hist)})
+    rows = lambda d: {(r["channel"], r["user_id"], r["item_id"], r["rank"]): round(r["score"], 9) for r in d.collect()}
+    want = rows(joined)
+    assert rows(t.stacked) == want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert rows(grouped.user_channels(t.hist, t.sim, t.dim, t.hot, 75)) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_lists_of_a_group_are_laid_out_a_few_asks_at_a_time(spark, monkeypatch):
+    t = Tables(spark, SF)
+    ev = sequence.positions(t.hist).selectExpr("user_id", "item_id", "ts", "cast(pos + 1 as int) as e", "n as _n", "0 as before", "true as inside")
+    table, who, base = grouped.in_order(grouped.with_lists(ev, ("user_id",), t.sim, t.dim, t.hot, 75, 20, channels.longest(t.hist)).toArrow())
+
+    def rows():
+        out, parts = set(), 0
+        for asks, item, lists in grouped.channel_lists(table, who, base, who, ev_number, 75, 90.0, 50, 3, 20, 5):
+            parts += 1
+            out |= {(name, int(asks[s]), int(item[c]), round(float(x), 9), int(rank)) for name, each in lists.items() for s, c, x, rank in zip(*each, strict=True)}
+        return out, parts
+
+    ev_number = table.column("e").to_numpy().astype("int64")
+    want, one = rows()
+    monkeypatch.setattr(grouped, "LAID_OUT", 2000)
+    got, many = rows()
+    assert got == want and one < many
