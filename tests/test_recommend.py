@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tidewheel.operators import channels, clean, fusion, grouped, metrics, sampling, sequence, similarity
+from tidewheel.operators import channels, clean, fusion, grouped, metrics, sampling, sequence, shared, similarity
 from tidewheel.plans.recommend import Tables
 from tidewheel.sources import interactions as src
 
@@ -178,6 +178,20 @@ def test_pool_is_full_legal_and_independent_of_partitions(spark):
     assert rows == again
 
 
+def test_parts_grow_with_the_log(spark, monkeypatch):
+    """A part's rows, and so what a task holds, don't grow with the log, however few parts the session shuffles into."""
+    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert [shared.enough_parts(spark, n * shared.PART_EVENTS) for n in (0, 1, few, few + 3)] == [few, few, few, few + 3]
+    t, wide = Tables(spark, SF), Tables(spark, SF)
+    wide.parts = 3 * few
+    monkeypatch.setattr(similarity, "PART_PAIRS", 1000)
+    assert [x.rdd.getNumPartitions() for x in (wide.fw.groupBy("user_id").count(), wide.lists.groupBy("user_id").count())] == [3 * few] * 2
+    assert wide.sim.groupBy("item_id").count().rdd.getNumPartitions() == similarity.similarity_parts(wide.train) > few
+    own = lambda x: sorted(map(tuple, x.select("channel", "user_id", "item_id", F.round("score", 9), "rank").collect()))
+    monkeypatch.undo()
+    assert own(wide.lists) == own(t.lists)
+
+
 def test_negatives_are_legal_and_repeat(spark):
     t = Tables(spark, SF)
     neg = sampling.random_negatives(t.hist, t.hot, t.hist, 4)
