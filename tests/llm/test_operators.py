@@ -13,9 +13,9 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from tidewheel.llm import crf, licenses, quality
+from tidewheel.llm import crf, licenses, quality, toxicity
 from tidewheel.llm.common import connected_components
-from tidewheel.llm.labelled import remainder
+from tidewheel.llm.labelled import remainder, sample
 from tidewheel.llm.lines import drop_boilerplate
 from tidewheel.llm.minhash import Settings, block_links, drop_near_duplicates, idf_weights, near_duplicates, pair_similarity, star_links
 from tidewheel.llm.mixing import apply_mix, mix_sources
@@ -662,3 +662,18 @@ def test_pipeline_stages_take_odd_documents(spark, name):
         assert out.columns == corpus_pipeline.COLUMNS
     assert out.count() >= 1
     assert dict(corpus_pipeline.STAGES)[name](spark, docs.where("false"), "/root/testdata/sf0.001").count() == 0
+
+
+def test_toxicity_is_fitted_in_a_task(spark, monkeypatch):
+    """The sample's texts and the fit take no memory of the driver; the model is that of a fit on the spot."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    use = F.coalesce(remainder("doc_id", 3) != 1, F.lit(True))
+    here = toxicity.fit_texts(*sample(docs, labels, "toxic", use))
+
+    def never(*_, **__):
+        raise AssertionError("fitted on the driver")
+
+    monkeypatch.setattr(toxicity.crf, "train", never)
+    there = toxicity.fit_toxicity(docs, labels, use)
+    assert len(here.keys) and all(np.array_equal(getattr(here, k), getattr(there, k)) for k in ("keys", "own", "before", "after", "bias", "trans", "link", "known"))
+    assert not len(toxicity.fit_toxicity(docs.limit(0), labels, use).keys)

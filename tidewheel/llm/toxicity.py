@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from . import crf
 from .common import fed
-from .labelled import chunks, sample
+from .labelled import chunks, fitted, picked
 from .words import PUNCT, Words, batches
 
 _BLOCK = 32
@@ -112,13 +112,17 @@ class _Sample:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, use: Column, label: str = "toxic", id_col: str = "doc_id", text: str = "text") -> ToxicityModel:
-    """Fit on the bounded sample of :mod:`labelled`.
+    """Fit on the bounded sample of :mod:`labelled`, in one task.
 
     Labels are of documents; the words' labels follow from them: a word of a toxic document is toxic if it, or one of its
     stems, stands in toxic documents only (at least 30 times likelier there, after smoothing) and in enough of
     them (2, and 15 in a thousand). Toxic documents without such a word teach the link only. Without labels of both kinds nothing is toxic.
     """
-    texts, y, weight = sample(docs, labels, label, use, id_col, text)
+    return fitted(*picked(docs, labels, label, use, id_col, text), fit_texts)
+
+
+def fit_texts(texts: pa.Array, y: np.ndarray, weight: np.ndarray) -> ToxicityModel:
+    """The model of :func:`fit_toxicity` from its sample: texts, 0/1 labels, weights."""
     none = ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), np.zeros(0), -10.0, np.zeros((2, 2)), np.array([0.0, 0.0, 0.0, -4.0]))
     if not len(y) or y.min() == y.max():
         return none
