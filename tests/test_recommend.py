@@ -347,3 +347,36 @@ def test_lists_of_a_group_are_laid_out_a_few_asks_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(grouped, "LAID_OUT", 2000)
     got, many = rows()
     assert got == want and one < many
+
+
+def test_nearest_vectors_equal_brute_force_and_are_stored_by_user(spark, monkeypatch):
+    """Vectors pass by users that stay: equal scores, copies, repeated ids, users without vectors, more blocks and chunks than one; what reads the stored lists sends nothing."""
+    import numpy as np
+
+    from tidewheel.operators import nearest
+
+    r = np.random.default_rng(3)
+    vec = {i: np.round(r.normal(size=4), 1).astype(np.float32).tolist() for i in range(0, 120, 2)}
+    vec |= {i + 1: vec[i] for i in range(0, 40, 2)}
+    events = [(u, (u * 7 + j * 11) % 130, j) for u in range(60) for j in range(1 + u % 9)] + [(99, 129, 1)]
+    items = spark.createDataFrame([*vec.items(), (6, vec[6]), (500, None), (501, [float("nan")] * 4)], "item_id long, v array<float>")
+    want = {}
+    for u in {u for u, _, _ in events}:
+        mine = sorted((e for e in events if e[0] == u), key=lambda e: (e[2], e[1]))
+        late = [v for _, i, _ in mine[-5:] for v in [vec.get(i)] * (2 if i == 6 else 1) if v]
+        if late:
+            mean = np.mean(np.array(late, np.float64), axis=0)
+            found = [(-math.floor(float(np.dot(mean, np.float64(vec[i]))) * 1e9 + 0.5), i) for i in [*vec, 6] if i not in {e[1] for e in mine}]
+            want[u] = [i for _, i in sorted(found)[:10]]
+    for name, value in (("BLOCK_USERS", 7), ("CHUNK", 3), ("TILE", 2)):
+        monkeypatch.setattr(nearest, name, value)
+    hist = log(spark, events)
+    for batch in ("4", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            got = {x["user_id"]: x for x in nearest.vector_lists(hist, items, 10, 4, n=5).collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert {u: x["ids"] for u, x in got.items()} == want and 99 not in got
+    t = Tables(spark, SF)
+    assert "Exchange" not in t.vector.groupBy("user_id").agg(F.max("rank"))._jdf.queryExecution().executedPlan().toString()
