@@ -380,3 +380,28 @@ def test_nearest_vectors_equal_brute_force_and_are_stored_by_user(spark, monkeyp
         assert {u: x["ids"] for u, x in got.items()} == want and 99 not in got
     t = Tables(spark, SF)
     assert "Exchange" not in t.vector.groupBy("user_id").agg(F.max("rank"))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_weight_tuning_moves_no_list_that_is_stored_by_user(spark):
+    """Lists of several stored tables meet by their user; a channel that isn't stored, or isn't there for a user, meets them too."""
+    t = Tables(spark, SF)
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    sets = [{"cf": 1.0, "category": 0.5, "hot": 0.1, "vector": v, "brand": b} for v in (0.0, 1.0) for b in (0.0, 0.7)]
+    assert "Exchange hashpartitioning" not in plan(fusion._with_targets([t.stacked, t.vector_rows], list(sets[0]), t.targets)[1])
+    some = t.brand.where("user_id % 2 = 0")
+    one = t.stacked.unionByName(fusion.stack({"vector": t.vector, "brand": some})).repartition(3)
+    rows = lambda d: sorted(tuple(r) for r in d.collect())
+    assert rows(fusion.tune_weights([t.stacked, t.vector_rows, fusion.stack({"brand": some})], sets, t.targets)) == rows(fusion.tune_weights(one, sets, t.targets))
+
+
+def test_brands_that_events_have_are_those_of_their_items(spark):
+    t = Tables(spark, SF)
+    dim = t.dim.withColumn("brand", F.when(F.col("item_id") % 3 > 0, F.col("brand")))
+    hist = t.hist.drop("brand").join(dim.select("item_id", "brand"), "item_id")
+    rows = lambda d: {(r["user_id"], r["item_id"], r["rank"]): round(r["score"], 9) for r in d.collect()}
+    got = rows(channels.brand(hist, dim, t.hot, t.hist, 75, named=True, parts=3))
+    assert got == rows(channels.brand(hist, dim, t.hot, t.hist, 75)) and got
+    # shares are of all last events, those of unknown brand as well
+    last = sequence.last_events(hist).groupBy("user_id").agg(F.count("*").alias("n"), F.count("brand").alias("known"))
+    best = {r["user_id"]: r["known"] / r["n"] for r in last.collect()}
+    assert all(s <= best[u] + 1e-9 for (u, _, _), s in got.items())
