@@ -405,3 +405,11 @@ def test_brands_that_events_have_are_those_of_their_items(spark):
     last = sequence.last_events(hist).groupBy("user_id").agg(F.count("*").alias("n"), F.count("brand").alias("known"))
     best = {r["user_id"]: r["known"] / r["n"] for r in last.collect()}
     assert all(s <= best[u] + 1e-9 for (u, _, _), s in got.items())
+
+
+def test_four_channels_are_fused_where_they_are_stored(spark):
+    t = Tables(spark, SF)
+    assert "Exchange hashpartitioning" not in t.four_channels._jdf.queryExecution().executedPlan().toString()
+    one = t.stacked.unionByName(fusion.stack({"vector": t.vector})).repartition(3)
+    rows = lambda d: {(r["user_id"], r["item_id"], r["rank"]): round(r["score"], 9) for r in d.collect()}
+    assert rows(t.four_channels) == rows(fusion.rrf(one, fusion.DEFAULT_WEIGHTS, 75))
