@@ -413,3 +413,27 @@ def test_four_channels_are_fused_where_they_are_stored(spark):
     one = t.stacked.unionByName(fusion.stack({"vector": t.vector})).repartition(3)
     rows = lambda d: {(r["user_id"], r["item_id"], r["rank"]): round(r["score"], 9) for r in d.collect()}
     assert rows(t.four_channels) == rows(fusion.rrf(one, fusion.DEFAULT_WEIGHTS, 75))
+
+
+def test_attribution_meets_by_user(spark):
+    """Equal to counting by hand: repeated rows, users without candidates, a channel that only the union counts; lists that are stored by user aren't sent."""
+    from tidewheel.operators import metrics
+
+    stacked = [(c, u, i) for c, m in (("a", 2), ("b", 3), ("other", 5)) for u in range(6) for i in range(0, 12, m) if (u + i) % 4] + [("a", 1, 2)] * 2
+    reach = [(c, u, i) for c, m in (("a", 1), ("b", 4)) for u in range(7) for i in range(0, 12, m)] + [("b", 1, 4)]
+    targets = [(u, i) for u in range(8) for i in (u, 2 * u, 11)] + [(1, 1)]
+    frame = lambda rows: spark.createDataFrame(rows, "channel string, user_id long, item_id long")
+    got = {r["channel"]: tuple(r)[1:] for r in metrics.attribution(frame(stacked), frame(reach), spark.createDataFrame(targets, "user_id long, item_id long"), ["a", "b"]).collect()}
+    truth, users = set(targets), {u for u, _ in targets}
+    for name in ("a", "b", "all"):
+        own, can = ({(u, i) for c, u, i in rows if name in (c, "all")} for rows in (stacked, reach))
+        sizes = [len({i for v, i in own if v == u}) for u in users]
+        want = (len({u for u, _ in truth & own}), len(truth & own), len(truth & can), len(truth & can - own), len(truth - can), round(sum(sizes) / len(sizes), 6), min(sizes), max(sizes))
+        assert got[name] == want
+    t = Tables(spark, SF)
+    none = frame([("cf", 1, 1)])
+    plan = metrics.attribution(t.stacked, none.where("false"), t.targets, ["cf", "category", "hot"])._jdf.queryExecution().executedPlan().toString()
+    assert not any("Exchange hashpartitioning" in line and "user_id#" in line for line in plan.splitlines())
+    near = {(r["user_id"], r["item_id"]) for r in channels.reached(channels.recent(t.hist), t.targets, t.sim).collect()}
+    joined = channels.recent(t.hist).join(t.sim.select("item_id", "neighbor"), "item_id").select("user_id", F.col("neighbor").alias("item_id"))
+    assert near == {(r["user_id"], r["item_id"]) for r in t.targets.join(joined, ["user_id", "item_id"], "left_semi").collect()}
